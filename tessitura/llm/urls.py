@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from ..session import ship
 from .common import table
 
 #: Rules of one index file: 2**24 digests are 128 MB.
@@ -131,6 +132,7 @@ def filter_urls(pages: DataFrame, rules: Iterable[tuple[str, str, str]] = RULES,
     fits is allowed, since the list names what to block. Null urls and urls without :// have empty host and path and
     no rule. pages must have none of the four names.
     """
+    ship(pages.sparkSession)
     context = pages.sparkSession.sparkContext
     folder = tempfile.mkdtemp(prefix="rules-")  # the driver's copy; executors get theirs through addFile
     stems, lengths = build(rules, folder)
