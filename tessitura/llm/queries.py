@@ -2,13 +2,25 @@
 
 from __future__ import annotations
 
+from .decontaminate import OP1_SQL, op1_decontamination
+from .jpeg import op10_media
+from .language import op4_language
 from .mixing import op5_mixing
+from .neardup import op8_near_duplicates
 from .sharding import op2_sharding
+from .suffixes import op3_suffix_dedup
+from .tokens import op6_tokens
 from .urls import OP7_SQL, op7_urls
 
 QUERIES = {
+    "op1_decontamination": op1_decontamination,
     "op2_sharding": op2_sharding,
+    "op3_suffix_dedup": op3_suffix_dedup,
+    "op4_language": op4_language,
     "op5_mixing": op5_mixing,
+    "op6_tokens": op6_tokens,
     "op7_urls": op7_urls,
+    "op8_near_duplicates": op8_near_duplicates,
+    "op10_media": op10_media,
 }
-ORACLE_SQL = {"op7_urls": OP7_SQL}
+ORACLE_SQL = {"op1_decontamination": OP1_SQL, "op7_urls": OP7_SQL}
