@@ -219,9 +219,9 @@ def _scan(rows: DataFrame, names: list[str], w: Windows, index: dict[int, Index]
                 n, found = hits(part, at, own_w, own_index)
                 mine: dict[int, tuple[list, set]] = {}
                 for r, a, b, x in found:
-                    s, names = mine.setdefault(r, ([], set()))
+                    s, ids = mine.setdefault(r, ([], set()))
                     s.append((a, b))
-                    names.add(own_w.item[x])
+                    ids.add(own_w.item[x])
                 counts.append(n)
                 spans += [united(mine[r][0]) if r in mine else [] for r in range(j - i)]
                 items += [sorted(mine[r][1]) if r in mine else [] for r in range(j - i)]
