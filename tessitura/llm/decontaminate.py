@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship
-from .common import numbered, table
+from .common import free_name, numbered, table
 from .textkit import WORD_BYTES, shingle_hash, slices, utf8, words
 
 WINDOW, SHINGLE = 10, 5
@@ -236,15 +236,17 @@ def _scan(rows: DataFrame, names: list[str], w: Windows, index: dict[int, Index]
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), item: str = "item_id", item_text: str = "text", window: int = WINDOW, shingle: int = SHINGLE, block: int = BLOCK) -> DataFrame:
-    """The columns of keep with n_words, starts, ends and items, for each row of docs.
+    """The columns of keep with n_words, starts, ends and items, for each row of docs (an underscore before names that keep has).
 
     starts and ends: maximal runs of hit words, counted from 0. items: the distinct ids, as text and sorted, of the
     items with a window in the document. Null texts have no words; items without words have no window; a null id is
     the empty text; items that share an id count once. An empty benchmark hits nothing.
     """
     ship(docs.sparkSession)
-    names = ["_rid", *keep]
-    rows = numbered(docs.select(*keep, F.col(text).alias("_text")))
+    names = ["_rid", "_row"]
+    kept = docs.select(*keep)
+    rows = numbered(docs.select(F.struct(*keep).alias("_row"), F.col(text).alias("_text")))
+    told = ["_row.*", *[F.col(c).alias(free_name(kept, c)) for c in ("n_words", "starts", "ends", "items")]]
     pairs = benchmark.select(F.coalesce(F.col(item).cast("string"), F.lit("")).alias("i"), F.coalesce(F.col(item_text), F.lit("")).alias("t"))
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -263,11 +265,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", kee
         counts = count_shingles(rows.withColumnRenamed("_text", "text").select("text"), keys, "text") if keys else {}
         parts.append(_scan(rows, names, w, prefix_index(w, counts, shingle)))
     if blocks == 1:
-        return parts[0].drop("_rid")
+        return parts[0].select(*told)
     every = parts[0]
     for p in parts[1:]:
         every = every.unionByName(p)
-    every = every.groupBy("_rid").agg(*[F.first(c).alias(c) for c in keep], F.max("n_words").alias("n_words"), F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("ends")).alias("ends"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    every = every.groupBy("_rid").agg(F.first("_row").alias("_row"), F.max("n_words").alias("n_words"), F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("ends")).alias("ends"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
 
     def unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.int32())
@@ -275,7 +277,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", kee
             spans = [united(list(zip(a, b, strict=True))) for a, b in zip(batch.column("starts").to_pylist(), batch.column("ends").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], batch.column("n_words"), pa.array([[a for a, _ in s] for s in spans], kind), pa.array([[b for _, b in s] for s in spans], kind), batch.column("items")], [*names, "n_words", "starts", "ends", "items"])
 
-    return every.select(*names, "n_words", "starts", "ends", "items").mapInArrow(unite, _kept(rows, names) + _FOUND).drop("_rid")
+    return every.select(*names, "n_words", "starts", "ends", "items").mapInArrow(unite, _kept(rows, names) + _FOUND).select(*told)
 
 
 def op1_decontamination(spark, sf_dir: str) -> DataFrame:

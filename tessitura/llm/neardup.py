@@ -172,16 +172,17 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float, shingle: int
     return both.mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE, bands: int = BANDS, per_band: int = ROWS) -> DataFrame:
+def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE, bands: int = BANDS, per_band: int = ROWS, rid: str | None = None) -> DataFrame:
     """(_rid, doc_id, class_id, n_links, first) for each row of docs (doc_id, text and more).
 
     class_id: the least doc_id of the row's class; n_links: other texts that the row's text was verified to be linked
-    with; first: whether the row is its class's first by doc_id (null last), then by its place. _rid is the row number
-    that :func:`numbered` gives to docs. Equal texts are in one class. A text of fewer words than a shingle is one
+    with; first: whether the row is its class's first by doc_id (null last), then by its place. _rid is docs' column
+    rid, unique for each row, or else the number that :func:`numbered` gives to it. Equal texts are in one class. A text of fewer words than a shingle is one
     shingle; texts without words are linked with equal texts only; a null text is a class of its own.
     """
     ship(docs.sparkSession)
-    rows = numbered(docs.select("doc_id", "text")).select("_rid", "doc_id", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(7), "text").alias("h2"), "text")
+    told = docs.select("doc_id", "text", F.col(rid).alias("_rid")) if rid else numbered(docs.select("doc_id", "text"))
+    rows = told.select("_rid", "doc_id", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(7), "text").alias("h2"), "text")
     rows = rows.withColumns({h: F.when(F.col("text").isNotNull(), F.col(h)) for h in ("h1", "h2")})
     texts = rows.select("_rid", "text")
     signed = saved(_signed(rows, bands, per_band, shingle))

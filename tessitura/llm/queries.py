@@ -5,6 +5,7 @@ from __future__ import annotations
 from .decontaminate import OP1_SQL, op1_decontamination
 from .jpeg import op10_media
 from .language import op4_language
+from .lines import op9_line_dedup
 from .mixing import op5_mixing
 from .neardup import op8_near_duplicates
 from .sharding import op2_sharding
@@ -21,6 +22,7 @@ QUERIES = {
     "op6_tokens": op6_tokens,
     "op7_urls": op7_urls,
     "op8_near_duplicates": op8_near_duplicates,
+    "op9_line_dedup": op9_line_dedup,
     "op10_media": op10_media,
 }
 ORACLE_SQL = {"op1_decontamination": OP1_SQL, "op7_urls": OP7_SQL}
