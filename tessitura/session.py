@@ -1,13 +1,14 @@
-"""Makes the package importable in Python workers, wherever the session runs."""
+"""What every module needs of the session: the package on Python workers, and tables in the shared folder."""
 
 from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -24,3 +25,23 @@ def ship(spark: SparkSession) -> None:
             z.write(p, p.relative_to(root.parent))
     context.addPyFile(at)
     _shipped.add(context.applicationId)
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share; only where the session names none is one made."""
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        at = tempfile.mkdtemp(prefix="tessitura-")
+        spark.conf.set("spark.checkpoint.dir", at)
+    return at.rstrip("/")
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """df written once as Parquet to the shared folder and read back.
+
+    Cuts the lineage: executors lost later cost a re-read, not a recomputation.
+    """
+    spark = df.sparkSession
+    at = f"{shared_dir(spark)}/tessitura-{uuid.uuid4().hex}"
+    df.write.parquet(at)
+    return spark.read.schema(df.schema).parquet(at)
