@@ -194,9 +194,9 @@ def most_common(spark, sf):
     return corpus.most_common(_t(spark, sf, "part").select(F.col("p_type").alias("value")), "value")
 
 
-@query("SELECT p_partkey, p_brand FROM part WHERE p_brand NOT IN (SELECT p_brand FROM part WHERE p_type LIKE '%STEEL%' AND p_size > 48)")
+@query("SELECT p_partkey, p_brand FROM part WHERE p_brand NOT IN (SELECT p_brand FROM part WHERE p_type LIKE '%ECO%' AND p_size > 49)")
 def without_phones(spark, sf):
-    lexicon = _t(spark, sf, "part").select("p_partkey", "p_brand", F.when(F.col("p_type").contains("STEEL") & (F.col("p_size") > 48), "drop").otherwise("keep").alias("phone"))
+    lexicon = _t(spark, sf, "part").select("p_partkey", "p_brand", F.when(F.col("p_type").contains("ECO") & (F.col("p_size") > 49), "drop").otherwise("keep").alias("phone"))
     return corpus.without_phones(lexicon, ["drop"], word="p_brand").select("p_partkey", "p_brand")
 
 
@@ -320,10 +320,10 @@ def name_parts(spark, sf):
     return _t(spark, sf, "documents").select("doc_id", C.first_part(name).alias("first"), C.last_part(name).alias("last"))
 
 
-@query("SELECT p_partkey FROM part WHERE p_name LIKE '%1%' AND (p_brand LIKE '%2%' OR p_brand LIKE '%4%')")
+@query("SELECT p_partkey FROM part WHERE p_name LIKE '%ring%' AND (p_type LIKE '%ECO%' OR p_type LIKE '%PRO%')")
 def name_filter(spark, sf):
     p = _t(spark, sf, "part")
-    return p.where(C.name_contains(F.col("p_name"), all_of=("1",)) & C.name_contains(F.col("p_brand"), any_of=("2", "4"))).select("p_partkey")
+    return p.where(C.name_contains(F.col("p_name"), all_of=("ring",)) & C.name_contains(F.col("p_type"), any_of=("ECO", "PRO"))).select("p_partkey")
 
 
 @query("SELECT n_nationkey FROM nation WHERE split_part(CASE n_regionkey % 3 WHEN 0 THEN 'SIL' WHEN 1 THEN 'a' ELSE 'SPN' END || '-' || n_name, '-', 1) NOT IN ('NSN', 'SPN', 'SIL')")
