@@ -3,34 +3,16 @@
 from __future__ import annotations
 
 import re
-import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Logical operators under which a row number taken from a scan is the same in every execution.
-_REPLAYABLE = re.compile(r"^[\s:+\-]*(Project|Filter|Relation|LocalRelation|LogicalRDD|Union|SubqueryAlias|Range|View)\b")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share; only where the session names none is one made."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = tempfile.mkdtemp(prefix="tessitura-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
+from ..session import saved, shared_dir
 
+__all__ = ["free_name", "numbered", "partitions_for", "saved", "shared_dir", "table", "unit"]
 
-def saved(df: DataFrame) -> DataFrame:
-    """df written once as Parquet to the shared folder and read back.
-
-    Cuts the lineage: executors lost later cost a re-read, not a recomputation.
-    """
-    spark = df.sparkSession
-    at = f"{shared_dir(spark)}/tessitura-{uuid.uuid4().hex}"
-    df.write.parquet(at)
-    return spark.read.schema(df.schema).parquet(at)
+#: Logical operators under which a row number taken from a scan is the same in every execution.
+_REPLAYABLE = re.compile(r"^[\s:+\-]*(Project|Filter|Relation|LocalRelation|LogicalRDD|Union|SubqueryAlias|Range|View)\b")
 
 
 def free_name(df: DataFrame, wanted: str) -> str:

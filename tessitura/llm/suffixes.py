@@ -196,7 +196,7 @@ def repeats(texts: list[bytes], windows: np.ndarray, ahead: np.ndarray, anchor:
     distance = ahead[segment] - step
     _, dense = np.unique(anchor, return_inverse=True)
     # Groups ascend by anchor, then by falling distance, which is from left to right.
-    live, group = shallow(words, dense[segment] * 4096 + (4095 - distance), start, SHALLOW)
+    live, group = shallow(words, dense[segment] * 4096 + (4095 - distance), start, min(SHALLOW, length // 8 * 8))
     # After a split, a group's number still ascends with (anchor, place); walk the groups in that order.
     begin = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(group) else np.zeros(0, np.int64)
     edges = np.append(begin, len(group)).tolist()
