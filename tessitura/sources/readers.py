@@ -67,7 +67,7 @@ def read_archive(spark: SparkSession, path: str, first: float = 0.0125, step: fl
     """(item, frame, t, x) from a text feature archive of `item  [` blocks that a `]` ends."""
     blocks = spark.read.option("lineSep", "]").text(path).where(F.trim(F.translate("value", "\n\r", "  ")) != "")
     head = F.trim(F.translate(F.split_part("value", F.lit("["), F.lit(1)), "\n\r", "  "))
-    rows = F.filter(F.transform(F.split(F.split_part("value", F.lit("["), F.lit(2)), "\n"), F.trim), lambda r: r != "")
+    rows = F.filter(F.transform(F.split(F.split_part("value", F.lit("["), F.lit(2)), "\n"), lambda r: F.trim(r)), lambda r: r != "")
     frames = blocks.select(head.alias("item"), F.posexplode(rows).alias("frame", "row"))
     return frames.select("item", "frame", (F.lit(first) + F.lit(step) * F.col("frame")).alias("t"), F.transform(F.split("row", r"\s+"), lambda v: v.cast("double")).alias("x"))
 
@@ -147,7 +147,7 @@ def apply_analysis(results: DataFrame, analysis: Callable[[DataFrame], DataFrame
 
 def read_unit_ids(spark: SparkSession, path: str) -> DataFrame:
     """(file, unit, phone, hmm_state, pdf_id): a line `phone state pdf` for each unit, or one line of phone names."""
-    whole = spark.read.option("wholetext", True).text(path).select(file_name().alias("file"), F.split(F.trim("value"), "\n").alias("lines"))
+    whole = spark.read.text(path, wholetext=True).select(file_name().alias("file"), F.split(F.regexp_replace("value", r"\s+$", ""), "\n").alias("lines"))
     single = whole.where(F.size("lines") == 1).select("file", F.posexplode(F.split(F.trim(F.col("lines")[0]), r"\s+")).alias("unit", "phone"))
     single = single.select("file", "unit", "phone", F.lit(None).cast("int").alias("hmm_state"), F.lit(None).cast("int").alias("pdf_id"))
     many = whole.where(F.size("lines") > 1).select("file", F.posexplode("lines").alias("unit", "line")).select("file", "unit", F.split(F.trim("line"), r"\s+").alias("t"))
@@ -157,7 +157,7 @@ def read_unit_ids(spark: SparkSession, path: str) -> DataFrame:
 
 def read_durations(spark: SparkSession, path: str) -> DataFrame:
     """(file, unit, durations array<double>, duration): a line of numbers for each unit; the mean is null if empty."""
-    whole = spark.read.option("wholetext", True).text(path).select(file_name().alias("file"), F.split(F.regexp_replace("value", r"\n$", ""), "\n").alias("lines"))
+    whole = spark.read.text(path, wholetext=True).select(file_name().alias("file"), F.split(F.regexp_replace("value", r"\n$", ""), "\n").alias("lines"))
     lines = whole.select("file", F.posexplode("lines").alias("unit", "line"))
     numbers = F.transform(F.filter(F.split(F.trim("line"), r"\s+"), lambda v: v != ""), lambda v: v.cast("double"))
     mean = lambda a: F.when(F.size(a) > 0, F.aggregate(a, F.lit(0.0), lambda s, v: s + v) / F.size(a))
@@ -171,7 +171,7 @@ def count_lines(spark: SparkSession, path: str) -> DataFrame:
 
 def read_token_lists(spark: SparkSession, path: str) -> DataFrame:
     """(file, n) tokens of each file."""
-    whole = spark.read.option("wholetext", True).text(path)
+    whole = spark.read.text(path, wholetext=True)
     return whole.select(file_name().alias("file"), F.size(F.filter(F.split("value", r"\s+"), lambda v: v != "")).alias("n"))
 
 
