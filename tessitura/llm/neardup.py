@@ -10,9 +10,11 @@ which all registers are filled but for a small chance; then the horizon is doubl
 a shingle and a few for each register, not shingles times registers.
 
 Links. Equal texts are one node. Nodes that share a band (ROWS registers) are candidates: each is verified against its
-bucket's first node, the multiset overlap counted exactly on the texts. Nodes linked that way are in one class, and
-where a bucket's nodes still are in several classes, all pairs of nodes across these classes are verified as well. So
-every pair in any bucket is either verified or in one class already, and no group's pairs are listed. At a similarity of
+bucket's centre, the node with the most company over all its buckets (of near copies, that is the original rather than
+another copy), the multiset overlap counted exactly on the texts. Nodes linked that way are in one class. Where a
+bucket's nodes still are in several classes, the overlaps across these classes are counted within the bucket, by an
+inverted index of the nodes' shingles; only pairs that are similar enough leave it, to be verified on the texts. So every
+pair in any bucket is in one class already or has been counted, and no group's pairs are listed. At a similarity of
 0.8, a pair shares none of the 40 bands of 5 with probability 1.2e-7.
 """
 
@@ -26,11 +28,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship
-from .common import numbered, saved, table
+from .common import numbered, partitions_for, saved, table
 from .links import components
 from .textkit import mix, shingles, slices, utf8, words
 
 SIMILARITY, SHINGLE, BANDS, ROWS = 0.8, 5, 40, 5
+#: Overlaps within buckets are of 16-bit hashes, whose collisions only add to them; pairs this much under the similarity
+#: asked for are still verified.
+SLACK = 0.01
 #: Registers are filled by GROUPS processes, so that a text of few shingles takes fewer steps.
 GROUPS = 4
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -113,7 +118,7 @@ def band_keys(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def _signed(rows: DataFrame, bands: int, per_band: int, shingle: int) -> DataFrame:
-    """rows (_rid, doc_id, h1, h2, text) with the text as its band keys; null for texts without words."""
+    """rows (_rid, doc_id, h1, h2, text) with the text as its band keys; none for texts without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -172,6 +177,83 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float, shingle: int
     return both.mapInArrow(run, "a long, b long")
 
 
+def _elements(rows: DataFrame, shingle: int) -> DataFrame:
+    """(_rid, elements) of rows (_rid, text): 16-bit hashes of (shingle, how often it stood before), sorted, binary.
+
+    Two texts' elements overlap as their multisets of shingles do, or by more where hashes collide.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for i, j, part, at in slices(*utf8(batch.column("text"))):
+                row, word, _, _ = words(part, at)
+                row, s, count = multiset(*shingles(row, word, j - i, shingle))
+                own = np.repeat(np.arange(len(row)), count)
+                nth = np.arange(len(own)) - np.repeat(np.cumsum(count) - count, count)
+                value = (mix(s[own] + nth.astype(np.uint64) * _GOLDEN) >> np.uint64(48)).astype(np.uint16)
+                row = row[own]
+                order = np.lexsort((value, row))
+                ends = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=j - i))])
+                value = value[order]
+                out += [value[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("_rid"), pa.array(out, pa.binary())], ["_rid", "elements"])
+
+    return rows.select("_rid", "text").mapInArrow(run, "_rid long, elements binary")
+
+
+def similar_pairs(label: np.ndarray, elements: list[bytes], least: float) -> tuple[np.ndarray, np.ndarray]:
+    """(i, j) of the rows of different labels that may have a Jaccard similarity of at least `least`, each pair once.
+
+    Rows of the label with the most rows are not compared with each other.
+    """
+    _, code, many = np.unique(label, return_inverse=True, return_counts=True)
+    order = np.lexsort((code, many[code]))  # rows of small labels first; the largest label's rows are last
+    outer, own = len(label) - int(many.max()), code[order]
+    size = np.array([len(elements[k]) // 2 for k in order])
+    value = np.frombuffer(b"".join(elements[k] for k in order), np.uint16)
+    row = np.repeat(np.arange(len(order)), size)
+    by_value = np.argsort(value, kind="stable")
+    posting, sorted_value = row[by_value], value[by_value]
+    low, high = np.searchsorted(sorted_value, value, "left"), np.searchsorted(sorted_value, value, "right")
+    begin = np.concatenate([[0], np.cumsum(size)])
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for i in range(outer):
+        a, n = low[begin[i] : begin[i + 1]], (high - low)[begin[i] : begin[i + 1]]
+        at = np.repeat(a - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+        both = np.bincount(posting[at], minlength=len(order))
+        j = np.flatnonzero(both >= least * (size + size[i] - both))
+        j = j[(j > i) & (own[j] != own[i])]
+        left.append(np.full(len(j), order[i]))
+        right.append(order[j])
+    return np.concatenate(left), np.concatenate(right)
+
+
+def _across(rows: DataFrame, least: float) -> DataFrame:
+    """(a, b): similar pairs across classes within the buckets of rows (key, _rid, label, elements), sorted by key."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def pairs(parts: list) -> pa.RecordBatch:
+            rid = np.concatenate([p[0] for p in parts])
+            i, j = similar_pairs(np.concatenate([p[1] for p in parts]), [e for p in parts for e in p[2]], least)
+            return pa.RecordBatch.from_arrays([pa.array(rid[i]), pa.array(rid[j])], ["a", "b"])
+
+        held, key = [], None
+        for batch in batches:
+            keys, rid, label, elements = np.asarray(batch.column("key")), np.asarray(batch.column("_rid")), np.asarray(batch.column("label")), batch.column("elements").to_pylist()
+            edges = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+            for a, b in zip(edges, np.append(edges[1:], len(keys)), strict=True):
+                if key != keys[a]:
+                    if held:
+                        yield pairs(held)
+                    held, key = [], keys[a]
+                held.append((rid[a:b], label[a:b], elements[a:b]))
+        if held:
+            yield pairs(held)
+
+    return rows.select("key", "_rid", "label", "elements").mapInArrow(run, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE, bands: int = BANDS, per_band: int = ROWS, rid: str | None = None) -> DataFrame:
     """(_rid, doc_id, class_id, n_links, first) for each row of docs (doc_id, text and more).
 
@@ -186,30 +268,36 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, shingle: in
     rows = rows.withColumns({h: F.when(F.col("text").isNotNull(), F.col(h)) for h in ("h1", "h2")})
     texts = rows.select("_rid", "text")
     signed = saved(_signed(rows, bands, per_band, shingle))
-    nodes = signed.where("h1 is not null").groupBy("h1", "h2").agg(F.min("_rid").alias("node"))
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_rid")
+    nodes = signed.where("h1 is not null").groupBy("h1", "h2").agg(F.min("_rid").alias("node"), F.min(order).alias("head"))
     distinct = signed.join(nodes.select("node"), F.col("_rid") == F.col("node"), "left_semi").select("_rid", F.explode("bands").alias("key"))
-    buckets = distinct.groupBy("key").agg(F.min("_rid").alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    members = saved(distinct.join(buckets, "key"))
-    links = saved(verified(members.where("_rid <> leader").select(F.col("_rid").alias("a"), F.col("leader").alias("b")).distinct(), texts, similarity, shingle))
+    shared = distinct.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    members = saved(distinct.join(shared, "key"))
+    # From here on only the texts that share a bucket count.
+    texts = saved(texts.join(members.select("_rid").distinct(), "_rid", "left_semi"))
+    company = members.groupBy("_rid").agg(F.sum("n").alias("company"))
+    centres = members.join(company, "_rid").groupBy("key").agg(F.max(F.struct("company", -F.col("_rid"))).alias("top")).select("key", (-F.col("top.col2")).alias("leader"))
+    centred = saved(members.drop("n").join(centres, "key"))
+    links = saved(verified(centred.where("_rid <> leader").select(F.col("_rid").alias("a"), F.col("leader").alias("b")).distinct(), texts, similarity, shingle))
     labels = components(links)
     # Buckets whose nodes are in several classes still.
-    held = members.join(labels, members._rid == labels.node, "left").select("key", "_rid", "leader", F.coalesce("label", "_rid").alias("label"))
+    held = centred.join(labels, centred._rid == labels.node, "left").select("key", "_rid", F.coalesce("label", "_rid").alias("label"))
     mixed = held.groupBy("key").agg((F.min("label") < F.max("label")).alias("open")).where("open").select("key")
     unsettled = saved(held.join(mixed, "key", "left_semi"))
-    x, y = unsettled.alias("x"), unsettled.alias("y")
-    across = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.label") < F.col("y.label")))
-    across = across.where((F.col("x._rid") != F.col("x.leader")) & (F.col("y._rid") != F.col("x.leader")))  # the leader's are done
-    more = saved(verified(across.select(F.col("x._rid").alias("a"), F.col("y._rid").alias("b")).distinct(), texts, similarity, shingle))
+    elements = _elements(texts.join(unsettled.select("_rid").distinct(), "_rid", "left_semi"), shingle)
+    unsettled = unsettled.join(saved(elements), "_rid")
+    dealt = unsettled.repartition(partitions_for(docs.sparkSession), "key").sortWithinPartitions("key")
+    more = saved(verified(_across(dealt, similarity - SLACK).distinct(), texts, similarity, shingle))
     if more.limit(1).count():
         links = links.union(more)
         labels = components(links)
     degree = links.select(F.col("a").alias("node")).union(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
-    known = nodes.join(labels, "node", "left").join(degree, "node", "left").select("h1", "h2", F.coalesce("label", "node").alias("label"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    placed = signed.select("_rid", "doc_id", "h1", "h2").join(known, ["h1", "h2"], "left").withColumns({"label": F.coalesce("label", "_rid"), "n_links": F.coalesce("n_links", F.lit(0).cast("long"))}).drop("h1", "h2")
-    placed = saved(placed)
-    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_rid")
-    classes = placed.groupBy("label").agg(F.min(order).alias("head"))
-    return placed.join(classes, "label").select("_rid", "doc_id", F.col("head.doc_id").alias("class_id"), "n_links", (F.col("_rid") == F.col("head._rid")).alias("first"))
+    known = saved(nodes.join(labels, "node", "left").join(degree, "node", "left").select("h1", "h2", "head", F.coalesce("label", "node").alias("label"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")))
+    heads = known.groupBy("label").agg(F.min("head").alias("head"))
+    known = known.drop("head").join(heads, "label")
+    placed = signed.select("_rid", "doc_id", "h1", "h2").join(known, ["h1", "h2"], "left")
+    alone = F.col("head").isNull()
+    return placed.select("_rid", "doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("head.doc_id")).alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), (alone | (F.col("_rid") == F.col("head._rid"))).alias("first"))
 
 
 def op8_near_duplicates(spark, sf_dir: str) -> DataFrame:

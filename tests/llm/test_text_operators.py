@@ -233,7 +233,7 @@ def test_overlaps_count_multisets():
 
 def test_similar_pairs_across_labels():
     rng = np.random.default_rng(1)
-    sets = [np.unique(np.concatenate([np.arange(80), rng.integers(100, 1000, k)])).astype(np.uint32) for k in (5, 9, 40, 200, 12)]
+    sets = [np.unique(np.concatenate([np.arange(80), rng.integers(100, 1000, k)])).astype(np.uint16) for k in (5, 9, 40, 200, 12)]
     label = np.array([1, 1, 2, 3, 4])
     i, j = similar_pairs(label, [s.tobytes() for s in sets], 0.6)
     want = {(a, b) for a in range(5) for b in range(a + 1, 5) if label[a] != label[b] and len(np.intersect1d(sets[a], sets[b])) / len(np.union1d(sets[a], sets[b])) >= 0.6}
