@@ -9,7 +9,7 @@ from .lines import op9_line_dedup
 from .mixing import op5_mixing
 from .neardup import op8_near_duplicates
 from .sharding import op2_sharding
-from .suffixes import op3_suffix_dedup
+from .suffixes import OP3_SQL, op3_suffix_dedup
 from .tokens import op6_tokens
 from .urls import OP7_SQL, op7_urls
 
@@ -25,4 +25,4 @@ QUERIES = {
     "op9_line_dedup": op9_line_dedup,
     "op10_media": op10_media,
 }
-ORACLE_SQL = {"op1_decontamination": OP1_SQL, "op7_urls": OP7_SQL}
+ORACLE_SQL = {"op1_decontamination": OP1_SQL, "op3_suffix_dedup": OP3_SQL, "op7_urls": OP7_SQL}
