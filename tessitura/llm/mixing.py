@@ -21,6 +21,8 @@ from .common import free_name, numbered, saved, table, unit
 WEIGHTS = (5, 2, 1)
 EPOCHS = 3
 RANGES = 4096
+#: A source's figures are repeated so often for joins, so that a source with a third of all rows is in as many tasks.
+SALTS = 64
 
 
 def n_words(text: Column | str) -> Column:
@@ -50,6 +52,13 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int =
     return reached.select("source", "source_size", "weight", F.least(F.col("_cap").cast("double"), F.coalesce(F.col("_stop") * F.col("weight"), F.col("_cap").cast("double"))).alias("target"))
 
 
+def _by_source(rows: DataFrame, figures: DataFrame, salt: Column) -> DataFrame:
+    """rows joined with figures, which has one row for each source (under the name _s): dealt by source and salt."""
+    many = figures.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    same = F.col("source").eqNullSafe(F.col("_s")) & (F.col("_salted") == F.col("_salt"))
+    return rows.withColumn("_salted", F.pmod(salt, F.lit(SALTS)).cast("int")).join(many, same).drop("_salt", "_salted")
+
+
 def plan(keys: DataFrame, weights: tuple[int, ...], epochs: int) -> DataFrame:
     """(source, source_size, target, copies, cut, share) from keys (source, size, u); one row for each source.
 
@@ -69,7 +78,7 @@ def plan(keys: DataFrame, weights: tuple[int, ...], epochs: int) -> DataFrame:
         .select(F.col("g.source").alias("source"), F.col("h._range").alias("_range"), (F.col("g.want") - F.col("h._before")).alias("left"))
     )
     # Rows in the range that holds the cut: a RANGES-th of the source.
-    inside = ranged.alias("k").join(edge.alias("e"), F.col("k.source").eqNullSafe(F.col("e.source")) & (F.col("k._range") == F.col("e._range"))).select("k.source", "k.u", "k.size", "e.left")
+    inside = _by_source(ranged, edge.select(F.col("source").alias("_s"), F.col("_range").alias("_edge"), "left"), F.col("_range")).where("_range = _edge").select("source", "u", "size", "left")
     steps = inside.groupBy("source", "u", "left").agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("rows"))
     run = W.partitionBy("source").orderBy("u")
     steps = steps.withColumn("_sum", F.sum("words").over(run)).withColumn("_before", F.col("_sum") - F.col("words")).where((F.col("_sum") > F.col("left")) & (F.col("_before") <= F.col("left")))
@@ -90,7 +99,7 @@ def _copies(rows: DataFrame, by_source: DataFrame, seed: int) -> DataFrame:
     """rows (source, u, _rid and more) with their source's figures and `copies`, the copies that the mix takes."""
     figures = by_source.select(F.col("source").alias("_s"), "source_size", "target", F.col("copies").alias("_whole"), "cut", "share")
     more = (F.col("u") < F.col("cut")) | ((F.col("u") == F.col("cut")) & (unit(F.col("_rid"), seed=seed + 1) < F.col("share")))
-    return rows.join(figures, F.col("source").eqNullSafe(F.col("_s"))).withColumn("copies", F.col("_whole") + more.cast("int")).drop("_s", "_whole", "cut", "share")
+    return _by_source(rows, figures, F.xxhash64("_rid")).withColumn("copies", F.col("_whole") + more.cast("int")).drop("_s", "_whole", "cut", "share")
 
 
 def mix_plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCHS, seed: int = 29) -> DataFrame:
