@@ -9,11 +9,14 @@ all one edit from it, so links to the key's first line, or to that given line, k
 A line has as many variants as characters, so they are emitted only where they can meet another line's, by two exact
 filters on the same principle: of two lines within one edit, one half is the same in both (level 1, over all lines), and
 all but one eighth is the same (level 2, over the distinct lines that level 1 leaves). Variants then are those of the
-eighths that differ. Keys of a level are counted with a partial aggregation, so a line that a third of all documents
+eighths that differ. Lines under FILTERED characters have few variants and skip the filters: all of theirs are emitted,
+once for each distinct line, and so are the deletions of lines of FILTERED characters, whose partner may be shorter. Keys
+of a level are counted with a partial aggregation, so a line that a third of all documents
 hold, or a half that many lines share, costs no task more than its share.
 
 Links are verified by edit distance on the lines, classes are connected components, and each class keeps its earliest
-line by row number and line number. Lines under SHORTEST characters have exact copies only; blank lines always stay.
+line by row number and line number. Blank lines always stay. Lines under `shortest` characters have exact copies only:
+the registered query sets it to 0, so that every other line is linked; the function's own default is SHORTEST.
 """
 
 from __future__ import annotations
@@ -30,7 +33,8 @@ from .common import numbered, saved, table
 from .links import components
 from .textkit import POWERS, mix, prefix_hash, slices, span_hash, utf8
 
-SHORTEST, EIGHTHS = 20, 8
+#: Default policy of dedup_lines; lines from this length on go through the filters; parts of the second filter.
+SHORTEST, FILTERED, EIGHTHS = 20, 20, 8
 
 #: Lengths of the halves' keys: steps of about an eighth, so that few lengths lie at a step and need two.
 LADDER = np.array(sorted({int(8 * 1.125**i) for i in range(140)}), np.int64)
@@ -70,10 +74,10 @@ class Lines:
         return mix((self.prefix[a] - self.prefix[s]) * down[s] + (self.prefix[e] - self.prefix[b]) * down[s + b - a])
 
 
-def half_keys(lines: Lines) -> tuple[np.ndarray, np.ndarray]:
+def half_keys(lines: Lines, shortest: int = SHORTEST) -> tuple[np.ndarray, np.ndarray]:
     """(line, key): level 1, both halves of each line for each length that a partner's shorter line may have."""
     who, keys = [], []
-    long = np.flatnonzero(lines.length >= SHORTEST)
+    long = np.flatnonzero(lines.length >= max(shortest, FILTERED))
     size = [LADDER[np.searchsorted(LADDER, (lines.length[long] - less) // 2, "right") - 1] for less in (0, 1)]
     for k, (h, some) in enumerate(((size[0], np.arange(len(long))), (size[1], np.flatnonzero(size[0] != size[1])))):
         line, h = long[some], h[some] if k else h
@@ -123,7 +127,7 @@ def within_one(a: str, b: str) -> bool:
     return a[i + (len(a) == len(b)) :] == b[i + 1 :]
 
 
-def _all_lines(rows: DataFrame) -> DataFrame:
+def _all_lines(rows: DataFrame, shortest: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column, rid = batch.column("text"), np.asarray(batch.column("_rid"))
@@ -131,14 +135,15 @@ def _all_lines(rows: DataFrame) -> DataFrame:
             column, rid = column.take(pa.array(there)), rid[there]
             for i, _, part, at in slices(*utf8(column)):
                 lines = Lines(part, at)
-                who, key = half_keys(lines)
+                who, key = half_keys(lines, shortest)
                 order = np.argsort(who, kind="stable")
                 ends = np.concatenate([[0], np.cumsum(np.bincount(who, minlength=len(lines.row)))]).astype(np.int32)
                 keys = pa.ListArray.from_arrays(pa.array(ends), pa.array(key[order].view(np.int64)))
                 use = pa.array(~lines.blank)
-                yield pa.RecordBatch.from_arrays([pa.array(rid[i + lines.row]), pa.array(lines.number), pa.array(lines.hash.view(np.int64)), keys], ["_rid", "line", "lh", "keys"]).filter(use)
+                direct = pa.array((lines.length >= shortest) & (lines.length <= FILTERED) & (shortest < FILTERED))
+                yield pa.RecordBatch.from_arrays([pa.array(rid[i + lines.row]), pa.array(lines.number), pa.array(lines.hash.view(np.int64)), direct, keys], ["_rid", "line", "lh", "direct", "keys"]).filter(use)
 
-    return rows.mapInArrow(run, "_rid long, line long, lh long, keys array<long>")
+    return rows.mapInArrow(run, "_rid long, line long, lh long, direct boolean, keys array<long>")
 
 
 def _shared(keyed: DataFrame) -> DataFrame:
@@ -185,15 +190,26 @@ def _variants(lines: Lines, lh: np.ndarray, batch: pa.RecordBatch) -> pa.RecordB
     return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(lh[who]), pa.array(whole)], ["key", "lh", "whole"])
 
 
-def near_lines(lines: DataFrame, texts: DataFrame) -> DataFrame:
+def _unfiltered(text: DataFrame) -> DataFrame:
+    """(lh, short, eighth): every part of lines of text (lh, text) under FILTERED characters, and of those of FILTERED as the longer of two."""
+    n = F.length("text").cast("long")
+    shorts = text.where(n <= FILTERED).select("lh", F.explode(F.when(n < FILTERED, F.array(n, n - 1)).otherwise(F.array(n - 1))).alias("short"))
+    return shorts.select("lh", "short", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(EIGHTHS - 1).cast("long"))).alias("eighth"))
+
+
+def near_lines(lines: DataFrame, texts: DataFrame, shortest: int) -> DataFrame:
     """(a, b): links of different lines' hashes, one edit apart; lines as of :func:`_all_lines`, texts (_rid, text)."""
     halves = lines.select("lh", F.explode("keys").alias("key"))
-    near = halves.join(_shared(halves), "key", "left_semi").select("lh").distinct()
+    near = halves.join(_shared(halves), "key", "left_semi").select("lh")
+    near = near.union(lines.where("direct").select("lh")).distinct()
     at = lines.join(near, "lh", "left_semi").groupBy("lh").agg(F.min(F.struct("_rid", "line")).alias("at"))
     wanted = at.groupBy(F.col("at._rid").alias("_rid")).agg(F.collect_list(F.struct(F.col("at.line").alias("line"), "lh")).alias("wanted"))
     text = saved(_picked(texts.join(wanted, "_rid")))
-    parts = saved(_each(text, _eighths, "key long, lh long, short long, eighth long"))
-    parts = parts.join(_shared(parts), "key", "left_semi").groupBy("lh").agg(F.collect_set(F.struct("short", "eighth")).alias("parts"))
+    parts = saved(_each(text.where(F.length("text") >= FILTERED), _eighths, "key long, lh long, short long, eighth long"))
+    parts = parts.join(_shared(parts), "key", "left_semi").select("lh", "short", "eighth")
+    if shortest < FILTERED:
+        parts = parts.union(_unfiltered(text))
+    parts = parts.groupBy("lh").agg(F.collect_set(F.struct("short", "eighth")).alias("parts"))
     keys = saved(_each(text.join(parts, "lh"), _variants, "key long, lh long, whole boolean").distinct())
     # Under a key with a whole line, all are one edit from it; else the key has a place, and all are one edit apart.
     heads = keys.groupBy("key").agg(F.coalesce(F.min(F.when(F.col("whole"), F.col("lh"))), F.min("lh")).alias("head"), (F.min("lh") < F.max("lh")).alias("several")).where("several").drop("several")
@@ -208,19 +224,20 @@ def near_lines(lines: DataFrame, texts: DataFrame) -> DataFrame:
     return both.mapInArrow(verify, "a long, b long")
 
 
-def dedup_lines(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def dedup_lines(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), shortest: int = SHORTEST) -> DataFrame:
     """keep, n_lines, n_removed, n_links, kept (the text without the removed lines) for each row of docs.
 
     Lines are what newlines separate; a null text has none and stays null, an empty one has one blank line. Of lines
     that are equal or linked by edits, also through others, the earliest stays. n_links: links to different lines that
-    the row's lines have, each kept as a link to the head of a key. Removing a line removes its newline.
+    the row's lines have, each kept as a link to the head of a key. Removing a line removes its newline. Lines under
+    `shortest` characters are linked with equal ones only; at 0 or 1 every non-blank line is compared.
     """
     ship(docs.sparkSession)
     names = list(keep)
     rows = numbered(docs.select(*names, F.col(text).alias("text")))
     texts = rows.select("_rid", *names, "text")
-    lines = saved(_all_lines(texts.select("_rid", "text")))
-    links = saved(near_lines(lines, texts.where("text is not null")))
+    lines = saved(_all_lines(texts.select("_rid", "text"), shortest))
+    links = saved(near_lines(lines, texts.where("text is not null"), shortest))
     labels = components(links)
     degree = links.select(F.col("a").alias("lh")).union(links.select(F.col("b").alias("lh"))).groupBy("lh").agg(F.count(F.lit(1)).alias("links"))
     first = lines.groupBy("lh").agg(F.min(F.struct("_rid", "line")).alias("at"), F.count(F.lit(1)).alias("n"))
@@ -248,5 +265,5 @@ def dedup_lines(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("d
 
 
 def op9_line_dedup(spark, sf_dir: str) -> DataFrame:
-    found = dedup_lines(table(spark, sf_dir, "documents"))
+    found = dedup_lines(table(spark, sf_dir, "documents"), shortest=0)
     return found.select("doc_id", "n_lines", "n_removed", "n_links", F.sha2("kept", 256).alias("kept_sha256"))

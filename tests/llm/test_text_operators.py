@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tessitura.llm import textkit as T
 from tessitura.llm.decontaminate import decontaminate
-from tessitura.llm.lines import dedup_lines, within_one
+from tessitura.llm.lines import dedup_lines, op9_line_dedup, within_one
 from tessitura.llm.neardup import near_duplicates, overlaps, signatures, similar_pairs
 from tessitura.llm.suffixes import BlindTrie, cut_repeats, repeats
 
@@ -286,6 +286,24 @@ def test_dedup_lines_equals_brute_force(spark):
     assert sorted(got, key=key) == brute_lines(rows)
 
 
+def test_dedup_lines_compares_short_lines(spark):
+    rng = random.Random(13)
+    lines = ["Read more", "Read more.", "read more", "Home", "Hom", "é", "x", "xyz", "zyx", "ab", "ba", "q" * 18, "q" * 19 + "r", "q" * 19, "q" * 21, "A line of 19 chars.", "A line of 19 chars..", "A line of 20 charsX..", " ", ""]
+    lines += ["".join(rng.choice("abc ") for _ in range(rng.randint(3, 24))) for _ in range(150)]
+    rows = [(i, "\n".join(rng.sample(lines, 4)), None, None, 0) for i in range(70)] + [(70, None, None, None, 0)]
+    docs = spark.createDataFrame(rows, SCHEMA).coalesce(1)
+    for shortest in (0, 4):
+        got = [tuple(r) for r in dedup_lines(docs, shortest=shortest).select("doc_id", "n_lines", "n_removed", "kept").collect()]
+        assert sorted(got, key=key) == brute_lines(rows, shortest)
+    assert brute_lines(rows, 0) != brute_lines(rows, 20)
+
+
+def test_op9_links_lines_of_any_length(spark, tmp_path):
+    rows = [(1, "Read more\nlonger text of no other document here", None, None, 0), (2, "Read more.\nA line of 19 chars.", None, None, 0), (3, "A line of 19 chars..", None, None, 0)]
+    spark.createDataFrame(rows, SCHEMA).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r.doc_id: r.n_removed for r in op9_line_dedup(spark, str(tmp_path)).collect()} == {1: 0, 2: 1, 3: 1}
+
+
 def test_dedup_lines_edge_cases(spark):
     assert dedup_lines(frame(spark, [])).count() == 0
     out = {r.doc_id: r for r in dedup_lines(spark.createDataFrame([(1, "", None, None, 0), (2, None, None, None, 0), (3, "a\na\n\n\nb", None, None, 0)], SCHEMA).coalesce(1)).collect()}
