@@ -2,11 +2,12 @@
 
 Fitting takes a bounded sample of labelled documents: for each language the ones first in a seeded hash order of their
 ids, SAMPLE_DOCS of them at most, from which DICTIONARIES raw-content zstandard dictionaries of DICTIONARY_BYTES each
-are cut. Texts are lower-cased and runs of other characters than letters become a space. A text is encoded in blocks of
+are cut, every document giving a short excerpt of about its share. Texts are lower-cased and runs of other characters than letters become a space. A text is encoded in blocks of
 BLOCK_BYTES, each on its own, so that a long text can't live off its own repetitions and every block asks the
 dictionary again; a language's cost is the sum over the blocks. The smallest cost wins and the score is the margin to the
-next language. Texts up to SHORT bytes, and ties, are put to all the dictionaries of each language, since one counts
-whole bytes only. Whole texts are encoded, never prefixes.
+next language. Every text, of whatever length, is put to all the dictionaries of each language, and the cost is their
+mean, since one counts whole bytes only. Texts under LEAST_BYTES, which zstandard would store as they are, are repeated
+to that length. Whole texts are encoded, never prefixes.
 """
 
 from __future__ import annotations
@@ -25,10 +26,12 @@ from ..session import ship
 from .common import free_name, table
 
 #: Bounds of the fitted sample: documents and languages, and bytes and number of each language's dictionaries.
-SAMPLE_DOCS, MOST_LANGUAGES, DICTIONARY_BYTES, DICTIONARIES = 600, 256, 32 << 10, 8
-BLOCK_BYTES, SHORT = 2048, 512
-#: Short matches count in short blocks.
-ENCODER = {"min_match": 3, "strategy": zstandard.STRATEGY_GREEDY, "window_log": 17}
+SAMPLE_DOCS, MOST_LANGUAGES, DICTIONARY_BYTES, DICTIONARIES = 600, 256, 64 << 10, 4
+#: Bytes of a document in the dictionaries: its share of them, and no more than the second where documents are few.
+LEAST_EXCERPT, MOST_EXCERPT = DICTIONARY_BYTES * DICTIONARIES // SAMPLE_DOCS, DICTIONARY_BYTES // 16
+BLOCK_BYTES, LEAST_BYTES = 2048, 48
+#: Short matches count in short blocks; the tables hold every place of a dictionary.
+ENCODER = {"min_match": 3, "strategy": zstandard.STRATEGY_GREEDY, "window_log": 17, "hash_log": 16, "chain_log": 16}
 #: Texts whose margin is not over this are rejected: no language encodes them in fewer bytes than all the others.
 LEAST_MARGIN = 0.0
 _NOT_LETTERS = regex.compile(r"[^\p{L}]+")
@@ -56,15 +59,16 @@ def fit(docs: DataFrame, seed: int = 41) -> dict[str, list[bytes]]:
     ids = sorted({r.doc_id for r in chosen.select("doc_id").limit(SAMPLE_DOCS * MOST_LANGUAGES).collect()})
     if not ids:
         return {}
-    wanted = DICTIONARY_BYTES * DICTIONARIES
-    # Each document gives at most an eighth of its language's dictionaries, so no more of it is fetched.
-    part = F.substring("text", 1, wanted // 8)
+    # No document gives more than MOST_EXCERPT bytes; what isn't letters shrinks, so some more is fetched.
+    part = F.substring("text", 1, 2 * MOST_EXCERPT)
     rows = learnable.where(F.col("doc_id").isin(ids) & F.col("text").isNotNull()).select("lang", "doc_id", "h", part.alias("text")).collect()
     bodies: dict[str, list[bytes]] = {}
     for r in sorted(rows, key=lambda r: (r.lang, r.h, r.doc_id, r.text)):
         bodies.setdefault(r.lang, []).append(normalised(r.text))
     out = {}
     for lang, parts in sorted(bodies.items()):
+        share = min(MOST_EXCERPT, max(LEAST_EXCERPT, DICTIONARY_BYTES * DICTIONARIES // len(parts)))
+        parts = [p[:share] for p in parts]
         # Dealt to the dictionaries in turn, so that each has a sample of its own.
         made = [b" ".join(parts[i::DICTIONARIES])[:DICTIONARY_BYTES] for i in range(DICTIONARIES)]
         out[lang] = [m for m in made if len(m) >= 8] or [b" ".join(parts).ljust(8)]
@@ -88,10 +92,11 @@ class Classifier:
                 own.append(zstandard.ZstdCompressor(dict_data=made, compression_params=settings))
             self.coders.append(own)
 
-    def costs(self, data: bytes, every: bool) -> list[float]:
-        """Bytes by language, with the first dictionary of each or as the mean over every one."""
+    def costs(self, data: bytes) -> list[float]:
+        """Bytes by language, as the mean over its dictionaries."""
+        data = data * -(-LEAST_BYTES // max(1, len(data)))
         blocks = [data[i : i + BLOCK_BYTES] for i in range(0, len(data), BLOCK_BYTES)] or [b""]
-        return [sum(len(c.compress(b)) for b in blocks for c in (own if every else own[:1])) / (len(own) if every else 1) for own in self.coders]
+        return [sum(len(c.compress(b)) for b in blocks for c in own) / len(own) for own in self.coders]
 
     def classify(self, text: str | None) -> tuple[str, float, bool]:
         """(language, score, rejected?). No text, no letter in it or nothing learned: undetermined, 0, rejected."""
@@ -100,9 +105,7 @@ class Classifier:
         if len(self.langs) == 1:
             return self.langs[0], 1.0, False
         data = normalised(text)
-        costs = self.costs(data, len(data) <= SHORT)
-        if len(data) > SHORT and sorted(costs)[0] == sorted(costs)[1]:
-            costs = self.costs(data, True)
+        costs = self.costs(data)
         order = sorted(range(len(costs)), key=lambda i: (costs[i], self.langs[i]))
         best, second = costs[order[0]], costs[order[1]]
         score = max(0.0, min(1.0, (second - best) / second))

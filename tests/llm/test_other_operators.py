@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessitura.llm import jpeg
-from tessitura.llm.language import fit, held_out, identify
+from tessitura.llm.language import Classifier, fit, held_out, identify
 from tessitura.llm.mixing import mix, mix_plan, targets
 from tessitura.llm.sharding import assign, communication_matrix, shard_rows
 from tessitura.llm.tokens import Counter, count_tokens, stable_starts
@@ -128,6 +128,19 @@ def test_language_of_held_out_documents(spark):
     assert np.mean([r.lang_pred == r.lang for r in held]) >= 0.97 and all(0 <= r.score <= 1 for r in out)
 
 
+def test_language_dictionaries_are_excerpts_of_many_documents_and_judge_every_length(spark):
+    rows = [(i, f"word{'abcdefghij'[i % 10]}{'abcdefghij'[i // 10 % 10]}{'abcdefghij'[i // 100]} " * (20_000 if i % 3 == 0 else 400), "aa", "s", 0) for i in range(400)]
+    made = fit(frame(spark, rows))["aa"]
+    # No document has more than a small share of any dictionary, however long it is.
+    assert all(max(collections.Counter(d.split()).values()) <= 0.1 * len(d.split()) and len(set(d.split())) > 30 for d in made)
+    classifier, seen = Classifier({"aa": [b"alpha beta gamma " * 9, b"one two three four " * 9], "bb": [b"alpha beta gamma " * 9, b"x " * 99]}), []
+    for repeat in (1, 3, 200):
+        text = " ".join(f"one two {x} three four" for x in ["red", "blue"] * repeat)
+        seen.append(classifier.classify(text)[0])
+    assert seen == ["aa", "aa", "aa"]  # told by the second dictionary only
+    assert all(c > 0 for c in classifier.costs(b"one"))
+
+
 def test_language_edge_cases(spark):
     learned = fit(frame(spark, labelled()))
     rows = [(1, None, "aa", None, 0), (2, "", "aa", None, 0), (3, "123 !?", "aa", None, 0), (4, "the tion " * 30_000, None, None, 0)]
