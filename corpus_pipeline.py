@@ -19,7 +19,7 @@ from tessitura.llm.sharding import shard_rows
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that can be told; those without letters and those whose margin is nil go."""
+    """Documents in a language that can be told; those without letters and those whose margin is narrow go."""
     rejected = free_name(docs, "rejected")
     return identify(docs, fit(docs)).where(~F.col(rejected)).select(*docs.columns)
 

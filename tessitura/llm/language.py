@@ -8,12 +8,18 @@ dictionary again; a language's cost is the sum over the blocks. The smallest cos
 next language. Every text, of whatever length, is put to all the dictionaries of each language, and the cost is their
 mean, since one counts whole bytes only. Texts under LEAST_BYTES, which zstandard would store as they are, are repeated
 to that length. Whole texts are encoded, never prefixes.
+
+Narrow margins are rejected. How narrow depends on the text's length and is calibrated on labelled documents that may be
+learned from but are in no dictionary: of beginnings of them of each length of LENGTHS that are told rightly, half of the
+QUANTILE of the margins (a quantile of few is too high for others) and WIDE at most. With one learned language, its rival is encoding without a dictionary.
 """
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 import zstandard
@@ -32,8 +38,12 @@ LEAST_EXCERPT, MOST_EXCERPT = DICTIONARY_BYTES * DICTIONARIES // SAMPLE_DOCS, DI
 BLOCK_BYTES, LEAST_BYTES = 2048, 48
 #: Short matches count in short blocks; the tables hold every place of a dictionary.
 ENCODER = {"min_match": 3, "strategy": zstandard.STRATEGY_GREEDY, "window_log": 17, "hash_log": 16, "chain_log": 16}
-#: Texts whose margin is not over this are rejected: no language encodes them in fewer bytes than all the others.
-LEAST_MARGIN = 0.0
+#: Of every CALIBRATE_EVERY sampled documents one calibrates, CALIBRATION_DOCS of all languages at most (but one of each).
+CALIBRATE_EVERY, CALIBRATION_DOCS = 5, 1024
+#: Lengths in bytes at which margins are calibrated, the share of right predictions that sets them, and a margin that is never narrow.
+LENGTHS, QUANTILE, WIDE = (1, 8, 16, 32, 64, 128, 256, 512, 1024, 2048, 4096), 0.01, 0.05
+#: Least margins by length if there is nothing to calibrate them with.
+LEAST_MARGINS = (0.0, 0.0, 0.0, *[0.02] * 8)
 _NOT_LETTERS = regex.compile(r"[^\p{L}]+")
 UNDETERMINED = "und"
 
@@ -43,8 +53,15 @@ def held_out(doc_id: Column | str) -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 5 == 0, F.lit(True))
 
 
-def fit(docs: DataFrame, seed: int = 41) -> dict[str, list[bytes]]:
-    """Dictionaries by language from (doc_id, text, lang); only SAMPLE_DOCS documents a language come to the driver.
+class Fitted(dict):
+    """Dictionaries by language, and the margins by length of text (LENGTHS) up to which predictions are rejected."""
+
+    margins: tuple[float, ...] = LEAST_MARGINS
+
+
+def fit(docs: DataFrame, seed: int = 41) -> Fitted:
+    """Dictionaries by language from (doc_id, text, lang); only SAMPLE_DOCS documents a language come to the driver, and
+    a quarter as many for the margins.
 
     Of more than MOST_LANGUAGES languages the most frequent are learned.
     """
@@ -52,29 +69,49 @@ def fit(docs: DataFrame, seed: int = 41) -> dict[str, list[bytes]]:
     # Of a language with many documents, those with the least hashes suffice: about twice as many as are wanted.
     counts = {r.lang: r.n for r in learnable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()}
     if not counts:
-        return {}
-    share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, 2.0 * SAMPLE_DOCS / n))])
+        return Fitted()
+    wanted = SAMPLE_DOCS * CALIBRATE_EVERY // (CALIBRATE_EVERY - 1)
+    share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, 2.0 * wanted / n))])
     few = learnable.where(F.shiftrightunsigned("h", 11) / F.lit(float(1 << 53)) < F.try_element_at(share, F.col("lang"))).select("lang", "doc_id", "h")
-    chosen = few.withColumn("n", F.row_number().over(W.partitionBy("lang").orderBy("h", "doc_id"))).where(F.col("n") <= SAMPLE_DOCS)
-    ids = sorted({r.doc_id for r in chosen.select("doc_id").limit(SAMPLE_DOCS * MOST_LANGUAGES).collect()})
+    chosen = few.withColumn("n", F.row_number().over(W.partitionBy("lang").orderBy("h", "doc_id"))).where(F.col("n") <= wanted)
+    picked = chosen.select("lang", "doc_id", (F.col("n") % CALIBRATE_EVERY == 0).alias("aside")).limit(wanted * MOST_LANGUAGES).collect()
+    ids = sorted({r.doc_id for r in picked})
     if not ids:
-        return {}
+        return Fitted()
+    learned = {(r.lang, r.doc_id) for r in picked if not r.aside}
+    aside = {(r.lang, r.doc_id) for r in picked if r.aside} - learned
     # No document gives more than MOST_EXCERPT bytes; what isn't letters shrinks, so some more is fetched.
     part = F.substring("text", 1, 2 * MOST_EXCERPT)
     rows = learnable.where(F.col("doc_id").isin(ids) & F.col("text").isNotNull()).select("lang", "doc_id", "h", part.alias("text")).collect()
     bodies: dict[str, list[bytes]] = {}
+    tests: dict[str, list[str]] = {}
     for r in sorted(rows, key=lambda r: (r.lang, r.h, r.doc_id, r.text)):
-        bodies.setdefault(r.lang, []).append(normalised(r.text))
-    out = {}
+        if (r.lang, r.doc_id) in aside:
+            tests.setdefault(r.lang, []).append(r.text)
+        else:
+            bodies.setdefault(r.lang, []).append(normalised(r.text))
+    out = Fitted()
     for lang, parts in sorted(bodies.items()):
         share = min(MOST_EXCERPT, max(LEAST_EXCERPT, DICTIONARY_BYTES * DICTIONARIES // len(parts)))
         parts = [p[:share] for p in parts]
         # Dealt to the dictionaries in turn, so that each has a sample of its own.
         made = [b" ".join(parts[i::DICTIONARIES])[:DICTIONARY_BYTES] for i in range(DICTIONARIES)]
         out[lang] = [m for m in made if len(m) >= 8] or [b" ".join(parts).ljust(8)]
+    each = max(1, CALIBRATION_DOCS // max(1, len(out)))
+    out.margins = calibrated(out, [(lang, t) for lang, texts in sorted(tests.items()) for t in texts[:each]])
     return out
 
 
+def calibrated(dictionaries: dict[str, list[bytes]], labelled: list[tuple[str, str]]) -> tuple[float, ...]:
+    """Least margins by LENGTHS: half the QUANTILE of those of right predictions, WIDE at most; a length that no document has, as the one before."""
+    classifier, data, out = Classifier(dictionaries), [(lang, normalised(t)) for lang, t in labelled], []
+    for k, n in enumerate(LENGTHS):
+        told = [(lang, classifier.told(d[:n])) for lang, d in data if len(d) >= n and any(map(str.isalpha, d[:n].decode("utf-8", "ignore")))]
+        right = [score for lang, (best, score) in told if best == lang]
+        out.append(min(WIDE, float(np.quantile(right, QUANTILE, method="lower")) / 2) if right else out[-1] if data and out else LEAST_MARGINS[k])
+    return tuple(out)
+
+
 def normalised(text: str) -> bytes:
     return _NOT_LETTERS.sub(" ", text.lower()).encode("utf-8", "surrogatepass")
 
@@ -82,41 +119,49 @@ def normalised(text: str) -> bytes:
 class Classifier:
     def __init__(self, dictionaries: dict[str, list[bytes]]) -> None:
         self.langs = sorted(dictionaries)
+        self.margins = getattr(dictionaries, "margins", LEAST_MARGINS)
+        settings = zstandard.ZstdCompressionParameters.from_level(1, write_content_size=False, write_checksum=False, write_dict_id=False, **ENCODER)
+        self.plain = [zstandard.ZstdCompressor(compression_params=settings)]
         self.coders = []
         for lang in self.langs:
             own = []
             for d in dictionaries[lang]:
                 made = zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-                settings = zstandard.ZstdCompressionParameters.from_level(1, write_content_size=False, write_checksum=False, write_dict_id=False, **ENCODER)
                 made.precompute_compress(compression_params=settings)
                 own.append(zstandard.ZstdCompressor(dict_data=made, compression_params=settings))
             self.coders.append(own)
 
-    def costs(self, data: bytes) -> list[float]:
-        """Bytes by language, as the mean over its dictionaries."""
+    def costs(self, data: bytes, plain: bool = False) -> list[float]:
+        """Bytes by language, as the mean over its dictionaries, and then without one if asked for."""
         data = data * -(-LEAST_BYTES // max(1, len(data)))
         blocks = [data[i : i + BLOCK_BYTES] for i in range(0, len(data), BLOCK_BYTES)] or [b""]
-        return [sum(len(c.compress(b)) for b in blocks for c in own) / len(own) for own in self.coders]
+        return [sum(len(c.compress(b)) for b in blocks for c in own) / len(own) for own in (*self.coders, *[self.plain] * plain)]
+
+    def told(self, data: bytes) -> tuple[str, float]:
+        """(language, margin to the next one's cost), of a single language to the cost without a dictionary."""
+        costs = self.costs(data, len(self.langs) == 1)
+        order = sorted(range(len(self.langs)), key=lambda i: (costs[i], self.langs[i]))
+        best, second = costs[order[0]], costs[order[1] if len(order) > 1 else 1]
+        return self.langs[order[0]], max(0.0, min(1.0, (second - best) / second))
+
+    def least(self, size: int) -> float:
+        """The margin up to which texts of that many bytes are rejected: that of the next length below, LENGTHS[0] at least."""
+        return self.margins[max(0, bisect.bisect_right(LENGTHS, size) - 1)]
 
     def classify(self, text: str | None) -> tuple[str, float, bool]:
         """(language, score, rejected?). No text, no letter in it or nothing learned: undetermined, 0, rejected."""
         if not text or not self.langs or not any(map(str.isalpha, text)):
             return UNDETERMINED, 0.0, True
-        if len(self.langs) == 1:
-            return self.langs[0], 1.0, False
         data = normalised(text)
-        costs = self.costs(data)
-        order = sorted(range(len(costs)), key=lambda i: (costs[i], self.langs[i]))
-        best, second = costs[order[0]], costs[order[1]]
-        score = max(0.0, min(1.0, (second - best) / second))
-        return self.langs[order[0]], score, score <= LEAST_MARGIN
+        lang, score = self.told(data)
+        return lang, score, score <= self.least(len(data))
 
 
 def identify(docs: DataFrame, dictionaries: dict[str, list[bytes]], text: str = "text") -> DataFrame:
     """docs with lang_pred, score and rejected (an underscore before a name that docs has).
 
     Predictions see the text only. Null texts and texts without a letter are `und`, score 0, rejected; ties go to the
-    first language by code point and are rejected.
+    first language by code point. Ties and margins not over the calibrated one are rejected.
     """
     ship(docs.sparkSession)
     names = [free_name(docs, n) for n in ("lang_pred", "score", "rejected")]

@@ -141,6 +141,22 @@ def test_language_dictionaries_are_excerpts_of_many_documents_and_judge_every_le
     assert all(c > 0 for c in classifier.costs(b"one"))
 
 
+def test_language_rejects_junk_and_languages_left_out(spark):
+    rng = random.Random(21)
+    docs = frame(spark, labelled(900)).cache()
+    junk = [(10_000 + i, " ".join("".join(rng.choice("bcdfghjklmpqvwxyz") for _ in range(rng.randint(2, 9))) for _ in range(rng.randint(15, 200))), None, "s", 0) for i in range(120)]
+    learned = fit(docs)
+    assert len(learned.margins) == 11 and max(learned.margins) > 0
+    rejected = {r.doc_id for r in identify(docs.where(held_out("doc_id")).union(frame(spark, junk)), learned).collect() if r.rejected}
+    clean = {r.doc_id for r in docs.where(held_out("doc_id")).collect()}
+    assert len(rejected & clean) <= 0.04 * len(clean) and len(rejected - clean) >= 0.9 * len(junk)
+    two = identify(docs.where(held_out("doc_id")), fit(docs.where("lang <> 'cc'"))).collect()
+    assert np.mean([r.rejected for r in two if r.lang == "cc"]) >= 0.8 and np.mean([r.rejected for r in two if r.lang != "cc"]) <= 0.05
+    # One language: rejected where its dictionaries hardly help.
+    one = identify(docs.where(held_out("doc_id")).where("lang = 'aa'").union(frame(spark, junk)), fit(docs.where("lang = 'aa'"))).collect()
+    assert np.mean([r.rejected for r in one if r.lang is None]) >= 0.9 and np.mean([r.rejected for r in one if r.lang]) <= 0.05
+
+
 def test_language_edge_cases(spark):
     learned = fit(frame(spark, labelled()))
     rows = [(1, None, "aa", None, 0), (2, "", "aa", None, 0), (3, "123 !?", "aa", None, 0), (4, "the tion " * 30_000, None, None, 0)]
