@@ -103,8 +103,8 @@ def eighth_keys(lines: Lines) -> tuple[np.ndarray, ...]:
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def variants(lines: Lines, line: np.ndarray, short: np.ndarray, eighth: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(line, key, whole): the deletions of each (line, shorter length, eighth) in that eighth, and the line itself."""
+def variants(lines: Lines, line: np.ndarray, short: np.ndarray, eighth: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(line, key, whole, placed): the deletions of each (line, shorter length, eighth) in that eighth, with their places or without, and the line itself."""
     n = lines.length[line]
     a, b = eighth * short // EIGHTHS, n - (short - (eighth + 1) * short // EIGHTHS)
     many = b - a
@@ -114,7 +114,7 @@ def variants(lines: Lines, line: np.ndarray, short: np.ndarray, eighth: np.ndarr
     equal = n[own] == short[own]  # partners of the same length are substitutions: the place counts
     key = np.where(equal, mix(deleted + (at.astype(np.uint64) + np.uint64(1)) * np.uint64(0xC2B2AE3D27D4EB4F)), deleted)
     whole = np.unique(line[n == short])
-    return np.concatenate([line[own], whole]), np.concatenate([key, lines.hash[whole]]), np.concatenate([np.zeros(len(own), bool), np.ones(len(whole), bool)])
+    return np.concatenate([line[own], whole]), np.concatenate([key, lines.hash[whole]]), np.repeat([False, True], [len(own), len(whole)]), np.concatenate([equal, np.zeros(len(whole), bool)])
 
 
 def within_one(a: str, b: str) -> bool:
@@ -186,8 +186,8 @@ def _variants(lines: Lines, lh: np.ndarray, batch: pa.RecordBatch) -> pa.RecordB
     pairs = batch.column("parts").to_pylist()
     line = np.repeat(np.arange(len(pairs)), [len(p) for p in pairs])
     short, eighth = (np.array([x[k] for p in pairs for x in p], np.int64) for k in ("short", "eighth"))
-    who, key, whole = variants(lines, line, short, eighth)
-    return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(lh[who]), pa.array(whole)], ["key", "lh", "whole"])
+    who, key, whole, placed = variants(lines, line, short, eighth)
+    return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(lh[who]), pa.array(whole), pa.array(placed)], ["key", "lh", "whole", "placed"])
 
 
 def _unfiltered(text: DataFrame) -> DataFrame:
@@ -197,8 +197,10 @@ def _unfiltered(text: DataFrame) -> DataFrame:
     return shorts.select("lh", "short", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(EIGHTHS - 1).cast("long"))).alias("eighth"))
 
 
-def near_lines(lines: DataFrame, texts: DataFrame, shortest: int) -> DataFrame:
-    """(a, b): links of different lines' hashes, one edit apart; lines as of :func:`_all_lines`, texts (_rid, text)."""
+def near_lines(lines: DataFrame, texts: DataFrame, shortest: int) -> tuple[DataFrame, DataFrame]:
+    """(a, b), links of different lines' hashes to heads that keep every class whole, and (lh, links), the number of all
+    different lines one edit apart; lines as of :func:`_all_lines`, texts (_rid, text).
+    """
     halves = lines.select("lh", F.explode("keys").alias("key"))
     near = halves.join(_shared(halves), "key", "left_semi").select("lh")
     near = near.union(lines.where("direct").select("lh")).distinct()
@@ -210,10 +212,13 @@ def near_lines(lines: DataFrame, texts: DataFrame, shortest: int) -> DataFrame:
     if shortest < FILTERED:
         parts = parts.union(_unfiltered(text))
     parts = parts.groupBy("lh").agg(F.collect_set(F.struct("short", "eighth")).alias("parts"))
-    keys = saved(_each(text.join(parts, "lh"), _variants, "key long, lh long, whole boolean").distinct())
-    # Under a key with a whole line, all are one edit from it; else the key has a place, and all are one edit apart.
-    heads = keys.groupBy("key").agg(F.coalesce(F.min(F.when(F.col("whole"), F.col("lh"))), F.min("lh")).alias("head"), (F.min("lh") < F.max("lh")).alias("several")).where("several").drop("several")
-    pairs = keys.join(heads, "key").where("lh <> head").select(F.col("lh").alias("a"), F.col("head").alias("b")).distinct()
+    keys = saved(_each(text.join(parts, "lh"), _variants, "key long, lh long, whole boolean, placed boolean").distinct())
+    # Under a key with a whole line, all others are one edit from it; under one with a place, all are one edit apart.
+    heads = keys.groupBy("key").agg(F.coalesce(F.min(F.when(F.col("whole"), F.col("lh"))), F.min("lh")).alias("head"), F.count(F.lit(1)).alias("n"), F.max("whole").alias("given"))
+    under = keys.join(heads.where("n > 1"), "key").where("placed or given")
+    # Two lines share one such key only, so each key's members can be counted without listing pairs.
+    degrees = under.groupBy("lh").agg(F.sum(F.when(F.col("placed") | F.col("whole"), F.col("n") - 1).otherwise(1)).alias("links"))
+    pairs = under.where("lh <> head").select(F.col("lh").alias("a"), F.col("head").alias("b")).distinct()
     both = pairs.join(text.select(F.col("lh").alias("a"), F.col("text").alias("ta")), "a").join(text.select(F.col("lh").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,15 +226,15 @@ def near_lines(lines: DataFrame, texts: DataFrame, shortest: int) -> DataFrame:
             ok = [within_one(x, y) for x, y in zip(batch.column("ta").to_pylist(), batch.column("tb").to_pylist(), strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return both.mapInArrow(verify, "a long, b long")
+    return both.mapInArrow(verify, "a long, b long"), degrees
 
 
 def dedup_lines(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), shortest: int = SHORTEST) -> DataFrame:
     """keep, n_lines, n_removed, n_links, kept (the text without the removed lines) for each row of docs.
 
     Lines are what newlines separate; a null text has none and stays null, an empty one has one blank line. Of lines
-    that are equal or linked by edits, also through others, the earliest stays. n_links: links to different lines that
-    the row's lines have, each kept as a link to the head of a key. Removing a line removes its newline. Lines under
+    that are equal or linked by edits, also through others, the earliest stays. n_links: for each of the
+    row's lines the number of different lines of docs one edit from it, summed, counted by 64-bit keys. Removing a line removes its newline. Lines under
     `shortest` characters are linked with equal ones only; at 0 or 1 every non-blank line is compared.
     """
     ship(docs.sparkSession)
@@ -237,9 +242,8 @@ def dedup_lines(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("d
     rows = numbered(docs.select(*names, F.col(text).alias("text")))
     texts = rows.select("_rid", *names, "text")
     lines = saved(_all_lines(texts.select("_rid", "text"), shortest))
-    links = saved(near_lines(lines, texts.where("text is not null"), shortest))
-    labels = components(links)
-    degree = links.select(F.col("a").alias("lh")).union(links.select(F.col("b").alias("lh"))).groupBy("lh").agg(F.count(F.lit(1)).alias("links"))
+    links, degree = near_lines(lines, texts.where("text is not null"), shortest)
+    labels = components(saved(links))
     first = lines.groupBy("lh").agg(F.min(F.struct("_rid", "line")).alias("at"), F.count(F.lit(1)).alias("n"))
     first = first.join(labels.withColumnRenamed("node", "lh"), "lh", "left").join(degree, "lh", "left").where("n > 1 or label is not null")
     first = saved(first.withColumn("label", F.coalesce("label", "lh")))

@@ -298,6 +298,19 @@ def test_dedup_lines_compares_short_lines(spark):
     assert brute_lines(rows, 0) != brute_lines(rows, 20)
 
 
+def test_dedup_lines_counts_every_link(spark):
+    rng = random.Random(17)
+    lines = [f"Page {i} of the report on something long" for i in range(1, 13)] + ["Page of the report on something long", "Page  of the report on something long", "aab", "ab", "aa", "a", "b", "é", "q" * 19, "q" * 20, "q" * 21, "q" * 20 + "r"]
+    lines += ["".join(rng.choice("ab") for _ in range(rng.randint(2, 28))) for _ in range(60)]
+    rows = [(i, "\n".join(lines[i : i + 3] + [rng.choice(lines)]), None, None, 0) for i in range(0, len(lines), 3)]
+    docs = spark.createDataFrame(rows, SCHEMA).coalesce(1)
+    for shortest in (0, 20):
+        texts = [x for x in set(lines) if len(x) >= shortest]
+        many = {x: sum(x != y and within_one(x, y) for y in texts) for x in texts}
+        got = {r.doc_id: r.n_links for r in dedup_lines(docs, shortest=shortest).collect()}
+        assert got == {r[0]: sum(many.get(x, 0) for x in r[1].split("\n")) for r in rows}
+
+
 def test_op9_links_lines_of_any_length(spark, tmp_path):
     rows = [(1, "Read more\nlonger text of no other document here", None, None, 0), (2, "Read more.\nA line of 19 chars.", None, None, 0), (3, "A line of 19 chars..", None, None, 0)]
     spark.createDataFrame(rows, SCHEMA).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
