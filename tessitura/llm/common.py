@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..session import saved, shared_dir
 
-__all__ = ["free_name", "numbered", "partitions_for", "saved", "shared_dir", "table", "unit"]
+__all__ = ["beside", "free_name", "numbered", "packed", "partitions_for", "saved", "shared_dir", "table", "unit"]
 
 #: Logical operators under which a row number taken from a scan is the same in every execution.
 _REPLAYABLE = re.compile(r"^[\s:+\-]*(Project|Filter|Relation|LocalRelation|LogicalRDD|Union|SubqueryAlias|Range|View)\b")
@@ -23,6 +23,17 @@ def free_name(df: DataFrame, wanted: str) -> str:
     return wanted
 
 
+def packed(docs: DataFrame, keep: tuple[str, ...], text: str) -> DataFrame:
+    """(_row, _text): the kept columns as one struct, so that no name of theirs can clash with an operator's own."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("_row"), F.col(f"`{text}`").alias("_text"))
+
+
+def beside(found: DataFrame, *names: str) -> DataFrame:
+    """found (_row, names and more) as _row's columns and then names, each with underscores before it while _row has such a column."""
+    row = found.select("_row.*")
+    return found.select("_row.*", *[F.col(n).alias(free_name(row, n)) for n in names])
+
+
 def numbered(docs: DataFrame, rid: str = "_rid") -> DataFrame:
     """docs with a unique long column rid.
 

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from ..session import ship
 from .common import numbered, saved, table
 from .links import components
-from .textkit import POWERS, mix, prefix_hash, slices, span_hash, utf8
+from .textkit import cut_hash, mix, prefix_hash, slices, span_hash, utf8
 
 #: Default policy of dedup_lines; lines from this length on go through the filters; parts of the second filter.
 SHORTEST, FILTERED, EIGHTHS = 20, 20, 8
@@ -70,8 +70,7 @@ class Lines:
         """Hash of each line without its character at `at`; the same as the hash of that text as a whole line."""
         i = self.chars[self.start[line]] + at
         s, e, a, b = self.start[line], self.end[line], self.byte[i], self.byte[i + 1]
-        _, down = POWERS.to(len(self.prefix) - 1)
-        return mix((self.prefix[a] - self.prefix[s]) * down[s] + (self.prefix[e] - self.prefix[b]) * down[s + b - a])
+        return cut_hash(self.prefix, s, a, b, e)
 
 
 def half_keys(lines: Lines, shortest: int = SHORTEST) -> tuple[np.ndarray, np.ndarray]:

@@ -6,14 +6,17 @@ Sorting every suffix of a corpus would exchange each byte hundreds of times over
    window's anchor: equal windows have equal anchors at equal places. The windows of one anchor are consecutive, so a
    document becomes about one record for each 76 bytes: the anchor's hash, and a hash of the segment that its windows
    span.
-2. Anchors that occur once hold no repeated window and go. Segments that occur twice as a whole are repeated throughout.
-3. What is left are anchors with different segments: where matches end. Their distinct segments are fetched from the
-   texts, dealt out by anchor, and their suffixes are sorted by deep-shallow sorting: multikey quicksort to SHALLOW
-   bytes (64-bit characters, all groups of a task at once), then a blind trie for each group of suffixes that still agree.
-   Two suffixes that agree for LENGTH bytes are repeats; the length of their common prefix gives the run of windows
-   that repeat with them, which are then left out of later tries (one of each such pair stays to stand for both).
-4. An anchor with more than HOT different segments would make one task's group too large. Its windows are dealt out by
-   their own content instead, and equal ones counted before and after the exchange.
+2. Anchors that occur once hold no repeated window and go.
+3. The others' distinct segments are fetched from the texts, one occurrence of each, and a second one of a segment that
+   occurs more than once. They are dealt out by anchor, and their suffixes are sorted by deep-shallow sorting: multikey
+   quicksort to SHALLOW bytes (64-bit characters, all groups of a task at once), then a blind trie for each group of
+   suffixes that still agree. Two suffixes that agree for LENGTH bytes are repeats; the length of their common prefix
+   gives the run of windows that repeat with them, which are then left out of later tries (one of each such pair stays
+   to stand for both). So all that is removed has been compared byte by byte, but for the third and later occurrences of
+   one segment, which 124 bits of hash tell to be the same.
+4. An anchor with more than HOT different segments would make one task's group too large. Its segments are cut finer,
+   into single windows that are dealt out by their own content, and sorted like the others: one occurrence of each
+   distinct window that repeats, and a second one.
 
 Each document's runs are united and cut out. Strings are judged on the input; nothing crosses documents.
 """
@@ -24,14 +27,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
 from ..session import ship
-from .common import numbered, partitions_for, saved, table
-from .textkit import mix, prefix_hash, slices, span_hash, utf8
+from .common import beside, numbered, packed, partitions_for, saved, table
+from .textkit import gram_hash, mix, prefix_hash, slices, span_hash, utf8
 
-LENGTH, GRAM, SHALLOW, HOT = 200, 48, 32, 20_000
+LENGTH, GRAM, SHALLOW, HOT = 200, 48, 32, 4_000
 _PLACE = 21
 _CHUNK = 1 << 20
 _FIRST, _COUNT = (1 << 40) - 1, (1 << 12) - 1
@@ -44,7 +48,7 @@ def anchors(raw: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: in
         return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.int64, np.uint64, np.uint64))
     prefix = prefix_hash(raw)
     at = np.arange(n - gram + 1)
-    hashes = span_hash(prefix, at, at + gram)
+    hashes = gram_hash(prefix, gram)
     # The hash's high bits, then the place: of equal ones the leftmost is least.
     keyed = (hashes >> np.uint64(_PLACE) << np.uint64(_PLACE)) | at.astype(np.uint64)
     w = length - gram + 1
@@ -69,7 +73,7 @@ def anchors(raw: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: in
     row = np.searchsorted(offsets, first, "right") - 1
     many, ahead_by = last - first + 1, anchor[first] - first
     segment = span_hash(prefix, first, last + length) ^ mix((many * 4096 + ahead_by).astype(np.uint64))
-    return row, first - offsets[row], many, ahead_by, hashes[anchor[first]], segment
+    return row, first - offsets[row], many, ahead_by, span_hash(prefix, anchor[first], anchor[first] + gram), segment
 
 
 def _anchored(rows: DataFrame, length: int, gram: int) -> DataFrame:
@@ -227,27 +231,36 @@ _SORTED = 1 << 20
 
 
 def _sort_segments(segments: DataFrame, length: int) -> DataFrame:
-    """(_rid, a, b): repeated runs of bytes of the segments (kh, _rid, p, many, ahead, single, seg), sorted by kh."""
+    """(kh, sh, _rid, a, b): what repeats of the segments of :func:`_fetch`, sorted by g.
+
+    A segment that was sent twice gives (kh, sh) if all of it repeats; any other segment the runs of bytes that do.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush(rows: list) -> pa.RecordBatch:
-            found = repeats([r[6] for r in rows], np.array([r[3] for r in rows]), np.array([r[4] for r in rows]), np.array([r[0] for r in rows], np.int64), length)
-            cut = [(r[1], r[2] + a, r[2] + b) for r, runs in zip(rows, found, strict=True) if r[5] for a, b in joined(runs)]
-            return pa.RecordBatch.from_arrays([pa.array([c[i] for c in cut], pa.int64()) for i in range(3)], ["_rid", "a", "b"])
+            found = repeats([r[8] for r in rows], np.array([r[5] for r in rows]), np.array([r[6] for r in rows]), np.array([r[0] for r in rows], np.int64), length)
+            cut = []
+            for (_, kh, sh, rid, p, _, _, single, seg), runs in zip(rows, found, strict=True):
+                own = joined(runs)
+                if not single and own == [(0, len(seg))]:
+                    cut.append((kh, sh, None, None, None))
+                else:
+                    cut += [(None, None, rid, p + a, p + b) for a, b in own]
+            return pa.RecordBatch.from_arrays([pa.array([c[i] for c in cut], pa.int64()) for i in range(5)], ["kh", "sh", "_rid", "a", "b"])
 
         held: list = []
         size = 0
         for batch in batches:
             for r in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                if size >= _SORTED and r[0] != held[-1][0]:  # whole anchors only
+                if size >= _SORTED and r[0] != held[-1][0]:  # whole groups only
                     yield flush(held)
                     held, size = [], 0
                 held.append(r)
-                size += len(r[6])
+                size += len(r[8])
         if held:
             yield flush(held)
 
-    return segments.select("kh", "_rid", "p", "many", "ahead", "single", "seg").mapInArrow(run, "_rid long, a long, b long")
+    return segments.select(*_SEGMENT).mapInArrow(run, "kh long, sh long, _rid long, a long, b long")
 
 
 def joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -262,12 +275,21 @@ def joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _fetch(rows: DataFrame, length: int, names: list[str]) -> DataFrame:
-    """Segments (kh, hot, _rid, p, many, ahead, single, seg) of rows (names, _rid, text, wanted)."""
+_SEGMENT = ("g", "kh", "sh", "_rid", "p", "many", "ahead", "single", "seg")
+
+
+def _fetch(texts: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
+    """The segments wanted (_rid, g, kh, sh, loc, single, alone) with their place and bytes, from texts (_rid, _text).
+
+    g: the group to sort it in; single: whether it is the only occurrence; alone: whether its group has no other segment
+    than it and its second occurrence. Then the suffix at its first window is sorted for all (many is 1), since the two
+    suffixes' common prefix tells how much of the segment repeats.
+    """
+    by_text = wanted.groupBy("_rid").agg(F.collect_list(F.struct("g", "kh", "sh", "loc", "single", "alone")).alias("wanted"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw, offsets = utf8(batch.column("text"))
+            raw, offsets = utf8(batch.column("_text"))
             rids = batch.column("_rid").to_pylist()
             for i in range(batch.num_rows):
                 data = raw[offsets[i] : offsets[i + 1]].tobytes()
@@ -275,16 +297,21 @@ def _fetch(rows: DataFrame, length: int, names: list[str]) -> DataFrame:
                 for x in batch.column("wanted")[i].as_py():
                     loc = x["loc"]
                     p, many, ahead = loc & _FIRST, loc >> 40 & _COUNT, loc >> 52
-                    out.append((x["kh"], x["hot"], rids[i], p, many, ahead, x["single"], data[p : p + many - 1 + length]))
-                kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary())
+                    out.append((x["g"], x["kh"], x["sh"], rids[i], p, 1 if x["alone"] else many, ahead, x["single"], data[p : p + many - 1 + length]))
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary())
                 for s in range(0, len(out), 4096):
-                    yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out[s : s + 4096]], t) for k, t in enumerate(kinds)], ["kh", "hot", "_rid", "p", "many", "ahead", "single", "seg"])
+                    yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out[s : s + 4096]], t) for k, t in enumerate(kinds)], list(_SEGMENT))
 
-    return rows.select(*names, "_rid", "text", "wanted").mapInArrow(run, "kh long, hot boolean, _rid long, p long, many int, ahead int, single boolean, seg binary")
+    return texts.join(by_text, "_rid").select("_rid", "_text", "wanted").mapInArrow(run, "g long, kh long, sh long, _rid long, p long, many int, ahead int, single boolean, seg binary")
 
 
-def _by_content(segments: DataFrame, length: int) -> DataFrame:
-    """What :func:`_sort_segments` gives, for anchors with too many segments: windows dealt out by their own hashes."""
+def _sorted(texts: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
+    dealt = _fetch(texts, wanted, length).repartition(partitions_for(texts.sparkSession), "g").sortWithinPartitions("g")
+    return saved(_sort_segments(dealt, length))
+
+
+def _windows(segments: DataFrame, length: int) -> DataFrame:
+    """(kh, sh, _rid, a, single) of each window of the segments of :func:`_fetch`; kh and sh: hashes of its halves."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -300,47 +327,59 @@ def _by_content(segments: DataFrame, length: int) -> DataFrame:
             pick = lambda name: np.asarray(batch.column(name))[own]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(span_hash(prefix, start, start + half).view(np.int64)), pa.array(span_hash(prefix, start + half, start + length).view(np.int64)), pa.array(pick("_rid")), pa.array(pick("p") + step), pa.array(np.asarray(batch.column("single").to_pylist(), bool)[own])],
-                ["h1", "h2", "_rid", "a", "single"],
+                ["kh", "sh", "_rid", "a", "single"],
             )
 
-    windows = segments.select("_rid", "p", "many", "single", "seg").mapInArrow(run, "h1 long, h2 long, _rid long, a long, single boolean")
-    windows = saved(windows)
-    twice = windows.groupBy("h1", "h2").agg(F.sum(F.when(F.col("single"), 1).otherwise(2)).alias("n")).where("n > 1").drop("n")
-    return windows.where("single").join(twice, ["h1", "h2"], "left_semi").select("_rid", "a", (F.col("a") + length).alias("b"))
+    return segments.mapInArrow(run, "kh long, sh long, _rid long, a long, single boolean")
+
+
+def _twice(one: str, two: str) -> Column:
+    """An array of the first and the second occurrence, as structs (_rid, loc)."""
+    return F.explode(F.array(F.col(one), F.col(two)))
 
 
 def cut_repeats(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """keep, n_bytes, spans (removed runs of bytes as array<struct<a, b>>, in order) and kept (the rest, binary).
 
     Null and empty texts and texts under `length` bytes keep all they have. Equal texts of at least `length` bytes are
-    repeats of each other and lose everything. A text that repeats within itself is cut as well.
+    repeats of each other and lose everything. A text that repeats within itself is cut as well. Repeated and null ids
+    don't matter: rows are told apart by their place. No rows give no rows. The three names get an underscore before
+    them where keep has them.
     """
     ship(docs.sparkSession)
-    names = list(keep)
-    texts = numbered(docs.select(*names, F.col(text).alias("text")))
-    found = saved(_anchored(texts.select("_rid", "text"), length, gram))
-    again = found.groupBy("kh").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("kh")
+    texts = numbered(packed(docs, keep, text))
+    found = saved(_anchored(texts.select("_rid", F.col("_text").alias("text")), length, gram))
+    # Sides of joins by anchor are written first: a join of two plain exchanges can be split where an anchor is hot.
+    again = saved(found.groupBy("kh").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("kh"))
     found = saved(found.join(again, "kh", "left_semi"))
-    segments = saved(found.groupBy("kh", "sh").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("_rid", "loc")).alias("one")))
+    place = F.struct("_rid", "loc")
+    segments = saved(found.groupBy("kh", "sh").agg(F.count(F.lit(1)).alias("c"), F.min(place).alias("one"), F.max(place).alias("two")))
+    several = saved(segments.groupBy("kh").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    grouped = segments.join(several, "kh", "left").withColumn("hot", F.coalesce(F.col("n") > hot, F.lit(False)))
+    any_hot = several.where(F.col("n") > hot).limit(1).count()
+    once = grouped.where("c = 1").select("kh", "sh", "hot", "n", F.lit(True).alias("single"), F.col("one").alias("at"))
+    more = grouped.where("c > 1").select("kh", "sh", "hot", "n", F.lit(False).alias("single"), _twice("one", "two").alias("at"))
+    # A hot anchor's repeated segments are sorted in groups of their own; its windows follow one by one.
+    wanted = once.where("not hot").union(more).select("at._rid", F.when(F.col("hot"), F.xxhash64("kh", "sh")).otherwise(F.col("kh")).alias("g"), "kh", "sh", "at.loc", "single", (~F.col("single") & (F.col("hot") | F.col("n").isNull())).alias("alone"))
+    sorted_ = _sorted(texts, wanted, length)
     first = F.col("loc").bitwiseAND(F.lit(_FIRST))
     many = F.shiftright("loc", 40).bitwiseAND(F.lit(_COUNT))
-    whole = found.join(segments.where("c > 1").select("kh", "sh"), ["kh", "sh"], "left_semi").select("_rid", first.alias("a"), (first + many + (length - 1)).alias("b"))
-    several = segments.groupBy("kh").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    wanted = segments.join(several, "kh").select(F.col("one._rid").alias("_rid"), F.struct("kh", F.col("one.loc").alias("loc"), (F.col("n") > hot).alias("hot"), (F.col("c") == 1).alias("single")).alias("x"))
-    fetched = _fetch(texts.join(wanted.groupBy("_rid").agg(F.collect_list("x").alias("wanted")), "_rid"), length, names)
-    if several.where(F.col("n") > hot).limit(1).count():
-        fetched = saved(fetched)
-        ends = _by_content(fetched.where("hot"), length)
-        fetched = fetched.where("not hot")
-    else:
-        ends = None
-    sorted_ = _sort_segments(fetched.repartition(partitions_for(docs.sparkSession), "kh").sortWithinPartitions("kh"), length)
-    runs = whole.union(sorted_) if ends is None else whole.union(sorted_).union(ends)
+    whole = found.join(sorted_.where("kh is not null").select("kh", "sh"), ["kh", "sh"], "left_semi").select("_rid", first.alias("a"), (first + many + (length - 1)).alias("b"))
+    runs = whole.union(sorted_.where("kh is null").select("_rid", "a", "b"))
+    if any_hot:
+        fine = grouped.where("hot").select("one._rid", F.lit(0).cast("long").alias("g"), "kh", "sh", "one.loc", (F.col("c") == 1).alias("single"), F.lit(False).alias("alone"))
+        windows = saved(_windows(_fetch(texts, fine, length), length))
+        place = F.struct("_rid", (F.col("a") + F.lit(1 << 40)).alias("loc"))  # one window, no distance
+        again = windows.groupBy("kh", "sh").agg(F.count(F.lit(1)).alias("n"), F.max("single").alias("asked"), F.min(place).alias("one"), F.max(place).alias("two")).where("n > 1 and asked")
+        pairs = again.select("kh", "sh", _twice("one", "two").alias("at")).select("at._rid", F.col("kh").alias("g"), "kh", "sh", "at.loc", F.lit(False).alias("single"), F.lit(True).alias("alone"))
+        equal = _sorted(texts, pairs, length).where("kh is not null").select("kh", "sh").distinct()
+        ends = windows.where("single").join(equal, ["kh", "sh"], "left_semi").select("_rid", "a", (F.col("a") + length).alias("b"))
+        runs = runs.union(ends)
     runs = runs.groupBy("_rid").agg(F.collect_list(F.struct("a", "b")).alias("runs"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw, offsets = utf8(batch.column("text"))
+            raw, offsets = utf8(batch.column("_text"))
             spans, kept = [], []
             for i, r in enumerate(batch.column("runs").to_pylist()):
                 data = raw[offsets[i] : offsets[i + 1]].tobytes()
@@ -352,15 +391,19 @@ def cut_repeats(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("d
                     at = b
                 kept.append(b"".join([*parts, data[at:]]))
             yield pa.RecordBatch.from_arrays(
-                [*[batch.column(n) for n in names], pa.array(np.diff(offsets), pa.int64()), pa.array(spans, pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))), pa.array(kept, pa.binary())], [*names, "n_bytes", "spans", "kept"]
+                [batch.column("_row"), pa.array(np.diff(offsets), pa.int64()), pa.array(spans, pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))), pa.array(kept, pa.binary())], ["_row", "n_bytes", "spans", "kept"]
             )
 
-    kinds = ", ".join(f"`{n}` {texts.schema[n].dataType.simpleString()}" for n in names)
-    rows = texts.join(runs, "_rid", "left").select(*names, "text", "runs")
-    return rows.mapInArrow(run, f"{kinds}, n_bytes long, spans array<struct<a: long, b: long>>, kept binary")
+    rows = texts.join(runs, "_rid", "left").select("_row", "_text", "runs")
+    out = StructType([rows.schema["_row"], *_OUT.fields])
+    return beside(rows.mapInArrow(run, out), "n_bytes", "spans", "kept")
+
+
+_OUT = StructType([StructField("n_bytes", LongType()), StructField("spans", ArrayType(StructType([StructField("a", LongType()), StructField("b", LongType())]))), StructField("kept", BinaryType())])
 
 
 def op3_suffix_dedup(spark, sf_dir: str) -> DataFrame:
+    """One row for each document, by :func:`cut_repeats` with its defaults; a null text counts as empty."""
     cut = cut_repeats(table(spark, sf_dir, "documents"))
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["b"] - s["a"])
     return cut.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))

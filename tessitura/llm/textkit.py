@@ -7,9 +7,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+#: Two polynomial hashes modulo the prime 2**31 - 1, each with a base of its own: 62 bits in all. Unlike a polynomial
+#: modulo a power of two, no strings collide whatever the base is.
+PRIME = (1 << 31) - 1
+BASES = (1_597_463_007, 0x2545F491)
+_P, _31 = np.uint64(PRIME), np.uint64(31)
 #: Bytes of text that are worked on at once; a longer text is a slice of its own.
 SLICE = 2 << 20
 
@@ -31,36 +34,109 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def _folded(x: np.ndarray) -> np.ndarray:
+    """x modulo PRIME up to one multiple of it, in place."""
+    high = x >> _31
+    x &= _P
+    x += high
+    return x
+
+
+def _reduced(x: np.ndarray) -> np.ndarray:
+    """x modulo PRIME, in place."""
+    _folded(_folded(x))
+    x -= np.where(x >= _P, _P, np.uint64(0))
+    return x
+
+
 class Powers:
-    """Powers of an odd base and of its inverse modulo 2**64, grown as needed."""
+    """Powers of the bases and of their inverses modulo PRIME, (lane, power), grown as needed."""
 
     def __init__(self) -> None:
-        self.up = self.down = np.ones(1, np.uint64)
+        self.up = self.down = np.ones((2, 1), np.uint64)
 
     def to(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n + 1:
+        if self.up.shape[1] < n + 1:
             k = max(n + 1, SLICE + 1)
-            up, down = np.full(k, _BASE, np.uint64), np.full(k, _INVERSE, np.uint64)
-            up[0] = down[0] = 1
-            self.up, self.down = np.multiply.accumulate(up), np.multiply.accumulate(down)
+            self.up, self.down = (np.stack([_powers(b, k) for b in bases]) for bases in (BASES, [pow(b, -1, PRIME) for b in BASES]))
         return self.up, self.down
 
 
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.ones(n, np.uint64)
+    k = 1
+    while k < n:  # each pass doubles what is known
+        more = min(k, n - k)
+        out[k : k + more] = _reduced(out[:more] * np.uint64(pow(base, k, PRIME)))
+        k += more
+    return out
+
+
 POWERS = Powers()
 
 
+#: Bytes that are hashed at once, so that intermediate arrays stay in cache.
+_STRIP = 1 << 14
+
+
 def prefix_hash(data: np.ndarray) -> np.ndarray:
-    """S with S[i] = sum of (data[j] + 1) * B**j for j < i, modulo 2**64."""
+    """(lane, n + 1) S with S[i] = sum of (data[j] + 1) * B**j for j < i, modulo PRIME."""
     up, _ = POWERS.to(len(data))
-    out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=out[1:])
+    out = np.zeros((2, len(data) + 1), np.uint64)
+    for i in range(0, len(data), _STRIP):
+        digits = data[i : i + _STRIP].astype(np.uint64)
+        digits += np.uint64(1)
+        for lane in range(2):
+            to = out[lane, i + 1 : i + 1 + len(digits)]
+            np.cumsum(_folded(digits * up[lane, i : i + len(digits)]), out=to)
+            to += out[lane, i]
+            _reduced(to)
     return out
 
 
+def gram_hash(prefix: np.ndarray, gram: int) -> np.ndarray:
+    """31-bit hashes, spread over 64 bits, of the gram bytes from every place on."""
+    n = prefix.shape[1] - gram
+    _, down = POWERS.to(n)
+    out = np.empty(n, np.uint64)
+    for i in range(0, n, _STRIP):
+        j = min(n, i + _STRIP)
+        x = prefix[0, i + gram : j + gram] + _P
+        x -= prefix[0, i:j]
+        x = _folded(x)
+        x *= down[0, i:j]
+        out[i:j] = mix(_reduced(x))
+    return out
+
+
+def _shifted(prefix: np.ndarray, lane: int, start: np.ndarray, end: np.ndarray, by: np.ndarray) -> np.ndarray:
+    """The sum over data[start:end] with its powers lowered by `by`, modulo PRIME."""
+    x = prefix[lane][end] + _P
+    x -= prefix[lane][start]
+    x = _folded(x)
+    x *= POWERS.down[lane][by]
+    return _reduced(x)
+
+
 def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of data[start:end] for each pair, in constant time each."""
-    _, down = POWERS.to(len(prefix) - 1)
-    return mix((prefix[end] - prefix[start]) * down[start])
+    """A 62-bit hash of data[start:end] for each pair, spread over 64 bits, in constant time each."""
+    POWERS.to(prefix.shape[1] - 1)
+    out = np.empty(len(start), np.uint64)
+    for i in range(0, len(out), _STRIP):
+        a, b = start[i : i + _STRIP], end[i : i + _STRIP]
+        out[i : i + _STRIP] = mix(_shifted(prefix, 0, a, b, a) << _31 | _shifted(prefix, 1, a, b, a))
+    return out
+
+
+def cut_hash(prefix: np.ndarray, start: np.ndarray, a: np.ndarray, b: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The hash that data[start:a] + data[b:end] has as a whole."""
+    POWERS.to(prefix.shape[1] - 1)
+    out = np.empty(len(start), np.uint64)
+    for i in range(0, len(out), _STRIP):
+        s, x, y, e = (v[i : i + _STRIP] for v in (start, a, b, end))
+        lanes = [_reduced(_shifted(prefix, k, s, x, s) + _shifted(prefix, k, y, e, s + y - x)) for k in range(2)]
+        out[i : i + _STRIP] = mix(lanes[0] << _31 | lanes[1])
+    return out
 
 
 def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
