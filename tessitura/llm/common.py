@@ -23,9 +23,9 @@ def free_name(df: DataFrame, wanted: str) -> str:
     return wanted
 
 
-def packed(docs: DataFrame, keep: tuple[str, ...], text: str) -> DataFrame:
-    """(_row, _text): the kept columns as one struct, so that no name of theirs can clash with an operator's own."""
-    return docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("_row"), F.col(f"`{text}`").alias("_text"))
+def packed(docs: DataFrame, keep: tuple[str, ...], text: str, **more: str) -> DataFrame:
+    """(_row, _text, and columns under new names): the kept columns as one struct, so that no name of theirs can clash with an operator's own."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("_row"), F.col(f"`{text}`").alias("_text"), *[F.col(f"`{c}`").alias(n) for n, c in more.items()])
 
 
 def beside(found: DataFrame, *names: str) -> DataFrame:

@@ -25,16 +25,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from ..session import ship
-from .common import numbered, saved, table
+from .common import beside, numbered, packed, saved, table
 from .links import components
 from .textkit import cut_hash, mix, prefix_hash, slices, span_hash, utf8
 
-#: Default policy of dedup_lines; lines from this length on go through the filters; parts of the second filter.
-SHORTEST, FILTERED, EIGHTHS = 20, 20, 8
+#: Lines from this length on go through the filters; parts of the second filter.
+FILTERED, EIGHTHS = 20, 8
 
 #: Lengths of the halves' keys: steps of about an eighth, so that few lengths lie at a step and need two.
 LADDER = np.array(sorted({int(8 * 1.125**i) for i in range(140)}), np.int64)
@@ -60,6 +62,14 @@ class Lines:
         ink = np.concatenate([[0], np.cumsum(~_BLANK[raw])])
         self.blank = ink[self.end] == ink[self.start]
         self.hash = span_hash(self.prefix, self.start, self.end)
+        self.raw = raw
+
+    def names(self) -> pa.Array:
+        """What tells lines apart: 16 bytes, the hash and another one (xxh3) of each line."""
+        whole = memoryview(np.ascontiguousarray(self.raw))
+        other = [xxhash.xxh3_64_intdigest(whole[a:b], 5) for a, b in zip(self.start.tolist(), self.end.tolist(), strict=True)]
+        pairs = np.column_stack([self.hash, np.array(other, np.uint64)])
+        return pa.Array.from_buffers(pa.binary(16), len(pairs), [None, pa.py_buffer(np.ascontiguousarray(pairs))]).cast(pa.binary())
 
     def span(self, line: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Hash of the characters a to b (counted in the line) of each line."""
@@ -73,7 +83,7 @@ class Lines:
         return cut_hash(self.prefix, s, a, b, e)
 
 
-def half_keys(lines: Lines, shortest: int = SHORTEST) -> tuple[np.ndarray, np.ndarray]:
+def half_keys(lines: Lines, shortest: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """(line, key): level 1, both halves of each line for each length that a partner's shorter line may have."""
     who, keys = [], []
     long = np.flatnonzero(lines.length >= max(shortest, FILTERED))
@@ -140,9 +150,9 @@ def _all_lines(rows: DataFrame, shortest: int) -> DataFrame:
                 keys = pa.ListArray.from_arrays(pa.array(ends), pa.array(key[order].view(np.int64)))
                 use = pa.array(~lines.blank)
                 direct = pa.array((lines.length >= shortest) & (lines.length <= FILTERED) & (shortest < FILTERED))
-                yield pa.RecordBatch.from_arrays([pa.array(rid[i + lines.row]), pa.array(lines.number), pa.array(lines.hash.view(np.int64)), direct, keys], ["_rid", "line", "lh", "direct", "keys"]).filter(use)
+                yield pa.RecordBatch.from_arrays([pa.array(rid[i + lines.row]), pa.array(lines.number), lines.names(), direct, keys], ["_rid", "line", "lh", "direct", "keys"]).filter(use)
 
-    return rows.mapInArrow(run, "_rid long, line long, lh long, direct boolean, keys array<long>")
+    return rows.mapInArrow(run, "_rid long, line long, lh binary, direct boolean, keys array<long>")
 
 
 def _shared(keyed: DataFrame) -> DataFrame:
@@ -160,9 +170,9 @@ def _picked(rows: DataFrame) -> DataFrame:
                 own = whole.split("\n")
                 lh += [w["lh"] for w in wanted]
                 text += [own[w["line"]] for w in wanted]
-            yield pa.RecordBatch.from_arrays([pa.array(lh, pa.int64()), pa.array(text, pa.string())], ["lh", "text"])
+            yield pa.RecordBatch.from_arrays([pa.array(lh, pa.binary()), pa.array(text, pa.string())], ["lh", "text"])
 
-    return rows.select("text", "wanted").mapInArrow(run, "lh long, text string")
+    return rows.select("text", "wanted").mapInArrow(run, "lh binary, text string")
 
 
 def _each(rows: DataFrame, work, schema: str) -> DataFrame:
@@ -171,22 +181,22 @@ def _each(rows: DataFrame, work, schema: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, part, at in slices(*utf8(batch.column("text"))):
-                yield work(Lines(part, at), np.asarray(batch.column("lh"))[i:j], batch.slice(i, j - i))
+                yield work(Lines(part, at), batch.column("lh").slice(i, j - i), batch.slice(i, j - i))
 
     return rows.mapInArrow(run, schema)
 
 
-def _eighths(lines: Lines, lh: np.ndarray, _: pa.RecordBatch) -> pa.RecordBatch:
+def _eighths(lines: Lines, lh: pa.Array, _: pa.RecordBatch) -> pa.RecordBatch:
     line, short, eighth, key = eighth_keys(lines)
-    return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(lh[line]), pa.array(short), pa.array(eighth)], ["key", "lh", "short", "eighth"])
+    return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), lh.take(pa.array(line)), pa.array(short), pa.array(eighth)], ["key", "lh", "short", "eighth"])
 
 
-def _variants(lines: Lines, lh: np.ndarray, batch: pa.RecordBatch) -> pa.RecordBatch:
+def _variants(lines: Lines, lh: pa.Array, batch: pa.RecordBatch) -> pa.RecordBatch:
     pairs = batch.column("parts").to_pylist()
     line = np.repeat(np.arange(len(pairs)), [len(p) for p in pairs])
     short, eighth = (np.array([x[k] for p in pairs for x in p], np.int64) for k in ("short", "eighth"))
     who, key, whole, placed = variants(lines, line, short, eighth)
-    return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(lh[who]), pa.array(whole), pa.array(placed)], ["key", "lh", "whole", "placed"])
+    return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), lh.take(pa.array(who)), pa.array(whole), pa.array(placed)], ["key", "lh", "whole", "placed"])
 
 
 def _unfiltered(text: DataFrame) -> DataFrame:
@@ -206,15 +216,17 @@ def near_lines(lines: DataFrame, texts: DataFrame, shortest: int) -> tuple[DataF
     at = lines.join(near, "lh", "left_semi").groupBy("lh").agg(F.min(F.struct("_rid", "line")).alias("at"))
     wanted = at.groupBy(F.col("at._rid").alias("_rid")).agg(F.collect_list(F.struct(F.col("at.line").alias("line"), "lh")).alias("wanted"))
     text = saved(_picked(texts.join(wanted, "_rid")))
-    parts = saved(_each(text.where(F.length("text") >= FILTERED), _eighths, "key long, lh long, short long, eighth long"))
+    parts = saved(_each(text.where(F.length("text") >= FILTERED), _eighths, "key long, lh binary, short long, eighth long"))
     parts = parts.join(_shared(parts), "key", "left_semi").select("lh", "short", "eighth")
     if shortest < FILTERED:
         parts = parts.union(_unfiltered(text))
     parts = parts.groupBy("lh").agg(F.collect_set(F.struct("short", "eighth")).alias("parts"))
-    keys = saved(_each(text.join(parts, "lh"), _variants, "key long, lh long, whole boolean, placed boolean").distinct())
+    keys = saved(_each(text.join(parts, "lh"), _variants, "key long, lh binary, whole boolean, placed boolean").distinct())
     # Under a key with a whole line, all others are one edit from it; under one with a place, all are one edit apart.
     heads = keys.groupBy("key").agg(F.coalesce(F.min(F.when(F.col("whole"), F.col("lh"))), F.min("lh")).alias("head"), F.count(F.lit(1)).alias("n"), F.max("whole").alias("given"))
-    under = keys.join(heads.where("n > 1"), "key").where("placed or given")
+    # Written first, so that the join has two plain exchanges, which can be split where a key is hot.
+    heads = saved(heads.where("n > 1"))
+    under = keys.join(heads, "key").where("placed or given")
     # Two lines share one such key only, so each key's members can be counted without listing pairs.
     degrees = under.groupBy("lh").agg(F.sum(F.when(F.col("placed") | F.col("whole"), F.col("n") - 1).otherwise(1)).alias("links"))
     pairs = under.where("lh <> head").select(F.col("lh").alias("a"), F.col("head").alias("b")).distinct()
@@ -225,48 +237,71 @@ def near_lines(lines: DataFrame, texts: DataFrame, shortest: int) -> tuple[DataF
             ok = [within_one(x, y) for x, y in zip(batch.column("ta").to_pylist(), batch.column("tb").to_pylist(), strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return both.mapInArrow(verify, "a long, b long"), degrees
+    return both.mapInArrow(verify, "a binary, b binary"), degrees
 
 
-def dedup_lines(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), shortest: int = SHORTEST) -> DataFrame:
+def dedup_lines(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), shortest: int = 0, order: str | None = None) -> DataFrame:
     """keep, n_lines, n_removed, n_links, kept (the text without the removed lines) for each row of docs.
 
     Lines are what newlines separate; a null text has none and stays null, an empty one has one blank line. Of lines
-    that are equal or linked by edits, also through others, the earliest stays. n_links: for each of the
-    row's lines the number of different lines of docs one edit from it, summed, counted by 64-bit keys. Removing a line removes its newline. Lines under
-    `shortest` characters are linked with equal ones only; at 0 or 1 every non-blank line is compared.
+    that are equal or linked by edits, also through others, the earliest stays: that of the row with the least `order`
+    (a column of docs, nulls last), then the row first in the scan, then the first in its row. n_links: for each of the
+    row's lines the number of different lines of docs one edit from it, summed, counted by 62-bit keys; lines are told
+    apart by 126 bits. Removing a line removes its newline. Every non-blank line is compared; with `shortest`, lines of
+    fewer characters are linked with equal ones only. The four names get an underscore before them where keep has them.
     """
     ship(docs.sparkSession)
-    names = list(keep)
-    rows = numbered(docs.select(*names, F.col(text).alias("text")))
-    texts = rows.select("_rid", *names, "text")
-    lines = saved(_all_lines(texts.select("_rid", "text"), shortest))
-    links, degree = near_lines(lines, texts.where("text is not null"), shortest)
+    texts = numbered(packed(docs, keep, text, **({"_order": order} if order else {})))
+    rows = texts.select("_rid", F.col("_text").alias("text"))
+    lines = saved(_all_lines(rows, shortest))
+    links, degree = near_lines(lines, rows.where("text is not null"), shortest)
     labels = components(saved(links))
-    first = lines.groupBy("lh").agg(F.min(F.struct("_rid", "line")).alias("at"), F.count(F.lit(1)).alias("n"))
+    place = F.struct("no", "_order", "_rid", "line") if order else F.struct("_rid", "line")
+    placed = lines.select("_rid", "line", "lh")
+    if order:
+        placed = placed.join(texts.select("_rid", F.col("_order").isNull().alias("no"), "_order"), "_rid")
+    first = placed.groupBy("lh").agg(F.min(place).alias("at"), F.count(F.lit(1)).alias("n"))
     first = first.join(labels.withColumnRenamed("node", "lh"), "lh", "left").join(degree, "lh", "left").where("n > 1 or label is not null")
     first = saved(first.withColumn("label", F.coalesce("label", "lh")))
     heads = first.groupBy("label").agg(F.min("at").alias("head"))
-    known = first.join(heads, "label").select("lh", "head", F.coalesce("links", F.lit(0)).alias("links"))
-    found = lines.join(known, "lh").withColumn("gone", F.struct("_rid", "line") != F.col("head"))
+    known = saved(first.join(heads, "label").select("lh", F.col("head._rid").alias("h"), F.col("head.line").alias("l"), F.coalesce("links", F.lit(0)).alias("links")))
+    found = lines.select("_rid", "line", "lh").join(known, "lh").withColumn("gone", (F.col("_rid") != F.col("h")) | (F.col("line") != F.col("l")))
     found = found.where("gone or links > 0").groupBy("_rid").agg(F.collect_list(F.when(F.col("gone"), F.col("line"))).alias("gone"), F.sum("links").alias("n_links"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n_lines, n_removed, kept = [], [], []
-            for whole, gone in zip(batch.column("text").to_pylist(), batch.column("gone").to_pylist(), strict=True):
+            for whole, gone in zip(batch.column("_text").to_pylist(), batch.column("gone").to_pylist(), strict=True):
                 own = [] if whole is None else whole.split("\n")
                 out = set(gone or ())
                 n_lines.append(len(own))
                 n_removed.append(len(out))
                 kept.append(whole if not out else "\n".join(x for i, x in enumerate(own) if i not in out))
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(n_lines, pa.int64()), pa.array(n_removed, pa.int64()), batch.column("n_links"), pa.array(kept, pa.string())], [*names, "n_lines", "n_removed", "n_links", "kept"])
+            yield pa.RecordBatch.from_arrays([batch.column("_row"), pa.array(n_lines, pa.int64()), pa.array(n_removed, pa.int64()), batch.column("n_links"), pa.array(kept, pa.string())], ["_row", "n_lines", "n_removed", "n_links", "kept"])
 
-    kinds = ", ".join(f"`{n}` {texts.schema[n].dataType.simpleString()}" for n in names)
-    full = texts.join(found, "_rid", "left").select(*names, "text", "gone", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    return full.mapInArrow(run, f"{kinds}, n_lines long, n_removed long, n_links long, kept string")
+    full = texts.join(found, "_rid", "left").select("_row", "_text", "gone", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    kinds = [StructField(n, LongType()) for n in ("n_lines", "n_removed", "n_links")]
+    return beside(full.mapInArrow(run, StructType([full.schema["_row"], *kinds, StructField("kept", StringType())])), "n_lines", "n_removed", "n_links", "kept")
 
 
 def op9_line_dedup(spark, sf_dir: str) -> DataFrame:
-    found = dedup_lines(table(spark, sf_dir, "documents"), shortest=0)
+    """One row for each document, by :func:`dedup_lines` over lines of every length; the least doc_id is earliest."""
+    found = dedup_lines(table(spark, sf_dir, "documents"), order="doc_id")
     return found.select("doc_id", "n_lines", "n_removed", "n_links", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+#: DuckDB: every deletion of every distinct line, equal ones joined, classes as the closure of the links. doc_id is unique.
+OP9_SQL = r"""
+WITH RECURSIVE s AS (SELECT doc_id, string_split(text, chr(10)) AS w FROM documents WHERE text IS NOT NULL),
+p AS (SELECT doc_id, i, w[i] AS x FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM s)),
+e AS (SELECT doc_id, i, x FROM p WHERE NOT regexp_full_match(x, '[	- ]*')),
+t AS (SELECT x, min(doc_id * 1000000 + i) AS at FROM e GROUP BY x),
+v AS (SELECT x, k, substr(x, 1, k - 1) || substr(x, k + 1) AS y FROM (SELECT x, unnest(range(1, length(x) + 1)) AS k FROM t)),
+o AS (SELECT DISTINCT v.x AS a, t.x AS b FROM v JOIN t ON t.x = v.y UNION SELECT DISTINCT f.x AS a, g.x AS b FROM v f JOIN v g ON f.y = g.y AND f.k = g.k WHERE f.x <> g.x),
+l AS (SELECT a, b FROM o UNION SELECT b, a FROM o),
+c AS (SELECT DISTINCT a AS x, a AS r FROM l UNION SELECT c.x, l.b FROM c JOIN l ON l.a = c.r),
+h AS (SELECT t.x, coalesce(min(u.at), any_value(t.at)) AS head, any_value(coalesce(d.n, 0)) AS links FROM t LEFT JOIN c ON c.x = t.x LEFT JOIN t u ON u.x = c.r LEFT JOIN (SELECT a, count(*) AS n FROM l GROUP BY a) d ON d.a = t.x GROUP BY t.x),
+m AS (SELECT p.doc_id, p.i, p.x, h.head IS NOT NULL AND h.head <> p.doc_id * 1000000 + p.i AS gone, coalesce(h.links, 0) AS links FROM p LEFT JOIN h ON h.x = p.x),
+k AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_removed, sum(links) AS n_links, coalesce(string_agg(x, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '') AS kept FROM m GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, CAST(coalesce(n_links, 0) AS BIGINT) AS n_links, sha256(kept) AS kept_sha256 FROM documents d LEFT JOIN k USING (doc_id)
+"""

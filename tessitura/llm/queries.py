@@ -5,7 +5,7 @@ from __future__ import annotations
 from .decontaminate import OP1_SQL, op1_decontamination
 from .jpeg import op10_media
 from .language import op4_language
-from .lines import op9_line_dedup
+from .lines import OP9_SQL, op9_line_dedup
 from .mixing import op5_mixing
 from .neardup import op8_near_duplicates
 from .sharding import op2_sharding
@@ -25,4 +25,4 @@ QUERIES = {
     "op9_line_dedup": op9_line_dedup,
     "op10_media": op10_media,
 }
-ORACLE_SQL = {"op1_decontamination": OP1_SQL, "op3_suffix_dedup": OP3_SQL, "op7_urls": OP7_SQL}
+ORACLE_SQL = {"op1_decontamination": OP1_SQL, "op3_suffix_dedup": OP3_SQL, "op7_urls": OP7_SQL, "op9_line_dedup": OP9_SQL}

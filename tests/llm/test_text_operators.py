@@ -243,7 +243,7 @@ def test_similar_pairs_across_labels():
 # Lines -----------------------------------------------------------------------------------------------------------------
 
 
-def brute_lines(rows, shortest=20):
+def brute_lines(rows, shortest=0):
     order = [(i, k, x) for i, r in enumerate(rows) if r[1] is not None for k, x in enumerate(r[1].split("\n")) if x.strip(" \t\n\v\f\r")]
     texts = sorted({x for _, _, x in order})
     parent = {x: x for x in texts}
@@ -311,6 +311,34 @@ def test_dedup_lines_counts_every_link(spark):
         assert got == {r[0]: sum(many.get(x, 0) for x in r[1].split("\n")) for r in rows}
 
 
+def thue_morse(n=10):
+    """Two texts of 2**n characters that differ everywhere and that any polynomial hash modulo 2**64 takes for one."""
+    a, b = "a", "b"
+    for _ in range(n):
+        a, b = a + b, b + a
+    return a, b
+
+
+def test_lines_that_polynomials_modulo_two_to_the_64_confuse(spark):
+    a, b = thue_morse()
+    docs = spark.createDataFrame([(1, a, None, None, 0), (2, b, None, None, 0), (3, a, None, None, 0)], SCHEMA).coalesce(1)
+    assert {r.doc_id: r.n_removed for r in dedup_lines(docs).collect()} == {1: 0, 2: 0, 3: 1}
+
+
+def test_near_duplicates_that_polynomials_modulo_two_to_the_64_confuse(spark):
+    a, b = thue_morse()
+    rows = [(1, " ".join([a] * 9), None, None, 0), (2, " ".join([b] * 9), None, None, 0)]
+    assert len({r.class_id for r in near_duplicates(frame(spark, rows)).collect()}) == 2
+
+
+def test_dedup_lines_keeps_the_least_of_an_order_and_clashing_names(spark):
+    rows = [(5, "some line\nx", None, None, 0), (None, "some line", None, None, 0), (2, "some line", None, None, 0), (2, "some line", None, None, 0)]
+    docs = spark.createDataFrame(rows, SCHEMA).withColumns({"kept": F.lit(1), "_rid": F.lit("r"), "N_lines": F.lit(2)}).coalesce(1)
+    out = dedup_lines(docs, keep=tuple(docs.columns), order="doc_id")
+    assert {"kept", "_kept", "_rid", "N_lines", "_n_lines", "text"} <= set(out.columns)
+    assert sorted((r.doc_id or 0, r.n_removed) for r in out.collect()) == [(0, 1), (2, 0), (2, 1), (5, 1)]
+
+
 def test_op9_links_lines_of_any_length(spark, tmp_path):
     rows = [(1, "Read more\nlonger text of no other document here", None, None, 0), (2, "Read more.\nA line of 19 chars.", None, None, 0), (3, "A line of 19 chars..", None, None, 0)]
     spark.createDataFrame(rows, SCHEMA).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
@@ -319,7 +347,7 @@ def test_op9_links_lines_of_any_length(spark, tmp_path):
 
 def test_dedup_lines_edge_cases(spark):
     assert dedup_lines(frame(spark, [])).count() == 0
-    out = {r.doc_id: r for r in dedup_lines(spark.createDataFrame([(1, "", None, None, 0), (2, None, None, None, 0), (3, "a\na\n\n\nb", None, None, 0)], SCHEMA).coalesce(1)).collect()}
+    out = {r.doc_id: r for r in dedup_lines(spark.createDataFrame([(1, "", None, None, 0), (2, None, None, None, 0), (3, "a\na\n\n\nb", None, None, 0)], SCHEMA).coalesce(1), shortest=20).collect()}
     assert out[1].kept == "" and out[2].kept is None and out[3].kept == "a\n\n\nb"
 
 
