@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -28,9 +29,15 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share; only where the session names none is one made."""
+    """The folder that the driver and all executors share.
+
+    Where the session names none, a temporary one is made if the executors are threads of the driver; on a cluster that
+    would be a folder of each machine's own, so there it is an error.
+    """
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         at = tempfile.mkdtemp(prefix="tessitura-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
@@ -39,9 +46,18 @@ def shared_dir(spark: SparkSession) -> str:
 def saved(df: DataFrame) -> DataFrame:
     """df written once as Parquet to the shared folder and read back.
 
-    Cuts the lineage: executors lost later cost a re-read, not a recomputation.
+    Cuts the lineage: executors lost later cost a re-read, not a recomputation. Its folder is the frame's written_at.
     """
     spark = df.sparkSession
     at = f"{shared_dir(spark)}/tessitura-{uuid.uuid4().hex}"
     df.write.parquet(at)
-    return spark.read.schema(df.schema).parquet(at)
+    out = spark.read.schema(df.schema).parquet(at)
+    out.written_at = at
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes the folder of a frame of :func:`saved` that nothing reads any more."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df.written_at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
