@@ -14,7 +14,7 @@ from tessitura.llm import jpeg
 from tessitura.llm.language import Classifier, fit, held_out, identify
 from tessitura.llm.mixing import mix, mix_plan, targets
 from tessitura.llm.sharding import assign, communication_matrix, shard_rows
-from tessitura.llm.tokens import Counter, count_tokens, stable_starts
+from tessitura.llm.tokens import HUGE, Counter, count_tokens, op6_tokens, stable_starts
 from tessitura.llm.urls import RULES, filter_urls
 
 from .cases import SCHEMA, corpus, frame, prose
@@ -208,6 +208,20 @@ def test_count_tokens_edge_cases(spark, counter):
     assert count_tokens(frame(spark, []), TOKENIZER).count() == 0
 
 
+def test_op6_counts_whole_texts_of_any_length_as_the_library_does(spark, counter, tmp_path):
+    from .test_text_operators import thue_morse
+
+    rng = random.Random(31)
+    texts = [*thue_morse(), prose(rng, 30_000), prose(rng, 3_000), "x" * 20_000, "short one", "", None, *(" ".join(rng.choice(ODD) for _ in range(rng.randint(1, 4000))) for _ in range(6))]
+    docs = spark.createDataFrame([(i, t, None, None, 0) for i, t in enumerate(texts)], SCHEMA)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    want = {i: (len((t or "").encode()), n := len(counter.tokenizer.encode(t or "", add_special_tokens=False)), n > 1024) for i, t in enumerate(texts)}
+    assert {r.doc_id: (r.n_bytes, r.n_tokens, r.over_limit) for r in op6_tokens(spark, str(tmp_path)).collect()} == want
+    assert sum(v[0] > HUGE for v in want.values()) > 4
+    out = count_tokens(docs.withColumns({"n_tokens": F.lit("x"), "_text": F.lit(1)}), TOKENIZER, keep=("doc_id", "n_tokens", "_text", "text"), huge=100, chunk=50)
+    assert {r.doc_id: (r.n_bytes, r["_n_tokens"], r.over_limit) for r in out.collect()} == want and out.columns[:4] == ["doc_id", "n_tokens", "_text", "text"]
+
+
 # Urls ------------------------------------------------------------------------------------------------------------------
 
 
