@@ -7,9 +7,9 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import saved, shared_dir
+from ..session import discard, saved, shared_dir
 
-__all__ = ["beside", "free_name", "numbered", "packed", "partitions_for", "saved", "shared_dir", "table", "unit"]
+__all__ = ["beside", "discard", "free_name", "numbered", "packed", "partitions_for", "saved", "shared_dir", "table", "unit"]
 
 #: Logical operators under which a row number taken from a scan is the same in every execution.
 _REPLAYABLE = re.compile(r"^[\s:+\-]*(Project|Filter|Relation|LocalRelation|LogicalRDD|Union|SubqueryAlias|Range|View)\b")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import discard, saved
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -25,6 +25,9 @@ def components(links: DataFrame) -> DataFrame:
         # The label of the label is as of the last round: never above this round's.
         moved = saved(step.join(jump, step.label == jump.via, "left").select("node", "old", F.least("label", F.coalesce("beyond", "label")).alias("label")))
         changed = moved.where("label <> old").limit(1).count()
+        discard(labels)
         labels = moved.select("node", "label")
+        labels.written_at = moved.written_at
         if not changed:
+            discard(edges)
             return labels

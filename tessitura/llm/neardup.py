@@ -12,10 +12,12 @@ a shingle and a few for each register, not shingles times registers.
 Links. Equal texts are one node. Nodes that share a band (ROWS registers) are candidates: each is verified against its
 bucket's centre, the node with the most company over all its buckets (of near copies, that is the original rather than
 another copy), the multiset overlap counted exactly on the texts. Nodes linked that way are in one class. Where a
-bucket's nodes still are in several classes, the overlaps across these classes are counted within the bucket, by an
-inverted index of the nodes' shingles; only pairs that are similar enough leave it, to be verified on the texts. So every
-pair in any bucket is in one class already or has been counted, and no group's pairs are listed. At a similarity of
-0.8, a pair shares none of the 40 bands of 5 with probability 1.2e-7.
+bucket's nodes still are in several classes, each row is compared with those of other classes within the bucket by a
+prefix-filtered set join: rows' elements in order of rarity, candidates from the prefixes that two similar rows must
+share, overlaps counted exactly, and one link for two classes, after which they count as one. A bucket is dealt out in
+blocks of a bounded size; only the rows outside its largest class are sent to each block. So every pair in any bucket is
+in one class or has been counted, and no group's pairs are listed. At a similarity of 0.8, a pair shares none of the 40
+bands of 5 with probability 1.2e-7.
 """
 
 from __future__ import annotations
@@ -28,14 +30,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship
-from .common import numbered, partitions_for, saved, table
+from .common import discard, numbered, partitions_for, saved, table
 from .links import components
 from .textkit import mix, shingles, slices, utf8, words
 
 SIMILARITY, SHINGLE, BANDS, ROWS = 0.8, 5, 40, 5
-#: Overlaps within buckets are of 16-bit hashes, whose collisions only add to them; pairs this much under the similarity
-#: asked for are still verified.
-SLACK = 0.01
+#: Elements (shingles with repetitions) of a bucket's rows that make a block: 8 bytes each.
+BLOCK = 1 << 20
 #: Registers are filled by GROUPS processes, so that a text of few shingles takes fewer steps.
 GROUPS = 4
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -178,89 +179,130 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float, shingle: int
 
 
 def _elements(rows: DataFrame, shingle: int) -> DataFrame:
-    """(_rid, elements) of rows (_rid, text): 16-bit hashes of (shingle, how often it stood before), sorted, binary.
+    """(_rid, size, elements) of rows (_rid, text): 64-bit hashes of (shingle, how often it stood before), sorted, binary.
 
-    Two texts' elements overlap as their multisets of shingles do, or by more where hashes collide.
+    Two texts' elements overlap as their multisets of shingles do.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
+            out, sizes = [], []
             for i, j, part, at in slices(*utf8(batch.column("text"))):
                 row, word, _, _ = words(part, at)
                 row, s, count = multiset(*shingles(row, word, j - i, shingle))
                 own = np.repeat(np.arange(len(row)), count)
                 nth = np.arange(len(own)) - np.repeat(np.cumsum(count) - count, count)
-                value = (mix(s[own] + nth.astype(np.uint64) * _GOLDEN) >> np.uint64(48)).astype(np.uint16)
+                value = mix(s[own] + nth.astype(np.uint64) * _GOLDEN)
                 row = row[own]
                 order = np.lexsort((value, row))
-                ends = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=j - i))])
+                many = np.bincount(row, minlength=j - i)
+                ends = np.concatenate([[0], np.cumsum(many)])
                 value = value[order]
                 out += [value[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("_rid"), pa.array(out, pa.binary())], ["_rid", "elements"])
+                sizes.append(many)
+            yield pa.RecordBatch.from_arrays([batch.column("_rid"), pa.array(np.concatenate([*sizes, np.zeros(0, np.int64)]), pa.int64()), pa.array(out, pa.binary())], ["_rid", "size", "elements"])
 
-    return rows.select("_rid", "text").mapInArrow(run, "_rid long, elements binary")
+    return rows.select("_rid", "text").mapInArrow(run, "_rid long, size long, elements binary")
 
 
-def similar_pairs(label: np.ndarray, elements: list[bytes], least: float) -> tuple[np.ndarray, np.ndarray]:
-    """(i, j) of the rows of different labels that may have a Jaccard similarity of at least `least`, each pair once.
+def prefixes(elements: list[np.ndarray], similarity: float) -> list[np.ndarray]:
+    """Of each row the rarest elements (counted over these rows), so many that two similar rows share one of theirs."""
+    size = np.array([len(e) for e in elements])
+    value = np.concatenate(elements) if elements else np.zeros(0, np.uint64)
+    row = np.repeat(np.arange(len(elements)), size)
+    known, code, many = np.unique(value, return_inverse=True, return_counts=True)
+    order = np.lexsort((code, many[code], row))
+    ends = np.concatenate([[0], np.cumsum(size)])
+    take = size - np.ceil(similarity * size - 1e-9).astype(np.int64) + 1
+    return [known[code[order[a : a + n]]] for a, n in zip(ends[:-1], take, strict=True)] if len(known) else [value for _ in elements]
 
-    Rows of the label with the most rows are not compared with each other.
+
+def similar_links(homes: tuple[np.ndarray, list[bytes]], guests: tuple[np.ndarray, list[bytes]], similarity: float) -> list[tuple[int, int]]:
+    """(home, guest) of similar rows, enough to join all labels that any such pair joins; each side is (label, elements).
+
+    Rows whose labels are one already, by their own label or by links found before, are not compared.
     """
-    _, code, many = np.unique(label, return_inverse=True, return_counts=True)
-    order = np.lexsort((code, many[code]))  # rows of small labels first; the largest label's rows are last
-    outer, own = len(label) - int(many.max()), code[order]
-    size = np.array([len(elements[k]) // 2 for k in order])
-    value = np.frombuffer(b"".join(elements[k] for k in order), np.uint16)
-    row = np.repeat(np.arange(len(order)), size)
-    by_value = np.argsort(value, kind="stable")
-    posting, sorted_value = row[by_value], value[by_value]
-    low, high = np.searchsorted(sorted_value, value, "left"), np.searchsorted(sorted_value, value, "right")
-    begin = np.concatenate([[0], np.cumsum(size)])
-    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for i in range(outer):
-        a, n = low[begin[i] : begin[i + 1]], (high - low)[begin[i] : begin[i + 1]]
-        at = np.repeat(a - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
-        both = np.bincount(posting[at], minlength=len(order))
-        j = np.flatnonzero(both >= least * (size + size[i] - both))
-        j = j[(j > i) & (own[j] != own[i])]
-        left.append(np.full(len(j), order[i]))
-        right.append(order[j])
-    return np.concatenate(left), np.concatenate(right)
-
-
-def _across(rows: DataFrame, least: float) -> DataFrame:
-    """(a, b): similar pairs across classes within the buckets of rows (key, _rid, label, elements), sorted by key."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (up := parent.get(x, x)) != x:
+            parent[x] = parent.get(up, up)
+            x = up
+        return x
+
+    rows = [np.frombuffer(e, np.uint64) for e in (*homes[1], *guests[1])]
+    label = [int(x) for x in (*homes[0], *guests[0])]
+    first, n = prefixes(rows, similarity), len(homes[1])
+    size = np.array([len(r) for r in rows], np.int64)
+    key = np.concatenate([*first[:n], np.zeros(0, np.uint64)])
+    owner = np.repeat(np.arange(n), [len(f) for f in first[:n]])
+    order = np.argsort(key, kind="stable")
+    key, owner, links = key[order], owner[order], []
+    for g in range(n, len(rows)):
+        low, high = np.searchsorted(key, first[g], "left"), np.searchsorted(key, first[g], "right")
+        near = np.unique(np.concatenate([owner[a:b] for a, b in zip(low[high > low], high[high > low], strict=True)] or [np.zeros(0, np.int64)]))
+        near = near[(size[near] >= similarity * size[g] - 1e-9) & (size[g] >= similarity * size[near] - 1e-9)]
+        for h in near.tolist():
+            if root(label[h]) == root(label[g]):
+                continue
+            small, large = (rows[h], rows[g]) if size[h] < size[g] else (rows[g], rows[h])
+            at = np.minimum(np.searchsorted(large, small), len(large) - 1)
+            both = int((large[at] == small).sum())
+            if both >= (similarity - 1e-12) * (size[h] + size[g] - both):
+                parent[root(label[h])] = root(label[g])
+                links.append((h, g - n))
+    return links
+
+
+def _across(rows: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): links across classes within the cells of rows (key, c, g, guest, _rid, label, elements), sorted by cell."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def pairs(parts: list) -> pa.RecordBatch:
-            rid = np.concatenate([p[0] for p in parts])
-            i, j = similar_pairs(np.concatenate([p[1] for p in parts]), [e for p in parts for e in p[2]], least)
-            return pa.RecordBatch.from_arrays([pa.array(rid[i]), pa.array(rid[j])], ["a", "b"])
+        def links(held: list) -> pa.RecordBatch:
+            sides = [[r for r in held if r[3] == guest] for guest in (False, True)]
+            found = similar_links(*[(np.array([r[5] for r in side], np.int64), [r[6] for r in side]) for side in sides], similarity)
+            return pa.RecordBatch.from_arrays([pa.array([sides[k][x[k]][4] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
-        held, key = [], None
+        held: list = []
         for batch in batches:
-            keys, rid, label, elements = np.asarray(batch.column("key")), np.asarray(batch.column("_rid")), np.asarray(batch.column("label")), batch.column("elements").to_pylist()
-            edges = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
-            for a, b in zip(edges, np.append(edges[1:], len(keys)), strict=True):
-                if key != keys[a]:
-                    if held:
-                        yield pairs(held)
-                    held, key = [], keys[a]
-                held.append((rid[a:b], label[a:b], elements[a:b]))
+            for r in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if held and held[-1][:3] != r[:3]:
+                    yield links(held)
+                    held = []
+                held.append(r)
         if held:
-            yield pairs(held)
+            yield links(held)
 
-    return rows.select("key", "_rid", "label", "elements").mapInArrow(run, "a long, b long")
+    return rows.select("key", "c", "g", "guest", "_rid", "label", "elements").mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE, bands: int = BANDS, per_band: int = ROWS, rid: str | None = None) -> DataFrame:
-    """(_rid, doc_id, class_id, n_links, first) for each row of docs (doc_id, text and more).
+def _cells(unsettled: DataFrame, elements: DataFrame, block: int) -> DataFrame:
+    """unsettled (key, _rid, label) in cells (key, c, g) with elements, so that rows of different labels meet in one.
 
-    class_id: the least doc_id of the row's class; n_links: other texts that the row's text was verified to be linked
-    with; first: whether the row is its class's first by doc_id (null last), then by its place. _rid is docs' column
-    rid, unique for each row, or else the number that :func:`numbered` gives to it. Equal texts are in one class. A text of fewer words than a shingle is one
-    shingle; texts without words are linked with equal texts only; a null text is a class of its own.
+    A bucket's rows are homes in one of its blocks c each; its rows outside the largest label are guests too, in one of
+    the guests' blocks g each. A cell holds the homes of c and the guests of g.
+    """
+    weighed = unsettled.join(elements.select("_rid", "size"), "_rid")
+    by_label = weighed.groupBy("key", "label").agg(F.sum("size").alias("w"))
+    blocks = F.greatest(F.lit(1), F.ceil(F.col("w") / block)).cast("int")
+    most = F.max(F.struct("w", "label"))
+    shape = by_label.groupBy("key").agg(most["label"].alias("top"), F.sum("w").alias("w"), (F.sum("w") - most["w"]).alias("outside"))
+    shape = saved(shape.select("key", "top", blocks.alias("cs"), F.greatest(F.lit(1), F.ceil(F.col("outside") / block)).cast("int").alias("gs")))
+    rows = unsettled.join(shape, "key")
+    c, g = F.pmod(F.xxhash64("_rid"), F.col("cs")).cast("int"), F.pmod(F.xxhash64(F.lit(3), "_rid"), F.col("gs")).cast("int")
+    homes = rows.select("key", c.alias("c"), F.explode(F.expr("sequence(0, gs - 1)")).alias("g"), F.lit(False).alias("guest"), "_rid", "label")
+    guests = rows.where("label <> top").select("key", F.explode(F.expr("sequence(0, cs - 1)")).alias("c"), g.alias("g"), F.lit(True).alias("guest"), "_rid", "label")
+    return homes.union(guests).join(elements.select("_rid", "elements"), "_rid")
+
+
+def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE, bands: int = BANDS, per_band: int = ROWS, rid: str | None = None, block: int = BLOCK) -> DataFrame:
+    """(_rid, doc_id, class_id, head_id, first) for each row of docs (doc_id, text and more).
+
+    first: whether the row is its class's first by doc_id (null last), then by its place. class_id: the _rid of that row,
+    so classes stay apart where ids are null or repeat; head_id: its doc_id. _rid is docs' column rid, unique for each
+    row, or else the number that :func:`numbered` gives to it, which is the same as long as the scan's splits are. Equal
+    texts are in one class. A text of fewer words than a shingle is one shingle; texts without words are linked with
+    equal texts only; a null text is a class of its own.
     """
     ship(docs.sparkSession)
     told = docs.select("doc_id", "text", F.col(rid).alias("_rid")) if rid else numbered(docs.select("doc_id", "text"))
@@ -278,27 +320,30 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, shingle: in
     company = members.groupBy("_rid").agg(F.sum("n").alias("company"))
     centres = members.join(company, "_rid").groupBy("key").agg(F.max(F.struct("company", -F.col("_rid"))).alias("top")).select("key", (-F.col("top.col2")).alias("leader"))
     centred = saved(members.drop("n").join(centres, "key"))
+    discard(members)
     links = saved(verified(centred.where("_rid <> leader").select(F.col("_rid").alias("a"), F.col("leader").alias("b")).distinct(), texts, similarity, shingle))
     labels = components(links)
-    # Buckets whose nodes are in several classes still.
+    # Buckets whose nodes are in several classes still; of buckets with the same nodes one is enough.
     held = centred.join(labels, centred._rid == labels.node, "left").select("key", "_rid", F.coalesce("label", "_rid").alias("label"))
-    mixed = held.groupBy("key").agg((F.min("label") < F.max("label")).alias("open")).where("open").select("key")
-    unsettled = saved(held.join(mixed, "key", "left_semi"))
-    elements = _elements(texts.join(unsettled.select("_rid").distinct(), "_rid", "left_semi"), shingle)
-    unsettled = unsettled.join(saved(elements), "_rid")
-    dealt = unsettled.repartition(partitions_for(docs.sparkSession), "key").sortWithinPartitions("key")
-    more = saved(verified(_across(dealt, similarity - SLACK).distinct(), texts, similarity, shingle))
+    number = [F.bit_xor(F.xxhash64(F.lit(k), "_rid")).alias(f"x{k}") for k in (1, 2)]
+    mixed = held.groupBy("key").agg((F.min("label") < F.max("label")).alias("open"), F.count(F.lit(1)).alias("n"), *number).where("open")
+    once = saved(mixed.groupBy("n", "x1", "x2").agg(F.min("key").alias("key")).select("key"))
+    unsettled = saved(held.join(once, "key", "left_semi"))
+    elements = saved(_elements(texts.join(unsettled.select("_rid").distinct(), "_rid", "left_semi"), shingle))
+    dealt = _cells(unsettled, elements, block).repartition(partitions_for(docs.sparkSession), "key", "c", "g").sortWithinPartitions("key", "c", "g")
+    more = saved(_across(dealt, similarity).distinct())
     if more.limit(1).count():
-        links = links.union(more)
-        labels = components(links)
-    degree = links.select(F.col("a").alias("node")).union(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
-    known = saved(nodes.join(labels, "node", "left").join(degree, "node", "left").select("h1", "h2", "head", F.coalesce("label", "node").alias("label"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")))
+        labels = components(links.union(more))
+    for done in (texts, centred, unsettled, elements):
+        discard(done)
+    known = saved(nodes.join(labels, "node", "left").select("h1", "h2", "head", F.coalesce("label", "node").alias("label")))
     heads = known.groupBy("label").agg(F.min("head").alias("head"))
     known = known.drop("head").join(heads, "label")
     placed = signed.select("_rid", "doc_id", "h1", "h2").join(known, ["h1", "h2"], "left")
     alone = F.col("head").isNull()
-    return placed.select("_rid", "doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("head.doc_id")).alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), (alone | (F.col("_rid") == F.col("head._rid"))).alias("first"))
+    return placed.select("_rid", "doc_id", F.coalesce("head._rid", "_rid").alias("class_id"), F.when(alone, F.col("doc_id")).otherwise(F.col("head.doc_id")).alias("head_id"), (alone | (F.col("_rid") == F.col("head._rid"))).alias("first"))
 
 
 def op8_near_duplicates(spark, sf_dir: str) -> DataFrame:
+    """One row for each document, by :func:`near_duplicates` with its defaults: its class, and the least doc_id in it."""
     return near_duplicates(table(spark, sf_dir, "documents")).drop("_rid")

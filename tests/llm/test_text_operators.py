@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tessitura.llm import textkit as T
 from tessitura.llm.decontaminate import decontaminate
 from tessitura.llm.lines import dedup_lines, op9_line_dedup, within_one
-from tessitura.llm.neardup import near_duplicates, overlaps, signatures, similar_pairs
+from tessitura.llm.neardup import near_duplicates, op8_near_duplicates, overlaps, signatures, similar_links
 from tessitura.llm.suffixes import BlindTrie, cut_repeats, repeats
 
 from .cases import SCHEMA, corpus, frame, prose, words_of
@@ -182,7 +182,7 @@ def brute_classes(rows, similarity=0.8):
     return sorted((tuple(sorted(g, key=key)) for g in groups.values()), key=key)
 
 
-def test_near_duplicates_equal_brute_force(spark):
+def near_rows():
     rng = random.Random(7)
     rows = corpus(4)
     base = prose(rng, 300).split(" ")
@@ -192,22 +192,58 @@ def test_near_duplicates_equal_brute_force(spark):
             copy[rng.randrange(len(copy))] = f"edit{rng.random()}"
         rows.append((300 + i, " ".join(copy), None, None, 0))
     rows.append((299, " ".join(base), None, None, 0))
-    rows = [(i, *r[1:]) for i, r in enumerate(rows)]
-    out = near_duplicates(frame(spark, rows)).collect()
+    return [(i, *r[1:]) for i, r in enumerate(rows)]
+
+
+@pytest.mark.parametrize("block", [1 << 20, 300])
+def test_near_duplicates_equal_brute_force(spark, block):
+    rows = near_rows()
+    out = near_duplicates(frame(spark, rows), block=block).collect()
     groups = collections.defaultdict(list)
     for r in out:
         groups[r.class_id].append(r.doc_id)
     assert sorted((tuple(sorted(g, key=key)) for g in groups.values()), key=key) == brute_classes(rows)
-    assert sum(r["first"] for r in out) == len(groups) and all(r["first"] == (r.doc_id == r.class_id) for r in out)
+    assert sum(r["first"] for r in out) == len(groups) and all(r["first"] == (r.doc_id == r.head_id) for r in out)
+
+
+def test_op8_finds_the_classes_of_brute_force(spark, tmp_path):
+    rows = near_rows()
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    groups = collections.defaultdict(list)
+    for r in op8_near_duplicates(spark, str(tmp_path)).collect():
+        groups[r.class_id].append(r.doc_id)
+    assert sorted((tuple(sorted(g, key=key)) for g in groups.values()), key=key) == brute_classes(rows)
 
 
 def test_near_duplicates_edge_cases(spark):
     rows = [(5, "!!!", None, None, 0), (4, "!!!", None, None, 0), (3, "???", None, None, 0), (2, None, None, None, 0), (1, None, None, None, 0), (None, "one two three", None, None, 0), (9, "One, two three", None, None, 0), (9, "one two three", None, None, 0)]
-    out = sorted(((r.doc_id, r.class_id) for r in near_duplicates(frame(spark, rows)).collect()), key=key)
+    out = sorted(((r.doc_id, r.head_id) for r in near_duplicates(frame(spark, rows)).collect()), key=key)
     assert out == sorted([(5, 4), (4, 4), (3, 3), (2, 2), (1, 1), (None, 9), (9, 9), (9, 9)], key=key)
     assert near_duplicates(frame(spark, [])).count() == 0
 
 
+def test_near_duplicates_with_repeated_and_null_ids_stay_apart(spark):
+    rng = random.Random(3)
+    one, two, three = (prose(rng, 40) for _ in range(3))
+    rows = [(1, one, None, None, 0), (1, two, None, None, 0), (2, one, None, None, 0), (None, three, None, None, 0), (None, None, None, None, 0), (None, None, None, None, 0)]
+    groups = collections.defaultdict(list)
+    for r in near_duplicates(frame(spark, rows).withColumn("class_id", F.lit(0))).collect():
+        groups[r.class_id].append((r.doc_id, r["first"]))
+    assert sorted(map(sorted, groups.values()), key=key) == sorted([[(1, True), (2, False)], [(1, True)], [(None, True)], [(None, True)], [(None, True)]], key=key)
+
+
+def test_near_duplicates_of_very_long_texts(spark):
+    rng = random.Random(8)
+    words = [prose(rng, 1) for _ in range(5000)]
+    long = [rng.choice(words) for _ in range(300_000)]
+    other = list(long)
+    for _ in range(4000):
+        other[rng.randrange(len(other))] = "changed"
+    far = [rng.choice(words) for _ in range(300_000)]
+    rows = [(1, " ".join(long), None, None, 0), (2, " ".join(other), None, None, 0), (3, " ".join(far), None, None, 0)]
+    assert {r.doc_id: r.head_id for r in near_duplicates(frame(spark, rows)).collect()} == {1: 1, 2: 1, 3: 3}
+
+
 def test_signatures_estimate_weighted_jaccard():
     a = np.array([5, 1, 1, 3, 40, 2, 7, 1] * 10)
     b = np.array([3, 1, 2, 3, 30, 9, 0, 1] * 10)
@@ -231,13 +267,31 @@ def test_overlaps_count_multisets():
         assert g == pytest.approx(sum((p & q).values()) / sum((p | q).values()))
 
 
-def test_similar_pairs_across_labels():
+def test_similar_links_join_what_similar_pairs_join():
     rng = np.random.default_rng(1)
-    sets = [np.unique(np.concatenate([np.arange(80), rng.integers(100, 1000, k)])).astype(np.uint16) for k in (5, 9, 40, 200, 12)]
-    label = np.array([1, 1, 2, 3, 4])
-    i, j = similar_pairs(label, [s.tobytes() for s in sets], 0.6)
-    want = {(a, b) for a in range(5) for b in range(a + 1, 5) if label[a] != label[b] and len(np.intersect1d(sets[a], sets[b])) / len(np.union1d(sets[a], sets[b])) >= 0.6}
-    assert {(min(x), max(x)) for x in zip(i.tolist(), j.tolist())} == want
+    for trial in range(30):
+        base = [rng.integers(0, 1 << 60, 60).astype(np.uint64) for _ in range(3)]
+        sets = [np.unique(np.concatenate([base[rng.integers(3)][: rng.integers(50, 61)], rng.integers(0, 1 << 60, rng.integers(1, 16)).astype(np.uint64)])) for _ in range(24)]
+        label = rng.integers(0, 6, 24)
+        a, b = list(range(14)), list(range(14, 24))
+        found = similar_links((label[a], [sets[k].tobytes() for k in a]), (label[b], [sets[k].tobytes() for k in b]), 0.8)
+
+        def classes(pairs):
+            own = {int(x): {int(x)} for x in label}
+            for i, j in pairs:
+                both = own[int(label[i])] | own[int(label[j])]
+                for x in both:
+                    own[x] = both
+            return {frozenset(v) for v in own.values()}
+
+        similar = [(i, j) for i in a for j in b if len(np.intersect1d(sets[i], sets[j])) / len(np.union1d(sets[i], sets[j])) >= 0.8]
+        assert set(links := [(a[i], b[j]) for i, j in found]) <= set(similar) and classes(links) == classes(similar) and len(found) <= 5
+
+
+def test_classes_of_hundreds_are_linked_once():
+    common = np.arange(1, 101, dtype=np.uint64)
+    sides = [(np.full(300, k), [np.append(common, np.uint64(1000 + 300 * k + i)).tobytes() for i in range(300)]) for k in range(2)]
+    assert len(similar_links(*sides, 0.8)) == 1
 
 
 # Lines -----------------------------------------------------------------------------------------------------------------
