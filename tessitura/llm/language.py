@@ -1,8 +1,9 @@
 """Language ID by compression: the language whose dictionary encodes the text in the fewest bytes.
 
 Fitting takes a bounded sample of labelled documents: for each language the ones first in a seeded hash order of their
-ids, SAMPLE_DOCS of them at most, from which DICTIONARIES raw-content zstandard dictionaries of DICTIONARY_BYTES each
-are cut, every document giving a short excerpt of about its share. Texts are lower-cased and runs of other characters than letters become a space. A text is encoded in blocks of
+ids and texts, SAMPLE_DOCS of them at most, each giving a short excerpt of about its share, from a hashed place in the
+whole text, to DICTIONARIES raw-content zstandard dictionaries of DICTIONARY_BYTES each. Beyond FULL_LANGUAGES languages
+both bounds fall in proportion, so that all languages are learned and what reaches the driver stays bounded. Texts are lower-cased and runs of other characters than letters become a space. A text is encoded in blocks of
 BLOCK_BYTES, each on its own, so that a long text can't live off its own repetitions and every block asks the
 dictionary again; a language's cost is the sum over the blocks. The smallest cost wins and the score is the margin to the
 next language. Every text, of whatever length, is put to all the dictionaries of each language, and the cost is their
@@ -31,8 +32,10 @@ from pyspark.sql.window import Window as W
 from ..session import ship
 from .common import free_name, table
 
-#: Bounds of the fitted sample: documents and languages, and bytes and number of each language's dictionaries.
-SAMPLE_DOCS, MOST_LANGUAGES, DICTIONARY_BYTES, DICTIONARIES = 600, 256, 64 << 10, 4
+#: Bounds of the fitted sample: documents of a language, and bytes and number of its dictionaries.
+SAMPLE_DOCS, DICTIONARY_BYTES, DICTIONARIES = 600, 64 << 10, 4
+#: Languages up to which these hold, and beyond which lang is taken for something else and refused.
+FULL_LANGUAGES, MOST_LANGUAGES = 256, 8192
 #: Bytes of a document in the dictionaries: its share of them, and no more than the second where documents are few.
 LEAST_EXCERPT, MOST_EXCERPT = DICTIONARY_BYTES * DICTIONARIES // SAMPLE_DOCS, DICTIONARY_BYTES // 16
 BLOCK_BYTES, LEAST_BYTES = 2048, 48
@@ -60,45 +63,48 @@ class Fitted(dict):
 
 
 def fit(docs: DataFrame, seed: int = 41) -> Fitted:
-    """Dictionaries by language from (doc_id, text, lang); only SAMPLE_DOCS documents a language come to the driver, and
-    a quarter as many for the margins.
+    """Dictionaries by language from (doc_id, text, lang).
 
-    Of more than MOST_LANGUAGES languages the most frequent are learned.
+    Only the sampled documents' excerpts come to the driver: SAMPLE_DOCS documents a language, and a quarter as many for
+    the margins. Rows that are equal in id, text and language count once. More than MOST_LANGUAGES languages are a
+    ValueError. No learnable rows give no languages.
     """
-    learnable = docs.where(F.col("lang").isNotNull() & ~held_out("doc_id")).withColumn("h", F.xxhash64(F.lit(seed), "doc_id"))
-    # Of a language with many documents, those with the least hashes suffice: about twice as many as are wanted.
-    counts = {r.lang: r.n for r in learnable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()}
+    learnable = docs.where(F.col("lang").isNotNull() & ~held_out("doc_id"))
+    counts = {r.lang: r.n for r in learnable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MOST_LANGUAGES + 1).collect()}
     if not counts:
         return Fitted()
-    wanted = SAMPLE_DOCS * CALIBRATE_EVERY // (CALIBRATE_EVERY - 1)
-    share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, 2.0 * wanted / n))])
-    few = learnable.where(F.shiftrightunsigned("h", 11) / F.lit(float(1 << 53)) < F.try_element_at(share, F.col("lang"))).select("lang", "doc_id", "h")
-    chosen = few.withColumn("n", F.row_number().over(W.partitionBy("lang").orderBy("h", "doc_id"))).where(F.col("n") <= wanted)
-    picked = chosen.select("lang", "doc_id", (F.col("n") % CALIBRATE_EVERY == 0).alias("aside")).limit(wanted * MOST_LANGUAGES).collect()
-    ids = sorted({r.doc_id for r in picked})
-    if not ids:
-        return Fitted()
-    learned = {(r.lang, r.doc_id) for r in picked if not r.aside}
-    aside = {(r.lang, r.doc_id) for r in picked if r.aside} - learned
-    # No document gives more than MOST_EXCERPT bytes; what isn't letters shrinks, so some more is fetched.
-    part = F.substring("text", 1, 2 * MOST_EXCERPT)
-    rows = learnable.where(F.col("doc_id").isin(ids) & F.col("text").isNotNull()).select("lang", "doc_id", "h", part.alias("text")).collect()
+    if len(counts) > MOST_LANGUAGES:
+        raise ValueError(f"lang has more than {MOST_LANGUAGES} values")
+    part = min(1.0, FULL_LANGUAGES / len(counts))
+    size, learned = int(DICTIONARY_BYTES * part), max(DICTIONARIES, int(SAMPLE_DOCS * part))
+    wanted = learned * CALIBRATE_EVERY // (CALIBRATE_EVERY - 1)
+    each = max(1, CALIBRATION_DOCS // len(counts))
+    # Of a language with many documents, those with the least hashes suffice: about twice as many as are wanted.
+    by_lang = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, 2.0 * wanted / n))])
+    h, spare = F.xxhash64(F.lit(seed), "doc_id", "text"), F.greatest(F.length("text") - 2 * MOST_EXCERPT, F.lit(0)) + 1
+    few = learnable.where(F.col("text").isNotNull()).withColumn("h", h).where(F.shiftrightunsigned("h", 11) / F.lit(float(1 << 53)) < F.try_element_at(by_lang, F.col("lang")))
+    # What isn't letters shrinks, so more is fetched than an excerpt has.
+    few = few.select("lang", "h", F.substring("text", F.pmod(F.xxhash64(F.lit(seed + 1), "h"), spare).cast("int") + 1, F.lit(2 * MOST_EXCERPT)).alias("text"))
+    few = few.groupBy("lang", "h").agg(F.min("text").alias("text"))
+    ranked = few.withColumn("n", F.row_number().over(W.partitionBy("lang").orderBy("h"))).where(F.col("n") <= wanted).withColumn("aside", F.col("n") % CALIBRATE_EVERY == 0)
+    ranked = ranked.withColumn("all", F.count(F.lit(1)).over(W.partitionBy("lang"))).where(~F.col("aside") | (F.col("n") <= each * CALIBRATE_EVERY))
+    share = F.greatest(F.lit(LEAST_EXCERPT), F.least(F.lit(MOST_EXCERPT), F.lit(size * DICTIONARIES * 2) / F.col("all")))
+    rows = ranked.select("lang", "n", "aside", F.when(F.col("aside"), F.col("text")).otherwise(F.substring(F.col("text"), F.lit(1), (2 * share).cast("int"))).alias("text")).collect()
     bodies: dict[str, list[bytes]] = {}
     tests: dict[str, list[str]] = {}
-    for r in sorted(rows, key=lambda r: (r.lang, r.h, r.doc_id, r.text)):
-        if (r.lang, r.doc_id) in aside:
+    for r in sorted(rows, key=lambda r: (r.lang, r.n)):
+        if r.aside:
             tests.setdefault(r.lang, []).append(r.text)
         else:
             bodies.setdefault(r.lang, []).append(normalised(r.text))
     out = Fitted()
     for lang, parts in sorted(bodies.items()):
-        share = min(MOST_EXCERPT, max(LEAST_EXCERPT, DICTIONARY_BYTES * DICTIONARIES // len(parts)))
-        parts = [p[:share] for p in parts]
+        own = min(MOST_EXCERPT, max(LEAST_EXCERPT, size * DICTIONARIES // len(parts)))
+        parts = [p[:own] for p in parts]
         # Dealt to the dictionaries in turn, so that each has a sample of its own.
-        made = [b" ".join(parts[i::DICTIONARIES])[:DICTIONARY_BYTES] for i in range(DICTIONARIES)]
+        made = [b" ".join(parts[i::DICTIONARIES])[:size] for i in range(DICTIONARIES)]
         out[lang] = [m for m in made if len(m) >= 8] or [b" ".join(parts).ljust(8)]
-    each = max(1, CALIBRATION_DOCS // max(1, len(out)))
-    out.margins = calibrated(out, [(lang, t) for lang, texts in sorted(tests.items()) for t in texts[:each]])
+    out.margins = calibrated(out, [(lang, t) for lang, texts in sorted(tests.items()) for t in texts])
     return out
 
 
@@ -165,7 +171,7 @@ def identify(docs: DataFrame, dictionaries: dict[str, list[bytes]], text: str =
     """
     ship(docs.sparkSession)
     names = [free_name(docs, n) for n in ("lang_pred", "score", "rejected")]
-    shared = docs.sparkSession.sparkContext.broadcast(dictionaries)  # bounded by MOST_LANGUAGES and DICTIONARY_BYTES
+    shared = docs.sparkSession.sparkContext.broadcast(dictionaries)  # 64 MB at most: FULL_LANGUAGES x DICTIONARIES x DICTIONARY_BYTES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classifier = Classifier(shared.value)
@@ -179,6 +185,7 @@ def identify(docs: DataFrame, dictionaries: dict[str, list[bytes]], text: str =
 
 
 def op4_language(spark, sf_dir: str) -> DataFrame:
+    """One row for each document, by :func:`fit` on the learnable ones and :func:`identify` on all; a null doc_id is held out."""
     docs = table(spark, sf_dir, "documents")
     found = identify(docs.select("doc_id", "text"), fit(docs))
     return found.select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score", "rejected")

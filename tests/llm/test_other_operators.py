@@ -157,6 +157,22 @@ def test_language_rejects_junk_and_languages_left_out(spark):
     assert np.mean([r.rejected for r in one if r.lang is None]) >= 0.9 and np.mean([r.rejected for r in one if r.lang]) <= 0.05
 
 
+def test_language_fits_every_language_and_repeated_rows_count_once(spark, monkeypatch):
+    from tessitura.llm import language
+
+    rows = labelled(300)
+    hot = [(7, "the tion ing " * 50, "aa", "s", 0)] * 2000  # one id and text, many rows
+    made = fit(frame(spark, rows + hot))
+    assert set(made) == {"aa", "bb", "cc"} and sum(d.count(b"the tion ing the tion ing the tion ing the") for d in made["aa"]) <= 1200
+    assert all(len(set(d.split())) > 50 for d in made["aa"])
+    monkeypatch.setattr(language, "FULL_LANGUAGES", 1)
+    small = fit(frame(spark, rows))
+    assert set(small) == {"aa", "bb", "cc"} and all(len(d) <= language.DICTIONARY_BYTES // 3 for own in small.values() for d in own)
+    monkeypatch.setattr(language, "MOST_LANGUAGES", 2)
+    with pytest.raises(ValueError, match="more than 2 values"):
+        fit(frame(spark, rows))
+
+
 def test_language_edge_cases(spark):
     learned = fit(frame(spark, labelled()))
     rows = [(1, None, "aa", None, 0), (2, "", "aa", None, 0), (3, "123 !?", "aa", None, 0), (4, "the tion " * 30_000, None, None, 0)]
