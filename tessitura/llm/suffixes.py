@@ -35,7 +35,7 @@ from ..session import ship
 from .common import beside, numbered, packed, partitions_for, saved, table
 from .textkit import gram_hash, mix, prefix_hash, slices, span_hash, utf8
 
-LENGTH, GRAM, SHALLOW, HOT = 200, 48, 32, 4_000
+LENGTH, GRAM, SHALLOW, HOT = 200, 48, 32, 20_000
 _PLACE = 21
 _CHUNK = 1 << 20
 _FIRST, _COUNT = (1 << 40) - 1, (1 << 12) - 1
@@ -279,8 +279,9 @@ _SEGMENT = ("g", "kh", "sh", "_rid", "p", "many", "ahead", "single", "seg")
 
 
 def _fetch(texts: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """The segments wanted (_rid, g, kh, sh, loc, single, alone) with their place and bytes, from texts (_rid, _text).
+    """The segments wanted (_rid, g, kh, sh, loc, single, alone) with their place and bytes.
 
+    They are taken from texts (_rid, _text), or from segments that were fetched before and hold them (_rid, p, many, seg).
     g: the group to sort it in; single: whether it is the only occurrence; alone: whether its group has no other segment
     than it and its second occurrence. Then the suffix at its first window is sorted for all (many is 1), since the two
     suffixes' common prefix tells how much of the segment repeats.
@@ -290,19 +291,23 @@ def _fetch(texts: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, offsets = utf8(batch.column("_text"))
-            rids = batch.column("_rid").to_pylist()
+            rids, bases, held = (batch.column(c).to_pylist() for c in ("_rid", "base", "held"))
             for i in range(batch.num_rows):
                 data = raw[offsets[i] : offsets[i + 1]].tobytes()
                 out = []
                 for x in batch.column("wanted")[i].as_py():
                     loc = x["loc"]
                     p, many, ahead = loc & _FIRST, loc >> 40 & _COUNT, loc >> 52
-                    out.append((x["g"], x["kh"], x["sh"], rids[i], p, 1 if x["alone"] else many, ahead, x["single"], data[p : p + many - 1 + length]))
+                    if not bases[i] <= p < bases[i] + held[i]:
+                        continue
+                    out.append((x["g"], x["kh"], x["sh"], rids[i], p, 1 if x["alone"] else many, ahead, x["single"], data[p - bases[i] : p - bases[i] + many - 1 + length]))
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary())
                 for s in range(0, len(out), 4096):
                     yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out[s : s + 4096]], t) for k, t in enumerate(kinds)], list(_SEGMENT))
 
-    return texts.join(by_text, "_rid").select("_rid", "_text", "wanted").mapInArrow(run, "g long, kh long, sh long, _rid long, p long, many int, ahead int, single boolean, seg binary")
+    again = "seg" in texts.columns
+    source = texts.select("_rid", F.col("seg" if again else "_text").alias("_text"), (F.col("p") if again else F.lit(0).cast("long")).alias("base"), (F.col("many").cast("long") if again else F.lit(_FIRST).cast("long")).alias("held"))
+    return source.join(by_text, "_rid").select("_rid", "_text", "base", "held", "wanted").mapInArrow(run, "g long, kh long, sh long, _rid long, p long, many int, ahead int, single boolean, seg binary")
 
 
 def _sorted(texts: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
@@ -368,11 +373,12 @@ def cut_repeats(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("d
     runs = whole.union(sorted_.where("kh is null").select("_rid", "a", "b"))
     if any_hot:
         fine = grouped.where("hot").select("one._rid", F.lit(0).cast("long").alias("g"), "kh", "sh", "one.loc", (F.col("c") == 1).alias("single"), F.lit(False).alias("alone"))
-        windows = saved(_windows(_fetch(texts, fine, length), length))
+        fine = saved(_fetch(texts, fine, length))
+        windows = saved(_windows(fine, length))
         place = F.struct("_rid", (F.col("a") + F.lit(1 << 40)).alias("loc"))  # one window, no distance
         again = windows.groupBy("kh", "sh").agg(F.count(F.lit(1)).alias("n"), F.max("single").alias("asked"), F.min(place).alias("one"), F.max(place).alias("two")).where("n > 1 and asked")
         pairs = again.select("kh", "sh", _twice("one", "two").alias("at")).select("at._rid", F.col("kh").alias("g"), "kh", "sh", "at.loc", F.lit(False).alias("single"), F.lit(True).alias("alone"))
-        equal = _sorted(texts, pairs, length).where("kh is not null").select("kh", "sh").distinct()
+        equal = _sorted(fine, pairs, length).where("kh is not null").select("kh", "sh").distinct()
         ends = windows.where("single").join(equal, ["kh", "sh"], "left_semi").select("_rid", "a", (F.col("a") + length).alias("b"))
         runs = runs.union(ends)
     runs = runs.groupBy("_rid").agg(F.collect_list(F.struct("a", "b")).alias("runs"))
