@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from ..session import ship
-from .common import table
+from .common import free_name, table
 
 #: Rules of one index file: 2**24 digests are 128 MB.
 SEGMENT = 1 << 24
@@ -130,7 +130,8 @@ def filter_urls(pages: DataFrame, rules: Iterable[tuple[str, str, str]] = RULES,
 
     A rule (verdict, host, path prefix) fits its host and all subdomains; the longest that fits wins; a url that none
     fits is allowed, since the list names what to block. Null urls and urls without :// have empty host and path and
-    no rule. pages must have none of the four names.
+    no rule. The four names get an underscore before them where pages has them. Nulls, repeated rows and urls of any
+    length are judged row by row; no rows give no rows.
     """
     ship(pages.sparkSession)
     context = pages.sparkSession.sparkContext
@@ -141,19 +142,21 @@ def filter_urls(pages: DataFrame, rules: Iterable[tuple[str, str, str]] = RULES,
             if not os.path.exists(SparkFiles.get(f"{os.path.basename(stem)}.{kind}")):
                 context.addFile(f"{stem}.{kind}")
     names = [os.path.basename(stem) for stem in stems]
-    parsed = pages.withColumn("host", host(F.col(url))).withColumn("path", path(F.col(url)))
+    at = [free_name(pages, n) for n in ("host", "path", "rule", "verdict")]
+    parsed = pages.select("*", host(F.col(url)).alias(at[0]), path(F.col(url)).alias(at[1]))
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         indexes = [DigestIndex(SparkFiles.get(name)) for name in names]
         for batch in batches:
-            rule, verdict = judge(batch.column("host").to_pylist(), batch.column("path").to_pylist(), indexes, lengths)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rule, pa.string()), pa.array([v or "allow" for v in verdict], pa.string())], [*batch.schema.names, "rule", "verdict"])
+            rule, verdict = judge(batch.column(at[0]).to_pylist(), batch.column(at[1]).to_pylist(), indexes, lengths)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rule, pa.string()), pa.array([v or "allow" for v in verdict], pa.string())], [*batch.schema.names, *at[2:]])
 
-    schema = StructType([*parsed.schema.fields, StructField("rule", StringType()), StructField("verdict", StringType())])
+    schema = StructType([*parsed.schema.fields, *[StructField(n, StringType()) for n in at[2:]]])
     return parsed.mapInArrow(probe, schema)
 
 
 def op7_urls(spark, sf_dir: str) -> DataFrame:
+    """One row for each page, by :func:`filter_urls` with RULES."""
     return filter_urls(table(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict")
 
 

@@ -264,6 +264,8 @@ def test_urls_equal_brute_force(spark):
     pages = spark.createDataFrame([(i, f"http://www.site{i * 7}.com/{'p' * (i % 4)}/x") for i in range(800)], "page_id long, url string")
     got = [(r.url, r.host, r.path, r.rule, r.verdict) for r in filter_urls(pages, many).collect()]
     assert sorted(got) == sorted((r.url, *brute_url(r.url, many)) for r in pages.collect()) if all(g[3] for g in got) else {tuple(g) for g in got} == {(r.url, *brute_url(r.url, many)) for r in pages.collect()}
+    clash = filter_urls(pages.withColumns({"Host": F.lit("h"), "rule": F.lit("r")}).union(spark.createDataFrame([(1, "http://a.com/de/" + "x" * 100_000, "h", "r")], "page_id long, url string, Host string, rule string"))).collect()
+    assert all((r.Host, r.rule, r["_host"], r.path, r["_rule"], r.verdict) == ("h", "r", *brute_url(r.url, RULES)) for r in clash)
     assert filter_urls(pages.limit(0)).count() == 0 and filter_urls(pages, []).where("rule is not null").count() == 0
 
 
