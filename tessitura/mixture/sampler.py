@@ -47,11 +47,11 @@ class Cluster:
 
 
 def superclusters(clusters: list[Cluster], prior: ConjugatePrior, rng: np.random.Generator) -> list[int]:
-    """A group for each component: each draws one neighbour by divergence, and linked ones are one group."""
+    """A group for each component: each draws one other component by divergence, and linked ones are one group."""
     k = len(clusters)
     if k <= 3:
         return [0] * k
-    d = np.array([[0.0 if i == j else prior.divergence(a.params, b.params) for j, b in enumerate(clusters)] for i, a in enumerate(clusters)])
+    d = np.array([[math.inf if i == j else prior.divergence(a.params, b.params) for j, b in enumerate(clusters)] for i, a in enumerate(clusters)])
     parent = list(range(k))
 
     def root(i: int) -> int:
@@ -107,12 +107,11 @@ class Chain:
         self._recount(k)
 
     def _drop_empty(self) -> None:
-        kept = [i for i, c in enumerate(self.clusters) if c.n > 0]
-        if self.kind == "finite" or len(kept) == len(self.clusters):
+        self.kept = kept = [i for i, c in enumerate(self.clusters) if c.n > 0 or self.kind == "finite"]
+        if len(kept) == len(self.clusters):
             return
-        self._pending = {i: n for n, i in enumerate(kept)}
         self.clusters = [self.clusters[i] for i in kept]
-        number = F.create_map(*[F.lit(v) for kv in self._pending.items() for v in kv])
+        number = F.create_map(*[F.lit(v) for n, i in enumerate(kept) for v in (i, n)])
         self.points = self.points.withColumn("z", F.element_at(number, F.col("z")))
 
     # Moves ---------------------------------------------------------------------------------------------------------
@@ -169,7 +168,7 @@ class Chain:
         """Pairs in random order; the first accepted merge of a component counts. The two become the merged one's sides."""
         k = len(self.clusters)
         free, moves, gone = set(range(k)), {}, set()
-        pairs = [(i, j) for i in range(k) for j in range(i + 1, k) if groups is None or len(groups) != k or groups[i] == groups[j]]
+        pairs = [(i, j) for i in range(k) for j in range(i + 1, k) if groups is None or groups[i] == groups[j]]
         for i, j in (pairs[p] for p in rng.permutation(len(pairs))):
             if i in free and j in free:
                 a, b = self.clusters[i], self.clusters[j]
@@ -203,8 +202,11 @@ class Chain:
                 weights[new] = (i, c.log_weight)
         self._apply_splits(k, moves, weights)
 
-    def propose_random_splits(self, rng: np.random.Generator) -> None:
-        """Every component is cut by coin flips, all in one pass; the ratio pays for the choice of the flips."""
+    def propose_random_splits(self, rng: np.random.Generator) -> list[int]:
+        """Every component is cut by coin flips, all in one pass; the ratio pays for the choice of the flips.
+
+        Returns the components that were split, in the order of the new ones.
+        """
         k, step = len(self.clusters), self.step
         shares = np.array([rng.beta(self.alpha / 2 + 1e-9, self.alpha / 2 + 1e-9) for _ in range(k)])
         share = F.element_at(F.array(*[F.lit(float(s)) for s in shares]), F.col("z") + 1)
@@ -215,7 +217,7 @@ class Chain:
             stats.setdefault(r.z, [np.zeros(self.prior.size), np.zeros(self.prior.size)])[r.side] = np.array(r.stat)
         accepted = [i for i, (a, b) in stats.items() if a[0] > 0 and b[0] > 0 and math.log(rng.random()) < log_split_ratio(self.prior, a, b, self.alpha) + LOG_RANDOM]
         if not accepted:
-            return
+            return []
         number = {i: k + n for n, i in enumerate(sorted(accepted))}
         new = F.create_map(*[F.lit(v) for kv in number.items() for v in kv])
         taken = F.col("z").isin(accepted)
@@ -226,6 +228,7 @@ class Chain:
             self.clusters.append(Cluster(stats[i], self.clusters[i].params, list(self.clusters[i].side_params), self.clusters[i].log_weight - math.log(2)))
             self.clusters[i].log_weight -= math.log(2)
         self._recount(len(self.clusters))
+        return sorted(accepted)
 
     def _apply_splits(self, k: int, moves: dict, weights: dict[int, tuple[int, float]]) -> None:
         if not moves:
@@ -246,9 +249,11 @@ class Chain:
         self.sample_params(rng)
         groups = superclusters(self.clusters, self.prior, rng) if self.grouped and self.kind == "dp" else None
         self.sample_labels(groups)
+        groups = groups and [groups[i] for i in self.kept]  # components that died in this sweep are gone
         if self.kind == "dp":
             if rng.random() < 0.01:
-                self.propose_random_splits(rng)
+                halves = self.propose_random_splits(rng)
+                groups = groups and groups + [groups[i] for i in halves]
             self.propose_merges(rng, groups)
             self.propose_splits(rng)
         self.trace.append((self.step, time.monotonic() - began, self.log_likelihood(), len([c for c in self.clusters if c.n > 0]), int(max(c.n for c in self.clusters))))

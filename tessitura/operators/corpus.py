@@ -231,7 +231,7 @@ def threshold_cells(items: DataFrame, cell: list[str], lower: int = 1, upper: in
     return ranked.drop("_n")
 
 
-def lowest(rows: DataFrame, by: str, n: int = 100_000) -> DataFrame:
+def lowest(rows: DataFrame, by: str | Column, n: int = 100_000) -> DataFrame:
     """The n rows with the lowest value: each task keeps n at most, no full sort."""
     return rows.orderBy(by).limit(n)
 

@@ -167,10 +167,10 @@ def balanced_split(spark, sf):
 
 @query()
 def greedy_match(spark, sf):
-    """Suppliers (small) matched with customers (big) of their nation's region by balance."""
+    """Suppliers (small, by half their balance) matched with customers (big) of their nation's region by balance."""
     nation = _t(spark, sf, "nation").select("n_nationkey", F.col("n_regionkey").alias("gender"))
     big = _t(spark, sf, "customer").where("c_acctbal > 0").join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey")).select("gender", F.col("c_custkey").alias("spk"), F.col("c_acctbal").alias("amount"))
-    small = _t(spark, sf, "supplier").where("s_acctbal > 0 and s_acctbal < 9000").join(F.broadcast(nation), F.col("s_nationkey") == F.col("n_nationkey")).select("gender", F.col("s_suppkey").alias("spk"), F.col("s_acctbal").alias("amount"))
+    small = _t(spark, sf, "supplier").where("s_acctbal > 0").join(F.broadcast(nation), F.col("s_nationkey") == F.col("n_nationkey")).select("gender", F.col("s_suppkey").alias("spk"), (F.col("s_acctbal") / 2).alias("amount"))
     return corpus.match_speakers(big, small)
 
 
@@ -186,7 +186,7 @@ def threshold_cells(spark, sf):
 @query("SELECT l_orderkey, l_linenumber, l_extendedprice FROM lineitem ORDER BY l_extendedprice, l_orderkey, l_linenumber LIMIT 1000")
 def lowest_posteriors(spark, sf):
     rows = _t(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice")
-    return rows.orderBy("l_extendedprice", "l_orderkey", "l_linenumber").limit(1000)
+    return corpus.lowest(rows, F.struct("l_extendedprice", "l_orderkey", "l_linenumber"), 1000)
 
 
 @query("SELECT p_type AS value, count(*) AS n FROM part GROUP BY 1")
@@ -748,7 +748,7 @@ def supercluster_gibbs(spark, sf):
 def matching_corpora(spark, sf):
     """Customers' orders as utterances, matched with suppliers' line items and trimmed to them."""
     big = _t(spark, sf, "orders").select(F.col("o_orderkey").cast("string").alias("utt"), F.col("o_custkey").cast("string").alias("spk"), F.col("o_orderstatus").alias("rec"), F.col("o_orderdate").alias("start"), F.col("o_totalprice").alias("duration"))
-    small = _t(spark, sf, "lineitem").where("l_suppkey <= 10").select(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("utt"), F.col("l_suppkey").cast("string").alias("spk"), F.col("l_returnflag").alias("rec"), F.col("l_shipdate").alias("start"), (F.col("l_extendedprice") / 20).alias("duration"))
+    small = _t(spark, sf, "lineitem").select(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("utt"), F.col("l_suppkey").cast("string").alias("spk"), F.col("l_returnflag").alias("rec"), F.col("l_shipdate").alias("start"), (F.col("l_extendedprice") / 100).alias("duration"))
     with_gender = lambda u: corpus.speaker_amount(u).withColumn("gender", F.when(F.col("spk").cast("int") % 2 == 0, "f").otherwise("m"))
     matches = corpus.match_speakers(with_gender(big), with_gender(small))
     a, b = corpus.matching_corpora(big, small, matches)

@@ -142,3 +142,12 @@ def test_collapsed_samplers(spark, blobs):
     assert out["count"].sum() == 90 and out.groupby("z")["count"].max().sum() >= 85
     swept = sequential.supercluster_sweep(some.drop("chain").withColumn("z", F.col("truth")), prior, groups=2)
     assert swept.count() == 90 and swept.select("pid").distinct().count() == 90
+
+
+def test_every_supercluster_has_two_components():
+    prior = NormalInverseWishart(np.zeros(1), np.eye(1))
+    clusters = [Cluster([np.zeros(prior.size), np.zeros(prior.size)], (np.array([3.0 * i]), np.eye(1))) for i in range(8)]
+    for seed in range(50):
+        sizes = np.bincount(superclusters(clusters, prior, np.random.default_rng(seed)))
+        assert sizes.min() >= 2 and len(sizes) <= 4
+    assert superclusters(clusters[:3], prior, np.random.default_rng(0)) == [0, 0, 0]
