@@ -82,10 +82,26 @@ def diagonal_log_density(x: Column, mean: Column, var: Column) -> Column:
     return -0.5 * (C.total(z) + F.size(x) * math.log(2 * math.pi))
 
 
+#: Bytes of means and variances up to which a model is sent to all tasks as one row.
+MODEL_BYTES = 64 << 20
+
+
 def diagonal_posteriors(points: DataFrame, model: DataFrame, key: str, x: str = "x") -> DataFrame:
-    """(key, component, post) for diagonal components (component, log_weight, mean, var), native."""
-    joint = points.select(key, x).crossJoin(F.broadcast(model.hint("broadcast"))).withColumn("_j", F.col("log_weight") + diagonal_log_density(F.col(x), F.col("mean"), F.col("var")))
-    joint = joint.groupBy(key).agg(F.max("_j").alias("_m"), F.collect_list(F.struct("component", "_j")).alias("_all"))
+    """(key, component, post) for diagonal components (component, log_weight, mean, var), native.
+
+    A model of MODEL_BYTES at most is measured, packed into one row and sent to all tasks, so that a point's posteriors are
+    added up within its row and no point is exchanged. Larger ones are joined unpacked and added up by key, which must
+    then be unique.
+    """
+    size = model.agg(F.sum(16 * F.size("mean") + 32)).first()[0] or 0
+    if size <= MODEL_BYTES:
+        all_of = model.agg(F.sort_array(F.collect_list(F.struct("component", "log_weight", "mean", "var"))).alias("_model"))
+        joint = F.transform("_model", lambda c: F.struct(c["component"].alias("component"), (c["log_weight"] + diagonal_log_density(F.col(x), c["mean"], c["var"])).alias("_j")))
+        joint = points.select(key, x).crossJoin(F.broadcast(all_of)).select(key, joint.alias("_all"))
+        joint = joint.withColumn("_m", F.array_max(F.transform("_all", lambda c: c["_j"])))
+    else:
+        joint = points.select(key, x).crossJoin(model).withColumn("_j", F.col("log_weight") + diagonal_log_density(F.col(x), F.col("mean"), F.col("var")))
+        joint = joint.groupBy(key).agg(F.max("_j").alias("_m"), F.collect_list(F.struct("component", "_j")).alias("_all"))
     total = F.aggregate("_all", F.lit(0.0), lambda s, c: s + F.exp(c["_j"] - F.col("_m")))
     return joint.withColumn("_t", total).select(key, "_m", "_t", F.explode("_all").alias("c")).select(key, "c.component", (F.exp(F.col("c._j") - F.col("_m")) / F.col("_t")).alias("post"))
 

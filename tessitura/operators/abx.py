@@ -46,6 +46,18 @@ def needed_pairs(task: DataFrame) -> DataFrame:
     return pairs.select(F.least("p", "q").alias("i"), F.greatest("p", "q").alias("j")).where("i < j").distinct()
 
 
+def task_pairs(items: DataFrame, on: str, by: list[str], key: str = "id") -> DataFrame:
+    """needed_pairs(triplets(items, on, by)) without making a triplet: quadratic in a cell, not cubic. Ids are unique.
+
+    A pair of one category is asked for if the cell has another category, a pair of two if one of them has two items.
+    """
+    # the cell's window first: its exchange serves the other window and the join
+    sized = items.select(*by, on, F.col(key).alias("i")).withColumn("_all", F.count(F.lit(1)).over(W.partitionBy(*by))).withColumn("_n", F.count(F.lit(1)).over(W.partitionBy(*by, on)))
+    other = sized.select(*by, F.col(on).alias("_on2"), F.col("_n").alias("_n2"), F.col("i").alias("j"))
+    asked = F.when(F.col(on) == F.col("_on2"), F.col("_all") > F.col("_n")).otherwise(F.greatest("_n", "_n2") > 1)
+    return sized.join(other, by).where("i < j").where(asked).select("i", "j")
+
+
 def vector_distances(pairs: DataFrame, vectors: DataFrame, distance: str = "cos", key: str = "id", x: str = "x") -> DataFrame:
     """(i, j, d) for items of one vector each."""
     return _beside(pairs, vectors, key, x).select("i", "j", FRAME_DISTANCES[distance](F.col("xi"), F.col("xj")).alias("d"))
@@ -55,27 +67,30 @@ def _beside(pairs: DataFrame, vectors: DataFrame, key: str, x: str) -> DataFrame
     return pairs.join(vectors.select(F.col(key).alias("i"), F.col(x).alias("xi")), "i").join(vectors.select(F.col(key).alias("j"), F.col(x).alias("xj")), "j")
 
 
-def _frame_matrix(x: np.ndarray, y: np.ndarray, distance: str) -> np.ndarray:
+def _frame_distances(x: np.ndarray, y: np.ndarray, distance: str) -> np.ndarray:
+    """Distances of all frames of x[p] to all of y[p], for every pair p (pairs x frames x dimensions)."""
+    t = lambda m: m.transpose(0, 2, 1)
     if distance == "cos":
-        unit = lambda m: m / np.linalg.norm(m, axis=1, keepdims=True)
-        return np.arccos(np.clip(unit(x) @ unit(y).T, -1, 1)) / np.pi
+        unit = lambda m: m / np.linalg.norm(m, axis=2, keepdims=True)
+        return np.arccos(np.clip(unit(x) @ t(unit(y)), -1, 1)) / np.pi
     if distance == "kl":
         lx, ly = np.log(x), np.log(y)
-        return (x * lx).sum(1)[:, None] - x @ ly.T + (y * ly).sum(1)[None, :] - lx @ y.T
-    return np.sqrt(np.maximum(0, (x * x).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2 * x @ y.T))
+        return (x * lx).sum(2)[:, :, None] - x @ t(ly) + (y * ly).sum(2)[:, None, :] - lx @ t(y)
+    return np.sqrt(np.maximum(0, (x * x).sum(2)[:, :, None] + (y * y).sum(2)[:, None, :] - 2 * x @ t(y)))
 
 
-def warped(x: np.ndarray, y: np.ndarray, distance: str = "cos", normalised: bool = True) -> float:
-    """Dynamic time warping: the least sum of frame distances along a path, over the path's length if normalised.
+def warped_pairs(x: np.ndarray, y: np.ndarray, distance: str = "cos", normalised: bool = True) -> np.ndarray:
+    """Dynamic time warping of each x[p] with y[p]: the least sum of frame distances along a path, over the path's length
+    if normalised.
 
-    Filled one anti-diagonal at a time. Of paths with the same sum, the shortest counts.
+    All pairs step together, one anti-diagonal at a time. Of paths with the same sum, the shortest counts.
     """
-    n, m = len(x), len(y)
+    (pairs, n, _), m = x.shape, y.shape[1]
     if not n or not m:
-        return float("nan")
-    d = _frame_matrix(np.asarray(x, float), np.asarray(y, float), distance)
-    cost = np.full((n + 1, m + 1), np.inf)
-    steps = np.zeros((n + 1, m + 1))
+        return np.full(pairs, np.nan)
+    d = _frame_distances(x, y, distance)
+    cost = np.full((n + 1, m + 1, pairs), np.inf)
+    steps = np.zeros((n + 1, m + 1, pairs))
     cost[0, 0] = 0.0
     for s in range(2, n + m + 1):
         i = np.arange(max(1, s - m), min(n, s - 1) + 1)
@@ -83,13 +98,27 @@ def warped(x: np.ndarray, y: np.ndarray, distance: str = "cos", normalised: bool
         before = np.stack([cost[i - 1, j - 1], cost[i - 1, j], cost[i, j - 1]])
         length = np.stack([steps[i - 1, j - 1], steps[i - 1, j], steps[i, j - 1]])
         least = before.min(0)
-        cost[i, j] = least + d[i - 1, j - 1]
+        cost[i, j] = least + d[:, i - 1, j - 1].T
         steps[i, j] = np.where(before == least, length, np.inf).min(0) + 1
-    return float(cost[n, m] / steps[n, m] if normalised else cost[n, m])
+    return cost[n, m] / steps[n, m] if normalised else cost[n, m]
+
+
+def warped(x: np.ndarray, y: np.ndarray, distance: str = "cos", normalised: bool = True) -> float:
+    """:func:`warped_pairs` of one pair; nan where a sequence has no frames."""
+    if not len(x) or not len(y):
+        return float("nan")
+    return float(warped_pairs(np.asarray(x, float)[None], np.asarray(y, float)[None], distance, normalised)[0])
+
+
+#: Cells (pairs x frames x frames) that step together in a task, at most: three such arrays of doubles are held.
+CELLS = 1 << 21
 
 
 def sequence_distances(pairs: DataFrame, sequences: DataFrame, distance: str = "cos", normalised: bool = True, key: str = "id", x: str = "x") -> DataFrame:
-    """(i, j, d) by warping for items of a sequence of frames each (array<array<double>>); `dur`: difference in frames."""
+    """(i, j, d) by warping for items of a sequence of frames each (array<array<double>>); `dur`: difference in frames.
+
+    d is null where a sequence is null or has no frames.
+    """
     both = _beside(pairs, sequences, key, x)
     if distance == "dur":
         return both.select("i", "j", C.duration_distance(F.col("xi"), F.col("xj")).cast("double").alias("d"))
@@ -97,14 +126,25 @@ def sequence_distances(pairs: DataFrame, sequences: DataFrame, distance: str = "
 
     @F.pandas_udf("double")
     def dtw(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([warped(np.stack(p), np.stack(q), distance, normalised) if len(p) and len(q) else np.nan for p, q in zip(a, b, strict=True)])
+        out = np.full(len(a), np.nan)
+        shapes: dict[tuple[int, int], list[int]] = {}
+        for row, (p, q) in enumerate(zip(a, b, strict=True)):
+            if p is not None and q is not None and len(p) and len(q):
+                shapes.setdefault((len(p), len(q)), []).append(row)
+        for (n, m), rows in shapes.items():  # pairs of the same lengths step together
+            size = max(1, CELLS // (n * m))
+            for at in (rows[k : k + size] for k in range(0, len(rows), size)):
+                out[at] = warped_pairs(np.array([np.stack(a[r]) for r in at], float), np.array([np.stack(b[r]) for r in at], float), distance, normalised)
+        return pd.Series(out)
 
     return both.select("i", "j", dtw("xi", "xj").alias("d"))
 
 
-def all_pairs(items: DataFrame, key: str = "id") -> DataFrame:
-    """(i, j), i < j, of a stated, small set of stimuli (each pair is asked for)."""
-    return items.select(F.col(key).alias("i")).join(items.select(F.col(key).alias("j")), F.col("i") < F.col("j"))
+def all_pairs(items: DataFrame, key: str = "id", by: list[str] | None = None) -> DataFrame:
+    """(i, j), i < j, of a stated, small set of stimuli (each pair is asked for), or of each `by` cell's."""
+    by = by or []
+    left, right = items.select(*by, F.col(key).alias("i")), items.select(*by, F.col(key).alias("j"))
+    return (left.join(right, by).where("i < j") if by else left.join(right, F.col("i") < F.col("j"))).select("i", "j")
 
 
 def scored(task: DataFrame, distances: DataFrame, win: float = 1.0, tie: float = 0.0, lose: float = -1.0) -> DataFrame:

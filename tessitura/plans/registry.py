@@ -183,10 +183,10 @@ def threshold_cells(spark, sf):
     return corpus.threshold_cells(items, ["l_suppkey", "l_returnflag"], 2, 5, F.struct("l_orderkey", "l_linenumber"))
 
 
-@query("SELECT l_orderkey, l_linenumber, l_extendedprice FROM lineitem ORDER BY l_extendedprice, l_orderkey, l_linenumber LIMIT 1000")
+@query("SELECT l_orderkey, l_linenumber, l_extendedprice FROM lineitem ORDER BY l_extendedprice, l_orderkey, l_linenumber LIMIT 100000")
 def lowest_posteriors(spark, sf):
     rows = _t(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice")
-    return corpus.lowest(rows, F.struct("l_extendedprice", "l_orderkey", "l_linenumber"), 1000)
+    return corpus.lowest(rows, F.struct("l_extendedprice", "l_orderkey", "l_linenumber"))
 
 
 @query("SELECT p_type AS value, count(*) AS n FROM part GROUP BY 1")
@@ -361,14 +361,14 @@ def mean_of_means(spark, sf):
 
 
 @query("""
-WITH b AS (SELECT l_returnflag AS model_type, l_quantity AS v, b.boot_id, (l_orderkey * 31 + l_linenumber * 17 + b.boot_id * 13) % 4 AS times FROM lineitem, (SELECT unnest(range(20)) AS boot_id) b),
+WITH b AS (SELECT l_returnflag AS model_type, l_quantity AS v, b.boot_id, (l_orderkey * 31 + l_linenumber * 17 + b.boot_id * 13) % 4 AS times FROM lineitem, (SELECT unnest(range(1000)) AS boot_id) b),
 s AS (SELECT model_type, boot_id, sum(v * times) / sum(times) AS v FROM b WHERE times > 0 GROUP BY 1, 2),
 e AS (SELECT l_returnflag AS model_type, avg(l_quantity) AS v FROM lineitem GROUP BY 1)
 SELECT e.model_type, round(e.v, 6) AS v, round(d.std, 6) AS std FROM e LEFT JOIN (SELECT model_type, stddev_samp(v) AS std FROM s GROUP BY 1) d USING (model_type)
 """)
 def bootstrap_std(spark, sf):
     rows = _t(spark, sf, "lineitem").select(F.col("l_returnflag").alias("model_type"), F.col("l_quantity").alias("v"), (F.col("l_orderkey") * 31 + F.col("l_linenumber") * 17).alias("k"))
-    boots = summaries.bootstrap(rows, 20, F.col("k"), weight=lambda b, k: (k + b * 13) % 4).groupBy("model_type", "boot_id").agg(summaries.weighted_mean("v").alias("v"))
+    boots = summaries.bootstrap(rows, 1000, F.col("k"), weight=lambda b, k: (k + b * 13) % 4).groupBy("model_type", "boot_id").agg(summaries.weighted_mean("v").alias("v"))
     return summaries.with_std(summaries.mean_by(rows, ["model_type"], ["v"]), boots, ["model_type"], "v").select("model_type", _r("v").alias("v"), _r("std").alias("std"))
 
 
@@ -467,10 +467,10 @@ def parameter_grid(spark, sf):
 
 
 def _items(spark, sf):
-    return _t(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("phone"), (F.col("vec_id") % 25).alias("speaker"), F.transform("embedding", lambda v: v.cast("double")).alias("x"))
+    return _t(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("phone"), (F.col("vec_id") % 5).alias("speaker"), F.transform("embedding", lambda v: v.cast("double")).alias("x"))
 
 
-_ITEMS = "items AS (SELECT vec_id AS id, label AS phone, vec_id % 25 AS speaker, CAST(embedding AS DOUBLE[]) AS x FROM embeddings)"
+_ITEMS = "items AS (SELECT vec_id AS id, label AS phone, vec_id % 5 AS speaker, CAST(embedding AS DOUBLE[]) AS x FROM embeddings)"
 _TASK = "task AS (SELECT a.speaker, a.id AS a, b.id AS b, x.id AS x, a.phone AS on_a, b.phone AS on_b FROM items a JOIN items x ON x.speaker = a.speaker AND x.phone = a.phone AND x.id <> a.id JOIN items b ON b.speaker = a.speaker AND b.phone <> a.phone)"
 
 
@@ -479,7 +479,7 @@ WITH i AS (SELECT vec_id % 5 AS speaker, label AS phone, count(*) AS n FROM embe
 SELECT speaker, CAST(sum(n) AS BIGINT) AS n_items, count(*) AS n_levels, CAST(sum(n * (n - 1) * (al - n)) AS BIGINT) AS n_triplets FROM t GROUP BY 1
 """)
 def abx_triplet_counts(spark, sf):
-    return abx.triplet_counts(_items(spark, sf).withColumn("speaker", F.col("id") % 5), "phone", ["speaker"])
+    return abx.triplet_counts(_items(spark, sf), "phone", ["speaker"])
 
 
 @query(f"WITH {_ITEMS}, {_TASK} SELECT * FROM task")
@@ -495,42 +495,59 @@ SELECT on_a, on_b, round(avg(CASE WHEN da < db THEN 1.0 WHEN da > db THEN -1.0 E
 def abx_scored_cos(spark, sf):
     items = _items(spark, sf)
     task = abx.triplets(items, "phone", ["speaker"])
-    distances = abx.vector_distances(abx.needed_pairs(task), items, "cos").withColumn("d", _r("d", 9))
+    distances = abx.vector_distances(abx.task_pairs(items, "phone", ["speaker"]), items, "cos").withColumn("d", _r("d", 9))
     return abx.analysed(abx.scored(task, distances), []).select("on_a", "on_b", _r("score").alias("score"), "n", _r("error").alias("error"))
 
 
-def _near_pairs(spark, sf):
-    i = _items(spark, sf)
-    return i.select(F.col("id").alias("i"), (F.col("id") + 1).alias("j")).join(i.select(F.col("id").alias("j")), "j").select("i", "j")
+_ASKED = "asked AS (SELECT least(a, x) AS i, greatest(a, x) AS j FROM task UNION SELECT least(b, x), greatest(b, x) FROM task)"
+_NEAR = _TASK + ", " + _ASKED + ", near AS (SELECT i, j, p.x AS x, q.x AS y FROM asked JOIN items p ON p.id = i JOIN items q ON q.id = j)"
 
 
-_NEAR = "near AS (SELECT p.id AS i, q.id AS j, p.x AS x, q.x AS y FROM items p JOIN items q ON q.id = p.id + 1)"
+def _asked(items):
+    """The pairs whose distance the task (phones within speakers) asks for."""
+    return abx.task_pairs(items, "phone", ["speaker"])
+
+
+@query(f"WITH {_ITEMS}, {_TASK}, {_ASKED} SELECT i, j FROM asked")
+def abx_pairs(spark, sf):
+    return _asked(_items(spark, sf))
+
+
+@query("SELECT a.vec_id AS i, b.vec_id AS j, round(list_distance(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS d FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id AND a.label = b.label")
+def stimulus_pairs(spark, sf):
+    """All pairs of a phone's stimuli."""
+    items = _items(spark, sf)
+    pairs = abx.all_pairs(items, by=["phone"])
+    return abx.vector_distances(pairs, items, "euc").withColumn("d", _r("d"))
 
 
 @query(f"WITH {_ITEMS}, {_NEAR} SELECT i, j, round(list_distance(x, y), 6) AS d FROM near")
 def pairwise_euclid(spark, sf):
-    return abx.vector_distances(_near_pairs(spark, sf), _items(spark, sf), "euc").withColumn("d", _r("d"))
+    items = _items(spark, sf)
+    return abx.vector_distances(_asked(items), items, "euc").withColumn("d", _r("d"))
 
 
 @query(f"WITH {_ITEMS}, {_NEAR} SELECT i, j, round(acos(greatest(-1, least(1, list_cosine_similarity(x, y)))) / pi(), 6) AS d FROM near")
 def pairwise_angular(spark, sf):
-    return abx.vector_distances(_near_pairs(spark, sf), _items(spark, sf), "cos").withColumn("d", _r("d"))
+    items = _items(spark, sf)
+    return abx.vector_distances(_asked(items), items, "cos").withColumn("d", _r("d"))
 
 
 @query(f"""
-WITH {_ITEMS}, s AS (SELECT id, list_transform(x, lambda v: exp(v)) AS e FROM items), n AS (SELECT id, list_transform(e, lambda v: v / list_sum(e)) AS p FROM s)
-SELECT a.id AS i, b.id AS j, round(list_sum(list_transform(range(1, 65), lambda k: (a.p[k] - b.p[k]) * (ln(a.p[k]) - ln(b.p[k])))), 6) AS d FROM n a JOIN n b ON b.id = a.id + 1
+WITH {_ITEMS}, {_TASK}, {_ASKED}, s AS (SELECT id, list_transform(x, lambda v: exp(v)) AS e FROM items), n AS (SELECT id, list_transform(e, lambda v: v / list_sum(e)) AS p FROM s)
+SELECT a.id AS i, b.id AS j, round(list_sum(list_transform(range(1, 65), lambda k: (a.p[k] - b.p[k]) * (ln(a.p[k]) - ln(b.p[k])))), 6) AS d FROM asked JOIN n a ON a.id = i JOIN n b ON b.id = j
 """)
 def pairwise_kl(spark, sf):
     soft = _items(spark, sf).withColumn("x", C.softmax(F.col("x")))
-    return abx.vector_distances(_near_pairs(spark, sf), soft, "kl").withColumn("d", _r("d"))
+    return abx.vector_distances(_asked(soft), soft, "kl").withColumn("d", _r("d"))
 
 
 @query()
 def dtw_distance(spark, sf):
-    """Warped angular distance of neighbouring vectors cut into eight frames of eight."""
+    """Warped angular distance of the task's pairs, each vector cut into eight frames of eight."""
     cut = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: F.slice("x", k * 8 + 1, F.lit(8)))
-    return abx.sequence_distances(_near_pairs(spark, sf), _items(spark, sf).withColumn("x", cut), "cos").withColumn("d", _r("d"))
+    items = _items(spark, sf).withColumn("x", cut)
+    return abx.sequence_distances(_asked(items), items, "cos").withColumn("d", _r("d"))
 
 
 @query("SELECT event_id, user_id, event_type AS phone, lag(event_type) OVER w AS prev_phone, lead(event_type) OVER w AS next_phone FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)")
@@ -571,18 +588,27 @@ def gmm_suffstats(spark, sf):
     return s.withColumns({"sum": _r("sum"), "sum_sq": _r("sum_sq")})
 
 
-def _points8(spark, sf):
-    """Eight-dimensional points labelled by class."""
-    return _t(spark, sf, "embeddings").select(F.col("vec_id").alias("pid"), F.transform(F.slice("embedding", 1, 8), lambda v: v.cast("double")).alias("x"), F.col("label").alias("z"))
+#: Coordinates of an embedding.
+_DIM = 64
+
 
+def _points(spark, sf):
+    """Whole vectors as points labelled by class."""
+    return _t(spark, sf, "embeddings").select(F.col("vec_id").alias("pid"), F.transform("embedding", lambda v: v.cast("double")).alias("x"), F.col("label").alias("z"))
 
-@query("SELECT label AS z, count(*) AS n, round(sum(CAST(embedding[1] AS DOUBLE)), 6) AS s1, round(sum(CAST(embedding[1] AS DOUBLE) * CAST(embedding[2] AS DOUBLE)), 6) AS s12 FROM embeddings GROUP BY 1")
+
+@query("SELECT label AS z, CAST(g AS INTEGER) AS i, CAST(h AS INTEGER) AS j, count(*) AS n, round(sum(CAST(embedding[g] AS DOUBLE) * CAST(embedding[h] AS DOUBLE)), 6) AS s FROM embeddings, (SELECT unnest(range(1, 65)) AS g), (SELECT unnest(range(1, 65)) AS h) GROUP BY 1, 2, 3")
 def full_suffstats(spark, sf):
+    """Each class's matrix of second moments."""
+    s = _class_stats(spark, sf).select("z", F.element_at("stat", 1).cast("long").alias("n"), F.posexplode(F.slice("stat", 2 + _DIM, _DIM * _DIM)).alias("at", "s"))
+    return s.select("z", (F.floor(F.col("at") / _DIM) + 1).cast("int").alias("i"), (F.col("at") % _DIM + 1).cast("int").alias("j"), "n", _r("s").alias("s"))
+
+
+def _class_stats(spark, sf):
     from ..mixture.priors import NormalInverseWishart
     import numpy as np
 
-    s = mix.component_stats(_points8(spark, sf).withColumn("side", F.lit(0)), NormalInverseWishart(np.zeros(8), np.eye(8)))
-    return s.select("z", F.element_at("stat", 1).cast("long").alias("n"), _r(F.element_at("stat", 2)).alias("s1"), _r(F.element_at("stat", 11)).alias("s12"))
+    return mix.component_stats(_points(spark, sf).withColumn("side", F.lit(0)), NormalInverseWishart(np.zeros(_DIM), np.eye(_DIM)))
 
 
 @query("SELECT p_brand, p_size, CAST(sum(l_quantity) AS BIGINT) AS n FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1, 2")
@@ -610,33 +636,45 @@ def dirichlet_marginal(spark, sf):
 
 
 @query("""
-WITH n AS (SELECT label, count(*) AS n, avg(CAST(embedding[1] AS DOUBLE)) AS m, sum(CAST(embedding[1] AS DOUBLE)) AS t, sum(CAST(embedding[1] AS DOUBLE) ** 2) AS q FROM embeddings GROUP BY 1),
-p AS (SELECT n, 1.0 + n AS kappa, 4.0 + n AS nu, t / (1.0 + n) AS theta, q AS q FROM n),
-s AS (SELECT n, kappa, nu, 4.0 + q - kappa * theta * theta AS scale FROM p),
-m AS (SELECT n, -n / 2.0 * ln(pi()) + lgamma(nu / 2) - lgamma(2.0) + 2.0 * ln(4.0) - nu / 2 * ln(scale) - 0.5 * ln(kappa) AS ml FROM s)
-SELECT round(lgamma(1.0) - lgamma(1.0 + sum(n)) + sum(lgamma(n) + ml), 4) AS value FROM m
+WITH x AS (SELECT label, CAST(g AS INTEGER) AS dim, CAST(embedding[g] AS DOUBLE) AS v FROM embeddings, (SELECT unnest(range(1, 65)) AS g)),
+n AS (SELECT label, dim, count(*) AS n, sum(v) AS t, sum(v * v) AS q FROM x GROUP BY 1, 2),
+p AS (SELECT dim, n, 1.0 + n AS kappa, 4.0 + n AS nu, t / (1.0 + n) AS theta, q FROM n),
+s AS (SELECT dim, n, kappa, nu, 4.0 + q - kappa * theta * theta AS scale FROM p),
+m AS (SELECT dim, n, -n / 2.0 * ln(pi()) + lgamma(nu / 2) - lgamma(2.0) + 2.0 * ln(4.0) - nu / 2 * ln(scale) - 0.5 * ln(kappa) AS ml FROM s)
+SELECT dim, round(lgamma(1.0) - lgamma(1.0 + sum(n)) + sum(lgamma(n) + ml), 4) AS value FROM m GROUP BY 1
 """)
 def joint_loglik(spark, sf):
-    """Log probability of the labelled first coordinates under a Dirichlet process of Gaussians."""
+    """Log probability of the labels with each coordinate by itself, under a Dirichlet process of Gaussians."""
+    import numpy as np
+
+    from ..mixture.priors import NormalInverseWishart
+
+    one, stats = NormalInverseWishart(np.zeros(1), np.eye(1)), {r.z: np.array(r.stat) for r in _class_stats(spark, sf).collect()}
+    at = lambda s, k: s[[0, 1 + k, 1 + _DIM + k * (_DIM + 1)]]
+    return spark.createDataFrame([(k + 1, round(mix.joint_log_likelihood({z: at(s, k) for z, s in stats.items()}, one), 4)) for k in range(_DIM)], "dim int, value double")
+
+
+@query()
+def joint_loglik_full(spark, sf):
+    """The same with whole vectors under full covariances."""
     import numpy as np
 
     from ..mixture.priors import NormalInverseWishart
 
-    one = _points8(spark, sf).withColumn("x", F.slice("x", 1, 1))
-    return spark.createDataFrame([(round(mix.label_log_likelihood(one, NormalInverseWishart(np.zeros(1), np.eye(1))), 4),)], "value double")
+    return spark.createDataFrame([(round(mix.label_log_likelihood(_points(spark, sf), NormalInverseWishart(np.zeros(_DIM), np.eye(_DIM))), 4),)], "value double")
 
 
 def _diagonal_model(spark, sf):
-    s = mix.diagonal_stats(_points8(spark, sf), "z", "x").withColumn("m", F.col("sum") / F.col("n"))
+    s = mix.diagonal_stats(_points(spark, sf), "z", "x").withColumn("m", F.col("sum") / F.col("n"))
     s = s.withColumn("v", F.col("sum_sq") / F.col("n") - F.col("m") * F.col("m"))
     packed = s.groupBy("z").agg(F.max("n").alias("n"), F.sort_array(F.collect_list(F.struct("dim", "m", "v"))).alias("a"))
     return packed.select(F.col("z").alias("component"), F.log(F.col("n")).alias("log_weight"), F.transform("a", lambda c: c["m"]).alias("mean"), F.transform("a", lambda c: c["v"]).alias("var"))
 
 
 _POST = """
-WITH x AS (SELECT vec_id, label, CAST(g AS INTEGER) AS dim, CAST(embedding[g] AS DOUBLE) AS v FROM embeddings, (SELECT unnest(range(1, 9)) AS g)),
+WITH x AS (SELECT vec_id, label, CAST(g AS INTEGER) AS dim, CAST(embedding[g] AS DOUBLE) AS v FROM embeddings, (SELECT unnest(range(1, 65)) AS g)),
 s AS (SELECT label, dim, count(*) AS n, sum(v) / count(*) AS m, sum(v * v) / count(*) - (sum(v) / count(*)) * (sum(v) / count(*)) AS var FROM x GROUP BY 1, 2),
-j AS (SELECT x.vec_id, s.label AS component, max(ln(s.n)) - 0.5 * (sum((x.v - s.m) * (x.v - s.m) / s.var + ln(s.var)) + 8 * ln(2 * pi())) AS j FROM x JOIN s ON s.dim = x.dim GROUP BY 1, 2),
+j AS (SELECT x.vec_id, s.label AS component, max(ln(s.n)) - 0.5 * (sum((x.v - s.m) * (x.v - s.m) / s.var + ln(s.var)) + 64 * ln(2 * pi())) AS j FROM x JOIN s ON s.dim = x.dim GROUP BY 1, 2),
 t AS (SELECT *, max(j) OVER (PARTITION BY vec_id) AS m FROM j),
 p AS (SELECT vec_id, component, exp(j - m) / sum(exp(j - m)) OVER (PARTITION BY vec_id) AS post FROM t)
 """
@@ -644,39 +682,42 @@ p AS (SELECT vec_id, component, exp(j - m) / sum(exp(j - m)) OVER (PARTITION BY
 
 @query(_POST + "SELECT vec_id AS pid, component, round(post, 6) AS post FROM p")
 def gmm_posterior(spark, sf):
-    return mix.diagonal_posteriors(_points8(spark, sf), _diagonal_model(spark, sf), "pid").withColumn("post", _r("post"))
+    return mix.diagonal_posteriors(_points(spark, sf), _diagonal_model(spark, sf), "pid").withColumn("post", _r("post"))
 
 
 @query(_POST + "SELECT vec_id AS pid, arg_max(component, post) AS component FROM p GROUP BY 1")
 def label_reassign(spark, sf):
-    return mix.hard_labels(mix.diagonal_posteriors(_points8(spark, sf), _diagonal_model(spark, sf), "pid"), "pid")
+    return mix.hard_labels(mix.diagonal_posteriors(_points(spark, sf), _diagonal_model(spark, sf), "pid"), "pid")
 
 
 @query()
 def gmm_posterior_full(spark, sf):
-    """Posteriors under full covariances: eight components from the classes' statistics."""
+    """Posteriors under full covariances: a component for each class, at its posterior mean under a unit prior."""
     import numpy as np
 
     from ..mixture.priors import NormalInverseWishart
 
-    stats = {r.z: np.array(r.stat) for r in mix.component_stats(_points8(spark, sf).withColumn("side", F.lit(0)), NormalInverseWishart(np.zeros(8), np.eye(8))).collect()}
-    rows = []
-    for z, s in sorted(stats.items()):
-        m = s[1:9] / s[0]
-        rows.append((z, float(np.log(s[0])), m.tolist(), (s[9:].reshape(8, 8) / s[0] - np.outer(m, m) + 1e-6 * np.eye(8)).tolist()))
+    prior, rows = NormalInverseWishart(np.zeros(_DIM), np.eye(_DIM)), []
+    for r in sorted(_class_stats(spark, sf).collect(), key=lambda r: r.z):
+        _, nu, theta, scale = prior.posterior(np.array(r.stat))
+        rows.append((r.z, float(np.log(r.stat[0])), theta.tolist(), (scale / nu).tolist()))
     model = spark.createDataFrame(rows, "component int, log_weight double, mean array<double>, cov array<array<double>>")
-    return mix.posteriors(_points8(spark, sf), model).select("pid", F.transform("post", lambda p: F.round(p, 6)).alias("post"))
+    return mix.posteriors(_points(spark, sf), model).select("pid", F.transform("post", lambda p: F.round(p, 6)).alias("post"))
+
+
+#: Sweeps of the registered fits; `fit` defaults to 1500.
+SWEEPS = 40
 
 
 @query()
 def dpmm_fit(spark, sf):
-    """Six sweeps of the sub-cluster sampler on two coordinates: the trace without its times."""
+    """The sub-cluster sampler over whole vectors: the trace without its times."""
     from ..mixture.priors import NormalInverseWishart
-    from ..mixture.sampler import Chain
+    from ..mixture.sampler import fit
 
-    points = _points8(spark, sf).select("pid", F.slice("x", 1, 2).alias("x"))
+    points = _points(spark, sf).select("pid", "x")
     mean, cov = mix.global_moments(points)
-    return Chain(points, NormalInverseWishart(mean, cov), k=4).run(6).trace_table().select("iter", "loglik", "k", "nk")
+    return fit(points, NormalInverseWishart(mean, cov), steps=SWEEPS, k=4).trace_table().select("iter", "loglik", "k", "nk")
 
 
 @query()
@@ -687,8 +728,8 @@ def connected_superclusters(spark, sf):
     from ..mixture.priors import NormalInverseWishart
     from ..mixture.sampler import Cluster, superclusters
 
-    prior = NormalInverseWishart(np.zeros(8), np.eye(8))
-    rows = sorted(mix.component_stats(_points8(spark, sf).withColumn("side", F.lit(0)), prior).collect(), key=lambda r: r.z)
+    prior = NormalInverseWishart(np.zeros(_DIM), np.eye(_DIM))
+    rows = sorted(_class_stats(spark, sf).collect(), key=lambda r: r.z)
     rng = np.random.default_rng(0)
     clusters = [Cluster([np.array(r.stat), np.zeros(prior.size)], prior.draw(np.array(r.stat), rng)) for r in rows]
     return spark.createDataFrame([(r.z, int(g)) for r, g in zip(rows, superclusters(clusters, prior, rng), strict=True)], "z int, grp int")
@@ -696,13 +737,13 @@ def connected_superclusters(spark, sf):
 
 @query()
 def finite_mixture_fit(spark, sf):
-    """Five sweeps of the finite approximation with twelve components."""
+    """The finite approximation with twelve components."""
     from ..mixture.priors import NormalInverseWishart
-    from ..mixture.sampler import Chain
+    from ..mixture.sampler import fit
 
-    points = _points8(spark, sf).select("pid", F.slice("x", 1, 2).alias("x"))
+    points = _points(spark, sf).select("pid", "x")
     mean, cov = mix.global_moments(points)
-    return Chain(points, NormalInverseWishart(mean, cov), k=12, kind="finite").run(5).trace_table().select("iter", "loglik", "k", "nk")
+    return fit(points, NormalInverseWishart(mean, cov), steps=SWEEPS, k=12, kind="finite").trace_table().select("iter", "loglik", "k", "nk")
 
 
 def _term_docs(spark, sf):
@@ -713,11 +754,11 @@ def _term_docs(spark, sf):
 
 @query()
 def multinomial_fit(spark, sf):
-    """Four sweeps of the sub-cluster sampler on sparse counts, with superclusters."""
+    """The sub-cluster sampler on sparse counts, with superclusters."""
     from ..mixture.priors import DirichletMultinomial
-    from ..mixture.sampler import Chain
+    from ..mixture.sampler import fit
 
-    return Chain(_term_docs(spark, sf), DirichletMultinomial(51), k=5, grouped=True).run(4).trace_table().select("iter", "loglik", "k", "nk")
+    return fit(_term_docs(spark, sf), DirichletMultinomial(51), steps=SWEEPS, k=5, grouped=True).trace_table().select("iter", "loglik", "k", "nk")
 
 
 @query()
@@ -728,8 +769,8 @@ def collapsed_gibbs(spark, sf):
     from ..mixture.priors import NormalInverseWishart
     from ..mixture.sequential import collapsed
 
-    points = _points8(spark, sf).select("pid", F.slice("x", 1, 2).alias("x"), F.col("z").cast("int").alias("z"), (F.col("pid") % 2).alias("chain"))
-    return collapsed(points, NormalInverseWishart(np.zeros(2), np.eye(2)), sweeps=1)
+    points = _points(spark, sf).select("pid", "x", F.col("z").cast("int").alias("z"), (F.col("pid") % 2).alias("chain"))
+    return collapsed(points, NormalInverseWishart(np.zeros(_DIM), np.eye(_DIM)), sweeps=1)
 
 
 @query()
@@ -740,8 +781,7 @@ def supercluster_gibbs(spark, sf):
     from ..mixture.priors import NormalInverseWishart
     from ..mixture.sequential import supercluster_sweep
 
-    points = _points8(spark, sf).select("pid", F.slice("x", 1, 2).alias("x"), "z")
-    return supercluster_sweep(points, NormalInverseWishart(np.zeros(2), np.eye(2)), groups=4).select("pid", "z")
+    return supercluster_sweep(_points(spark, sf), NormalInverseWishart(np.zeros(_DIM), np.eye(_DIM)), groups=4).select("pid", "z")
 
 
 @query()

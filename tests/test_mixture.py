@@ -97,6 +97,35 @@ def test_chain_keeps_counts(spark, blobs, grouped):
     assert chain.trace_table().count() == 4 and abs(sum(math.exp(r.log_weight) for r in chain.model().collect()) - 1) < 1e-9
 
 
+@pytest.mark.parametrize("seed", [1, 4])
+def test_chain_finds_two_groups_from_one(blobs, seed):
+    mean, cov = posteriors.global_moments(blobs)
+    chain = Chain(blobs, NormalInverseWishart(mean, cov), k=1, seed=seed)
+    while chain.step < 100 and len(chain.clusters) < 2:
+        chain.run(1)
+    chain.run(8)
+    found = chain.points.join(blobs.select("pid", "truth"), "pid").groupBy("z", "truth").count().toPandas()
+    assert found.z.nunique() >= 2 and found.groupby("z")["count"].max().sum() >= 355
+
+
+def test_diagonal_posteriors_are_the_same_packed_and_joined(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    means, variances, w = rng.normal(size=(5, 3)), rng.uniform(0.5, 2, (5, 3)), rng.dirichlet(np.ones(5))
+    model = spark.createDataFrame([(k, math.log(w[k]), means[k].tolist(), variances[k].tolist()) for k in range(5)], "component int, log_weight double, mean array<double>, var array<double>")
+    x = rng.normal(size=(40, 3))
+    points = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "pid long, x array<double>")
+    joint = np.log(w) - 0.5 * (((x[:, None] - means) ** 2 / variances) + np.log(2 * math.pi * variances)).sum(2)
+    want = np.exp(joint - np.logaddexp.reduce(joint, 1)[:, None])
+    for most in (posteriors.MODEL_BYTES, 0):
+        monkeypatch.setattr(posteriors, "MODEL_BYTES", most)
+        out = posteriors.diagonal_posteriors(points, model, "pid")
+        got = {(r.pid, r.component): r.post for r in out.collect()}
+        assert len(got) == 200 and all(p == pytest.approx(want[k]) for k, p in got.items())
+        assert {r.pid: r.component for r in posteriors.hard_labels(out, "pid").collect()} == dict(enumerate(want.argmax(1)))
+    monkeypatch.undo()
+    assert posteriors.diagonal_posteriors(points, model.limit(0), "pid").count() == 0
+
+
 def test_chain_goes_on_from_a_checkpoint(spark, blobs, tmp_path):
     prior = NormalInverseWishart(np.zeros(2), np.eye(2))
     chain = fit(blobs, prior, steps=3, folder=str(tmp_path), k=3, seed=1)

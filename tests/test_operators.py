@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tessitura.functions import columns as C
 from tessitura.operators import abx, corpus, frames, summaries
+from tessitura.plans.registry import QUERIES
 from tessitura.sources.readers import Corpus
 
 
@@ -180,6 +181,37 @@ def test_warping_equals_dynamic_programming(distance):
         assert abx.warped(x, y, distance, True) == pytest.approx(cost / length, abs=1e-6)
 
 
+def test_pairs_of_any_lengths_step_together(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    x = {i: rng.dirichlet(np.ones(3), i % 4).tolist() for i in range(13)} | {13: None}
+    seq = spark.createDataFrame(list(x.items()), "id int, x array<array<double>>").coalesce(1)
+    monkeypatch.setattr(abx, "CELLS", 30)
+    got = {(r.i, r.j): r.d for r in abx.sequence_distances(abx.all_pairs(seq), seq, "kl").collect()}
+    assert len(got) == 14 * 13 // 2
+    for (i, j), d in got.items():
+        if not x[i] or not x[j]:
+            assert d is None
+        else:
+            cost, n = brute_warp(np.array(x[i]), np.array(x[j]), lambda a, b: float(((a - b) * (np.log(a) - np.log(b))).sum()))
+            assert d == pytest.approx(cost / n)
+
+
+def test_dtw_distance_query_equals_dynamic_programming(spark, tmp_path):
+    rng = np.random.default_rng(2)
+    data = [(i, [float(v) for v in rng.normal(size=64)], int(rng.integers(3))) for i in range(30)] + [(33, [1.0] * 64, 9)]
+    spark.createDataFrame(data, "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    vectors = {i: np.array(v, np.float32).astype(float).reshape(8, 8) for i, v, _ in data}
+    phone = {i: p for i, _, p in data}
+    task = {(a, b, x) for a, b, x in itertools.permutations(phone, 3) if a % 5 == b % 5 == x % 5 and phone[a] == phone[x] != phone[b]}
+    asked = {tuple(sorted(p)) for a, b, x in task for p in ((a, x), (b, x))}
+    angle = lambda a, b: math.acos(max(-1, min(1, float(a @ b / np.linalg.norm(a) / np.linalg.norm(b))))) / math.pi
+    got = {(r.i, r.j): r.d for r in QUERIES["dtw_distance"](spark, str(tmp_path)).collect()}
+    assert set(got) == asked
+    for (i, j), d in got.items():
+        cost, n = brute_warp(vectors[i], vectors[j], angle)
+        assert d == pytest.approx(cost / n, abs=1e-6)
+
+
 def test_triplets_counts_and_scores(spark):
     rng = random.Random(3)
     data = [(i, rng.choice("abc"), rng.choice("xy"), [rng.random(), rng.random()]) for i in range(24)]
@@ -188,6 +220,10 @@ def test_triplets_counts_and_scores(spark):
     task = abx.triplets(items, "phone", ["speaker"])
     assert rows(task.select("speaker", "a", "b", "x")) == sorted(want, key=repr)
     assert sum(r.n_triplets for r in abx.triplet_counts(items, "phone", ["speaker"]).collect()) == len(want)
+    assert rows(abx.task_pairs(items, "phone", ["speaker"])) == rows(abx.needed_pairs(task))
+    lone = items.where("id < 9").withColumn("speaker", F.col("id") % 4)  # cells of two and three: some pairs are not asked for
+    assert rows(abx.task_pairs(lone, "phone", ["speaker"])) == rows(abx.needed_pairs(abx.triplets(lone, "phone", ["speaker"])))
+    assert abx.task_pairs(items.limit(0), "phone", ["speaker"]).count() == 0
     d = abx.vector_distances(abx.needed_pairs(task), items, "euc")
     v = {i: np.array(x) for i, _, _, x in data}
     dist = lambda i, j: float(np.linalg.norm(v[i] - v[j]))
