@@ -1,9 +1,10 @@
 """Media columns: baseline JPEG parsed and Huffman-decoded in numpy, DC-only luminance thumbnails and their hashes.
 
-The decoder reads any baseline (SOF0) file of one to three components: markers, quantisation and Huffman tables, scan,
-restart markers. Bits are not walked one symbol at a time: all restart intervals of all images of a batch step together,
-one symbol a step, by tables over 16 bits. Files without restart markers work the same way, with one interval each.
-AC symbols are decoded to be skipped (or kept, for :func:`unpack`); a thumbnail pixel is its block's DC / 8 + 128.
+The decoder reads any baseline (SOF0) file of one to four components, in one scan or several: markers, quantisation and
+Huffman tables, the first component's scan, restart markers. Bits are not walked one symbol at a time: all restart
+intervals of TOGETHER images step together, one symbol a step, by tables over 16 bits. Files without restart markers work
+the same way, with one interval each. AC symbols are decoded to be skipped (or kept, for :func:`unpack`); a thumbnail pixel
+is its block's DC / 8 + 128. A stream that holds no code or runs past its interval makes its own image unreadable only.
 
 :func:`pack` stores bytes losslessly as a baseline JPEG: 64 bytes are the 64 coefficients (byte - 128) of one 8 x 8
 block in zigzag order, the quantisation table is all ones, each block is a restart interval, and a comment holds the
@@ -240,7 +241,7 @@ class Image:
 
 
 def parse(data: bytes) -> Image:
-    """The markers of a baseline file up to its (one, interleaved) scan; ValueError for anything else."""
+    """The markers of a baseline file up to the scan of its first component, past others; ValueError for anything else."""
     if data[:2] != b"\xff\xd8":
         raise ValueError("no SOI")
     im, at = Image(), 2
@@ -263,6 +264,8 @@ def parse(data: bytes) -> Image:
         elif marker == 0xC4:
             while body:
                 n = sum(body[1:17])
+                if len(body) < 17 + n:
+                    raise ValueError("half a table")
                 im.huffman[body[0]] = (body[1:17], body[17 : 17 + n])
                 body = body[17 + n :]
         elif marker == 0xC0:
@@ -278,110 +281,171 @@ def parse(data: bytes) -> Image:
             ids = [c[0] for c in im.components]
             im.scan = [(ids.index(body[1 + 2 * i]), body[2 + 2 * i] >> 4, body[2 + 2 * i] & 15) for i in range(body[0])]
             im.start = at
-            if len(im.scan) != len(im.components) or not im.width or not im.height:
-                raise ValueError("not one interleaved scan")
-            return im
+            if not im.scan or not im.width or not im.height:
+                raise ValueError("no picture")
+            if any(c == 0 for c, _, _ in im.scan):
+                return im
+            at += _scan_bytes(np.frombuffer(data, np.uint8, offset=at))
     raise ValueError("no scan")
 
 
-def _intervals(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(bytes without stuffing and markers, start of each restart interval in them, and end of the last) of a scan."""
+def _scan_bytes(data: np.ndarray) -> int:
+    """How many bytes of data, from a scan's first on, come before the next marker that is no restart."""
     full = np.flatnonzero(data[:-1] == 0xFF)
     after = data[full + 1]
     stops = full[(after != 0) & ((after < 0xD0) | (after > 0xD7))]
-    end = int(stops[0]) if len(stops) else len(data)
-    full, after = full[full < end], after[: len(full[full < end])]
+    return int(stops[0]) if len(stops) else len(data)
+
+
+def _intervals(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes without stuffing and markers, start of each restart interval in them) of a scan."""
+    end = _scan_bytes(data)
+    full = np.flatnonzero(data[: end - 1] == 0xFF) if end else np.zeros(0, int)
+    after = data[full + 1]
     marks = full[(after >= 0xD0) & (after <= 0xD7)]
     drop = np.zeros(end, bool)
     drop[full[after == 0] + 1] = True
     drop[marks] = drop[marks + 1] = True
-    kept = np.cumsum(~drop)
-    starts = np.concatenate([[0], kept[marks]])
-    return data[:end][~drop], starts, np.array([int(kept[-1]) if end else 0])
+    starts = np.concatenate([[0], np.cumsum(~drop)[marks]])
+    return data[:end][~drop], starts
 
 
 class Bits:
-    """The bit positions of many streams in one buffer."""
+    """The bit positions of many streams in one buffer; bad: those that held no code or ran past their end."""
 
-    def __init__(self, data: np.ndarray, starts: np.ndarray) -> None:
+    def __init__(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
         padded = np.concatenate([data, np.full(8, 0xFF, np.uint8)]).astype(np.uint32)
         self.words = padded[:-3] << 24 | padded[1:-2] << 16 | padded[2:-1] << 8 | padded[3:]  # 32 bits from each byte on
         self.last = len(self.words) - 1
-        self.at = starts.astype(np.int64) * 8
+        self.at, self.end = starts.astype(np.int64) * 8, ends.astype(np.int64) * 8
+        self.bad = np.zeros(len(starts), bool)
 
-    def symbol(self, who: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(symbol, its extra bits as a coefficient) for the streams in who; table: a lookup, or one row for each stream."""
+    def symbol(self, who: np.ndarray, tables: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(symbol, its extra bits as a coefficient) for the streams in who, each by its row of the lookup tables."""
         at = self.at[who]
         seen = (self.words[np.minimum(at >> 3, self.last)] << (at & 7).astype(np.uint32)) >> np.uint32(16)
-        found = table[seen] if table.ndim == 1 else table[who, seen]
-        if not (found >> 8).all():
-            raise ValueError("no such code")
+        found = tables[row, seen]
         at = at + (found >> 8)
         size = found & 15
         value = (self.words[np.minimum(at >> 3, self.last)] << (at & 7).astype(np.uint32)).astype(np.int64) >> (32 - size)
         value = np.where(value < (1 << size >> 1), value - (1 << size) + 1, value)
         self.at[who] = at + size
+        self.bad[who] |= (found >> 8 == 0) | (at + size > self.end[who])
         return found & 255, np.where(size > 0, value, 0)
 
 
-def _block(bits: Bits, who: np.ndarray, dc: np.ndarray, ac: np.ndarray, into: np.ndarray | None) -> np.ndarray:
-    """Decodes one block of each stream in who; returns DC differences and writes ACs to into (rows as in who)."""
-    _, diff = bits.symbol(who, dc)
+def _block(bits: Bits, who: np.ndarray, tables: np.ndarray, dc: np.ndarray, ac: np.ndarray, into: np.ndarray | None = None) -> np.ndarray:
+    """Decodes one block of each stream in who; returns DC differences and writes ACs to into (rows as in who).
+
+    dc and ac: each stream's rows of tables. A bad stream stops where it is.
+    """
+    _, diff = bits.symbol(who, tables, dc)
     place = np.zeros(len(who), np.int64)
-    rest = np.arange(len(who))
+    rest = np.flatnonzero(~bits.bad[who])
     while len(rest):
-        symbol, value = bits.symbol(who[rest], ac)
+        symbol, value = bits.symbol(who[rest], tables, ac[rest])
         run = symbol >> 4
         more = (symbol & 15) > 0
         place[rest] += np.where(more, run + 1, np.where(symbol == 0xF0, 16, 64))
         if into is not None:
             put = rest[more]
             into[put, np.minimum(place[put], 63)] = value[more]
-        if (place[rest[more]] > 63).any():
-            raise ValueError("too many coefficients")
-        rest = rest[place[rest] < 63]
+        bits.bad[who[rest[more & (place[rest] > 63)]]] = True
+        rest = rest[(place[rest] < 63) & ~bits.bad[who[rest]]]
     return diff
 
 
-def decode(im: Image, data: bytes, keep: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
-    """(DC thumbnail of the first component as uint8, its quantised coefficients in zigzag order if keep)."""
-    raw, starts, _ = _intervals(np.frombuffer(data, np.uint8, offset=im.start))
+def _tables(images: list[Image]) -> tuple[np.ndarray, dict[tuple[bytes, bytes], int]]:
+    """The distinct Huffman tables of images, as rows of one lookup, and each one's row."""
+    rows: dict[tuple[bytes, bytes], int] = {}
+    for im in images:
+        for t in im.huffman.values():
+            rows.setdefault(t, len(rows))
+    return np.stack([lookup(*t) for t in rows]), rows
+
+
+def decode(images: list[Image], files: list[bytes]) -> list[np.ndarray | None]:
+    """The DC thumbnail of each image's first component as uint8, or None where its scan can't be read.
+
+    The restart intervals of all images step together, one block at a time.
+    """
+    out: list[np.ndarray | None] = [None] * len(images)
+    laid = []
+    for n, (im, data) in enumerate(zip(images, files, strict=True)):
+        try:
+            laid.append(_layout(n, im, data))
+        except (ValueError, KeyError, IndexError):
+            continue
+    if not laid:
+        return out
+    tables, row_of = _tables([images[p["n"]] for p in laid])
+    most = max(len(p["blocks"]) for p in laid)
+    shape = (len(laid), most)
+    part, dc_row, ac_row, dy, dx = (np.zeros(shape, np.int64) for _ in range(5))
+    for k, p in enumerate(laid):
+        im = images[p["n"]]
+        for b, (c, dc, ac, y, x) in enumerate(p["blocks"]):
+            part[k, b], dc_row[k, b], ac_row[k, b], dy[k, b], dx[k, b] = c, row_of[im.huffman[dc]], row_of[im.huffman[16 | ac]], y, x
+    each = lambda name: np.array([p[name] for p in laid], np.int64)
+    streams, per_mcu, step, mcus, across, hh, vv, grid = each("streams"), np.array([len(p["blocks"]) for p in laid]), each("step"), each("mcus"), each("across"), each("h"), each("v"), each("grid")
+    base = np.concatenate([[0], np.cumsum([p["raw"].size for p in laid])])
+    starts = np.concatenate([p["starts"] + o for p, o in zip(laid, base[:-1], strict=True)])
+    ends = np.concatenate([p["ends"] + o for p, o in zip(laid, base[:-1], strict=True)])
+    bits = Bits(np.concatenate([p["raw"] for p in laid]), starts, ends)
+    image = np.repeat(np.arange(len(laid)), streams)
+    first = (np.arange(len(image)) - np.repeat(np.cumsum(streams) - streams, streams)) * step[image]  # its first MCU
+    blocks = np.minimum(step[image], mcus[image] - first) * per_mcu[image]
+    put = np.concatenate([[0], np.cumsum(grid)])
+    values, before = np.zeros(int(put[-1]), np.int64), np.zeros((len(image), 4), np.int64)
+    who, t = np.arange(len(image)), 0
+    while len(who):
+        im, slot = image[who], t % per_mcu[image[who]]
+        c = part[im, slot]
+        before[who, c] += _block(bits, who, tables, dc_row[im, slot], ac_row[im, slot])
+        own = c == 0
+        w, k, s = who[own], im[own], slot[own]
+        mcu = first[w] + t // per_mcu[k]
+        values[put[k] + (mcu // across[k] * vv[k] + dy[k, s]) * (across[k] * hh[k]) + mcu % across[k] * hh[k] + dx[k, s]] = before[w, 0]
+        t += 1
+        who = who[(blocks[who] > t) & ~bits.bad[who]]
+    spoilt = set(image[bits.bad].tolist())
+    for k, p in enumerate(laid):
+        if k not in spoilt:
+            dc = values[put[k] : put[k + 1]].reshape(-1, p["across"] * p["h"])[: p["down_blocks"], : p["across_blocks"]]
+            out[p["n"]] = np.clip(dc * int(p["scale"]) // 8 + 128, 0, 255).astype(np.uint8)
+    return out
+
+
+def _layout(n: int, im: Image, data: bytes) -> dict:
+    """Where the blocks of an image's scan are: its streams, and the blocks of an MCU in order."""
+    raw, starts = _intervals(np.frombuffer(data, np.uint8, offset=im.start))
     most_h, most_v = max(c[1] for c in im.components), max(c[2] for c in im.components)
-    single = len(im.components) == 1
-    if single:
-        most_h = most_v = 1
-    across, down = -(-im.width // (8 * most_h)), -(-im.height // (8 * most_v))
+    _, h, v, q = im.components[0]
+    if not 1 <= len(im.scan) <= 4 or len(im.components) > 4 or not h or not v:
+        raise ValueError("no sampling")
+    wide, high = -(-im.width * h // most_h), -(-im.height * v // most_v)  # the first component's samples
+    if len(im.scan) == 1:  # by itself: one block for each MCU, only those that it has
+        h, v, across, down = 1, 1, -(-wide // 8), -(-high // 8)
+    else:
+        across, down = -(-im.width // (8 * most_h)), -(-im.height // (8 * most_v))
+    blocks = []
+    for c, dc, ac in im.scan:
+        hc, vc = (1, 1) if len(im.scan) == 1 else im.components[c][1:3]
+        if dc not in im.huffman or (16 | ac) not in im.huffman:
+            raise ValueError("no table")
+        blocks += [(c, dc, ac, y, x) for y in range(vc) for x in range(hc)]
     mcus = across * down
+    if mcus * len(blocks) * 2 > 8 * len(raw):  # a block takes two bits at least
+        raise ValueError("too few bytes")
     step = im.interval or mcus
     streams = -(-mcus // step)
     if len(starts) < streams:
         raise ValueError("restart markers are missing")
-    bits = Bits(raw, starts[:streams])
-    tables = {k: lookup(*v) for k, v in im.huffman.items()}
-    _, h, v, q = im.components[0]
-    if single:
-        h = v = 1
-    dc = np.zeros((down * v, across * h), np.int64)
-    coefs = np.zeros((down * v * across * h, 64), np.int16) if keep else None
-    before = [np.zeros(streams, np.int64) for _ in im.components]
-    for m in range(step):
-        who = np.arange(streams)
-        who = who[who * step + m < mcus]
-        mcu = who * step + m
-        for c, dc_table, ac_table in im.scan:
-            hh, vv = (1, 1) if single else im.components[c][1:3]
-            for y in range(vv):
-                for x in range(hh):
-                    into = np.zeros((len(who), 64), np.int16) if keep and c == 0 else None
-                    before[c][who] += _block(bits, who, tables[dc_table], tables[16 | ac_table], into)
-                    if c == 0:
-                        row, column = mcu // across * vv + y, mcu % across * hh + x
-                        dc[row, column] = before[c][who]
-                        if into is not None:
-                            into[:, 0] = before[c][who]
-                            coefs[row * across * h + column] = into
-    used = dc[: -(-im.height // 8), : -(-im.width // 8)]
-    return np.clip(used * im.quant[q][0] // 8 + 128, 0, 255).astype(np.uint8), coefs
+    ends = np.concatenate([starts[1:], [len(raw)]])[:streams]
+    return {
+        "n": n, "raw": raw, "starts": starts[:streams], "ends": ends, "streams": streams, "step": step, "mcus": mcus, "across": across, "h": h, "v": v, "grid": mcus * h * v, "blocks": blocks,
+        "down_blocks": -(-high // 8), "across_blocks": -(-wide // 8), "scale": im.quant[q][0],
+    }
 
 
 def unpack(files: list[bytes]) -> list[tuple[Image, np.ndarray, np.ndarray]]:
@@ -389,18 +453,22 @@ def unpack(files: list[bytes]) -> list[tuple[Image, np.ndarray, np.ndarray]]:
     images = [parse(f) for f in files]
     parts, starts, base = [], [], 0
     for im, f in zip(images, files, strict=True):
-        raw, begin, _ = _intervals(np.frombuffer(f, np.uint8, offset=im.start))
+        raw, begin = _intervals(np.frombuffer(f, np.uint8, offset=im.start))
         parts.append(raw)
         starts.append(begin + base)
         base += len(raw)
     coefs = np.empty((sum(len(s) for s in starts), 64), np.int16)
-    tables = {k: lookup(*v) for k, v in images[0].huffman.items()}
+    tables, row = _tables(images[:1])
+    dc, ac = (row[images[0].huffman[k]] for k in (0, 16))
     data, begin = np.concatenate(parts), np.concatenate(starts)
     ends = np.concatenate([begin[1:], [base]])
     for b in range(0, len(begin), BLOCKS):
         e = min(len(begin), b + BLOCKS)
         some = np.zeros((e - b, 64), np.int16)
-        some[:, 0] = _block(Bits(data[begin[b] : ends[e - 1]], begin[b:e] - begin[b]), np.arange(e - b), tables[0], tables[16], some)
+        bits = Bits(data[begin[b] : ends[e - 1]], begin[b:e] - begin[b], ends[b:e] - begin[b])
+        some[:, 0] = _block(bits, np.arange(e - b), tables, np.full(e - b, dc), np.full(e - b, ac), some)
+        if bits.bad.any():
+            raise ValueError("a stored file can't be read")
         coefs[b:e] = some
     out, at = [], 0
     for im, own in zip(images, starts, strict=True):
@@ -428,25 +496,35 @@ def thumbnail_hash(thumb: np.ndarray) -> str:
 # Operators -----------------------------------------------------------------------------------------------------------
 
 
+#: Images that are decoded side by side; each brings four tables of 65,536 codes at most.
+TOGETHER = 32
+
+
 def media_columns(rows: DataFrame, image: str = "image") -> DataFrame:
     """rows with width, height, thumbnail (row-major bytes, one for each 8 x 8 block) and thumbnail_hash.
 
     image: a binary column of JPEG files. Nulls, empty values and files that are not readable as baseline JPEG get
-    nulls in all four. Names that rows has get an underscore before them.
+    nulls in all four, truncated ones too. Components may come in one scan or in several. Names that rows has get an
+    underscore before them.
     """
     ship(rows.sparkSession)
     names = [free_name(rows, n) for n in ("width", "height", "thumbnail", "thumbnail_hash")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = []
-            for data in batch.column(image).to_pylist():
-                try:
-                    im = parse(data)
-                    thumb, _ = decode(im, data)
-                    found.append((im.width, im.height, thumb.tobytes(), thumbnail_hash(thumb)))
-                except (ValueError, KeyError, IndexError, TypeError, struct.error):
-                    found.append((None, None, None, None))
+            found: list[tuple] = [(None, None, None, None)] * len(batch)
+            for at in range(0, len(batch), TOGETHER):
+                places, images, files = [], [], []
+                for place, data in enumerate(batch.column(image).slice(at, TOGETHER).to_pylist(), at):
+                    try:
+                        images.append(parse(data))
+                    except (ValueError, KeyError, IndexError, TypeError, struct.error):
+                        continue
+                    places.append(place)
+                    files.append(data)
+                for place, im, thumb in zip(places, images, decode(images, files), strict=True):
+                    if thumb is not None:
+                        found[place] = (im.width, im.height, thumb.tobytes(), thumbnail_hash(thumb))
             columns = [pa.array([f[i] for f in found], kind) for i, kind in enumerate((pa.int32(), pa.int32(), pa.binary(), pa.string()))]
             yield pa.RecordBatch.from_arrays([*batch.columns, *columns], [*batch.schema.names, *names])
 

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import math
 import random
+import re
 import zlib
 
 import numpy as np
@@ -12,8 +13,8 @@ from pyspark.sql import functions as F
 
 from tessitura.llm import jpeg
 from tessitura.llm.language import Classifier, fit, held_out, identify
-from tessitura.llm.mixing import mix, mix_plan, targets
-from tessitura.llm.sharding import assign, communication_matrix, shard_rows
+from tessitura.llm.mixing import mix, mix_plan, op5_mixing, targets
+from tessitura.llm.sharding import assign, communication_matrix, op2_sharding, shard_rows
 from tessitura.llm.tokens import HUGE, Counter, count_tokens, op6_tokens, stable_starts
 from tessitura.llm.urls import RULES, filter_urls
 
@@ -269,6 +270,70 @@ def test_urls_equal_brute_force(spark):
     assert filter_urls(pages.limit(0)).count() == 0 and filter_urls(pages, []).where("rule is not null").count() == 0
 
 
+# Registered queries ----------------------------------------------------------------------------------------------------
+
+
+@pytest.fixture(scope="module")
+def documents(spark, tmp_path_factory):
+    folder = tmp_path_factory.mktemp("documents")
+    frame(spark).write.parquet(str(folder / "documents.parquet"))
+    return str(folder)
+
+
+def test_op2_shards_every_document(spark, documents):
+    out = op2_sharding(spark, documents).collect()
+    want = collections.Counter((r[0], len((r[1] or "").encode()) + 16, zlib.crc32((r[1] or "").encode()), "rows", None) for r in corpus())
+    assert collections.Counter((r.doc_id, r.size, r.text_crc32, r.law, r.grown_shard) for r in out) == want
+    slots = collections.defaultdict(list)
+    for r in out:
+        slots[r.shard].append(r.slot)
+    assert set(slots) == set(range(40)) and all(sorted(v) == list(range(len(v))) for v in slots.values())
+    assert max(map(len, slots.values())) - min(map(len, slots.values())) <= 1
+
+
+def test_op5_takes_whole_copies_up_to_the_targets(spark, documents):
+    out = op5_mixing(spark, documents).collect()
+    size = lambda text: len(re.findall(r"[^\x20\x09-\x0D]+", text or ""))
+    by_source = collections.Counter()
+    for r in corpus():
+        by_source[r[3]] += size(r[1])
+    names = sorted((s for s in by_source if s is not None)) + [None]
+    weights, target, left = {s: (5, 2, 1)[i % 3] for i, s in enumerate(names)}, {}, sum(by_source.values())
+    while open_sources := [s for s in names if s not in target]:
+        share = {s: left * weights[s] / sum(weights[x] for x in open_sources) for s in open_sources}
+        over = [s for s in open_sources if share[s] > 3 * by_source[s]]
+        target |= {s: 3 * by_source[s] for s in over} if over else share
+        left -= sum(3 * by_source[s] for s in over)
+    assert len(out) == len(corpus())
+    source_of = {(by_source[s]): s for s in names}
+    assert collections.Counter((r.doc_id, r.size, r.source_size) for r in out) == collections.Counter((r[0], size(r[1]), by_source[r[3]]) for r in corpus())
+    taken = collections.Counter()
+    for r in out:
+        s = source_of[r.source_size]
+        assert r.target == pytest.approx(target[s]) and r.taken % max(r.size, 1) == 0 and r.taken <= 3 * r.size
+        whole = math.floor(target[s] / by_source[s] + 1e-12) if by_source[s] else 0
+        assert r.taken in (whole * r.size, (whole + 1) * r.size)
+        taken[s] += r.taken
+    for s in names:  # cut at the document that crosses the target
+        assert abs(taken[s] - target[s]) <= max(size(r[1]) for r in corpus() if r[3] == s)
+    assert sorted(map(repr, out)) == sorted(map(repr, op5_mixing(spark, documents).collect()))
+
+
+def test_op10_gives_digests_of_the_payload_and_of_a_file_that_holds_it(spark, documents):
+    out = jpeg.op10_media(spark, documents).collect()
+    want, files = collections.Counter(), {r.doc_id: r.media for r in jpeg.stored_texts(frame(spark)).collect()}
+    for r in corpus():
+        data = (r[1] or "").encode()
+        padded = data + b"\0" * (-len(data) % 64) or bytes(64)
+        want[(r[0], len(data), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-64:]))] += 1
+    assert collections.Counter((r.doc_id, r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) for r in out) == want
+    for r in out:
+        if r.doc_id is not None:
+            f = bytes(files[r.doc_id])
+            (thumb,) = jpeg.decode([im := jpeg.parse(f)], [f])  # the general decoder, not unpack
+            assert (r.media_bytes, r.media_sha256, r.feature) == (len(f), hashlib.sha256(f).hexdigest(), f"{im.width}x{im.height}:{jpeg.thumbnail_hash(thumb)}")
+
+
 # Media -----------------------------------------------------------------------------------------------------------------
 
 
@@ -292,15 +357,18 @@ def test_pack_keeps_any_bytes():
         assert (back == raw[a:b]).all() and thumb.size * 64 == im.width * im.height
 
 
-def colour_jpeg(interval):
-    """A 4:2:0 colour file of 5 x 3 MCUs with random DCs and some ACs, made symbol by symbol; (file, luminance DCs)."""
-    rng = random.Random(5)
+def colour_jpeg(interval, scans=((0, 1, 2),), seed=5):
+    """A 4:2:0 colour file of 5 x 3 MCUs with random DCs and some ACs, made symbol by symbol; (file, luminance DCs).
+
+    scans: the components of each scan. Alone, luminance has 10 x 6 blocks and either colour 5 x 3.
+    """
+    rng = random.Random(seed)
     dc = {s: 4 for s in range(12)}
     ac = {0x00: 2, 0x01: 3, 0x11: 3, 0x02: 4, 0xF0: 5, 0x21: 6}
     dc_body, dc_code, dc_length = jpeg.canonical(dc)
     ac_body, ac_code, ac_length = jpeg.canonical(ac)
     head = b"\xff\xd8" + jpeg._segment(0xDB, bytes([0]) + bytes([16]) * 64) + jpeg._segment(0xC0, bytes([8, 0, 42, 0, 77, 3, 1, 0x22, 0, 2, 0x11, 0, 3, 0x11, 0])) + jpeg._segment(0xC4, b"\x00" + dc_body) + jpeg._segment(0xC4, b"\x10" + ac_body)
-    head += (jpeg._segment(0xDD, bytes([0, interval])) if interval else b"") + jpeg._segment(0xDA, bytes([3, 1, 0, 2, 0, 3, 0, 0, 63, 0]))
+    head += jpeg._segment(0xDD, bytes([0, interval])) if interval else b""
     bits, out, dcs, before = "", bytearray(), np.zeros((6, 10), int), [0, 0, 0]
 
     def flush():
@@ -316,34 +384,66 @@ def colour_jpeg(interval):
         n = abs(v).bit_length()
         return n, format(v if v > 0 else v + (1 << n) - 1, f"0{n}b") if n else ""
 
-    for m in range(15):
-        if interval and m and m % interval == 0:
-            flush()
-            out += bytes([0xFF, 0xD0 + (m // interval - 1) % 8])
-            before = [0, 0, 0]
-        for c, blocks in ((0, 4), (1, 1), (2, 1)):
-            for b in range(blocks):
-                v = rng.randint(-60, 60)
-                if c == 0:
-                    dcs[m // 5 * 2 + b // 2, m % 5 * 2 + b % 2] = v
-                n, extra = value(v - before[c])
-                before[c] = v
-                bits += format(dc_code[n], f"0{dc_length[n]}b") + extra
-                for s in rng.sample([0x01, 0x11, 0x02, 0xF0, 0x21], rng.randint(0, 4)):
-                    bits += format(ac_code[s], f"0{ac_length[s]}b") + "".join(rng.choice("01") for _ in range(s & 15))
-                bits += format(ac_code[0], f"0{ac_length[0]}b")
-    flush()
+    for scan in scans:
+        out += jpeg._segment(0xDA, bytes([len(scan), *(x for c in scan for x in (c + 1, 0)), 0, 63, 0]))
+        before = [0, 0, 0]
+        for m in range(60 if scan == (0,) else 15):
+            if interval and m and m % interval == 0:
+                flush()
+                out += bytes([0xFF, 0xD0 + (m // interval - 1) % 8])
+                before = [0, 0, 0]
+            for c in scan:
+                for b in range(4 if c == 0 and len(scan) > 1 else 1):
+                    v = rng.randint(-60, 60)
+                    if c == 0:
+                        dcs[(m // 5 * 2 + b // 2, m % 5 * 2 + b % 2) if len(scan) > 1 else divmod(m, 10)] = v
+                    n, extra = value(v - before[c])
+                    before[c] = v
+                    bits += format(dc_code[n], f"0{dc_length[n]}b") + extra
+                    for s in rng.sample([0x01, 0x11, 0x02, 0xF0, 0x21], rng.randint(0, 4)):
+                        bits += format(ac_code[s], f"0{ac_length[s]}b") + "".join(rng.choice("01") for _ in range(s & 15))
+                    bits += format(ac_code[0], f"0{ac_length[0]}b")
+        flush()
     return head + bytes(out) + b"\xff\xd9", dcs
 
 
+@pytest.mark.parametrize("scans", [((0,), (1,), (2,)), ((2,), (0,), (1,)), ((1, 2), (0,)), ((1,), (0, 2))])
+@pytest.mark.parametrize("interval", [0, 4])
+def test_decoder_reads_components_in_scans_of_their_own(interval, scans):
+    data, dcs = colour_jpeg(interval, scans)
+    (thumb,) = jpeg.decode([jpeg.parse(data)], [data])
+    assert (thumb == np.clip(dcs * 2 + 128, 0, 255)).all()
+
+
+def test_images_decode_the_same_side_by_side_and_damaged_ones_spoil_no_other():
+    rng, files, alone = random.Random(8), [], []
+    for k in range(40):
+        data = bytearray(colour_jpeg(k % 5, (((0, 1, 2),), ((1,), (0,), (2,)))[k % 2], k)[0])
+        if k % 3 == 0:
+            for _ in range(5):
+                data[rng.randrange(len(data))] = rng.randrange(256)
+        files.append(bytes(data if k % 7 else data[: rng.randrange(250, len(data))]))
+    images = []
+    for data in list(files):
+        try:
+            images.append(jpeg.parse(data))
+        except (ValueError, KeyError, IndexError, TypeError, jpeg.struct.error):
+            files.remove(data)
+    for im, data in zip(images, files):
+        alone += jpeg.decode([im], [data])
+    both = jpeg.decode(images, files)
+    assert len(both) == len(alone) > 25 and sum(t is not None for t in both) >= 22
+    assert all((x is None) == (y is None) and (x is None or (x == y).all()) for x, y in zip(alone, both))
+
+
 @pytest.mark.parametrize("interval", [0, 1, 4])
 def test_decoder_reads_subsampled_colour(spark, interval):
     data, dcs = colour_jpeg(interval)
     im = jpeg.parse(data)
-    thumb, _ = jpeg.decode(im, data)
+    (thumb,) = jpeg.decode([im], [data])
     assert (im.width, im.height) == (77, 42) and (thumb == np.clip(dcs * 16 // 8 + 128, 0, 255)[:6, :10]).all()
     rows = spark.createDataFrame([(1, bytearray(data)), (2, None), (3, bytearray(b"")), (4, bytearray(b"\xff\xd8\xff\xc2\x00\x04ab")), (5, bytearray(data[:200]))], "width int, image binary")
     out = {r.width: r for r in jpeg.media_columns(rows).collect()}
     assert out[1]["_width"] == 77 and out[1].thumbnail == thumb.tobytes() and len(out[1].thumbnail_hash) == 16
-    assert all(out[i].thumbnail is None and out[i]["_width"] is None for i in (2, 3, 4))
+    assert all(out[i].thumbnail is None and out[i]["_width"] is None for i in (2, 3, 4, 5))
     assert jpeg.media_columns(rows.limit(0)).count() == 0
