@@ -46,8 +46,11 @@ class Cluster:
         return self.stat[0]
 
 
-def superclusters(clusters: list[Cluster], prior: ConjugatePrior, rng: np.random.Generator) -> list[int]:
-    """A group for each component: each draws one other component by divergence, and linked ones are one group."""
+def superclusters(clusters: list[Cluster], prior: ConjugatePrior, rng: np.random.Generator | None) -> list[int]:
+    """A group for each component: each draws one other component by divergence, and linked ones are one group.
+
+    Without rng each takes the nearest, the first if equal.
+    """
     k = len(clusters)
     if k <= 3:
         return [0] * k
@@ -59,7 +62,7 @@ def superclusters(clusters: list[Cluster], prior: ConjugatePrior, rng: np.random
             i = parent[i]
         return i
 
-    for i, j in enumerate(sample_categorical(-4 * d, rng)):
+    for i, j in enumerate(d.argmin(1) if rng is None else sample_categorical(-4 * d, rng)):
         parent[root(i)] = root(int(j))
     names = {r: n for n, r in enumerate(dict.fromkeys(root(i) for i in range(k)))}
     return [names[root(i)] for i in range(k)]

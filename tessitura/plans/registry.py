@@ -735,6 +735,31 @@ def connected_superclusters(spark, sf):
     return spark.createDataFrame([(r.z, int(g)) for r, g in zip(rows, superclusters(clusters, prior, rng), strict=True)], "z int, grp int")
 
 
+@query("""
+WITH RECURSIVE x AS (SELECT label, g AS dim, CAST(embedding[g] AS DOUBLE) AS v FROM embeddings, (SELECT unnest(range(1, 65)) AS g)),
+s AS (SELECT label, dim, sum(v) / count(*) AS m, sum(v * v) / count(*) - (sum(v) / count(*)) * (sum(v) / count(*)) AS var FROM x GROUP BY 1, 2),
+d AS (SELECT a.label AS a, b.label AS b, sum(0.5 * (b.var / a.var + a.var / b.var + (a.m - b.m) * (a.m - b.m) * (1 / a.var + 1 / b.var)) - 1) AS d FROM s a JOIN s b ON a.dim = b.dim AND a.label <> b.label GROUP BY 1, 2),
+n AS (SELECT a, arg_min(b, d) AS b FROM d GROUP BY 1),
+l AS (SELECT a, b FROM n UNION SELECT b, a FROM n),
+r AS (SELECT a AS z, a AS y FROM l UNION SELECT r.z, l.b FROM r JOIN l ON l.a = r.y)
+SELECT z, min(y) AS first FROM r GROUP BY 1
+""")
+def nearest_superclusters(spark, sf):
+    """Groups of classes linked by their nearest neighbour, by divergence of their diagonal Gaussians; each by its first class."""
+    import numpy as np
+
+    from ..mixture.priors import NormalInverseWishart
+    from ..mixture.sampler import Cluster, superclusters
+
+    prior = NormalInverseWishart(np.zeros(_DIM), np.eye(_DIM))
+    rows = sorted(_diagonal_model(spark, sf).collect(), key=lambda r: r.component)  # one for each class
+    clusters = [Cluster([np.zeros(prior.size)] * 2, (np.array(r.mean), np.diag(r.var))) for r in rows]
+    groups, first = superclusters(clusters, prior, None), {}
+    for r, g in zip(rows, groups, strict=True):
+        first.setdefault(g, r.component)
+    return spark.createDataFrame([(r.component, first[g]) for r, g in zip(rows, groups, strict=True)], "z int, first int")
+
+
 @query()
 def finite_mixture_fit(spark, sf):
     """The finite approximation with twelve components."""
