@@ -32,6 +32,13 @@ def tuning_condition(train_lang: Column, native: str, other: str) -> Column:
     return F.when(train_lang.isNull() | (train_lang == "NA"), "No language tuning").when(train_lang == native, f"{native} native").otherwise(f"{other} native")
 
 
+def model_condition(train: Column, model: Column, amount: str = "") -> Column:
+    """`GMM (read)` or `GMM (spont.)` by the training corpus, with the amount after it if given; baselines by their kind."""
+    read = [corpus for corpus, (_, register) in CORPORA.items() if register == "Read"]
+    gmm = F.concat(F.when(train.isin(*read), "GMM (read)").otherwise("GMM (spont.)"), F.lit(f" {amount}" if amount else ""))
+    return F.when(model == "GMM", gmm).when(model == "HMM-phone", "Phoneme recognizer baseline").otherwise("Phone-state baseline")
+
+
 def recode(value: Column, mapping: dict[str, str]) -> Column:
     """The mapped value; null where there is none."""
     if not mapping:

@@ -339,6 +339,40 @@ def language_register(spark, sf):
     return C.with_language_register(_t(spark, sf, "documents").select("doc_id", code.alias("corpus")), "corpus", "train").drop("corpus")
 
 
+@query("""
+WITH c AS (SELECT c_custkey, CASE c_nationkey % 3 WHEN 0 THEN 'Japanese' WHEN 1 THEN 'American English' END AS lang FROM customer)
+SELECT c_custkey, CASE WHEN lang IS NULL THEN 'No language tuning' WHEN lang = 'Japanese' THEN 'Japanese native' ELSE 'American English native' END AS cond FROM c
+""")
+def tuning_condition(spark, sf):
+    lang = C.recode((F.col("c_nationkey") % 3).cast("string"), {"0": "Japanese", "1": "American English"})
+    return _t(spark, sf, "customer").select("c_custkey", C.tuning_condition(lang, "Japanese", "American English").alias("cond"))
+
+
+@query("""
+WITH c AS (SELECT c_custkey, CASE c_nationkey % 4 WHEN 0 THEN 'WSJ' WHEN 1 THEN 'GPJ' WHEN 2 THEN 'BUC' ELSE 'CSJ' END AS train, CASE c_mktsegment WHEN 'BUILDING' THEN 'HMM-phone' WHEN 'MACHINERY' THEN 'HMM-state' ELSE 'GMM' END AS model FROM customer),
+g AS (SELECT *, CASE WHEN train IN ('WSJ', 'GPJ') THEN 'GMM (read)' ELSE 'GMM (spont.)' END AS gmm, CASE model WHEN 'HMM-phone' THEN 'Phoneme recognizer baseline' WHEN 'HMM-state' THEN 'Phone-state baseline' END AS baseline FROM c)
+SELECT c_custkey, coalesce(baseline, gmm) AS cond, coalesce(baseline, gmm || ' 1-2h') AS cond_small, CASE WHEN train IN ('WSJ', 'BUC') THEN 'AE' ELSE 'JP' END AS test_lang FROM g
+""")
+def model_condition(spark, sf):
+    train = C.recode((F.col("c_nationkey") % 4).cast("string"), {"0": "WSJ", "1": "GPJ", "2": "BUC", "3": "CSJ"})
+    model = F.coalesce(C.recode(F.col("c_mktsegment"), {"BUILDING": "HMM-phone", "MACHINERY": "HMM-state"}), F.lit("GMM"))
+    c = _t(spark, sf, "customer").select("c_custkey", train.alias("train"), model.alias("model"))
+    both = [C.model_condition(F.col("train"), F.col("model"), amount) for amount in ("", "1-2h")]
+    lang = C.recode(F.col("train"), {"WSJ": "AE", "BUC": "AE", "GPJ": "JP", "CSJ": "JP"})
+    return c.select("c_custkey", both[0].alias("cond"), both[1].alias("cond_small"), lang.alias("test_lang"))
+
+
+@query("SELECT event_id, round(value * 0.5, 6) AS raw, round(value * 0.5 / ln(2), 6) AS bits, round(1000 * value, 6) AS ms, round(value * 100, 6) AS frames FROM events")
+def unit_conversions(spark, sf):
+    v, raw = F.col("value"), C.scaled(F.col("value"), F.lit(0.5))
+    return _t(spark, sf, "events").select("event_id", _r(raw).alias("raw"), _r(C.bits(raw)).alias("bits"), _r(C.milliseconds(v)).alias("ms"), _r(C.frames_of(v)).alias("frames"))
+
+
+@query("SELECT event_id, CASE WHEN event_type = 'click' THEN CAST(user_id AS VARCHAR) ELSE 'None' END AS spk FROM events")
+def speaker_placeholder(spark, sf):
+    return _t(spark, sf, "events").select("event_id", C.speaker_or_placeholder(F.col("user_id").cast("string"), F.col("event_type") == "click").alias("spk"))
+
+
 # Summaries -------------------------------------------------------------------------------------------------------------
 
 
