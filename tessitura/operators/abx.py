@@ -10,6 +10,7 @@ from pyspark.sql.window import Window as W
 
 from ..functions import columns as C
 from ..session import ship
+from ..sources.readers import exists
 from .frames import frames_in_segments
 
 #: Column distances between two vectors, by name; each is symmetric where the name says so.
@@ -147,6 +148,20 @@ def all_pairs(items: DataFrame, key: str = "id", by: list[str] | None = None) ->
     return (left.join(right, by).where("i < j") if by else left.join(right, F.col("i") < F.col("j"))).select("i", "j")
 
 
+def precompute_distances(features: dict[str, DataFrame], folder: str, name: str, distance: str = "kl", key: str = "id", x: str = "x") -> dict[str, str]:
+    """The path of each feature set's (i, j, d) over all pairs of its stimuli; what is there already is not made again.
+
+    features: by name, (key, x) with a sequence of frames for each stimulus. A set is written to
+    `<folder>/<feature name>FEAT__<name>DIS`; one that a lost job left unfinished is replaced.
+    """
+    paths = {}
+    for feature, sequences in features.items():
+        paths[feature] = f"{folder}/{feature}FEAT__{name}DIS"
+        if not exists(sequences.sparkSession, f"{paths[feature]}/_SUCCESS"):
+            sequence_distances(all_pairs(sequences, key), sequences, distance, key=key, x=x).write.mode("overwrite").parquet(paths[feature])
+    return paths
+
+
 def scored(task: DataFrame, distances: DataFrame, win: float = 1.0, tie: float = 0.0, lose: float = -1.0) -> DataFrame:
     """task with d_ax, d_bx and score: win if A is nearer to X than B, lose if B is, else tie."""
     both = distances.select("i", "j", "d").union(distances.select(F.col("j"), F.col("i"), F.col("d")))

@@ -17,6 +17,12 @@ UTT2SPK = "utt string, spk string"
 SPK2GENDER = "spk string, gender string"
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a file or folder, on any file system that Spark reads."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
 def _tokens(spark: SparkSession, path: str) -> DataFrame:
     """(tokens array<string>) of the non-empty lines."""
     return spark.read.text(path).where(F.trim("value") != "").select(F.split(F.trim("value"), r"\s+").alias("tokens"))
@@ -46,6 +52,17 @@ def read_utt2spk(spark: SparkSession, path: str) -> DataFrame:
     return t.select(F.element_at("tokens", 1).alias("utt"), F.element_at("tokens", 2).alias("spk"))
 
 
+def read_text(spark: SparkSession, path: str) -> DataFrame:
+    """(utt, words array<string>) from `utt word word ...` lines; an utterance may have no words."""
+    return _tokens(spark, path).select(F.element_at("tokens", 1).alias("utt"), F.slice("tokens", 2, F.size("tokens")).alias("words"))
+
+
+def read_lexicon(spark: SparkSession, path: str) -> DataFrame:
+    """(word, phones array<string>) from `word phone phone ...` lines; a word may have several lines, none without phones."""
+    t = checked(_tokens(spark, path), F.size("tokens") > 1, "a lexicon line is a word and its phones")
+    return t.select(F.element_at("tokens", 1).alias("word"), F.slice("tokens", 2, F.size("tokens")).alias("phones"))
+
+
 def read_gender(spark: SparkSession, path: str) -> DataFrame:
     """(spk, gender); a gender other than m and f is an error."""
     t = checked(_tokens(spark, path), (F.size("tokens") == 2) & F.element_at("tokens", 2).isin("m", "f"), "a line is spk and m or f")
@@ -106,10 +123,15 @@ def read_matrix_parts(spark: SparkSession, paths: list[str]) -> DataFrame:
     return spark.read.parquet(*paths)
 
 
-def read_items(spark: SparkSession, path: str) -> DataFrame:
-    """An item table with its header; `-` and `#` in names become `_` and nothing."""
+def read_items(spark: SparkSession, path: str, features: bool = True) -> DataFrame:
+    """An item table with its header; `-` and `#` in names become `_` and nothing.
+
+    The columns before the second name with a `#` (file and times) say where an item's features are; features: keep them.
+    """
     rows = spark.read.option("header", True).option("sep", " ").csv(path)
-    return rows.withColumnsRenamed({c: c.replace("-", "_").replace("#", "") for c in rows.columns})
+    marked = [i for i, c in enumerate(rows.columns) if c.startswith("#")]
+    kept = rows.columns if features or len(marked) < 2 else rows.columns[marked[1] :]
+    return rows.select(*[F.col(f"`{c}`").alias(c.replace("-", "_").replace("#", "")) for c in kept])
 
 
 def read_indexed_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -197,8 +219,29 @@ class Corpus:
     lexicon: DataFrame | None = None
 
     @staticmethod
-    def load(spark: SparkSession, folder: str, name: str) -> Corpus:
-        return Corpus(name, read_segments(spark, f"{folder}/segments.txt"), read_utt2spk(spark, f"{folder}/utt2spk.txt"))
+    def load(spark: SparkSession, folder: str, name: str, validate: bool = True) -> Corpus:
+        """The tables of a folder's segments.txt and utt2spk.txt, and of text.txt and lexicon.txt if they are there."""
+        more = {part: read(spark, f"{folder}/{part}.txt") for part, read in (("text", read_text), ("lexicon", read_lexicon)) if exists(spark, f"{folder}/{part}.txt")}
+        corpus = Corpus(name, read_segments(spark, f"{folder}/segments.txt"), read_utt2spk(spark, f"{folder}/utt2spk.txt"), **more)
+        return corpus.validated() if validate else corpus
+
+    def validated(self) -> Corpus:
+        """The corpus itself; an error that names an utterance or word if its tables contradict each other."""
+        rules = {f"{part}: an utterance has several rows": t.groupBy("utt").count().where("count > 1").select("utt") for part, t in (("segments", self.segments), ("utt2spk", self.utt2spk), ("text", self.text)) if t is not None}
+        rules["segments: an utterance ends before it starts"] = self.segments.where("stop < start").select("utt")
+        rules["segments: an utterance has no speaker"] = self.segments.join(self.utt2spk, "utt", "left_anti").select("utt")
+        if self.text is not None:
+            rules["text: an utterance has no segment"] = self.text.join(self.segments, "utt", "left_anti").select("utt")
+            if self.lexicon is not None:
+                rules["text: a word is not in the lexicon"] = self.text.select(F.explode("words").alias("word")).join(self.lexicon, "word", "left_anti")
+        found = [bad.select(F.lit(rule).alias("rule"), F.col(bad.columns[0]).alias("key")).limit(1) for rule, bad in rules.items()]
+        every = found[0]
+        for one in found[1:]:
+            every = every.unionByName(one)
+        broken = every.collect()  # one row a rule at most
+        if broken:
+            raise ValueError("; ".join(f"{r.rule} ({r.key})" for r in broken))
+        return self
 
     def durations(self) -> DataFrame:
         """(utt, spk, rec, start, stop, duration)."""

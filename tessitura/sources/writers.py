@@ -21,6 +21,16 @@ def save_subsets(subsets: DataFrame, folder: str) -> None:
     subsets.write.partitionBy("n_subsets", "subset_id").parquet(folder)
 
 
+def save_subset_files(subsets: DataFrame, folder: str, name: str = "segments") -> None:
+    """Segment lines in folders `file=<name>__<n>subsets__subset<1 + id>.txt`, which the segment reader takes.
+
+    subsets: (n_subsets, subset_id, utt, rec, start, stop), ids from 0. One job writes them all.
+    """
+    line = F.concat_ws(" ", "utt", F.concat("rec", F.lit(".wav")), F.col("start").cast("string"), F.col("stop").cast("string"))
+    file = F.format_string(f"{name}__%dsubsets__subset%d.txt", F.col("n_subsets").cast("int"), (F.col("subset_id") + 1).cast("int"))
+    subsets.select(line.alias("value"), file.alias("file")).write.partitionBy("file").text(folder)
+
+
 def append_features(frames: DataFrame, path: str) -> None:
     frames.write.mode("append").parquet(path)
 

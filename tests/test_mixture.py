@@ -173,6 +173,19 @@ def test_collapsed_samplers(spark, blobs):
     assert swept.count() == 90 and swept.select("pid").distinct().count() == 90
 
 
+def test_collapsed_samplers_of_counts(spark):
+    rng = np.random.default_rng(3)
+    topics = np.array([[0.46, 0.46, 0.02, 0.02, 0.02, 0.02], [0.02, 0.02, 0.02, 0.02, 0.46, 0.46]])
+    docs = [(i, [float(c) for c in rng.multinomial(40, topics[i % 2])]) for i in range(60)]
+    points = spark.createDataFrame(docs, "pid long, x array<double>").withColumns({"chain": F.lit(1), "z": F.lit(0)})
+    prior = DirichletMultinomial(6)
+    out = sequential.collapsed(points, prior, sweeps=4, moves=3).toPandas()
+    truth = out.assign(truth=out.pid % 2).groupby(["z", "truth"]).size()
+    assert len(out) == 60 and truth.groupby("z").max().sum() == 60  # no component mixes the topics
+    swept = sequential.supercluster_sweep(points.drop("chain"), prior, groups=2)
+    assert swept.count() == 60 and swept.select("pid").distinct().count() == 60
+
+
 def test_every_supercluster_has_two_components():
     prior = NormalInverseWishart(np.zeros(1), np.eye(1))
     clusters = [Cluster([np.zeros(prior.size), np.zeros(prior.size)], (np.array([3.0 * i]), np.eye(1))) for i in range(8)]

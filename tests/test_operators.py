@@ -212,6 +212,17 @@ def test_dtw_distance_query_equals_dynamic_programming(spark, tmp_path):
         assert d == pytest.approx(cost / n, abs=1e-6)
 
 
+def test_distances_that_are_there_are_not_made_again(spark, tmp_path):
+    rng = random.Random(5)
+    frames_of = lambda: [[rng.random() + 0.1 for _ in range(3)] for _ in range(rng.randint(1, 4))]
+    stimuli = spark.createDataFrame([(i, frames_of()) for i in range(5)], "id long, x array<array<double>>")
+    first = abx.precompute_distances({"gmm": stimuli}, str(tmp_path), "kl_dtw")
+    assert first == {"gmm": f"{tmp_path}/gmmFEAT__kl_dtwDIS"} and spark.read.parquet(first["gmm"]).count() == 10
+    fewer = stimuli.where("id < 2")
+    again = abx.precompute_distances({"gmm": fewer, "hmm": fewer}, str(tmp_path), "kl_dtw")
+    assert [spark.read.parquet(again[name]).count() for name in ("gmm", "hmm")] == [10, 1]
+
+
 def test_triplets_counts_and_scores(spark):
     rng = random.Random(3)
     data = [(i, rng.choice("abc"), rng.choice("xy"), [rng.random(), rng.random()]) for i in range(24)]

@@ -33,6 +33,30 @@ def test_segments_and_speakers(spark, tmp_path):
         R.read_gender(spark, put(tmp_path, "bad2.txt", "a x\n")).collect()
 
 
+def test_corpus_with_text_and_lexicon(spark, tmp_path):
+    put(tmp_path, "segments.txt", "u1 r1.wav 0 1\nu2 r1.wav 1 2\n")
+    put(tmp_path, "utt2spk.txt", "u1 a\nu2 a\n")
+    put(tmp_path, "text.txt", "u1 one two\nu2\n")
+    put(tmp_path, "lexicon.txt", "one W AH N\ntwo T UW\ntwo T AH\n")
+    corpus = R.Corpus.load(spark, str(tmp_path), "c")
+    assert rows(corpus.text) == [("u1", ["one", "two"]), ("u2", [])]
+    assert rows(corpus.lexicon) == [("one", ["W", "AH", "N"]), ("two", ["T", "AH"]), ("two", ["T", "UW"])]
+    assert corpus.subcorpus(spark.createDataFrame([("u2",)], "utt string"), "d").text.count() == 1
+    put(tmp_path, "utt2spk.txt", "u1 a\nu1 b\n")
+    put(tmp_path, "text.txt", "u1 one three\nu9 two\n")
+    with pytest.raises(ValueError) as told:
+        R.Corpus.load(spark, str(tmp_path), "c")
+    for part in ("utt2spk: an utterance has several rows (u1)", "no speaker (u2)", "no segment (u9)", "not in the lexicon (three)"):
+        assert part in str(told.value)
+    assert R.Corpus.load(spark, str(tmp_path), "c", validate=False).segments.count() == 2
+
+
+def test_items_with_and_without_their_feature_columns(spark, tmp_path):
+    path = put(tmp_path, "a.item", "#file onset offset #phone prev-phone speaker\nf1 0.1 0.2 AA SIL s1\n")
+    assert rows(R.read_items(spark, path)) == [("f1", "0.1", "0.2", "AA", "SIL", "s1")]
+    assert R.read_items(spark, path, features=False).columns == ["phone", "prev_phone", "speaker"]
+
+
 def test_archive_has_a_row_for_each_frame(spark, tmp_path):
     path = put(tmp_path, "a.txt", "utt1  [\n  1 2\n  3 4 ]\nutt2  [\n  5 6 ]\n")
     got = [(r.item, r.frame, round(r.t, 4), r.x) for r in R.read_archive(spark, path).orderBy("item", "frame").collect()]
@@ -92,4 +116,9 @@ def test_writers(spark, tmp_path):
     assert R.read_items(spark, str(tmp_path / "items")).columns == ["utt", "rec", "start", "stop"]
     s.withColumns({"n_subsets": F.lit(2), "subset_id": F.lit(1)}).transform(lambda d: K.save_subsets(d, str(tmp_path / "sub")) or d)
     assert (tmp_path / "sub/n_subsets=2/subset_id=1").exists()
+    two = s.withColumns({"n_subsets": F.lit(2), "subset_id": F.when(F.col("utt") == "b", 0).otherwise(1)})
+    K.save_subset_files(two, str(tmp_path / "files"))
+    assert rows(R.read_segments(spark, str(tmp_path / "files/file=segments__2subsets__subset2.txt"))) == [("B", "r2", 0.0, 2.0)]
+    K.save_stats(s.groupBy("rec").agg(F.sum("stop").alias("total")), str(tmp_path / "stats"))
+    assert rows(spark.read.option("header", True).csv(str(tmp_path / "stats"))) == [("r1", "1.0"), ("r2", "2.0")]
     assert [o for o in range(1, 76) if K.is_checkpoint(o, 75)] == [1, 2, 4, 8, 16, 32, 64, 75]
