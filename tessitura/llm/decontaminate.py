@@ -281,6 +281,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", kee
 
 
 def op1_decontamination(spark, sf_dir: str) -> DataFrame:
+    """One row for each document, by :func:`decontaminate` with its defaults; a document without hits has the empty list's digest."""
     found = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     n_hit = F.aggregate(F.zip_with("starts", "ends", lambda a, b: b - a), F.lit(0).cast("long"), lambda x, y: x + y)
     return found.select(

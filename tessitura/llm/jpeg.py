@@ -24,9 +24,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, IntegerType, LongType, StringType, StructField, StructType
 
 from ..session import ship
-from .common import free_name, table
+from .common import beside, free_name, packed, table
 from .textkit import utf8
 
 #: Blocks that are coded at once (64 bytes each), and the most blocks along a side of an image.
@@ -541,12 +542,13 @@ GROUP = 2 << 20
 def stored_texts(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """keep, the text's bytes padded with 0 to a positive multiple of 64 and stored as a JPEG, and what reading it gives.
 
-    media (the file), payload_bytes, payload_sha256, tail_crc32 (last 64 bytes), width, height, thumbnail_hash. Null
-    and empty texts are 64 zero bytes. Equal texts give equal files.
+    n_bytes (of the text), media (the file), payload_bytes, payload_sha256, tail_crc32 (last 64 bytes), width, height,
+    thumbnail_hash; an underscore before a name that keep has. Null and empty texts are 64 zero bytes. Equal texts give
+    equal files. No rows give no rows.
     """
     ship(docs.sparkSession)
-    names = list(keep)
-    rows = docs.select(*names, F.col(text).alias("_text"))
+    rows = packed(docs, keep, text)
+    names = ["n_bytes", "media", "payload_bytes", "payload_sha256", "tail_crc32", "width", "height", "thumbnail_hash"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -567,14 +569,16 @@ def stored_texts(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("
                     found.append((f, len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-64:]), im.width, im.height, thumbnail_hash(thumb)))
                 kinds = (pa.binary(), pa.int64(), pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.string())
                 columns = [pa.array([x[i] for x in found], k) for i, k in enumerate(kinds)]
-                yield pa.RecordBatch.from_arrays([*[c.slice(at, to - at) for c in batch.columns[:-1]], pa.array(size[at:to], pa.int64()), *columns], [*names, "n_bytes", "media", "payload_bytes", "payload_sha256", "tail_crc32", "width", "height", "thumbnail_hash"])
+                yield pa.RecordBatch.from_arrays([batch.column("_row").slice(at, to - at), pa.array(size[at:to], pa.int64()), *columns], ["_row", *names])
                 at = to
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return rows.mapInArrow(run, f"{kinds}, n_bytes long, media binary, payload_bytes long, payload_sha256 string, tail_crc32 long, width int, height int, thumbnail_hash string")
+    types = (LongType(), BinaryType(), LongType(), StringType(), LongType(), IntegerType(), IntegerType(), StringType())
+    out = StructType([rows.schema["_row"], *[StructField(n, t) for n, t in zip(names, types, strict=True)]])
+    return beside(rows.mapInArrow(run, out), *names)
 
 
 def op10_media(spark, sf_dir: str) -> DataFrame:
+    """One row for each document, by :func:`stored_texts`: null and empty texts are 64 zero bytes, equal rows give equal rows."""
     stored = stored_texts(table(spark, sf_dir, "documents"))
     feature = F.concat_ws(":", F.concat_ws("x", "width", "height"), "thumbnail_hash")
     return stored.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), feature.alias("feature"))

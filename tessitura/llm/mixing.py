@@ -124,4 +124,5 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCH
 
 
 def op5_mixing(spark, sf_dir: str) -> DataFrame:
+    """One row for each document, by :func:`mix_plan` with its defaults. Reruns agree while the table's files stay as they are."""
     return mix_plan(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken"))

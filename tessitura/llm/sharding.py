@@ -128,6 +128,7 @@ def shard_rows(docs: DataFrame, shards: int = 40, seed: int = 17) -> DataFrame:
 
 
 def op2_sharding(spark, sf_dir: str) -> DataFrame:
+    """One row for each document, by :func:`assign`, law `rows`: null texts have size 16 and the empty text's checksum; ids play no part."""
     from .common import table
 
     text = F.coalesce("text", F.lit(""))

@@ -3,6 +3,8 @@ from __future__ import annotations
 import collections
 import random
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from tessitura.llm.common import saved, table
 
@@ -55,3 +57,24 @@ def test_run_on_empty_documents(spark, tmp_path):
     spark.createDataFrame([(1, "a b c")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     out = corpus_pipeline.run(spark, str(tmp_path))
     assert out.count() == 0 and out.columns[-2:] == ["shard", "slot"]
+
+
+def test_stages_bear_repeated_and_null_ids_and_clashing_names(spark, tmp_path):
+    rng = random.Random(4)
+    rows = [(i // 2 if i % 5 else None, t, lang, None if i % 7 == 0 else "s0", n) for i, t, lang, _, n in labelled(80)]
+    rows += [rows[0], rows[0], (3, None, None, None, None), (3, prose(rng, 12), None, "s1", 1)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    for k, name in enumerate(("rejected", "items", "n_words", "_rid", "first", "copies", "target", "shard", "slot")):
+        docs = docs.withColumn(name, F.lit(k))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(None, None), (1, prose(rng, 15))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs, kept = table(spark, str(tmp_path), "documents"), []
+    columns = docs.columns
+    for _, stage in corpus_pipeline.STAGES:
+        docs = saved(stage(spark, docs, str(tmp_path)))
+        assert docs.columns[: len(columns)] == columns
+        kept.append(collections.Counter(tuple(r) for r in docs.select(*columns[:5]).collect()))
+    assert docs.columns[len(columns) :] == ["_shard", "_slot"]
+    told, once, clean, mixed, dealt = kept
+    assert not told - collections.Counter(rows) and rows[0] in once and once[rows[0]] == 1
+    assert len({r[1] for r in once}) == once.total() and not clean - once and set(mixed) <= set(clean) and dealt == mixed

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tessitura.llm import textkit as T
 from tessitura.llm.decontaminate import decontaminate
+from tessitura.llm.jpeg import stored_texts
 from tessitura.llm.lines import dedup_lines, op9_line_dedup, within_one
 from tessitura.llm.neardup import near_duplicates, op8_near_duplicates, overlaps, signatures, similar_links
 from tessitura.llm.suffixes import BlindTrie, cut_repeats, repeats
@@ -92,6 +93,14 @@ def test_decontaminate_empty_tables_and_clashing_names(spark):
     assert decontaminate(docs.limit(0), spark.createDataFrame([(1, "a b c")], "item_id long, text string")).count() == 0
 
 
+def test_cut_repeats_and_stored_texts_keep_clashing_names(spark):
+    docs = frame(spark).withColumns({n: F.lit("x") for n in ("spans", "kept", "n_bytes", "media", "Width", "_text", "_row", "_rid")})
+    for out, own in ((cut_repeats(docs, keep=tuple(docs.columns)), ("_spans", "_kept", "_n_bytes")), (stored_texts(docs, keep=tuple(docs.columns)), ("_media", "_width", "_n_bytes", "payload_bytes"))):
+        assert set(own) <= set(out.columns) and set(docs.columns) <= set(out.columns)
+        assert out.where("kept = 'x' and media = 'x' and _n_bytes = octet_length(coalesce(text, ''))").count() == len(corpus())
+    assert stored_texts(docs.limit(0)).count() == 0
+
+
 # Substrings ------------------------------------------------------------------------------------------------------------
 
 
