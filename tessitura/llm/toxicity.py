@@ -29,7 +29,7 @@ SIZES, BITS = (3, 4, 5), 20
 #: Labelled documents of each label that are learned from, at most.
 SAMPLE = 8192
 #: Standard errors that a log-count ratio must differ from 0 by, and the most buckets that get a weight.
-Z, FEATURES = 4.0, 1 << 15
+Z, FEATURES = 5.0, 1 << 15
 #: Weight of the squared weights against the mean loss; rounds of the solver at most.
 RIDGE, ROUNDS = 1e-4, 100
 #: Code points that are hashed at once.
@@ -168,7 +168,8 @@ def sampled(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, seed: int
     if chosen is None:
         return docs.select(F.lit(0).alias("_label"), F.col(text).alias("_text"), F.lit(0).cast("long").alias("_h")).limit(0), counts
     rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).join(F.broadcast(chosen), "_key")  # 2 x sample rows of 20 bytes
-    return rows.select("_label", "_text", "_h"), counts
+    # Their order, which decides how sums are rounded, is that of their content.
+    return rows.select("_label", "_text", F.xxhash64("_key", "_label", "_text").alias("_h")), counts
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, seed: int = 13, key: str = "doc_id", label: str = "toxic", text: str = "text", z: float = Z, features: int = FEATURES) -> Model:
@@ -220,9 +221,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, seed: int = 13
     # The sample's rows with the numbers of their features: 2 x SAMPLE rows, a few hundred numbers each.
     found = few.mapInArrow(matrix, "_label int, _h long, columns array<int>").toArrow().combine_chunks()
     discard(few)
-    columns = found.column("columns").combine_chunks() if found.num_rows else pa.array([], pa.list_(pa.int32()))
-    order = sorted(range(found.num_rows), key=lambda i: (found["_h"][i].as_py(), found["_label"][i].as_py(), columns[i].as_py()))
-    columns, y = columns.take(pa.array(order, pa.int64())), np.asarray(found["_label"].combine_chunks(), float)[order]
+    found = found.take(np.argsort(np.asarray(found["_h"].combine_chunks()), kind="stable")).combine_chunks()
+    columns, y = found["columns"].combine_chunks(), np.asarray(found["_label"].combine_chunks(), float)
     lengths = np.diff(np.asarray(columns.offsets))
     all_known = sum(known.values())
     share = np.where(y == 1, known[1] / all_known / n[1], known[0] / all_known / n[0])

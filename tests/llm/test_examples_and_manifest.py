@@ -190,7 +190,7 @@ def grams(text):
     return {text[i : i + n] for n in (3, 4, 5) for i in range(len(text) - n + 1)}
 
 
-def brute_scores(learn, texts, z=4.0, ridge=1e-4):
+def brute_scores(learn, texts, z=toxicity.Z, ridge=toxicity.RIDGE):
     """The same model over n-grams themselves, by dense Newton steps."""
     seen = [grams(t) for t, _ in learn]
     y = np.array([v for _, v in learn], float)
