@@ -28,6 +28,8 @@ from .common import beside, discard, numbered, packed, saved, table
 DIGIT, MOST = 12, 4096
 #: Nodes that one task reduces together at most.
 SPAN = 4096
+#: Rows of a table of buckets (a name and numbers) up to which it is sent to all tasks, so that the rows stay where they are.
+FEW = 1 << 16
 
 
 def leaf_digest(*fields: Column) -> Column:
@@ -60,6 +62,10 @@ def folded(leaf: Column, left: Column, right: Column) -> Column:
 # Ranks -----------------------------------------------------------------------------------------------------------------
 
 
+def _sent(buckets: DataFrame) -> DataFrame:
+    return F.broadcast(buckets) if buckets.limit(FEW + 1).count() <= FEW else buckets
+
+
 def radix_ranks(rows: DataFrame, group: str, words: list[str], most: int = MOST) -> DataFrame:
     """rows with rank (from 0) and size: each row's place in its group by the words (longs, no nulls), and the group's rows.
 
@@ -67,7 +73,7 @@ def radix_ranks(rows: DataFrame, group: str, words: list[str], most: int = MOST)
     """
     ends = [f(w).alias(f"_{n}{i}") for i, w in enumerate(words) for n, f in (("lo", F.min), ("hi", F.max))]
     bounds = [f"_{n}{i}" for i in range(len(words)) for n in ("lo", "hi")]
-    open_ = rows.groupBy(group).agg(F.count(F.lit(1)).alias("_n"), *ends).withColumns({"_base": F.lit(0).cast("long"), "size": F.col("_n")})
+    open_ = saved(rows.groupBy(group).agg(F.count(F.lit(1)).alias("_n"), *ends).withColumns({"_base": F.lit(0).cast("long"), "size": F.col("_n")}))
     rest, out = rows, None
     while True:
         # The digit of a bucket: DIGIT bits from the first in which the first word that is not the same throughout differs.
@@ -81,11 +87,11 @@ def radix_ranks(rows: DataFrame, group: str, words: list[str], most: int = MOST)
         digit = F.lit(0).cast("long")
         for i, w in enumerate(words):
             digit = F.when(F.col("_word") == i, F.call_function("shiftright", F.col(w), F.col("_shift"))).otherwise(digit)
-        inside = rest.join(parents, [group] if out is None else [group, "_base"]).withColumn("_digit", digit).drop("_word", "_shift")
+        inside = rest.join(_sent(parents), [group] if out is None else [group, "_base"]).withColumn("_digit", digit).drop("_word", "_shift")
         counts = inside.groupBy(group, "_base", "size", "_digit").agg(F.count(F.lit(1)).alias("_n"), *ends)
         before = F.sum("_n").over(W.partitionBy(group, "_base").orderBy("_digit")) - F.col("_n")
         buckets = saved(counts.withColumn("_first", F.col("_base") + before))
-        placed = inside.drop("size").join(buckets.select(group, "_base", "_digit", "_first", "size", "_n"), [group, "_base", "_digit"])
+        placed = inside.drop("size").join(_sent(buckets.select(group, "_base", "_digit", "_first", "size", "_n")), [group, "_base", "_digit"])
         placed = placed.drop("_base", "_digit").withColumnRenamed("_first", "_base")
         done = placed.where(F.col("_n") <= most).drop("_n")
         out = done if out is None else out.unionByName(done)
