@@ -6,21 +6,25 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 from pyspark.sql.window import Window as W
 
 from ..functions import columns as C
 from ..session import ship
 from ..sources.readers import exists
+from . import scans
 from .frames import frames_in_segments
 
 #: Column distances between two vectors, by name; each is symmetric where the name says so.
 FRAME_DISTANCES = {"kl": C.symmetric_kl, "cos": C.angular, "euc": C.euclidean}
 
 
-def phone_items(alignment: DataFrame, utt2spk: DataFrame) -> DataFrame:
-    """Each aligned phone with the phones before and after it and its speaker; phones at an utterance's ends have none."""
-    w = W.partitionBy("utt").orderBy("start")
-    rows = alignment.withColumns({"prev_phone": F.lag("phone").over(w), "next_phone": F.lead("phone").over(w)})
+def phone_items(alignment: DataFrame, utt2spk: DataFrame, order: list[str] | None = None) -> DataFrame:
+    """Each aligned phone with the phones before and after it and its speaker; phones at an utterance's ends have none.
+
+    order: what phones follow each other by, their start if None.
+    """
+    rows = scans.neighbours(alignment, ["utt"], order or ["start"], {"prev_phone": "phone"}, {"next_phone": "phone"})
     return rows.join(utt2spk.withColumnRenamed("spk", "speaker"), "utt")
 
 
@@ -47,16 +51,117 @@ def needed_pairs(task: DataFrame) -> DataFrame:
     return pairs.select(F.least("p", "q").alias("i"), F.greatest("p", "q").alias("j")).where("i < j").distinct()
 
 
-def task_pairs(items: DataFrame, on: str, by: list[str], key: str = "id") -> DataFrame:
+#: Items of a tile, on average.
+TILE = 256
+
+
+def tiled(items: DataFrame, on: str | None, by: list[str], key: str = "id", tile: int = TILE) -> DataFrame:
+    """items dealt to tiles of their cell by a hash of their key, a row for each pair of tiles that theirs is in.
+
+    Adds _p and _q (the pair, _p <= _q), _tile (the item's own), and, for asked pairs, _n (items of its category) and _all
+    (of its cell). A cell of n items has about n / tile tiles, so an item is sent that often, however many pairs it is in,
+    and a cell is the work of many tasks. Items whose cell or category is null are left out.
+    """
+    levels = items.groupBy(*by, *([on] if on else [])).agg(F.count(F.lit(1)).alias("_n"))
+    if by:
+        sizes = levels.join(levels.groupBy(*by).agg(F.sum("_n").alias("_all")), by) if on else levels.withColumn("_all", F.col("_n"))
+    else:
+        sizes = levels.join(F.broadcast(levels.agg(F.sum("_n").alias("_all"))))  # one row
+    keys = [*by, *([on] if on else [])]
+    sized = items.join(sizes, keys) if keys else items.join(F.broadcast(sizes))  # one row
+    tiles = F.ceil(F.col("_all") / tile)
+    own = sized.withColumn("_tile", F.pmod(F.xxhash64(F.col(key)), tiles)).withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), tiles - 1)))
+    return own.withColumns({"_p": F.least("_tile", "_other"), "_q": F.greatest("_tile", "_other")}).drop("_other")
+
+
+def _asked(on: str | None) -> Column:
+    """Does the task ask for the distance of two items (a, b) of a cell? One of a category if the cell has another category, two of
+    different ones if one of them has two items."""
+    if not on:
+        return F.lit(True)
+    return F.when(F.col(f"a.{on}") == F.col(f"b.{on}"), F.col("a._all") > F.col("a._n")).otherwise(F.greatest("a._n", "b._n") > 1)
+
+
+def task_pairs(items: DataFrame, on: str | None, by: list[str], key: str = "id", tile: int = TILE) -> DataFrame:
     """needed_pairs(triplets(items, on, by)) without making a triplet: quadratic in a cell, not cubic. Ids are unique.
 
-    A pair of one category is asked for if the cell has another category, a pair of two if one of them has two items.
+    Without `on` all pairs of a cell.
+    """
+    dealt = tiled(items.select(*by, *([on] if on else []), key), on, by, key, tile)
+    pair = [*by, "_p", "_q"]
+    both = dealt.where("_tile = _p").alias("a").join(dealt.where("_tile = _q").alias("b"), pair).where(_asked(on))
+    i, j = F.col(f"a.{key}"), F.col(f"b.{key}")
+    return both.where((F.col("_p") < F.col("_q")) & (i != j) | (i < j)).select(F.least(i, j).alias("i"), F.greatest(i, j).alias("j"))
+
+
+def cell_distances(items: DataFrame, distance: str = "cos", on: str | None = None, by: list[str] | None = None, key: str = "id", x: str = "x", warp: bool = False, normalised: bool = True, tile: int = TILE) -> DataFrame:
+    """(by, i, j, d) for the pairs of :func:`task_pairs`, i < j, with on_i and on_j if there is `on`.
+
+    x: a vector, or with warp a sequence of frames. Two tiles' vectors are sent to one task, which makes all their distances
+    by matrix products (or by warping pairs of the same lengths together). d is null where a vector is null, or a sequence
+    is null or has no frames. `dur` is the difference in frames.
     """
-    # the cell's window first: its exchange serves the other window and the join
-    sized = items.select(*by, on, F.col(key).alias("i")).withColumn("_all", F.count(F.lit(1)).over(W.partitionBy(*by))).withColumn("_n", F.count(F.lit(1)).over(W.partitionBy(*by, on)))
-    other = sized.select(*by, F.col(on).alias("_on2"), F.col("_n").alias("_n2"), F.col("i").alias("j"))
-    asked = F.when(F.col(on) == F.col("_on2"), F.col("_all") > F.col("_n")).otherwise(F.greatest("_n", "_n2") > 1)
-    return sized.join(other, by).where("i < j").where(asked).select("i", "j")
+    by = by or []
+    spark = items.sparkSession
+    ship(spark)
+    dealt = tiled(items.select(*by, *([on] if on else []), key, x), on, by, key, tile)
+    kind = items.schema
+    out = [StructField(c, kind[c].dataType) for c in by] + [StructField("i", kind[key].dataType), StructField("j", kind[key].dataType)]
+    out += [StructField(c, kind[on].dataType) for c in ("on_i", "on_j")] if on else []
+    out.append(StructField("d", DoubleType()))
+
+    def one(rows: pd.DataFrame) -> pd.DataFrame:
+        a, b = (rows[rows["_tile"] == rows[c].iloc[0]] for c in ("_p", "_q"))
+        r, c = (m.ravel() for m in np.meshgrid(np.arange(len(a)), np.arange(len(b)), indexing="ij"))
+        ka, kb = a[key].to_numpy()[r], b[key].to_numpy()[c]
+        keep = ka < kb if rows["_p"].iloc[0] == rows["_q"].iloc[0] else ka != kb
+        if on:
+            la, lb = a[on].to_numpy()[r], b[on].to_numpy()[c]
+            na, nb = a["_n"].to_numpy()[r], b["_n"].to_numpy()[c]
+            keep &= np.where(la == lb, a["_all"].to_numpy()[r] > na, np.maximum(na, nb) > 1)
+        r, c, ka, kb = r[keep], c[keep], ka[keep], kb[keep]
+        swap = ka > kb
+        found = {n: [rows[n].iloc[0]] * len(r) for n in by} | {"i": np.where(swap, kb, ka), "j": np.where(swap, ka, kb)}
+        if on:
+            la, lb = la[keep], lb[keep]
+            found |= {"on_i": np.where(swap, lb, la), "on_j": np.where(swap, la, lb)}
+        made = sequence_matrix if warp else vector_matrix
+        return pd.DataFrame(found | {"d": made(list(a[x]), list(b[x]), r, c, distance, **({"normalised": normalised} if warp else {}))})
+
+    return dealt.groupBy(*by, "_p", "_q").applyInPandas(one, StructType(out))
+
+
+def vector_matrix(x: list, y: list, r: np.ndarray, c: np.ndarray, distance: str) -> np.ndarray:
+    """Distances of x[r] and y[c] for each pair of places; nan where one is null."""
+    own = [np.array([k for k, v in enumerate(side) if v is not None], int) for side in (x, y)]
+    out = np.full((len(x), len(y)), np.nan)
+    if len(own[0]) and len(own[1]):
+        a, b = (np.stack([np.asarray(side[k], float) for k in at]) for side, at in zip((x, y), own, strict=True))
+        if distance == "euc":  # by differences: products would cancel for vectors that are near each other
+            step = max(1, (1 << 20) // max(1, b.size))
+            d = np.concatenate([np.sqrt(((a[k : k + step, None] - b[None]) ** 2).sum(2)) for k in range(0, len(a), step)])
+        else:
+            d = _frame_distances(a[None], b[None], distance)[0]
+        out[np.ix_(*own)] = d
+    return out[r, c]
+
+
+def sequence_matrix(x: list, y: list, r: np.ndarray, c: np.ndarray, distance: str, normalised: bool = True) -> np.ndarray:
+    """Warped distances of x[r] and y[c] for each pair of places; nan where one is null or has no frames."""
+    length = [np.array([-1 if v is None else len(v) for v in side]) for side in (x, y)]
+    n, m = length[0][r], length[1][c]
+    if distance == "dur":
+        return np.where((n < 0) | (m < 0), np.nan, np.abs(n - m))
+    frames = [[np.stack([np.asarray(f, float) for f in v]) if v is not None and len(v) else None for v in side] for side in (x, y)]
+    out = np.full(len(r), np.nan)
+    order = np.lexsort((m, n))
+    edges = np.flatnonzero(np.diff(n[order]) | np.diff(m[order])) + 1
+    for at in np.split(order, edges):  # pairs of the same lengths step together
+        if len(at) and n[at[0]] > 0 and m[at[0]] > 0:
+            size = max(1, CELLS // int(n[at[0]] * m[at[0]]))
+            for part in (at[k : k + size] for k in range(0, len(at), size)):
+                out[part] = warped_pairs(np.stack([frames[0][k] for k in r[part]]), np.stack([frames[1][k] for k in c[part]]), distance, normalised)
+    return out
 
 
 def vector_distances(pairs: DataFrame, vectors: DataFrame, distance: str = "cos", key: str = "id", x: str = "x") -> DataFrame:
@@ -158,7 +263,7 @@ def precompute_distances(features: dict[str, DataFrame], folder: str, name: str,
     for feature, sequences in features.items():
         paths[feature] = f"{folder}/{feature}FEAT__{name}DIS"
         if not exists(sequences.sparkSession, f"{paths[feature]}/_SUCCESS"):
-            sequence_distances(all_pairs(sequences, key), sequences, distance, key=key, x=x).write.mode("overwrite").parquet(paths[feature])
+            cell_distances(sequences, distance, key=key, x=x, warp=True).write.mode("overwrite").parquet(paths[feature])
     return paths
 
 
@@ -177,6 +282,24 @@ def analysed(scores: DataFrame, by: list[str]) -> DataFrame:
     return scores.groupBy(*by, "on_a", "on_b").agg(F.avg("score").alias("score"), F.count(F.lit(1)).alias("n"), F.avg(wrong).alias("error"))
 
 
+def rank_scores(distances: DataFrame, by: list[str], win: float = 1.0, tie: float = 0.0, lose: float = -1.0) -> DataFrame:
+    """(by, on_a, on_b, score, n, error) of all triplets, as :func:`analysed` of :func:`scored` gives, without making one.
+
+    distances: (by, i, j, on_i, on_j, d) of :func:`cell_distances`. For each X its distances are put in order once; how many
+    As are nearer to it than a B, as near, or farther follows from how many of its own category stand before the B. A pair
+    without a distance is left out.
+    """
+    there = distances.where("d is not null")
+    side = lambda x, o: there.select(*by, F.col(x).alias("x"), F.col(f"on_{x}").alias("on_a"), F.col(f"on_{o}").alias("on_b"), "d")
+    own = F.when(F.col("on_a") == F.col("on_b"), 1).otherwise(0)
+    each = W.partitionBy(*by, "x")
+    counts = {"_upto": F.sum(own).over(each.orderBy("d")), "_same": F.sum(own).over(W.partitionBy(*by, "x", "d")), "_own": F.sum(own).over(each)}
+    of_b = side("i", "j").unionAll(side("j", "i")).withColumns(counts).where("on_a <> on_b and _own > 0")
+    n = of_b.groupBy(*by, "on_a", "on_b").agg(F.sum(F.col("_upto") - F.col("_same")).alias("_won"), F.sum("_same").alias("_tied"), F.sum(F.col("_own") - F.col("_upto")).alias("_lost"))
+    n = n.withColumn("n", F.col("_won") + F.col("_tied") + F.col("_lost"))
+    return n.select(*by, "on_a", "on_b", ((F.col("_won") * win + F.col("_tied") * tie + F.col("_lost") * lose) / F.col("n")).alias("score"), "n", ((F.col("_lost") + F.col("_tied") * 0.5) / F.col("n")).alias("error"))
+
+
 def contrast_errors(results: DataFrame, by: list[str], kind: Column) -> DataFrame:
     """(by, contrast_type, error): the mean over contrasts, by the kind of both phones (null kinds are left out)."""
     return results.withColumn("contrast_type", kind).where("contrast_type is not null").groupBy(*by, "contrast_type").agg(F.avg("error").alias("error"))
@@ -192,9 +315,8 @@ def dominant_unit(posteriors: DataFrame) -> DataFrame:
 
 def unit_runs(units: DataFrame) -> DataFrame:
     """(item, unit, first, n): runs of frames with the same dominant unit (gaps and islands)."""
-    w = W.partitionBy("item").orderBy("frame")
-    island = F.sum(F.when(F.col("unit") == F.lag("unit").over(w), 0).otherwise(1)).over(w)
-    return units.withColumn("_run", island).groupBy("item", "_run", "unit").agg(F.min("frame").alias("first"), F.count(F.lit(1)).alias("n")).drop("_run")
+    new = scans.neighbours(units, ["item"], ["frame"], {"_before": "unit"}).withColumn("_new", F.when(F.col("unit") == F.col("_before"), 0).otherwise(1))
+    return scans.running(new, ["item"], ["frame"], "_new", "_run", "_prev").groupBy("item", "_run", "unit").agg(F.min("frame").alias("first"), F.count(F.lit(1)).alias("n")).drop("_run")
 
 
 def activation_durations(units: DataFrame, least_frames: int = 0, step: float = 0.01) -> DataFrame:

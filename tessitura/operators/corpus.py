@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ..session import ship
 from ..sources.readers import Corpus, checked
+from . import scans
+from .matching import match_speakers
 
 
 def speaker_amount(utts: DataFrame, spk: str = "spk", duration: str = "duration") -> DataFrame:
@@ -38,7 +38,7 @@ def ranked_by_gender(amounts: DataFrame, genders: DataFrame, spk: str = "spk", g
     """amounts with gender and rank: 1 is the longest of its gender, ties by speaker. A speaker without gender is an error."""
     joined = amounts.join(genders.select(spk, gender), spk, "left")
     joined = checked(joined, F.col(gender).isNotNull(), "a speaker has no gender")
-    return joined.withColumn("rank", F.row_number().over(W.partitionBy(gender).orderBy(F.desc("amount"), spk)))
+    return scans.ranked(joined, [gender], ["-amount", spk]).withColumn("rank", F.col("rank").cast("int"))
 
 
 def key_difference(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
@@ -101,8 +101,7 @@ def histogram(amounts: DataFrame, groups: list[str], value: str, bins: int = 5)
 
 def running(utts: DataFrame, spk: str, order: list[str], duration: str = "duration") -> DataFrame:
     """utts with cum, the running sum of each speaker's durations, this row included, and prev, the sum before it."""
-    w = W.partitionBy(spk).orderBy(*order)
-    return utts.withColumn("cum", F.sum(duration).over(w.rowsBetween(W.unboundedPreceding, 0))).withColumn("prev", F.lag("cum", 1, 0.0).over(w))
+    return scans.running(utts, [spk], order, duration)
 
 
 def subset_slices(utts: DataFrame, n: int, spk: str = "spk", utt: str = "utt", order: tuple[str, ...] = ("start", "utt"), start: str = "start", stop: str = "stop", duration: str = "duration") -> DataFrame:
@@ -111,8 +110,8 @@ def subset_slices(utts: DataFrame, n: int, spk: str = "spk", utt: str = "utt", o
     Slice j is [j, j + 1) n-ths of the speaker's total. An utterance over a slice's edge is cut there, so it is in two.
     An utterance is compared with the slices that it meets only: its first and last slice follow from its sums.
     """
-    w = W.partitionBy(spk).orderBy(*order)
-    rows = running(utts, spk, list(order), duration).withColumn("total", F.last("cum").over(w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)))
+    rows = running(utts, spk, list(order), duration)
+    rows = rows.join(rows.groupBy(spk).agg(F.max("cum").alias("total")), spk)
     # A slice's edges are floats: one more on each side is tried, and the exact test below decides.
     at = lambda c: F.floor(F.col(c) / F.col("total") * n)
     near = F.sequence(F.greatest(F.lit(0), at("prev") - 1).cast("int"), F.least(F.lit(n - 1), at("cum") + 1).cast("int"))
@@ -120,70 +119,33 @@ def subset_slices(utts: DataFrame, n: int, spk: str = "spk", utt: str = "utt", o
     cut = cut.where((F.col("cum") > F.col("low")) & (F.col("prev") < F.col("high")))
     front = F.col(stop) - (F.col("cum") - F.col("low"))
     back = F.col(stop) - (F.col("cum") - F.col("high"))
-    # The first row of a slice is the one that holds its low edge, the last the one that reaches its high edge.
+    # Sums only grow and a row's prev is the cum before it, so one row of a slice holds its low edge, the first, and one its
+    # high edge, the last; only the last slice may end in rows of no duration behind it.
     first = F.col("prev") <= F.col("low")
-    edge = W.partitionBy(spk, "j").orderBy(*[F.desc(c) for c in order])
-    last = F.row_number().over(edge) == 1
-    first = first & (F.row_number().over(W.partitionBy(spk, "j").orderBy(*order)) == 1)
+    last = F.col("cum") >= F.col("high")
     return cut.select(spk, utt, F.col("j").alias("subset_id"), F.when(first, front).otherwise(F.col(start)).alias("start"), F.when(last, back).otherwise(F.col(stop)).alias("stop"))
 
 
 # Matching and trimming ------------------------------------------------------------------------------------------------
 
 
-def _match_group(big: list[tuple[str, float]], small: list[tuple[str, float]], threshold: float) -> list[tuple[str, float, str, float]]:
-    """Pairs for one gender: small speakers by falling amount, each with the nearest free big one.
-
-    If the nearest differs by more than the threshold, relatively, the least free one that is not shorter is taken.
-    """
-    free, out = sorted(big), []
-    for spk, d in sorted(small, key=lambda x: (-x[1], x[0])):
-        if not free:
-            raise ValueError("there are more small than big speakers")
-        pick = min(free, key=lambda b: (abs(b[1] - d), b[0]))
-        if abs(2 * (pick[1] - d) / (pick[1] + d)) > threshold:
-            longer = [b for b in free if b[1] >= d]
-            if not longer:
-                raise ValueError(f"no speaker is long enough for {spk}")
-            pick = min(longer, key=lambda b: (b[1], b[0]))
-        free.remove(pick)
-        out.append((*pick, spk, d))
-    return out
-
-
-def match_speakers(big: DataFrame, small: DataFrame, gender: str = "gender", spk: str = "spk", amount: str = "amount", threshold: float = 0.05) -> DataFrame:
-    """(gender, big_spk, big_amount, small_spk, small_amount): each small speaker's match, without replacement.
-
-    Each choice depends on the ones before it, so a gender is one task; its rows are speakers, not utterances.
-    """
-    ship(big.sparkSession)
-    side = lambda d, s: d.select(F.col(gender).cast("string").alias("gender"), F.col(spk).cast("string").alias("spk"), F.col(amount).cast("double").alias("amount"), F.lit(s).alias("side"))
-
-    def one(group: pd.DataFrame) -> pd.DataFrame:
-        of = lambda s: list(group.loc[group.side == s, ["spk", "amount"]].itertuples(index=False, name=None))
-        return pd.DataFrame([(group.gender.iloc[0], *p) for p in _match_group(of("big"), of("small"), threshold)], columns=["gender", "big_spk", "big_amount", "small_spk", "small_amount"])
-
-    return side(big, "big").unionByName(side(small, "small")).groupBy("gender").applyInPandas(one, "gender string, big_spk string, big_amount double, small_spk string, small_amount double")
-
-
 def trim(utts: DataFrame, targets: DataFrame, spk: str = "spk", rec: str = "rec", utt: str = "utt", start: str = "start", duration: str = "duration") -> DataFrame:
     """utts without those removed to bring each speaker of targets (spk, target) down to its target.
 
     Utterances go from recordings' ends, the shortest recording first. The one that would pass the target goes only if
-    that leaves the speaker nearer to it. Speakers without a target stay whole.
+    that leaves the speaker nearer to it. Speakers without a target stay whole. Recordings are added up first, so a speaker's
+    utterances never meet, and a long recording's are added up in ranges.
     """
-    w = W.partitionBy(spk)
-    per_rec = utts.withColumn("_rec", F.sum(duration).over(W.partitionBy(spk, rec))).join(targets.select(spk, "target"), spk, "left").withColumn("_all", F.sum(duration).over(w))
-    order = W.partitionBy(spk).orderBy("_rec", rec, F.desc(start), utt)
-    run = per_rec.withColumn("_run", F.sum(duration).over(order.rowsBetween(W.unboundedPreceding, 0)))
-    run = run.withColumn("_before", F.lag("_run", 1, 0.0).over(order))
-    left, left_with = F.col("_all") - F.col("_run"), F.col("_all") - F.col("_before")
+    recs = utts.groupBy(spk, rec).agg(F.sum(duration).alias("_rec"))
+    recs = scans.running(recs, [spk], ["_rec", rec], "_rec", "_done", "_ahead")
+    recs = recs.join(recs.groupBy(spk).agg(F.max("_done").alias("_all")), spk).join(targets.select(spk, "target"), spk, "left").select(spk, rec, "_ahead", "_all", "target")
+    run = scans.running(utts, [spk, rec], [f"-{start}", utt], duration, "_cum", "_prev").join(recs, [spk, rec])
+    left, left_with = F.col("_all") - (F.col("_ahead") + F.col("_cum")), F.col("_all") - (F.col("_ahead") + F.col("_prev"))
+    # Sums only grow, so rows before the first that does not pass all pass; that one is borderline.
     passes = left > F.col("target")
     nearest = F.abs(F.col("target") - left_with) > F.abs(F.col("target") - left)
-    # Rows before the first that does not pass all pass, as the running sum only grows.
-    borderline = ~passes & F.coalesce(F.lag("_run", 1).over(order) < F.col("_all") - F.col("target"), left_with > F.col("target"))
-    gone = F.coalesce(passes | (borderline & nearest), F.lit(False))
-    return run.withColumn("_gone", gone).where(~F.col("_gone")).drop("_rec", "target", "_all", "_run", "_before", "_gone")
+    gone = F.coalesce(passes | ((left_with > F.col("target")) & nearest), F.lit(False))
+    return run.where(~gone).drop("target", "_all", "_ahead", "_cum", "_prev")
 
 
 def matching_corpora(big: DataFrame, small: DataFrame, matches: DataFrame, threshold: float = 0.05, trimming: bool = True) -> tuple[DataFrame, DataFrame]:
@@ -207,11 +169,10 @@ def balanced_split(speakers: DataFrame, gender: str = "gender", spk: str = "spk"
     least number whose share is not under train / group_size go to train.
     """
     order = F.xxhash64(F.lit(seed), spk) if order is None else order
-    ranked = speakers.withColumn("_rn", F.row_number().over(W.partitionBy(gender).orderBy(F.desc(amount), spk)) - 1).withColumn("_n", F.count(F.lit(1)).over(W.partitionBy(gender)))
-    ranked = ranked.withColumn("_group", F.floor(F.col("_rn") / group_size))
+    ranked = scans.ranked(speakers, [gender], [f"-{amount}", spk], "_rn").withColumn("_group", F.floor((F.col("_rn") - 1) / group_size))
     size = F.count(F.lit(1)).over(W.partitionBy(gender, "_group"))
     picked = F.row_number().over(W.partitionBy(gender, "_group").orderBy(order, spk)) <= F.ceil(size * train / F.lit(float(group_size)) - 1e-9)
-    return ranked.withColumn("part", F.when(picked, "train").otherwise("test")).drop("_rn", "_n", "_group")
+    return ranked.withColumn("part", F.when(picked, "train").otherwise("test")).drop("_rn", "_group")
 
 
 def twin_split(matches: DataFrame, **options) -> DataFrame:

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import math
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
+
+from ..session import ship
 
 
 def mean_by(df: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
@@ -50,6 +56,54 @@ def bootstrap(rows: DataFrame, n: int, key: Column, weight: Callable[[Column, Co
     return out.withColumn("times", weight(F.col("boot_id"), key)).where("times > 0")
 
 
+#: Numbers of times that a task draws at once.
+DRAWS = 1 << 20
+
+
+def poisson_times(boots: np.ndarray, key: np.ndarray, seed: int = 0) -> np.ndarray:
+    """Poisson(1) draws, a row for each key and a column for each resample, from a hash of seed, resample and key."""
+    x = key.astype(np.uint64)[:, None] ^ (boots.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed))[None, :]
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    u = ((x ^ (x >> np.uint64(31))) >> np.uint64(11)) / float(1 << 53)
+    return np.searchsorted(np.cumsum([math.exp(-1) / math.factorial(k) for k in range(18)]), u, "right")
+
+
+def bootstrap_sums(rows: DataFrame, n: int, keys: list[str], value: str, key: Column, weight: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None, seed: int = 0) -> DataFrame:
+    """(keys, boot_id, times, total): of each resample 0 to n - 1, how many rows it draws and the sum of their values.
+
+    A task draws how often each resample has each of its rows and adds up, so it sends a row for each of its keys and
+    resamples and no row meets a resample. By default the times are :func:`poisson_times` of a hash of `key` (a whole number
+    or any other value), so they don't depend on the partitioning; weight(resamples as a row, keys as a column) gives others.
+    Null values are left out, and so are resamples without a row.
+    """
+    ship(rows.sparkSession)
+    ident = key.cast("long") if weight else F.xxhash64(F.lit(seed), key)
+    narrow = rows.where(F.col(value).isNotNull()).select(F.struct(*keys).alias("_g"), F.to_json(F.struct(*keys)).alias("_name"), F.col(value).cast("double").alias("_v"), ident.alias("_k"))
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        boots = np.arange(n)
+        for batch in batches:
+            names = batch.column("_name").dictionary_encode()
+            group, size = np.asarray(names.indices), len(names.dictionary)
+            v, k = np.asarray(batch.column("_v")), np.asarray(batch.column("_k"))
+            times, total = np.zeros((size, n), np.int64), np.zeros((size, n))
+            order = np.argsort(group, kind="stable")
+            step = max(1, DRAWS // n)
+            for own in np.split(order, np.flatnonzero(np.diff(group[order])) + 1):
+                for at in (own[i : i + step] for i in range(0, len(own), step)):
+                    drawn = weight(boots[None, :], k[at][:, None]) if weight else poisson_times(boots, k[at], seed)
+                    times[group[at[0]]] += drawn.sum(0)
+                    total[group[at[0]]] += v[at] @ drawn
+            first = np.unique(group, return_index=True)[1]
+            arrays = [pa.ListArray.from_arrays(pa.array(np.arange(size + 1) * n, pa.int32()), pa.array(a.ravel())) for a in (times, total)]
+            yield pa.RecordBatch.from_arrays([batch.column("_g").take(pa.array(first)), *arrays], ["_g", "times", "total"])
+
+    kinds = StructType([narrow.schema["_g"], StructField("times", ArrayType(LongType())), StructField("total", ArrayType(DoubleType()))])
+    each = narrow.mapInArrow(add, kinds).select("_g.*", F.posexplode(F.arrays_zip("times", "total")).alias("boot_id", "s"))
+    return each.groupBy(*keys, F.col("boot_id").cast("long").alias("boot_id")).agg(F.sum("s.times").alias("times"), F.sum("s.total").alias("total")).where("times > 0")
+
+
 def weighted_mean(value: str, weight: str = "times") -> Column:
     return F.sum(F.col(value) * F.col(weight)) / F.sum(weight)
 

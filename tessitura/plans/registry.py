@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..mixture import posteriors as mix
-from ..operators import abx, corpus, frames, summaries
+from ..operators import abx, corpus, frames, scans, summaries
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -213,7 +213,7 @@ def merged_recordings(spark, sf):
 # Frames and intervals --------------------------------------------------------------------------------------------------
 
 
-def _points(spark, sf):
+def _frames(spark, sf):
     """One frame for each event at its middle."""
     return _utts(spark, sf).select("spk", F.col("utt").alias("frame"), (F.col("start") + F.col("duration") / 2).alias("t"))
 
@@ -222,21 +222,19 @@ _SEGS = "segs AS (SELECT spk, min(start) AS start, max(stop) AS stop, CAST(floor
 
 
 def _segs(spark, sf):
-    from pyspark.sql.window import Window as W
-
-    rn = F.row_number().over(W.partitionBy("spk").orderBy("ts", "utt")) - 1
-    return _utts(spark, sf).withColumn("seg", F.floor(rn / 4)).groupBy("spk", "seg").agg(F.min("start").alias("start"), F.max("stop").alias("stop"))
+    numbered = scans.ranked(_utts(spark, sf), ["spk"], ["ts", "utt"], "rn")
+    return numbered.withColumn("seg", F.floor((F.col("rn") - 1) / 4)).groupBy("spk", "seg").agg(F.min("start").alias("start"), F.max("stop").alias("stop"))
 
 
 @query(f"WITH {_UTTS}, {_SEGS} SELECT u.spk, u.utt AS frame, s.seg FROM utts u JOIN segs s ON s.spk = u.spk AND u.start + u.duration / 2 BETWEEN s.start AND s.stop")
 def range_join_frames(spark, sf):
-    return frames.frames_in_segments(_points(spark, sf), _segs(spark, sf), rec="spk", width=500.0).select("spk", "frame", "seg")
+    return frames.frames_in_segments(_frames(spark, sf), _segs(spark, sf), rec="spk", width=500.0).select("spk", "frame", "seg")
 
 
 @query(f"WITH {_UTTS} SELECT utt, round(start + duration / 2 - start, 4) AS t FROM utts")
 def rebase_times(spark, sf):
     u = _utts(spark, sf)
-    return frames.rebase(_points(spark, sf).withColumnRenamed("frame", "utt").select("utt", "t"), u).select("utt", _r("t", 4).alias("t"))
+    return frames.rebase(_frames(spark, sf).withColumnRenamed("frame", "utt").select("utt", "t"), u).select("utt", _r("t", 4).alias("t"))
 
 
 @query("SELECT o_orderkey, (row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1) // 1000 AS chunk FROM orders")
@@ -402,7 +400,7 @@ SELECT e.model_type, round(e.v, 6) AS v, round(d.std, 6) AS std FROM e LEFT JOIN
 """)
 def bootstrap_std(spark, sf):
     rows = _t(spark, sf, "lineitem").select(F.col("l_returnflag").alias("model_type"), F.col("l_quantity").alias("v"), (F.col("l_orderkey") * 31 + F.col("l_linenumber") * 17).alias("k"))
-    boots = summaries.bootstrap(rows, 1000, F.col("k"), weight=lambda b, k: (k + b * 13) % 4).groupBy("model_type", "boot_id").agg(summaries.weighted_mean("v").alias("v"))
+    boots = summaries.bootstrap_sums(rows, 1000, ["model_type"], "v", F.col("k"), weight=lambda b, k: (k + b * 13) % 4).select("model_type", "boot_id", (F.col("total") / F.col("times")).alias("v"))
     return summaries.with_std(summaries.mean_by(rows, ["model_type"], ["v"]), boots, ["model_type"], "v").select("model_type", _r("v").alias("v"), _r("std").alias("std"))
 
 
@@ -527,44 +525,38 @@ d AS (SELECT *, round(acos(greatest(-1, least(1, list_dot_product(xa.x, xx.x) /
 SELECT on_a, on_b, round(avg(CASE WHEN da < db THEN 1.0 WHEN da > db THEN -1.0 ELSE 0.0 END), 6) AS score, count(*) AS n, round(avg(CASE WHEN da < db THEN 0.0 WHEN da > db THEN 1.0 ELSE 0.5 END), 6) AS error FROM d GROUP BY 1, 2
 """)
 def abx_scored_cos(spark, sf):
-    items = _items(spark, sf)
-    task = abx.triplets(items, "phone", ["speaker"])
-    distances = abx.vector_distances(abx.task_pairs(items, "phone", ["speaker"]), items, "cos").withColumn("d", _r("d", 9))
-    return abx.analysed(abx.scored(task, distances), []).select("on_a", "on_b", _r("score").alias("score"), "n", _r("error").alias("error"))
+    distances = _near(_items(spark, sf), "cos").drop("speaker").withColumn("d", _r("d", 9))
+    return abx.rank_scores(distances, []).select("on_a", "on_b", _r("score").alias("score"), "n", _r("error").alias("error"))
 
 
 _ASKED = "asked AS (SELECT least(a, x) AS i, greatest(a, x) AS j FROM task UNION SELECT least(b, x), greatest(b, x) FROM task)"
 _NEAR = _TASK + ", " + _ASKED + ", near AS (SELECT i, j, p.x AS x, q.x AS y FROM asked JOIN items p ON p.id = i JOIN items q ON q.id = j)"
 
 
-def _asked(items):
-    """The pairs whose distance the task (phones within speakers) asks for."""
-    return abx.task_pairs(items, "phone", ["speaker"])
+def _near(items, distance, **options):
+    """The distances that the task (phones within speakers) asks for."""
+    return abx.cell_distances(items, distance, "phone", ["speaker"], **options)
 
 
 @query(f"WITH {_ITEMS}, {_TASK}, {_ASKED} SELECT i, j FROM asked")
 def abx_pairs(spark, sf):
-    return _asked(_items(spark, sf))
+    return abx.task_pairs(_items(spark, sf), "phone", ["speaker"])
 
 
 @query("SELECT a.vec_id AS i, b.vec_id AS j, round(list_distance(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS d FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id AND a.label = b.label")
 def stimulus_pairs(spark, sf):
     """All pairs of a phone's stimuli."""
-    items = _items(spark, sf)
-    pairs = abx.all_pairs(items, by=["phone"])
-    return abx.vector_distances(pairs, items, "euc").withColumn("d", _r("d"))
+    return abx.cell_distances(_items(spark, sf), "euc", by=["phone"]).select("i", "j", _r("d").alias("d"))
 
 
 @query(f"WITH {_ITEMS}, {_NEAR} SELECT i, j, round(list_distance(x, y), 6) AS d FROM near")
 def pairwise_euclid(spark, sf):
-    items = _items(spark, sf)
-    return abx.vector_distances(_asked(items), items, "euc").withColumn("d", _r("d"))
+    return _near(_items(spark, sf), "euc").select("i", "j", _r("d").alias("d"))
 
 
 @query(f"WITH {_ITEMS}, {_NEAR} SELECT i, j, round(acos(greatest(-1, least(1, list_cosine_similarity(x, y)))) / pi(), 6) AS d FROM near")
 def pairwise_angular(spark, sf):
-    items = _items(spark, sf)
-    return abx.vector_distances(_asked(items), items, "cos").withColumn("d", _r("d"))
+    return _near(_items(spark, sf), "cos").select("i", "j", _r("d").alias("d"))
 
 
 @query(f"""
@@ -573,7 +565,7 @@ SELECT a.id AS i, b.id AS j, round(list_sum(list_transform(range(1, 65), lambda
 """)
 def pairwise_kl(spark, sf):
     soft = _items(spark, sf).withColumn("x", C.softmax(F.col("x")))
-    return abx.vector_distances(_asked(soft), soft, "kl").withColumn("d", _r("d"))
+    return _near(soft, "kl").select("i", "j", _r("d").alias("d"))
 
 
 @query()
@@ -581,21 +573,19 @@ def dtw_distance(spark, sf):
     """Warped angular distance of the task's pairs, each vector cut into eight frames of eight."""
     cut = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: F.slice("x", k * 8 + 1, F.lit(8)))
     items = _items(spark, sf).withColumn("x", cut)
-    return abx.sequence_distances(_asked(items), items, "cos").withColumn("d", _r("d"))
+    return _near(items, "cos", warp=True).select("i", "j", _r("d").alias("d"))
 
 
 @query("SELECT event_id, user_id, event_type AS phone, lag(event_type) OVER w AS prev_phone, lead(event_type) OVER w AS next_phone FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)")
 def phone_items(spark, sf):
-    e = _t(spark, sf, "events").select(F.col("user_id").alias("utt"), F.col("event_type").alias("phone"), F.struct("ts", "event_id").alias("start"), "event_id")
+    e = _t(spark, sf, "events").select(F.col("user_id").alias("utt"), F.col("event_type").alias("phone"), "ts", "event_id")
     spk = e.select("utt").distinct().withColumn("spk", F.col("utt"))
-    return abx.phone_items(e, spk).select("event_id", F.col("utt").alias("user_id"), "phone", "prev_phone", "next_phone")
+    return abx.phone_items(e, spk, ["ts", "event_id"]).select("event_id", F.col("utt").alias("user_id"), "phone", "prev_phone", "next_phone")
 
 
 def _units(spark, sf):
-    from pyspark.sql.window import Window as W
-
-    frame = F.row_number().over(W.partitionBy("user_id").orderBy("ts", "event_id")) - 1
-    return _t(spark, sf, "events").select(F.col("user_id").alias("item"), frame.alias("frame"), F.col("event_type").alias("unit"))
+    e = scans.ranked(_t(spark, sf, "events").select("user_id", "ts", "event_id", "event_type"), ["user_id"], ["ts", "event_id"], "rn")
+    return e.select(F.col("user_id").alias("item"), (F.col("rn") - 1).alias("frame"), F.col("event_type").alias("unit"))
 
 
 @query("""
