@@ -32,6 +32,14 @@ def component_stats(points: DataFrame, prior: ConjugatePrior, x: str = "x", z: s
     return summed.groupBy("z", "side").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "v"))), lambda s: s["v"]).alias("stat"))
 
 
+def sparse_sums(parts: DataFrame, rows: int, columns: int) -> np.ndarray:
+    """The matrix whose entries are sums of the parts (at, pos, v): what tasks have added up, of which the rest is 0."""
+    out = np.zeros((rows, columns))
+    found = parts.groupBy("at", "pos").agg(F.sum("v").alias("v")).toArrow()
+    out[found["at"].to_numpy(), found["pos"].to_numpy()] = found["v"].to_numpy()
+    return out
+
+
 def diagonal_stats(points: DataFrame, label: str, x: str = "x") -> DataFrame:
     """(label, dim, n, sum, sum_sq): statistics of diagonal Gaussians, native."""
     return points.select(label, F.posexplode(x).alias("dim", "v")).groupBy(label, "dim").agg(F.count(F.lit(1)).alias("n"), F.sum("v").alias("sum"), F.sum(F.col("v").cast("double") * F.col("v").cast("double")).alias("sum_sq"))
@@ -62,18 +70,41 @@ def log_posteriors(points: np.ndarray, log_weights: np.ndarray, means: np.ndarra
 def posteriors(frames: DataFrame, model: DataFrame, x: str = "x", out: str = "post") -> DataFrame:
     """frames with out: each component's posterior (array<double>), components by number.
 
-    model: (component, log_weight, mean, cov); it has a row for each component (hundreds), which is sent to all tasks.
+    model: (component, log_weight, mean, cov). Its size is measured first; blocks of MODEL_BYTES at most are read and sent to
+    all tasks one after another, each adding its components' log joints to the frames' rows.
     """
-    ship(frames.sparkSession)
-    rows = sorted(model.collect(), key=lambda r: r["component"])
-    shared = frames.sparkSession.sparkContext.broadcast((np.array([r["log_weight"] for r in rows]), np.array([r["mean"] for r in rows]), np.array([r["cov"] for r in rows])))
+    spark = frames.sparkSession
+    ship(spark)
+    sizes = model.select("component", (8 * (F.size("mean") * (F.size("mean") + 1) + 2)).alias("bytes")).orderBy("component").collect()  # two numbers a component
+    blocks, held = [[]], 0
+    for r in sizes:
+        if blocks[-1] and held + r.bytes > MODEL_BYTES:
+            blocks, held = [*blocks, []], 0
+        blocks[-1].append(r.component)
+        held += r.bytes
+    joint = frames.withColumn(out, F.array().cast("array<double>"))
+    for block in blocks:
+        if not block:
+            continue
+        rows = sorted(model.where(F.col("component").between(block[0], block[-1])).collect(), key=lambda r: r["component"])
+        joint = joint.withColumn(out, F.concat(out, _joint(spark, rows)(x)))
+    m = F.array_max(out)
+    total = F.aggregate(out, F.lit(0.0), lambda s, v: s + F.exp(v - m))
+    return joint.withColumn(out, F.transform(out, lambda v: F.exp(v - m) / total)) if sizes else joint
+
+
+def _joint(spark, rows: list):
+    """A function of vectors to their log joints with the components of the rows, which it sends to all tasks."""
+    shared = spark.sparkContext.broadcast(([r["log_weight"] for r in rows], [np.array(r["mean"]) for r in rows], [np.array(r["cov"]) for r in rows]))
 
     @F.pandas_udf("array<double>")
-    def post(v: pd.Series) -> pd.Series:
-        w, m, s = shared.value
-        return pd.Series(list(np.exp(log_posteriors(np.stack(v.to_numpy()).astype(float), w, m, s)))) if len(v) else pd.Series([], dtype=object)
+    def one(v: pd.Series) -> pd.Series:
+        if not len(v):
+            return pd.Series([], dtype=object)
+        points = np.stack(v.to_numpy()).astype(float)
+        return pd.Series(list(np.column_stack([gaussian_log_density(points, m, s) + w for w, m, s in zip(*shared.value, strict=True)])))
 
-    return frames.withColumn(out, post(x))
+    return one
 
 
 def diagonal_log_density(x: Column, mean: Column, var: Column) -> Column:
@@ -82,26 +113,30 @@ def diagonal_log_density(x: Column, mean: Column, var: Column) -> Column:
     return -0.5 * (C.total(z) + F.size(x) * math.log(2 * math.pi))
 
 
-#: Bytes of means and variances up to which a model is sent to all tasks as one row.
+#: Bytes of means and variances (or covariances) of the components that are sent to all tasks at once.
 MODEL_BYTES = 64 << 20
 
 
-def diagonal_posteriors(points: DataFrame, model: DataFrame, key: str, x: str = "x") -> DataFrame:
-    """(key, component, post) for diagonal components (component, log_weight, mean, var), native.
+def diagonal_joint(points: DataFrame, model: DataFrame, key: str, x: str = "x") -> DataFrame:
+    """(key, _all): each point's log joint (_j) with each diagonal component (component, log_weight, mean, var), native.
 
-    A model of MODEL_BYTES at most is measured, packed into one row and sent to all tasks, so that a point's posteriors are
-    added up within its row and no point is exchanged. Larger ones are joined unpacked and added up by key, which must
-    then be unique.
+    The model is packed into rows of MODEL_BYTES at most, which are sent to all tasks one after another: each adds its
+    components to the points' own rows, so no point is exchanged and no pair of point and component is a row of its own.
     """
-    size = model.agg(F.sum(16 * F.size("mean") + 32)).first()[0] or 0
-    if size <= MODEL_BYTES:
-        all_of = model.agg(F.sort_array(F.collect_list(F.struct("component", "log_weight", "mean", "var"))).alias("_model"))
-        joint = F.transform("_model", lambda c: F.struct(c["component"].alias("component"), (c["log_weight"] + diagonal_log_density(F.col(x), c["mean"], c["var"])).alias("_j")))
-        joint = points.select(key, x).crossJoin(F.broadcast(all_of)).select(key, joint.alias("_all"))
-        joint = joint.withColumn("_m", F.array_max(F.transform("_all", lambda c: c["_j"])))
-    else:
-        joint = points.select(key, x).crossJoin(model).withColumn("_j", F.col("log_weight") + diagonal_log_density(F.col(x), F.col("mean"), F.col("var")))
-        joint = joint.groupBy(key).agg(F.max("_j").alias("_m"), F.collect_list(F.struct("component", "_j")).alias("_all"))
+    size, n = model.agg(F.coalesce(F.sum(16 * F.size("mean") + 32), F.lit(0)), F.count(F.lit(1))).first()
+    parts = max(1, min(n, -(-size // max(1, MODEL_BYTES))))
+    blocks = model.withColumn("_b", F.pmod(F.xxhash64("component"), F.lit(parts)))
+    joint = points.select(key, x).withColumn("_all", F.array().cast("array<struct<component:" + model.schema["component"].dataType.simpleString() + ",_j:double>>"))
+    for b in range(parts):
+        packed = blocks.where(F.col("_b") == b).agg(F.sort_array(F.collect_list(F.struct("component", "log_weight", "mean", "var"))).alias("_model"))
+        own = F.transform("_model", lambda c: F.struct(c["component"].alias("component"), (c["log_weight"] + diagonal_log_density(F.col(x), c["mean"], c["var"])).alias("_j")))
+        joint = joint.crossJoin(F.broadcast(packed)).withColumn("_all", F.concat("_all", own)).drop("_model")  # one row
+    return joint.select(key, F.sort_array("_all").alias("_all"))
+
+
+def diagonal_posteriors(points: DataFrame, model: DataFrame, key: str, x: str = "x") -> DataFrame:
+    """(key, component, post) for diagonal components (component, log_weight, mean, var), native; see :func:`diagonal_joint`."""
+    joint = diagonal_joint(points, model, key, x).withColumn("_m", F.array_max(F.transform("_all", lambda c: c["_j"])))
     total = F.aggregate("_all", F.lit(0.0), lambda s, c: s + F.exp(c["_j"] - F.col("_m")))
     return joint.withColumn("_t", total).select(key, "_m", "_t", F.explode("_all").alias("c")).select(key, "c.component", (F.exp(F.col("c._j") - F.col("_m")) / F.col("_t")).alias("post"))
 
@@ -111,6 +146,13 @@ def hard_labels(posterior: DataFrame, key: str) -> DataFrame:
     return posterior.groupBy(key).agg(F.max_by("component", F.struct("post", -F.col("component"))).alias("component"))
 
 
+def best_components(points: DataFrame, model: DataFrame, key: str, x: str = "x") -> DataFrame:
+    """(key, component): the same from the points and a diagonal model, each point's within its row: no point is exchanged."""
+    joint = diagonal_joint(points, model, key, x)
+    best = F.array_max(F.transform("_all", lambda c: F.struct(c["_j"].alias("j"), (-c["component"]).alias("c"))))
+    return joint.select(key, (-best["c"]).alias("component"))
+
+
 def joint_log_likelihood(stats: dict[int, np.ndarray], prior: ConjugatePrior, alpha: float = 1.0) -> float:
     """Log probability of a partition and its points, components integrated out, under a Dirichlet process."""
     n = sum(s[0] for s in stats.values())

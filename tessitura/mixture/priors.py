@@ -12,6 +12,7 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 
 _lgamma = np.vectorize(math.lgamma, otypes=[float])
 
@@ -38,10 +39,61 @@ def sample_log_dirichlet(shape: np.ndarray, rng: np.random.Generator) -> np.ndar
     return g - log_sum_exp(g)
 
 
+def dense_rows(x: pa.Array, width: int) -> np.ndarray:
+    """The rows of a column of arrays of one width."""
+    return np.asarray(x.flatten().cast(pa.float64())).reshape(len(x), width)
+
+
+class Counts:
+    """Sparse rows of counts: rows i's terms and counts are at start[i] to start[i + 1]."""
+
+    def __init__(self, start: np.ndarray, term: np.ndarray, count: np.ndarray) -> None:
+        self.start, self.term, self.count = start, term, count
+        self.row = np.repeat(np.arange(len(start) - 1), np.diff(start))
+        self._coefficient: np.ndarray | None = None
+
+    @classmethod
+    def of(cls, x: pa.MapArray) -> Counts:
+        start = np.asarray(x.offsets)
+        a, b = int(start[0]), int(start[-1])
+        return cls(start - a, np.asarray(x.keys.slice(a, b - a)).astype(np.int64), np.asarray(x.items.slice(a, b - a)).astype(float))
+
+    def __len__(self) -> int:
+        return len(self.start) - 1
+
+    def __getitem__(self, rows: np.ndarray) -> Counts:
+        lengths = np.diff(self.start)[rows]
+        start = np.concatenate([[0], np.cumsum(lengths)])
+        at = np.arange(start[-1]) + np.repeat(self.start[:-1][rows] - start[:-1], lengths)
+        return Counts(start, self.term[at], self.count[at])
+
+    def per_row(self, values: np.ndarray) -> np.ndarray:
+        """Sums over each row's terms."""
+        return np.bincount(self.row, values, len(self))
+
+    @property
+    def totals(self) -> np.ndarray:
+        return self.per_row(self.count)
+
+    @property
+    def coefficient(self) -> np.ndarray:
+        if self._coefficient is None:
+            self._coefficient = _log_factorial(self.totals) - self.per_row(_log_factorial(self.count))
+        return self._coefficient
+
+
+def _log_factorial(n: np.ndarray) -> np.ndarray:
+    """Log of n!, from a table for whole numbers that are not large."""
+    if len(n) and n.max() < 1 << 20 and (n == np.floor(n)).all():
+        return np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, int(n.max()) + 1)))])[n.astype(np.int64)]
+    return _lgamma(n + 1) if len(n) else np.zeros(0)
+
+
 class ConjugatePrior(Protocol):
     size: int
 
     def matrix(self, x: pd.Series) -> np.ndarray: ...
+    def rows(self, x: pa.Array) -> np.ndarray | Counts: ...
     def stats(self, rows: np.ndarray, group: np.ndarray, groups: int) -> np.ndarray: ...
     def draw(self, stat: np.ndarray, rng: np.random.Generator, loosened: bool = False) -> tuple: ...
     def log_density(self, rows: np.ndarray, params: tuple) -> np.ndarray: ...
@@ -61,6 +113,9 @@ class NormalInverseWishart:
     def matrix(self, x: pd.Series) -> np.ndarray:
         return np.stack(x.to_numpy()).astype(float) if len(x) else np.zeros((0, self.d))
 
+    def rows(self, x: pa.Array) -> np.ndarray:
+        return dense_rows(x, self.d)
+
     def stats(self, rows: np.ndarray, group: np.ndarray, groups: int) -> np.ndarray:
         out = np.zeros((groups, self.size))
         for g in np.unique(group):
@@ -138,13 +193,22 @@ class DirichletMultinomial:
                 out[i] = row
         return out
 
+    def rows(self, x: pa.Array) -> np.ndarray | Counts:
+        """Maps of counts over 0 stay sparse, on their Arrow buffers; arrays of all counts are dense."""
+        return Counts.of(x) if pa.types.is_map(x.type) else dense_rows(x, self.v)
+
     @staticmethod
-    def coefficient(rows: np.ndarray) -> np.ndarray:
+    def coefficient(rows: np.ndarray | Counts) -> np.ndarray:
         """Log of each row's multinomial coefficient."""
-        return _lgamma(rows.sum(1) + 1) - _lgamma(rows + 1).sum(1)
+        return rows.coefficient if isinstance(rows, Counts) else _lgamma(rows.sum(1) + 1) - _lgamma(rows + 1).sum(1)
 
-    def stats(self, rows: np.ndarray, group: np.ndarray, groups: int) -> np.ndarray:
+    def stats(self, rows: np.ndarray | Counts, group: np.ndarray, groups: int) -> np.ndarray:
         out = np.zeros((groups, self.size))
+        if isinstance(rows, Counts):
+            out[:, 0] = np.bincount(group, minlength=groups)
+            out[:, 1:-1] = np.bincount(np.asarray(group)[rows.row] * self.v + rows.term, rows.count, groups * self.v).reshape(groups, self.v)
+            out[:, -1] = np.bincount(group, rows.coefficient, groups)
+            return out
         np.add.at(out, group, np.column_stack([np.ones(len(rows)), rows, self.coefficient(rows)]) if len(rows) else np.zeros((0, self.size)))
         return out
 
@@ -152,7 +216,7 @@ class DirichletMultinomial:
         return (sample_log_dirichlet(stat[1:-1] + self.alpha, rng),)
 
     def log_density(self, rows: np.ndarray, params: tuple) -> np.ndarray:
-        return rows @ params[0] + self.coefficient(rows)
+        return (rows.per_row(rows.count * params[0][rows.term]) if isinstance(rows, Counts) else rows @ params[0]) + self.coefficient(rows)
 
     def log_marginal(self, stat: np.ndarray) -> float:
         counts = stat[1:-1]

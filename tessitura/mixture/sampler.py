@@ -1,9 +1,13 @@
 """Dirichlet-process mixtures by parallel sub-cluster moves, and finite approximations.
 
 A chain is a driver loop. Each sweep is one pass over the points: every task draws its points' components and sides from
-broadcast parameters and adds up their statistics; the labels are written to the shared folder (which cuts the lineage)
-and only the statistics of the K components come to the driver, which draws parameters and decides about merges and
-splits. No point ever does.
+broadcast parameters and adds up their statistics and likelihoods, and only those of the K components come to the driver,
+which draws parameters and decides about merges and splits. No point ever does.
+
+Labels are not written: a point's draws come from a hash of seed, step and the point's id, so its labels follow from its
+vector and the recipe (the parameters of the sweep and the moves after it), in any task, in any partitioning and again after
+a lost executor. Only with superclusters, where a point's draw depends on the component that it had, are points written with
+their labels after each sweep, and the copy before is deleted.
 """
 
 from __future__ import annotations
@@ -14,16 +18,86 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import saved, ship
-from .posteriors import component_stats, joint_log_likelihood
+from ..session import discard, saved, ship
+from ..sources.readers import exists
+from .posteriors import joint_log_likelihood, sparse_sums
 from .priors import ConjugatePrior, log_sum_exp, sample_categorical, sample_log_dirichlet
 
 LOG_RANDOM = math.log(100)
 
+# Draws ---------------------------------------------------------------------------------------------------------------
+
+#: What a draw is for: first labels, first sides, labels, sides, new sides, halves.
+FIRST, FIRST_SIDE, LABEL, SIDE, COIN, HALF = range(6)
+_GOLDEN = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    return x ^ (x >> np.uint64(31))
+
+
+def uniforms(pid: np.ndarray, seed: int, step: int, purpose: int, columns: int = 1) -> np.ndarray:
+    """Numbers in (0, 1), a row for each point, that depend on nothing but the arguments."""
+    key = np.zeros(1, np.uint64)
+    for part in (seed, step, purpose):
+        key = _mixed(key + _GOLDEN + np.uint64(part % (1 << 64)))
+    own = _mixed(pid.astype(np.int64).view(np.uint64) + key)
+    return ((_mixed(own[:, None] + _GOLDEN * np.arange(1, columns + 1, dtype=np.uint64)[None, :]) >> np.uint64(12)) + 0.5) / float(1 << 52)
+
+
+def drawn(log_p: np.ndarray, u: np.ndarray) -> np.ndarray:
+    """A column for each row of unnormalised log weights, by the uniforms of the same shape."""
+    return (log_p - np.log(-np.log(u))).argmax(axis=1)
+
+
+def replayed(recipe: list[tuple], prior: ConjugatePrior, seed: int, pid: np.ndarray, rows, given: tuple | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(component, side, log likelihood under the sides of the last draw) of the points, by the steps of the recipe."""
+    z = side = np.zeros(len(pid), np.int64)
+    like = np.zeros(len(pid))
+    for kind, *args in recipe:
+        if kind == "first":
+            z, side = ((uniforms(pid, seed, 0, p)[:, 0] * n).astype(np.int64) for p, n in ((FIRST, args[0]), (FIRST_SIDE, 2)))
+        elif kind == "given":
+            z, side = given
+        elif kind == "draw":
+            state, group, step = args
+            log_p = np.column_stack([w + prior.log_density(rows, p) for w, p, _, _ in state])
+            if group is not None:  # only the components of the point's present group
+                group = np.array(group)
+                log_p = np.where(group[None, :] == group[z][:, None], log_p, -np.inf)
+            z = drawn(log_p, uniforms(pid, seed, step, LABEL, len(state)))
+            u, side = uniforms(pid, seed, step, SIDE, 2), np.zeros(len(pid), np.int64)
+            for k in np.unique(z):
+                at = np.flatnonzero(z == k)
+                own = rows[at]
+                both = np.column_stack([state[k][2][s] + prior.log_density(own, state[k][3][s]) for s in (0, 1)])
+                side[at], like[at] = drawn(both, u[at]), log_sum_exp(both)
+        elif kind == "move":  # by (component, side); side -1 is drawn anew
+            to, to_side, step = args
+            new = to_side[z, side]
+            z, side = to[z, side], np.where(new < 0, uniforms(pid, seed, step, COIN)[:, 0] < 0.5, new).astype(np.int64)
+        elif kind == "halves":  # sides by a coin of each component
+            share, step = args
+            side = (uniforms(pid, seed, step, HALF)[:, 0] >= share[z]).astype(np.int64)
+        elif kind == "part":  # the second halves of some components become new ones
+            share, new, step = args
+            over = uniforms(pid, seed, step, HALF)[:, 0] >= share[z]
+            taken = new[z] >= 0
+            side = np.where(taken, uniforms(pid, seed, step, COIN)[:, 0] < 0.5, side).astype(np.int64)
+            z = np.where(taken & over, new[z], z)
+        elif kind == "renumber":
+            z = args[0][z]
+    return z, side, like
+
+
+# Chains --------------------------------------------------------------------------------------------------------------
+
 
 @dataclass
 class Cluster:
@@ -83,39 +157,85 @@ class Chain:
     def __init__(self, points: DataFrame, prior: ConjugatePrior, alpha: float = 1.0, k: int = 10, seed: int = 0, kind: str = "dp", grouped: bool = False, spread_alpha: bool = True) -> None:
         ship(points.sparkSession)
         self.spark, self.prior, self.alpha, self.seed, self.kind, self.grouped, self.spread_alpha = points.sparkSession, prior, alpha, seed, kind, grouped, spread_alpha
-        self.capacity, self.step, self.trace = k, 0, []
-        u = lambda s: F.shiftrightunsigned(F.xxhash64(F.lit(seed * 1009 + s), "pid"), 33)
-        self.points = saved(points.select("pid", "x").withColumns({"z": (u(1) % k).cast("int"), "side": (u(2) % 2).cast("int")}))
+        self.step, self.trace = 0, []
+        self.base, self.recipe = saved(points.select("pid", "x")), [("first", k)]
         self.clusters: list[Cluster] = []
         self._recount(k)
 
     # Labels --------------------------------------------------------------------------------------------------------
 
-    def _recount(self, k: int) -> None:
-        stats = [[np.zeros(self.prior.size), np.zeros(self.prior.size)] for _ in range(k)]
-        for r in component_stats(self.points, self.prior).collect():
-            stats[r.z][r.side] = np.array(r.stat)
+    def _replay(self, recipe: list[tuple]):
+        """What a task does with a batch: (component, side, likelihood), rows."""
+        prior, seed = self.prior, self.seed
+        shared = self.spark.sparkContext.broadcast(recipe)  # parameters of K components
+
+        def labels(batch: pa.RecordBatch):
+            rows = prior.rows(batch.column("x"))
+            given = tuple(np.asarray(batch.column(c), np.int64) for c in ("z", "side")) if "z" in batch.schema.names else None
+            return replayed(shared.value, prior, seed, np.asarray(batch.column("pid")), rows, given), rows
+
+        return labels
+
+    @property
+    def points(self) -> DataFrame:
+        """(pid, x, z, side): the points with the labels that they have now."""
+        labels = self._replay(self.recipe)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                (z, side, _), _ = labels(batch)
+                yield pa.RecordBatch.from_arrays([batch.column("pid"), batch.column("x"), pa.array(z, pa.int32()), pa.array(side, pa.int32())], ["pid", "x", "z", "side"])
+
+        return self.base.mapInArrow(run, f"pid long, x {self.base.schema['x'].dataType.simpleString()}, z int, side int")
+
+    def _counted(self, recipe: list[tuple], k: int) -> tuple[list[list[np.ndarray]], np.ndarray]:
+        """(statistics by component and side, log likelihood by component) in one pass over the points."""
+        labels, prior = self._replay(recipe), self.prior
+
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held = np.zeros((2 * k, prior.size + 1))
+            for batch in batches:
+                (z, side, like), rows = labels(batch)
+                held[:, :-1] += prior.stats(rows, 2 * z + side, 2 * k)
+                held[:, -1] += np.bincount(2 * z + side, like, 2 * k)
+            at, pos = np.nonzero(held)
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(pos), pa.array(held[at, pos])], ["at", "pos", "v"])
+
+        # Sums that are not 0 only: of sparse counts, a row for each component's terms.
+        stats = sparse_sums(self.base.mapInArrow(add, "at long, pos long, v double"), 2 * k, prior.size + 1)
+        return [[stats[2 * i, :-1], stats[2 * i + 1, :-1]] for i in range(k)], stats[:, -1].reshape(k, 2).sum(1)
+
+    def _recount(self, k: int) -> np.ndarray:
+        stats, like = self._counted(self.recipe, k)
+        self._with_stats(stats)
+        return like
+
+    def _with_stats(self, stats: list[list[np.ndarray]]) -> None:
         old = self.clusters
         self.clusters = [Cluster(s) for s in stats]
         for c, o in zip(self.clusters, old, strict=False):
             c.params, c.side_params, c.log_weight, c.side_log_weights, c.likelihood, c.splittable = o.params, o.side_params, o.log_weight, o.side_log_weights, o.likelihood, o.splittable
 
-    def _relabel(self, moves: dict[tuple[int, int], tuple[int, int | None]], k: int) -> None:
-        """Moves all points of a (component, side) to another; side None draws the side anew."""
-        rows = [(a, s, b, t) for (a, s), (b, t) in moves.items()]
-        table = self.spark.createDataFrame(rows, "z int, side int, z2 int, side2 int")
-        coin = (F.shiftrightunsigned(F.xxhash64(F.lit(self.seed * 7919 + self.step), "pid"), 33) % 2).cast("int")
-        moved = self.points.join(F.broadcast(table), ["z", "side"], "left")  # two rows for each component
-        self.points = saved(moved.select("pid", "x", F.coalesce("z2", "z").alias("z"), F.when(F.col("z2").isNull(), F.col("side")).otherwise(F.coalesce("side2", coin)).alias("side")))
-        self._recount(k)
+    def _relabel(self, moves: dict[tuple[int, int], tuple[int, int | None]], k: int, stats: list[list[np.ndarray]] | None = None) -> None:
+        """Moves all points of a (component, side) to another; side None draws the side anew. stats: what they are then, if that is known."""
+        n = max(k, 1 + max(a for a, _ in moves))  # components without a move stay
+        to, to_side = np.tile(np.arange(n)[:, None], 2), np.tile(np.arange(2)[None, :], (n, 1))
+        for (a, s), (b, t) in moves.items():
+            to[a, s], to_side[a, s] = b, -1 if t is None else t
+        self.recipe = [*self.recipe, ("move", to, to_side, self.step)]
+        if stats is None:
+            self._recount(k)
+        else:
+            self._with_stats(stats)
 
     def _drop_empty(self) -> None:
         self.kept = kept = [i for i, c in enumerate(self.clusters) if c.n > 0 or self.kind == "finite"]
         if len(kept) == len(self.clusters):
             return
+        number = np.zeros(len(self.clusters), np.int64)
+        number[kept] = np.arange(len(kept))
         self.clusters = [self.clusters[i] for i in kept]
-        number = F.create_map(*[F.lit(v) for n, i in enumerate(kept) for v in (i, n)])
-        self.points = self.points.withColumn("z", F.element_at(number, F.col("z")))
+        self.recipe = [*self.recipe, ("renumber", number)]
 
     # Moves ---------------------------------------------------------------------------------------------------------
 
@@ -132,39 +252,13 @@ class Chain:
             c.side_log_weights = sample_log_dirichlet(0.5 * (np.array([s[0] for s in c.stats]) + self.alpha), rng)
 
     def sample_labels(self, groups: list[int] | None) -> None:
-        prior, seed, step = self.prior, self.seed, self.step
-        state = [(c.log_weight, c.params, c.side_log_weights, c.side_params) for c in self.clusters]
-        shared = self.spark.sparkContext.broadcast((state, groups))  # K components
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            from pyspark import TaskContext
-
-            own, group = shared.value
-            rng = np.random.default_rng([seed, step, TaskContext.get().partitionId()])
-            for b in batches:
-                rows = prior.matrix(b["x"])
-                log_p = np.column_stack([w + prior.log_density(rows, p) for w, p, _, _ in own])
-                if group is not None:  # only the components of the point's present group
-                    g = np.array(group)
-                    log_p = np.where(g[None, :] == g[b["z"].to_numpy()][:, None], log_p, -np.inf)
-                z = sample_categorical(log_p, rng)
-                side = np.zeros(len(b), np.int32)
-                like = np.zeros(len(b))
-                for k in np.unique(z):
-                    at = z == k
-                    both = np.column_stack([own[k][2][s] + prior.log_density(rows[at], own[k][3][s]) for s in (0, 1)])
-                    side[at] = sample_categorical(both, rng)
-                    like[at] = log_sum_exp(both)
-                yield pd.DataFrame({"pid": b["pid"], "x": b["x"], "z": z.astype(np.int32), "side": side, "like": like})
-
-        schema = f"pid long, x {self.points.schema['x'].dataType.simpleString()}, z int, side int, like double"
-        labelled = saved(self.points.mapInPandas(run, schema))
-        means = {r.z: r.like for r in labelled.groupBy("z").agg(F.avg("like").alias("like")).collect()}
-        self.points = labelled.select("pid", "x", "z", "side")
-        self._recount(len(self.clusters))
-        for k, c in enumerate(self.clusters):  # sides that no longer gain are worth proposing
-            new = means.get(k, -math.inf)
-            c.splittable, c.likelihood = new <= c.likelihood + 1e-9 or c.splittable, new
+        draw = ("draw", [(c.log_weight, c.params, c.side_log_weights, c.side_params) for c in self.clusters], groups, self.step)
+        # Without groups nothing that was before matters any more.
+        self.recipe = [*self.recipe, draw] if groups is not None else [draw]
+        like = self._recount(len(self.clusters))
+        for c, total in zip(self.clusters, like, strict=True):  # sides that no longer gain are worth proposing
+            new = float(total / c.n) if c.n else -math.inf
+            c.splittable, c.likelihood = bool(new <= c.likelihood + 1e-9 or c.splittable), new
         self._drop_empty()
 
     def propose_merges(self, rng: np.random.Generator, groups: list[int] | None) -> None:
@@ -186,8 +280,11 @@ class Chain:
             kept = [i for i in range(k) if i not in gone]
             number = {i: n for n, i in enumerate(kept)}
             every = {(i, s): moves.get((i, s), (i, s)) for i in range(k) for s in (0, 1)}
+            stats = [[np.zeros(self.prior.size), np.zeros(self.prior.size)] for _ in kept]  # no side is drawn, so no pass
+            for (i, s), (b, t) in every.items():
+                stats[number[b]][t] = stats[number[b]][t] + self.clusters[i].stats[s]
             self.clusters = [self.clusters[i] for i in kept]
-            self._relabel({a: (number[b], t) for a, (b, t) in every.items()}, len(kept))
+            self._relabel({a: (number[b], t) for a, (b, t) in every.items()}, len(kept), stats)
 
     def propose_splits(self, rng: np.random.Generator) -> None:
         """Sides become components where that is accepted, with sides drawn anew; an empty side has them redrawn too."""
@@ -210,23 +307,15 @@ class Chain:
 
         Returns the components that were split, in the order of the new ones.
         """
-        k, step = len(self.clusters), self.step
+        k = len(self.clusters)
         shares = np.array([rng.beta(self.alpha / 2 + 1e-9, self.alpha / 2 + 1e-9) for _ in range(k)])
-        share = F.element_at(F.array(*[F.lit(float(s)) for s in shares]), F.col("z") + 1)
-        u = F.shiftrightunsigned(F.xxhash64(F.lit(self.seed * 104729 + step), "pid"), 11) / float(1 << 53)
-        cut = saved(self.points.withColumn("old", F.col("side")).withColumn("side", (u >= share).cast("int")))
-        stats = {}
-        for r in component_stats(cut, self.prior).collect():
-            stats.setdefault(r.z, [np.zeros(self.prior.size), np.zeros(self.prior.size)])[r.side] = np.array(r.stat)
-        accepted = [i for i, (a, b) in stats.items() if a[0] > 0 and b[0] > 0 and math.log(rng.random()) < log_split_ratio(self.prior, a, b, self.alpha) + LOG_RANDOM]
+        stats, _ = self._counted([*self.recipe, ("halves", shares, self.step)], k)
+        accepted = [i for i, (a, b) in enumerate(stats) if a[0] > 0 and b[0] > 0 and math.log(rng.random()) < log_split_ratio(self.prior, a, b, self.alpha) + LOG_RANDOM]
         if not accepted:
             return []
-        number = {i: k + n for n, i in enumerate(sorted(accepted))}
-        new = F.create_map(*[F.lit(v) for kv in number.items() for v in kv])
-        taken = F.col("z").isin(accepted)
-        coin = (F.shiftrightunsigned(F.xxhash64(F.lit(self.seed * 7919 + step), "pid"), 33) % 2).cast("int")
-        z = F.when(taken & (F.col("side") == 1), F.try_element_at(new, F.col("z"))).otherwise(F.col("z"))
-        self.points = saved(cut.select("pid", "x", z.alias("z"), F.when(taken, coin).otherwise(F.col("old")).alias("side")))
+        new = np.full(k, -1)
+        new[accepted] = k + np.arange(len(accepted))
+        self.recipe = [*self.recipe, ("part", shares, new, self.step)]
         for i in sorted(accepted):
             self.clusters.append(Cluster(stats[i], self.clusters[i].params, list(self.clusters[i].side_params), self.clusters[i].log_weight - math.log(2)))
             self.clusters[i].log_weight -= math.log(2)
@@ -259,6 +348,10 @@ class Chain:
                 groups = groups and groups + [groups[i] for i in halves]
             self.propose_merges(rng, groups)
             self.propose_splits(rng)
+        if groups is not None:  # the next draw depends on these labels, and so on: they are written, and the copy before goes
+            old, self.base = self.base, saved(self.points)
+            self.recipe = [("given",)]
+            discard(old)
         self.trace.append((self.step, time.monotonic() - began, self.log_likelihood(), len([c for c in self.clusters if c.n > 0]), int(max(c.n for c in self.clusters))))
 
     def run(self, steps: int, seconds: float | None = None) -> Chain:
@@ -283,25 +376,44 @@ class Chain:
         kinds = "mean array<double>, cov array<array<double>>" if len(rows[0]) == 5 else "log_p array<double>"
         return self.spark.createDataFrame(rows, f"component int, log_weight double, n double, {kinds}")
 
-    def save(self, folder: str) -> None:
-        """Labels, trace and state; :meth:`load` goes on from them with the same draws."""
-        self.points.write.mode("overwrite").parquet(f"{folder}/labels")
+    def _options(self) -> dict:
+        return {"alpha": float(self.alpha), "seed": self.seed, "kind": self.kind, "grouped": self.grouped, "spread_alpha": self.spread_alpha}
+
+    def save(self, folder: str, points: str | None = None) -> None:
+        """Labels, trace, state and options; :meth:`load` goes on from them with the same draws.
+
+        points: where the points (pid, x) are already; else they are written too.
+        """
+        if points is None:
+            points = f"{folder}/points"
+            self.base.select("pid", "x").write.mode("overwrite").parquet(points)
+        self.points.select("pid", "z", "side").write.mode("overwrite").parquet(f"{folder}/labels")
         self.trace_table().write.mode("overwrite").parquet(f"{folder}/trace")
         states = [(self.step, i, float(c.likelihood) if math.isfinite(c.likelihood) else None, c.splittable) for i, c in enumerate(self.clusters)]
         self.spark.createDataFrame(states, "step int, component int, likelihood double, splittable boolean").write.mode("overwrite").parquet(f"{folder}/state")
+        options = self._options() | {"points": points}
+        self.spark.createDataFrame([tuple(options.values())], "alpha double, seed long, kind string, grouped boolean, spread_alpha boolean, points string").write.mode("overwrite").parquet(f"{folder}/options")
 
     @classmethod
     def load(cls, spark, folder: str, prior: ConjugatePrior, **options) -> Chain:
+        """A saved chain, or its last state if folder has it as `-final`. An option other than the saved one is an error."""
+        if not exists(spark, f"{folder}/state/_SUCCESS") and exists(spark, f"{folder}-final/state/_SUCCESS"):
+            folder += "-final"
         chain = cls.__new__(cls)
         ship(spark)
         chain.spark, chain.prior = spark, prior
-        defaults = {"alpha": 1.0, "seed": 0, "kind": "dp", "grouped": False, "spread_alpha": True} | options
-        for k, v in defaults.items():
+        kept = spark.read.parquet(f"{folder}/options").first().asDict()
+        points = kept.pop("points")
+        wrong = {k: v for k, v in options.items() if k not in kept or kept[k] != v}
+        if wrong:
+            raise ValueError(f"the chain was run with other options than {wrong}: {kept}")
+        for k, v in kept.items():
             setattr(chain, k, v)
-        chain.points = saved(spark.read.parquet(f"{folder}/labels"))
+        chain.base = saved(spark.read.parquet(points).join(spark.read.parquet(f"{folder}/labels"), "pid"))
+        chain.recipe = [("given",)]
         chain.trace = [(r.iter, r.secs, r.loglik, r.k, r.nk) for r in spark.read.parquet(f"{folder}/trace").orderBy("iter").collect()]
         state = spark.read.parquet(f"{folder}/state").orderBy("component").collect()
-        chain.step, chain.clusters, chain.capacity = state[0].step, [], len(state)
+        chain.step, chain.clusters = state[0].step, []
         chain._recount(len(state))
         for c, s in zip(chain.clusters, state, strict=True):
             c.likelihood, c.splittable = -math.inf if s.likelihood is None else s.likelihood, s.splittable
@@ -309,12 +421,20 @@ class Chain:
 
 
 def fit(points: DataFrame, prior: ConjugatePrior, steps: int = 1500, folder: str | None = None, inner: int = 20, **options) -> Chain:
-    """A whole run in outer steps of `inner` sweeps, kept in folder after powers of two of them and the last."""
+    """A whole run of `steps` sweeps in outer steps of `inner`, the last one of what is left.
+
+    folder keeps the chain as it is before the outer steps 1, 2, 4, 8, ..., named by the number of the next sweep (1, 21, 61,
+    141, ... by default), and at the end, with `-final` after that number; the points once.
+    """
     from ..sources.writers import is_checkpoint
 
-    chain, outer = Chain(points, prior, **options), max(1, steps // inner)
-    for o in range(1, outer + 1):
-        chain.run(inner if steps >= inner else steps)
-        if folder and is_checkpoint(o, outer):
-            chain.save(f"{folder}/{chain.step + 1}")
+    chain = Chain(points, prior, **options)
+    if folder:
+        chain.base.select("pid", "x").write.mode("overwrite").parquet(f"{folder}/points")
+    for outer in range(1, -(-steps // inner) + 1):
+        if folder and is_checkpoint(outer, 0):
+            chain.save(f"{folder}/{chain.step + 1}", f"{folder}/points")
+        chain.run(min(inner, steps - chain.step))
+    if folder:
+        chain.save(f"{folder}/{chain.step + 1}-final", f"{folder}/points")
     return chain

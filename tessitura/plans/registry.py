@@ -711,7 +711,7 @@ def gmm_posterior(spark, sf):
 
 @query(_POST + "SELECT vec_id AS pid, arg_max(component, post) AS component FROM p GROUP BY 1")
 def label_reassign(spark, sf):
-    return mix.hard_labels(mix.diagonal_posteriors(_points(spark, sf), _diagonal_model(spark, sf), "pid"), "pid")
+    return mix.best_components(_points(spark, sf), _diagonal_model(spark, sf), "pid")
 
 
 @query()

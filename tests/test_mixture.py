@@ -193,3 +193,66 @@ def test_every_supercluster_has_two_components():
         sizes = np.bincount(superclusters(clusters, prior, np.random.default_rng(seed)))
         assert sizes.min() >= 2 and len(sizes) <= 4
     assert superclusters(clusters[:3], prior, np.random.default_rng(0)) == [0, 0, 0]
+
+
+def test_checkpoints_are_kept_before_outer_steps_of_powers_of_two_and_at_the_end(spark, blobs, tmp_path):
+    prior = NormalInverseWishart(np.zeros(2), np.eye(2))
+    chain = fit(blobs, prior, steps=7, folder=str(tmp_path), inner=2, k=2, seed=3)
+    assert chain.step == 7 and sorted(p.name for p in tmp_path.iterdir()) == ["1", "3", "7", "8-final", "points"]  # 1 + 2 x (0, 1, 3), and all 7
+    again = Chain.load(spark, str(tmp_path / "3"), prior).run(5)
+    assert [t[0] for t in again.trace] == list(range(1, 8))
+    assert [t[2] for t in again.trace] == pytest.approx([t[2] for t in chain.trace]) and [c.n for c in again.clusters] == [c.n for c in chain.clusters]
+    with pytest.raises(ValueError, match="other options"):
+        Chain.load(spark, str(tmp_path / "3"), prior, seed=4)
+    with pytest.raises(ValueError, match="other options"):
+        Chain.load(spark, str(tmp_path / "3"), prior, grouped=True)
+
+
+def test_labels_follow_from_parameters_in_any_partitioning(spark, blobs):
+    prior = NormalInverseWishart(np.zeros(2), np.eye(2))
+    one, two = (Chain(blobs.repartition(n), prior, k=3, seed=3).run(4) for n in (1, 5))
+    assert [t[2:] for t in one.trace] == [pytest.approx(t[2:]) for t in two.trace]
+    labels = lambda c: {r.pid: (r.z, r.side) for r in c.points.collect()}
+    assert labels(one) == labels(two) == labels(one)
+    stats = posteriors.component_stats(one.points, prior)
+    for r in stats.collect():
+        assert np.array(r.stat) == pytest.approx(one.clusters[r.z].stats[r.side])
+
+
+def test_a_sweep_writes_no_points(spark, blobs, monkeypatch):
+    from tessitura.mixture import sampler
+
+    written = []
+    monkeypatch.setattr(sampler, "saved", lambda df, f=sampler.saved: written.append(f(df)) or written[-1])
+    Chain(blobs, NormalInverseWishart(np.zeros(2), np.eye(2)), k=2, seed=1).run(2)
+    assert len(written) == 1 and written[0].columns == ["pid", "x"]
+    chain = Chain(blobs, NormalInverseWishart(np.zeros(2), np.eye(2)), k=5, seed=1, grouped=True).run(2)
+    import os
+
+    assert [os.path.exists(d.written_at.removeprefix("file:")) for d in written[1:]].count(True) == 1 and chain.base is written[-1]
+
+
+def test_sparse_and_dense_counts_make_the_same_chain(spark):
+    docs = multinomial_docs(spark, 80, 30, 3, seed=2, most_words=40)
+    dense = docs.select("pid", F.transform(F.sequence(F.lit(0), F.lit(29)), lambda t: F.coalesce(F.try_element_at("x", t), F.lit(0)).cast("double")).alias("x"))
+    prior = DirichletMultinomial(30)
+    one, two = (Chain(d, prior, k=3, seed=5).run(3) for d in (docs, dense))
+    assert [t[2:] for t in one.trace] == [pytest.approx(t[2:]) for t in two.trace]
+    import pyarrow as pa
+
+    column = pa.array([[(1, 2), (4, 1)], [], [(0, 3)]], pa.map_(pa.int32(), pa.int32()))
+    rows, full = prior.rows(column.slice(1)), np.zeros((2, 30))
+    full[1, 0] = 3
+    assert len(rows) == 2 and (prior.stats(rows, np.array([1, 0]), 2) == prior.stats(full, np.array([1, 0]), 2)).all()
+    p = prior.draw(np.zeros(prior.size), np.random.default_rng(0))
+    assert prior.log_density(rows, p) == pytest.approx(prior.log_density(full, p)) and prior.log_density(rows[np.array([1])], p) == pytest.approx(prior.log_density(full[1:], p))
+
+
+def test_full_posteriors_are_the_same_in_blocks_of_components(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    model = spark.createDataFrame([(k, -1.0 * k, rng.normal(size=2).tolist(), (np.eye(2) * (k + 1)).tolist()) for k in range(4)], "component int, log_weight double, mean array<double>, cov array<array<double>>")
+    frames = spark.createDataFrame([(i, rng.normal(size=2).tolist()) for i in range(9)], "frame int, x array<double>")
+    whole = {r.frame: r.post for r in posteriors.posteriors(frames, model).collect()}
+    monkeypatch.setattr(posteriors, "MODEL_BYTES", 70)
+    for r in posteriors.posteriors(frames, model).collect():
+        assert r.post == pytest.approx(whole[r.frame]) and sum(r.post) == pytest.approx(1)
