@@ -29,7 +29,7 @@ SIZES, BITS = (3, 4, 5), 20
 #: Labelled documents of each label that are learned from, at most.
 SAMPLE = 8192
 #: Standard errors that a log-count ratio must differ from 0 by, and the most buckets that get a weight.
-Z, FEATURES = 5.0, 1 << 15
+Z, FEATURES = 5.0, 1 << 13
 #: Weight of the squared weights against the mean loss; rounds of the solver at most.
 RIDGE, ROUNDS = 1e-4, 100
 #: Code points that are hashed at once.
