@@ -19,17 +19,25 @@ def relative_difference(big: Column, small: Column) -> Column:
     return 2 * (big - small) / (big + small)
 
 
+#: What stands in a set's place where there is none.
+NO_SET = ("None", "NA")
+
+
+def no_set(name: Column) -> Column:
+    return name.isNull() | name.isin(*NO_SET)
+
+
 def train_test_match(train_lang: Column, test_lang: Column, train_reg: Column, test_reg: Column, train_set: Column, test_set: Column) -> Column:
-    """NA without training data, else the first that holds: same corpus, or how language (L) and register (R) match."""
+    """NA without a training or a test set, else the first that holds: same corpus, or how language (L) and register (R) match."""
     same_l, same_r = train_lang == test_lang, train_reg == test_reg
     return (
-        F.when(train_set.isNull() | (train_set == "NA"), "NA").when(train_set == test_set, "same C").when(same_l & ~same_r, "same L diff R").when(~same_l & same_r, "diff L same R").when(same_l & same_r, "same L same R").otherwise("diff L diff R")
+        F.when(no_set(train_set) | no_set(test_set), "NA").when(train_set == test_set, "same C").when(same_l & ~same_r, "same L diff R").when(~same_l & same_r, "diff L same R").when(same_l & same_r, "same L same R").otherwise("diff L diff R")
     )
 
 
-def tuning_condition(train_lang: Column, native: str, other: str) -> Column:
-    """`native`, `other`, or no tuning for models without a training language."""
-    return F.when(train_lang.isNull() | (train_lang == "NA"), "No language tuning").when(train_lang == native, f"{native} native").otherwise(f"{other} native")
+def tuning_condition(train_set: Column, train_lang: Column, native: str = "American English", labels: tuple[str, str] = ("Am. Eng. native", "Jap. native")) -> Column:
+    """The label of models trained on `native` speech, that of all others, or no tuning for those without a training set."""
+    return F.when(no_set(train_set), "No language tuning").when(train_lang == native, labels[0]).otherwise(labels[1])
 
 
 def model_condition(train: Column, model: Column, amount: str = "") -> Column:

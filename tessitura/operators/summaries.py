@@ -191,7 +191,6 @@ def split_by(df: DataFrame, flag: str) -> dict[bool, DataFrame]:
     return {True: df.where(F.col(flag)), False: df.where(~F.col(flag))}
 
 
-def grid(spark, **axes: list) -> DataFrame:
-    """Every combination of the axes' values."""
-    frames = [spark.createDataFrame([(v,) for v in values], [name]) for name, values in axes.items()]
-    return reduce(lambda a, b: a.crossJoin(b), frames)
+def grid(*axes: DataFrame) -> DataFrame:
+    """Every combination of the axes' distinct rows; an axis has few (a parameter's values), but its table need not."""
+    return reduce(lambda a, b: a.crossJoin(b), [a.distinct() for a in axes])

@@ -228,7 +228,7 @@ def _segs(spark, sf):
 
 @query(f"WITH {_UTTS}, {_SEGS} SELECT u.spk, u.utt AS frame, s.seg FROM utts u JOIN segs s ON s.spk = u.spk AND u.start + u.duration / 2 BETWEEN s.start AND s.stop")
 def range_join_frames(spark, sf):
-    return frames.frames_in_segments(_frames(spark, sf), _segs(spark, sf), rec="spk", width=500.0).select("spk", "frame", "seg")
+    return frames.frames_in_segments(_frames(spark, sf), _segs(spark, sf), rec="spk").select("spk", "frame", "seg")
 
 
 @query(f"WITH {_UTTS} SELECT utt, round(start + duration / 2 - start, 4) AS t FROM utts")
@@ -297,14 +297,31 @@ def parse_model_name(spark, sf):
     return parsed.withColumn("grp", C.subcorpus_group(F.col("split_factor")))
 
 
-@query("""
-WITH l AS (SELECT l_orderkey, l_linenumber, l_suppkey % 2 AS tl, l_partkey % 2 AS sl, l_suppkey % 3 % 2 AS tr, l_partkey % 3 % 2 AS sr, CASE WHEN l_suppkey % 11 = 0 THEN NULL ELSE l_suppkey % 5 END AS ts, l_partkey % 5 AS ss FROM lineitem)
-SELECT l_orderkey, l_linenumber, CASE WHEN ts IS NULL THEN 'NA' WHEN ts = ss THEN 'same C' WHEN tl = sl AND tr <> sr THEN 'same L diff R' WHEN tl <> sl AND tr = sr THEN 'diff L same R' WHEN tl = sl AND tr = sr THEN 'same L same R' ELSE 'diff L diff R' END AS cond FROM l
+_SETS = """CASE {0} % 5 WHEN 0 THEN 'WSJ' WHEN 1 THEN 'GPJ' WHEN 2 THEN 'BUC' WHEN 3 THEN 'CSJ' ELSE 'None' END"""
+_LANGUAGE = "CASE WHEN {0} IN ('WSJ', 'BUC') THEN 'American English' WHEN {0} IN ('GPJ', 'CSJ') THEN 'Japanese' ELSE 'None' END"
+_REGISTER = "CASE WHEN {0} IN ('WSJ', 'GPJ') THEN 'Read' WHEN {0} IN ('BUC', 'CSJ') THEN 'Spontaneous' ELSE 'None' END"
+
+
+def _set(key):
+    """A training or test set by a key; models that are not trained have the set 'None'."""
+    return F.coalesce(C.recode((key % 5).cast("string"), {"0": "WSJ", "1": "GPJ", "2": "BUC", "3": "CSJ"}), F.lit("None"))
+
+
+def _of_set(name, what: int):
+    return F.coalesce(C.recode(name, {corpus: of[what] for corpus, of in C.CORPORA.items()}), F.lit("None"))
+
+
+@query(f"""
+WITH s AS (SELECT l_orderkey, l_linenumber, {_SETS.format("l_suppkey")} AS x, {_SETS.format("l_partkey")} AS y FROM lineitem),
+l AS (SELECT *, {_LANGUAGE.format("x")} AS lx, {_LANGUAGE.format("y")} AS ly, {_REGISTER.format("x")} AS rx, {_REGISTER.format("y")} AS ry FROM s)
+SELECT l_orderkey, l_linenumber, CASE WHEN x = 'None' OR y = 'None' THEN 'NA' WHEN x = y THEN 'same C' WHEN lx = ly AND rx <> ry THEN 'same L diff R' WHEN rx = ry AND lx <> ly THEN 'diff L same R' WHEN lx = ly AND rx = ry THEN 'same L same R' ELSE 'diff L diff R' END AS cond FROM l
 """)
 def condition_case(spark, sf):
-    s, p = F.col("l_suppkey"), F.col("l_partkey")
-    sets = [F.when(s % 11 == 0, F.lit(None)).otherwise((s % 5).cast("string")), (p % 5).cast("string")]
-    return _t(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", C.train_test_match(s % 2, p % 2, s % 3 % 2, p % 3 % 2, *sets).alias("cond"))
+    """How the sets of training and test match, 'None' on either side included."""
+    x, y = F.col("x"), F.col("y")
+    rows = _t(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", _set(F.col("l_suppkey")).alias("x"), _set(F.col("l_partkey")).alias("y"))
+    cond = C.train_test_match(_of_set(x, 0), _of_set(y, 0), _of_set(x, 1), _of_set(y, 1), x, y)
+    return rows.select("l_orderkey", "l_linenumber", cond.alias("cond"))
 
 
 @query("SELECT c_custkey, CASE c_mktsegment WHEN 'BUILDING' THEN 'b' WHEN 'MACHINERY' THEN 'm' END AS code FROM customer")
@@ -337,13 +354,13 @@ def language_register(spark, sf):
     return C.with_language_register(_t(spark, sf, "documents").select("doc_id", code.alias("corpus")), "corpus", "train").drop("corpus")
 
 
-@query("""
-WITH c AS (SELECT c_custkey, CASE c_nationkey % 3 WHEN 0 THEN 'Japanese' WHEN 1 THEN 'American English' END AS lang FROM customer)
-SELECT c_custkey, CASE WHEN lang IS NULL THEN 'No language tuning' WHEN lang = 'Japanese' THEN 'Japanese native' ELSE 'American English native' END AS cond FROM c
+@query(f"""
+WITH s AS (SELECT c_custkey, {_SETS.format("c_nationkey")} AS x FROM customer), l AS (SELECT *, {_LANGUAGE.format("x")} AS lx FROM s)
+SELECT c_custkey, CASE WHEN x = 'None' THEN 'No language tuning' WHEN lx = 'American English' THEN 'Am. Eng. native' ELSE 'Jap. native' END AS cond FROM l
 """)
 def tuning_condition(spark, sf):
-    lang = C.recode((F.col("c_nationkey") % 3).cast("string"), {"0": "Japanese", "1": "American English"})
-    return _t(spark, sf, "customer").select("c_custkey", C.tuning_condition(lang, "Japanese", "American English").alias("cond"))
+    rows = _t(spark, sf, "customer").select("c_custkey", _set(F.col("c_nationkey")).alias("x"))
+    return rows.select("c_custkey", C.tuning_condition(F.col("x"), _of_set(F.col("x"), 0)).alias("cond"))
 
 
 @query("""
@@ -490,9 +507,10 @@ def unpivot_bounds(spark, sf):
     return summaries.bounds_as_rows(_t(spark, sf, "part").withColumn("p_size", F.col("p_size").cast("double")), ["p_partkey"], ["p_size", "p_retailprice"])
 
 
-@query("SELECT CAST(a.v AS BIGINT) AS factor, b.v AS train FROM (VALUES (10), (100), (1000)) a(v), (VALUES ('BUC'), ('CSJ')) b(v)")
+@query("SELECT DISTINCT a.p_size AS factor, b.l_returnflag AS train FROM part a, (SELECT DISTINCT l_returnflag FROM lineitem) b")
 def parameter_grid(spark, sf):
-    return summaries.grid(spark, factor=[10, 100, 1000], train=["BUC", "CSJ"])
+    """Every split factor with every training set, of those that the tables have."""
+    return summaries.grid(_t(spark, sf, "part").select(F.col("p_size").alias("factor")), _t(spark, sf, "lineitem").select(F.col("l_returnflag").alias("train")))
 
 
 # ABX -------------------------------------------------------------------------------------------------------------------
@@ -731,6 +749,8 @@ def gmm_posterior_full(spark, sf):
 
 #: Sweeps of the registered fits; `fit` defaults to 1500.
 SWEEPS = 40
+#: Sweeps over the words of all documents.
+WORD_SWEEPS = 8
 
 
 @query()
@@ -810,6 +830,20 @@ def multinomial_fit(spark, sf):
     return fit(_term_docs(spark, sf), DirichletMultinomial(51), steps=SWEEPS, k=5, grouped=True).trace_table().select("iter", "loglik", "k", "nk")
 
 
+@query()
+def word_mixture_fit(spark, sf):
+    """The finite approximation over the words of all documents, as sparse counts over their whole vocabulary."""
+    from ..mixture.priors import DirichletMultinomial
+    from ..mixture.sampler import fit
+    from ..session import saved
+
+    words = _t(spark, sf, "documents").select("doc_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("\\p{L}+"), F.lit(0))).alias("word"))
+    counts = saved(words.groupBy("doc_id", "word").agg(F.count(F.lit(1)).cast("int").alias("n")))
+    terms = saved(frames.numbered_rows(counts.select("word").distinct(), ["word"], "term"))
+    rows = counts.join(terms, "word").groupBy(F.col("doc_id").alias("pid")).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(F.col("term").cast("int"), "n")))).alias("x"))
+    return fit(rows, DirichletMultinomial(terms.count(), 0.1), steps=WORD_SWEEPS, k=4, kind="finite").trace_table().select("iter", "loglik", "k", "nk")
+
+
 @query()
 def collapsed_gibbs(spark, sf):
     """Two chains of collapsed Gibbs with merge-split moves, each over its half of the vectors."""

@@ -152,19 +152,19 @@ def fetch_results(spark: SparkSession, path: str, schema: str, keep: Callable[[C
 
 
 def apply_analysis(results: DataFrame, analysis: Callable[[DataFrame], DataFrame], resamples: DataFrame | None = None, cache: str | None = None) -> tuple[DataFrame, DataFrame | None]:
-    """(analysis of the results, of the resamples with their boot_id), the latter from cache if it is there."""
+    """(analysis of the results, of the resamples with their boot_id), the latter from cache if it is there.
+
+    A cache that a lost job left unfinished is made again: only a whole one has its mark.
+    """
+    found = results.transform(analysis)
     if resamples is None:
-        return results.transform(analysis), None
+        return found, None
+    if not cache:
+        return found, resamples.transform(analysis)
     spark = results.sparkSession
-    if cache:
-        from pyspark.errors import AnalysisException
-
-        try:
-            return results.transform(analysis), spark.read.parquet(cache)
-        except AnalysisException:
-            resamples.transform(analysis).write.parquet(cache)
-            return results.transform(analysis), spark.read.parquet(cache)
-    return results.transform(analysis), resamples.transform(analysis)
+    if not exists(spark, f"{cache}/_SUCCESS"):
+        resamples.transform(analysis).write.mode("overwrite").parquet(cache)
+    return found, spark.read.parquet(cache)
 
 
 def read_unit_ids(spark: SparkSession, path: str) -> DataFrame:

@@ -36,11 +36,9 @@ def append_features(frames: DataFrame, path: str) -> None:
 
 
 def save_matrix(rows: DataFrame, path: str, most_bytes: int = 1 << 30, width: int | None = None) -> None:
-    """Rows of x in files of at most most_bytes (8 bytes a number), if the width is known."""
-    writer = rows.write
-    if width:
-        writer = writer.option("maxRecordsPerFile", max(1, most_bytes // (8 * width)))
-    writer.parquet(path)
+    """Rows of x in files of at most most_bytes (8 bytes a number). width: numbers of a row, the most that a row has if None."""
+    width = width or rows.agg(F.max(F.size("x"))).first()[0] or 1
+    rows.write.option("maxRecordsPerFile", max(1, most_bytes // (8 * width))).parquet(path)
 
 
 def save_items(items: DataFrame, path: str) -> None:
@@ -49,8 +47,8 @@ def save_items(items: DataFrame, path: str) -> None:
 
 
 def save_lines(rows: DataFrame, columns: list[str], path: str) -> None:
-    """One text file of space-separated columns in byte order, as `LC_ALL=C sort` gives it (for small tables)."""
-    rows.select(F.concat_ws(" ", *columns).alias("value")).orderBy("value").coalesce(1).write.text(path)
+    """Text files of space-separated columns whose lines, in order of the files' names, are in byte order, as `LC_ALL=C sort` gives it."""
+    rows.select(F.concat_ws(" ", *columns).alias("value")).orderBy("value").write.text(path)
 
 
 def recording_tables(segments: DataFrame, utt2spk: DataFrame, wav_folder: str) -> dict[str, DataFrame]:

@@ -268,3 +268,61 @@ def test_summaries(spark):
         summaries.lookup(spark.createDataFrame([("z",)], "k string"), spark.createDataFrame([("a", 1)], "k string, size int"), "k").collect()
     parts = summaries.split_by(spark.createDataFrame([(True,), (False,), (True,)], "f boolean"), "f")
     assert (parts[True].count(), parts[False].count()) == (2, 1)
+
+
+def test_sets_that_are_none_have_no_condition(spark):
+    cases = [("None", "WSJ", "NA"), ("WSJ", "None", "NA"), ("None", "None", "NA"), (None, "WSJ", "NA"), ("WSJ", "WSJ", "same C"), ("WSJ", "BUC", "same L diff R"), ("GPJ", "WSJ", "diff L same R"), ("CSJ", "WSJ", "diff L diff R")]
+    part = lambda name, k: F.coalesce(C.recode(F.col(name), {c: v[k] for c, v in C.CORPORA.items()}), F.lit("None"))
+    df = spark.createDataFrame(cases, "x string, y string, cond string")
+    got = df.withColumn("got", C.train_test_match(part("x", 0), part("y", 0), part("x", 1), part("y", 1), F.col("x"), F.col("y"))).withColumn("tuned", C.tuning_condition(F.col("x"), part("x", 0)))
+    assert all(r.got == r.cond for r in got.collect())
+    assert {r.x: r.tuned for r in got.collect()} == {"None": "No language tuning", None: "No language tuning", "WSJ": "Am. Eng. native", "GPJ": "Jap. native", "CSJ": "Jap. native"}
+
+
+def test_rank_scores_equal_those_of_all_triplets(spark):
+    rng = random.Random(4)
+    items = spark.createDataFrame([(i, rng.choice("abc"), rng.choice(["s", "t"]), [float(rng.randrange(3)), float(rng.randrange(2)) + 1]) for i in range(24)] + [(90, "lone", "u", [1.0, 2.0]), (91, None, "s", [1.0, 2.0])], "id int, phone string, speaker string, x array<double>")
+    task = abx.triplets(items.where("phone is not null"), "phone", ["speaker"])
+    for distance, tile in (("euc", 4), ("cos", 256)):
+        pairs = abx.vector_distances(abx.needed_pairs(task), items, distance).withColumn("d", F.round("d", 9))
+        near = abx.cell_distances(items, distance, "phone", ["speaker"], tile=tile).withColumn("d", F.round("d", 9))
+        assert {(r.i, r.j): r.d for r in near.collect()} == pytest.approx({(r.i, r.j): r.d for r in pairs.collect()})
+        want = {(r.speaker, r.on_a, r.on_b): (r.score, r.n, r.error) for r in abx.analysed(abx.scored(task, pairs), ["speaker"]).collect()}
+        got = {(r.speaker, r.on_a, r.on_b): (r.score, r.n, r.error) for r in abx.rank_scores(near, ["speaker"]).collect()}
+        assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+    assert rows(abx.task_pairs(items, "phone", ["speaker"], tile=3)) == rows(abx.needed_pairs(task))
+
+
+def test_tiles_deal_a_cell_to_many_tasks(spark):
+    items = spark.range(600).select("id", (F.col("id") % 7).alias("phone"), F.lit("s").alias("speaker"), F.array(F.rand(1), F.rand(2)).alias("x"))
+    dealt = abx.tiled(items, "phone", ["speaker"], tile=50)
+    groups = dealt.groupBy("_p", "_q").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("id").alias("ids")).collect()
+    assert len(groups) == 12 * 13 // 2 and max(r.n for r in groups) < 600 / 3 and all(r.n == r.ids for r in groups)
+    assert dealt.count() == 600 * 12  # an item is sent once for each pair of tiles that its own is in
+    seq = items.limit(9).withColumn("x", F.transform(F.sequence(F.lit(0), (F.col("id") % 3).cast("int")), lambda k: F.array(k + F.col("id") + 1.0, F.lit(2.0))))
+    seq = seq.withColumn("x", F.when(F.col("id") == 4, F.lit(None)).otherwise(F.col("x")))
+    whole = {(r.i, r.j): r.d for r in abx.sequence_distances(abx.all_pairs(seq), seq, "cos").collect()}
+    for tile in (2, 256):
+        got = {(r.i, r.j): r.d for r in abx.cell_distances(seq, "cos", warp=True, tile=tile).collect()}
+        assert got.keys() == whole.keys() and all(got[k] == pytest.approx(whole[k], abs=1e-9) if whole[k] is not None else got[k] is None for k in whole)
+
+
+def test_bootstrap_sums_are_those_of_the_resampled_rows(spark):
+    data = spark.createDataFrame([(i, rng_name, float(i % 11) if i % 9 else None) for i in range(240) for rng_name in (["a", None] if i % 2 else ["a"])], "id int, g string, v double")
+    weight = lambda b, k: (k * 7 + b * 3) % 4
+    got = {(r.g, r.boot_id): (r.times, r.total) for r in summaries.bootstrap_sums(data.repartition(3), 50, ["g"], "v", F.col("id"), weight).collect()}
+    want: dict = {}
+    for r in data.where("v is not null").collect():
+        for b in range(50):
+            if t := weight(b, r.id):
+                n, s = want.get((r.g, b), (0, 0.0))
+                want[r.g, b] = (n + t, s + t * r.v)
+    assert got == want
+    one, two = (summaries.bootstrap_sums(data.repartition(n), 400, ["g"], "v", F.col("id"), seed=5) for n in (1, 4))
+    key = lambda d: sorted(((r.g or "", r.boot_id, r.times, r.total) for r in d.collect()))
+    assert key(one) == key(two)
+    stats = one.where("g = 'a'").agg(F.avg("times"), F.variance("times"), F.avg(F.col("total") / F.col("times"))).first()
+    n = data.where("g = 'a' and v is not null").count()
+    assert abs(stats[0] - n) < 4 * (n / 400) ** 0.5 and 0.7 * n < stats[1] < 1.35 * n and abs(stats[2] - 5) < 0.2
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan

@@ -8,7 +8,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tessitura.operators import corpus, scans
+from tessitura.operators import corpus, frames, scans
 from tessitura.operators.matching import match_speakers
 
 
@@ -137,3 +137,29 @@ def test_slices_trimming_and_splits_do_not_depend_on_ranges(spark, monkeypatch):
     whole = every()
     monkeypatch.setattr(scans, "MOST", 90)
     assert every() == whole
+
+
+@pytest.mark.parametrize("inclusive", ["both", "left", "right", "neither"])
+@pytest.mark.parametrize("most", [40, 1 << 17])
+def test_frames_meet_the_segments_that_they_lie_in(spark, monkeypatch, inclusive, most):
+    monkeypatch.setattr(scans, "MOST", most)
+    rng = random.Random(2)
+    segs = [(rng.choice(["r", "r", "q", None]), i, a := float(rng.randrange(40)), a + rng.choice([0, 0, 1, 3, 30, -1])) for i in range(30)]
+    points = [(rng.choice(["r", "r", "r", "q", "z", None]), i, rng.choice([None, float(rng.randrange(-2, 75)), rng.random() * 72])) for i in range(200)]
+    low = (lambda t, a: t >= a) if inclusive in ("both", "left") else (lambda t, a: t > a)
+    high = (lambda t, b: t <= b) if inclusive in ("both", "right") else (lambda t, b: t < b)
+    want = sorted((i, s) for r, i, t in points for q, s, a, b in segs if r is not None and r == q and t is not None and low(t, a) and high(t, b))
+    f, s = spark.createDataFrame(points, "rec string, frame int, t double").coalesce(2), spark.createDataFrame(segs, "rec string, seg int, start double, stop double").coalesce(1)
+    got = frames.frames_in_segments(f, s, inclusive=inclusive)
+    assert got.columns == ["rec", "frame", "t", "seg", "start", "stop"] and sorted((r.frame, r.seg) for r in got.collect()) == want
+    if most > 40:
+        assert sorted((r.frame, r.seg) for r in frames.frames_in_segments(f, s, inclusive=inclusive, width=7.0).collect()) == want
+    assert frames.frames_in_segments(f, s.limit(0)).count() == 0
+
+
+def test_no_frame_meets_a_segment_that_it_is_not_in(spark):
+    f = spark.range(3000).select(F.lit("r").alias("rec"), F.col("id").alias("frame"), (F.col("id") / 100).alias("t"))
+    s = spark.range(30).select(F.lit("r").alias("rec"), F.col("id").alias("seg"), F.col("id").cast("double").alias("start"), (F.col("id") + 1.0).alias("stop"))
+    plan = frames.frames_in_segments(f, s)._jdf.queryExecution().executedPlan().toString()
+    assert "Generate explode" in plan and "BETWEEN" not in plan
+    assert frames.frames_in_segments(f, s).count() == 3000 + 29  # those on an edge are in two
