@@ -1,8 +1,9 @@
 """Toxicity by character n-grams: a logistic regression whose features are scaled by naive Bayes log-count ratios.
 
 A text's features are the hash buckets of its n-grams, each there or not. A bucket's scale is the log of how much more
-often documents of label 1 have it than those of label 0. Buckets whose ratio is within Z standard errors of none carry no
-sign of the label and are left out; the others' weights are fitted by regularised logistic regression.
+often documents of label 1 have it than those of label 0. Buckets that the documents of both labels have equally often, up to
+Z standard errors, carry no sign of the label and are left out; the others' weights are fitted by regularised logistic
+regression.
 
 The fit reads a sample of labelled documents of bounded size (SAMPLE of each label, with their whole texts); the sample's
 weights restore the labels' true shares, so that scores are probabilities. Every text is then scored whole, by one table of
@@ -28,12 +29,12 @@ from .common import discard, free_name, saved, table
 SIZES, BITS = (3, 4, 5), 20
 #: Labelled documents of each label that are learned from, at most.
 SAMPLE = 8192
-#: Standard errors that a log-count ratio must differ from 0 by, and the most buckets that get a weight.
+#: Standard errors that the shares of documents with a bucket must differ by, and the most buckets that get a weight (under 2^15).
 Z, FEATURES = 5.0, 1 << 13
 #: Weight of the squared weights against the mean loss; rounds of the solver at most.
 RIDGE, ROUNDS = 1e-4, 100
-#: Code points that are hashed at once.
-STRIP = 1 << 18
+#: Code points that are hashed, and features of documents that are added up, at once.
+STRIP, ENTRIES = 1 << 18, 1 << 20
 
 _FACTOR = np.uint32(0x9E3779B1)
 _SPREAD = np.uint32(0x85EBCA6B)
@@ -106,16 +107,26 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(total, -700, 700)))
 
 
-def regression(row: np.ndarray, column: np.ndarray, value: np.ndarray, label: np.ndarray, share: np.ndarray, columns: int, ridge: float = RIDGE, rounds: int = ROUNDS) -> np.ndarray:
+def regression(start: np.ndarray, column: np.ndarray, scale: np.ndarray, label: np.ndarray, share: np.ndarray, ridge: float = RIDGE, rounds: int = ROUNDS) -> np.ndarray:
     """Weights of the columns and the bias of a logistic regression on sparse rows, by limited-memory quasi-Newton steps.
 
-    share: each row's part of the loss, in sum 1. The bias is not regularised.
+    Row i has the columns column[start[i]:start[i + 1]], each with its scale as value. share: each row's part of the loss, in
+    sum 1. The bias is not regularised.
     """
+    columns, lengths = len(scale), np.diff(start)
+    # Rows that are worked on at once, so that only the column numbers are held whole.
+    edges = np.unique(np.concatenate([np.searchsorted(start, np.arange(0, int(start[-1]) + 1, ENTRIES)), [len(label)]]))
+    blocks = list(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)) if edges[0] == 0 else [(0, len(label))]
 
     def loss(w: np.ndarray) -> tuple[float, np.ndarray]:
-        s = np.bincount(row, value * w[column], len(label)) + w[-1]
+        s, slope, own = np.full(len(label), w[-1]), np.zeros(columns + 1), w[:-1] * scale
+        for a, b in blocks:
+            s[a:b] += np.bincount(np.repeat(np.arange(b - a), lengths[a:b]), own[column[start[a] : start[b]]], b - a)
         miss = share * (1 / (1 + np.exp(-np.clip(s, -700, 700))) - label)
-        slope = np.append(np.bincount(column, value * miss[row], columns) + ridge * w[:-1], miss.sum())
+        for a, b in blocks:
+            slope[:-1] += np.bincount(column[start[a] : start[b]], np.repeat(miss[a:b], lengths[a:b]), columns)
+        slope[:-1] = slope[:-1] * scale + ridge * w[:-1]
+        slope[-1] = miss.sum()
         return float((share * (np.logaddexp(0, s) - label * s)).sum() + ridge / 2 * (w[:-1] @ w[:-1])), slope
 
     mean = float(share @ label)
@@ -201,13 +212,13 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, seed: int = 13
             yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(held[0, part]), pa.array(held[1, part])], ["bucket", "zero", "one"])
 
     counted = few.mapInArrow(count, "bucket long, zero long, one long").groupBy("bucket").agg(F.sum("zero").alias("zero"), F.sum("one").alias("one"))
-    ratio = F.log((F.col("one") + 1.0) / F.lit(n[1] + 2.0)) - F.log((F.col("zero") + 1.0) / F.lit(n[0] + 2.0))
-    error = F.sqrt(1 / (F.col("one") + 1.0) + 1 / (F.col("zero") + 1.0))
-    telling = counted.withColumn("z", F.abs(ratio) / error).where(F.col("z") > z).orderBy(F.desc("z"), "bucket").limit(features)
+    both = (F.col("one") + F.col("zero")) / float(n[1] + n[0])
+    error = F.sqrt(both * (1 - both) * (1.0 / n[1] + 1.0 / n[0]))
+    telling = counted.withColumn("z", F.abs(F.col("one") / float(n[1]) - F.col("zero") / float(n[0])) / F.greatest(error, F.lit(1e-9))).where(F.col("z") > z).orderBy(F.desc("z"), "bucket").limit(features)
     rows = sorted(telling.collect(), key=lambda r: r.bucket)  # FEATURES rows at most
     bucket = np.array([r.bucket for r in rows], np.int64)
     ratios = log_count_ratio(np.array([r.one for r in rows], float), np.array([r.zero for r in rows], float), n[1], n[0])
-    number = np.full(1 << BITS, -1, np.int32)
+    number = np.full(1 << BITS, -1, np.int16)
     number[bucket] = np.arange(len(bucket))
     shared = spark.sparkContext.broadcast(number)
 
@@ -216,18 +227,16 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, seed: int = 13
             parts = [(row, shared.value[bucket]) for row, bucket in buckets(batch.column("_text").to_pylist(), shared.value >= 0)]
             row, column = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
             cut = np.searchsorted(row, np.arange(batch.num_rows + 1))
-            yield pa.RecordBatch.from_arrays([batch.column("_label"), batch.column("_h"), pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(column, pa.int32()))], ["_label", "_h", "columns"])
+            yield pa.RecordBatch.from_arrays([batch.column("_label"), batch.column("_h"), pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(column, pa.int16()))], ["_label", "_h", "columns"])
 
     # The sample's rows with the numbers of their features: 2 x SAMPLE rows, a few hundred numbers each.
-    found = few.mapInArrow(matrix, "_label int, _h long, columns array<int>").toArrow().combine_chunks()
+    found = few.mapInArrow(matrix, "_label int, _h long, columns array<smallint>").toArrow().combine_chunks()
     discard(few)
     found = found.take(np.argsort(np.asarray(found["_h"].combine_chunks()), kind="stable")).combine_chunks()
     columns, y = found["columns"].combine_chunks(), np.asarray(found["_label"].combine_chunks(), float)
-    lengths = np.diff(np.asarray(columns.offsets))
     all_known = sum(known.values())
     share = np.where(y == 1, known[1] / all_known / n[1], known[0] / all_known / n[0])
-    column = np.asarray(columns.flatten(), np.int64)
-    w = regression(np.repeat(np.arange(len(y)), lengths), column, ratios[column], y, share, len(bucket))
+    w = regression(np.asarray(columns.offsets, np.int64), np.asarray(columns.values), ratios, y, share)
     return Model(float(w[-1]), bucket, w[:-1] * ratios)
 
 

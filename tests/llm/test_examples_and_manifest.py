@@ -190,14 +190,28 @@ def grams(text):
     return {text[i : i + n] for n in (3, 4, 5) for i in range(len(text) - n + 1)}
 
 
+def bucket_of(gram: str) -> int:
+    """The bucket of one n-gram, step by step."""
+    h = 0
+    for c in gram:
+        h = (h + ord(c)) * 0x9E3779B1 % (1 << 32)
+    h = ((h ^ h >> 15) * 0x85EBCA6B + len(gram)) % (1 << 32)
+    return (h ^ h >> 13) * 0x9E3779B1 % (1 << 32) >> (32 - toxicity.BITS)
+
+
+def features(text):
+    return {bucket_of(g) for g in grams(text)}
+
+
 def brute_scores(learn, texts, z=toxicity.Z, ridge=toxicity.RIDGE):
-    """The same model over n-grams themselves, by dense Newton steps."""
-    seen = [grams(t) for t, _ in learn]
+    """The same model over sets of buckets, by dense Newton steps."""
+    seen = [features(t) for t, _ in learn]
     y = np.array([v for _, v in learn], float)
     n1, n0 = y.sum(), len(y) - y.sum()
     one, zero = collections.Counter(g for s, v in zip(seen, y, strict=True) if v for g in s), collections.Counter(g for s, v in zip(seen, y, strict=True) if not v for g in s)
     ratio = {g: math.log((one[g] + 1) / (n1 + 2)) - math.log((zero[g] + 1) / (n0 + 2)) for g in one.keys() | zero.keys()}
-    kept = sorted(g for g, r in ratio.items() if abs(r) / math.sqrt(1 / (one[g] + 1) + 1 / (zero[g] + 1)) > z)
+    error = {g: math.sqrt((p := (one[g] + zero[g]) / len(y)) * (1 - p) * (1 / n1 + 1 / n0)) for g in ratio}
+    kept = sorted(g for g in ratio if abs(one[g] / n1 - zero[g] / n0) > z * error[g] > 0)
     x = lambda s: [ratio[g] if g in s else 0.0 for g in kept] + [1.0]
     a = np.array([x(s) for s in seen])
     w, hold = np.zeros(len(kept) + 1), np.append(np.full(len(kept), ridge), 0.0)
@@ -207,14 +221,14 @@ def brute_scores(learn, texts, z=toxicity.Z, ridge=toxicity.RIDGE):
         w -= step * min(1.0, 2 / max(1e-12, np.abs(a @ step).max()))
         if np.abs(step).max() < 1e-10:
             break
-    return [1 / (1 + math.exp(-np.dot(x(grams(t)), w))) for t in texts]
+    return [1 / (1 + math.exp(-np.dot(x(features(t)), w))) for t in texts]
 
 
 def in_training(doc_id) -> bool:
     return zlib.crc32(str(doc_id).encode()) % 4 != 2
 
 
-def test_op13_equals_the_same_model_over_whole_n_grams(spark, tmp_path):
+def test_op13_equals_the_same_model_over_sets(spark, tmp_path):
     rows = labelled() + [(900, None, None, None, 0), (901, "", None, None, 0), (902, " ".join(r[1] for r in labelled()) * 3, None, None, 0), (None, RUDE[0], None, None, 0)]
     spark.createDataFrame(rows, SCHEMA).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
     marks = [(r[0], 1, r[4]) for r in rows[:400]] + [(3, 0, 1), (4, 1, None), (5, 1, 7), (None, 1, 1), (5000, 1, 1)]
@@ -232,12 +246,12 @@ def test_op13_equals_the_same_model_over_whole_n_grams(spark, tmp_path):
 
 def test_buckets_are_those_of_the_n_grams():
     texts = ["Ab\tc", None, "", "x", "été ÉTÉ été", "longer text " * 40]
-    want = collections.Counter(len(grams(t)) for t in texts)
-    got = collections.Counter()
+    got: dict = collections.defaultdict(set)
     for row, bucket in toxicity.buckets(texts):
         assert (np.diff(row << toxicity.BITS | bucket) > 0).all()
-        got.update(np.bincount(row, minlength=len(texts)).tolist())
-    assert got == want
+        for r, b in zip(row.tolist(), bucket.tolist(), strict=True):
+            got[r].add(b)
+    assert got == {i: features(t) for i, t in enumerate(texts) if features(t)}
     each = [np.concatenate([b for _, b in toxicity.buckets([t])]) for t in texts]
     together = np.concatenate([b for _, b in toxicity.buckets(texts)])
     assert (np.concatenate(each) == together).all()
@@ -261,12 +275,16 @@ def test_toxicity_without_labels_of_both_kinds(spark):
     assert score(frame(spark, []), fit(docs, none)).count() == 0
 
 
-def test_regression_reaches_the_least_loss():
+@pytest.mark.parametrize("entries", [1 << 20, 7])
+def test_regression_reaches_the_least_loss(monkeypatch, entries):
+    monkeypatch.setattr(toxicity, "ENTRIES", entries)
     rng = np.random.default_rng(1)
     x = rng.normal(size=(80, 5)) * (rng.random((80, 5)) < 0.5)
     y = (x @ [2, -1, 0, 0.5, 1] + rng.normal(size=80) > 0.2).astype(float)
     row, column = np.nonzero(x)
     share = np.full(80, 1 / 80)
-    w = toxicity.regression(row, column, x[row, column], y, share, 5, ridge=1e-2)
+    there = (x != 0).astype(float)
+    scale, x = np.array([1.0, -2.0, 0.5, 1.0, 3.0]), there * [1.0, -2.0, 0.5, 1.0, 3.0]
+    w = toxicity.regression(np.concatenate([[0], np.cumsum(np.bincount(row, minlength=80))]), column.astype(np.int16), scale, y, share, ridge=1e-2)
     miss = share * (1 / (1 + np.exp(-(x @ w[:-1] + w[-1]))) - y)
     assert np.abs(x.T @ miss + 1e-2 * w[:-1]).max() < 1e-4 and abs(miss.sum()) < 1e-4
