@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
@@ -110,25 +111,28 @@ def cell_distances(items: DataFrame, distance: str = "cos", on: str | None = Non
     out += [StructField(c, kind[on].dataType) for c in ("on_i", "on_j")] if on else []
     out.append(StructField("d", DoubleType()))
 
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
-        a, b = (rows[rows["_tile"] == rows[c].iloc[0]] for c in ("_p", "_q"))
+    def one(rows: pa.Table) -> pa.Table:
+        numbers = lambda t, c: t.column(c).to_numpy()
+        pair = [rows.column(c)[0].as_py() for c in ("_p", "_q")]
+        a, b = (rows.filter(numbers(rows, "_tile") == t) for t in pair)
         r, c = (m.ravel() for m in np.meshgrid(np.arange(len(a)), np.arange(len(b)), indexing="ij"))
-        ka, kb = a[key].to_numpy()[r], b[key].to_numpy()[c]
-        keep = ka < kb if rows["_p"].iloc[0] == rows["_q"].iloc[0] else ka != kb
+        ka, kb = numbers(a, key)[r], numbers(b, key)[c]
+        keep = (ka < kb if pair[0] == pair[1] else ka != kb).astype(bool)
         if on:
-            la, lb = a[on].to_numpy()[r], b[on].to_numpy()[c]
-            na, nb = a["_n"].to_numpy()[r], b["_n"].to_numpy()[c]
-            keep &= np.where(la == lb, a["_all"].to_numpy()[r] > na, np.maximum(na, nb) > 1)
+            la, lb = numbers(a, on)[r], numbers(b, on)[c]
+            keep &= np.where(la == lb, numbers(a, "_all")[r] > numbers(a, "_n")[r], np.maximum(numbers(a, "_n")[r], numbers(b, "_n")[c]) > 1)
         r, c, ka, kb = r[keep], c[keep], ka[keep], kb[keep]
-        swap = ka > kb
-        found = {n: [rows[n].iloc[0]] * len(r) for n in by} | {"i": np.where(swap, kb, ka), "j": np.where(swap, ka, kb)}
+        swap = (ka > kb).astype(bool)
+        made = sequence_matrix if warp else vector_matrix
+        d = made(a.column(x).to_pylist(), b.column(x).to_pylist(), r, c, distance, **({"normalised": normalised} if warp else {}))
+        of = lambda values, like: pa.array(values, rows.schema.field(like).type)
+        found = {n: of([rows.column(n)[0].as_py()] * len(r), n) for n in by} | {"i": of(np.where(swap, kb, ka), key), "j": of(np.where(swap, ka, kb), key)}
         if on:
             la, lb = la[keep], lb[keep]
-            found |= {"on_i": np.where(swap, lb, la), "on_j": np.where(swap, la, lb)}
-        made = sequence_matrix if warp else vector_matrix
-        return pd.DataFrame(found | {"d": made(list(a[x]), list(b[x]), r, c, distance, **({"normalised": normalised} if warp else {}))})
+            found |= {"on_i": of(np.where(swap, lb, la), on), "on_j": of(np.where(swap, la, lb), on)}
+        return pa.table(found | {"d": pa.array(d, pa.float64(), from_pandas=True)})
 
-    return dealt.groupBy(*by, "_p", "_q").applyInPandas(one, StructType(out))
+    return dealt.groupBy(*by, "_p", "_q").applyInArrow(one, StructType(out))
 
 
 def vector_matrix(x: list, y: list, r: np.ndarray, c: np.ndarray, distance: str) -> np.ndarray:
@@ -148,14 +152,14 @@ def vector_matrix(x: list, y: list, r: np.ndarray, c: np.ndarray, distance: str)
 
 def sequence_matrix(x: list, y: list, r: np.ndarray, c: np.ndarray, distance: str, normalised: bool = True) -> np.ndarray:
     """Warped distances of x[r] and y[c] for each pair of places; nan where one is null or has no frames."""
-    length = [np.array([-1 if v is None else len(v) for v in side]) for side in (x, y)]
+    length = [np.array([-1 if v is None else len(v) for v in side], int) for side in (x, y)]
     n, m = length[0][r], length[1][c]
     if distance == "dur":
         return np.where((n < 0) | (m < 0), np.nan, np.abs(n - m))
     frames = [[np.stack([np.asarray(f, float) for f in v]) if v is not None and len(v) else None for v in side] for side in (x, y)]
     out = np.full(len(r), np.nan)
     order = np.lexsort((m, n))
-    edges = np.flatnonzero(np.diff(n[order]) | np.diff(m[order])) + 1
+    edges = np.flatnonzero((np.diff(n[order]) != 0) | (np.diff(m[order]) != 0)) + 1
     for at in np.split(order, edges):  # pairs of the same lengths step together
         if len(at) and n[at[0]] > 0 and m[at[0]] > 0:
             size = max(1, CELLS // int(n[at[0]] * m[at[0]]))
