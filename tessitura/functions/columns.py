@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -194,6 +197,19 @@ def softmax(a: Column) -> Column:
     return normalised(F.transform(a, lambda x: F.exp(x - m)))
 
 
+def log_gamma(x: Column) -> Column:
+    """Log of the gamma function of positive numbers, for sums over few rows: it runs in Python."""
+    return _log_gamma()(x)
+
+
+def _log_gamma():
+    @F.pandas_udf("double")
+    def one(x: pd.Series) -> pd.Series:
+        return x.map(math.lgamma, na_action="ignore").astype(float)
+
+    return one
+
+
 def kl(p: Column, q: Column) -> Column:
     """Kullback-Leibler divergence of positive vectors that sum to 1; terms with p = 0 are 0."""
     return total(F.zip_with(p, q, lambda x, y: F.when(x > 0, x * F.log(x / y)).otherwise(0.0)))

@@ -141,6 +141,11 @@ def diagonal_posteriors(points: DataFrame, model: DataFrame, key: str, x: str =
     return joint.withColumn("_t", total).select(key, "_m", "_t", F.explode("_all").alias("c")).select(key, "c.component", (F.exp(F.col("c._j") - F.col("_m")) / F.col("_t")).alias("post"))
 
 
+def component_sizes(points: DataFrame, z: str = "z") -> DataFrame:
+    """(k, largest): how many components have points, and how many points the largest has."""
+    return points.groupBy(z).agg(F.count(F.lit(1)).alias("_n")).agg(F.count(F.lit(1)).alias("k"), F.max("_n").alias("largest"))
+
+
 def hard_labels(posterior: DataFrame, key: str) -> DataFrame:
     """(key, component): the most probable component, the least number if equal."""
     return posterior.groupBy(key).agg(F.max_by("component", F.struct("post", -F.col("component"))).alias("component"))
@@ -163,3 +168,64 @@ def label_log_likelihood(points: DataFrame, prior: ConjugatePrior, alpha: float
     """The same from labelled points: one job for the statistics, K rows to the driver."""
     rows = component_stats(points.withColumn("_s", F.lit(0)), prior, x, z, "_s").collect()
     return joint_log_likelihood({r.z: np.array(r.stat) for r in rows}, prior, alpha)
+
+
+# Native sums over sparse counts and coordinates ------------------------------------------------------------------------
+
+
+def count_marginals(counts: DataFrame, by: list[str], terms: int, alpha: float = 1.0, n: str = "n") -> DataFrame:
+    """(by, total, value): log marginal of term counts (by, term, n) under a symmetric Dirichlet over `terms` terms.
+
+    Terms without a count add nothing, so only those there are are read.
+    """
+    part = C.log_gamma(F.col(n) + F.lit(float(alpha))) - math.lgamma(alpha)
+    summed = counts.withColumn("_part", part).groupBy(*by).agg(F.sum(n).alias("total"), F.sum("_part").alias("_sum"))
+    return summed.select(*by, "total", (F.col("_sum") + math.lgamma(terms * alpha) - C.log_gamma(F.col("total") + F.lit(float(terms * alpha)))).alias("value"))
+
+
+def merge_gains(counts: DataFrame, terms: int, alpha: float = 1.0, component: str = "component", term: str = "term", n: str = "n") -> DataFrame:
+    """(a, b, gain) for each pair of components, a < b: how much the log marginal grows if they are one.
+
+    A row for each pair is what is asked for; components are few, but a component's counts need not be.
+    """
+    own = count_marginals(counts, [component], terms, alpha, n)
+    names = own.select(F.col(component).alias("a"))
+    pairs = names.join(names.withColumnRenamed("a", "b"), F.col("a") < F.col("b"))
+    both = pairs.withColumn("_own", F.explode(F.array("a", "b"))).join(counts.withColumnRenamed(component, "_own"), "_own").groupBy("a", "b", term).agg(F.sum(n).alias(n))
+    one = lambda side: own.select(F.col(component).alias(side), F.col("value").alias(f"_{side}"))
+    merged = count_marginals(both, ["a", "b"], terms, alpha, n).join(one("a"), "a").join(one("b"), "b")
+    return merged.select("a", "b", (F.col("value") - F.col("_a") - F.col("_b")).alias("gain"))
+
+
+def count_densities(docs: DataFrame, counts: DataFrame, terms: int, alpha: float = 1.0, key: str = "pid") -> DataFrame:
+    """(key, component, log_p): log probability of each document (key, term, n) under each component's mean probabilities.
+
+    counts: (component, term, n) of the components; a term that a component lacks has the prior's share. A document's terms
+    meet the components' on the term, so neither is made dense.
+    """
+    totals = counts.groupBy("component").agg(F.sum("n").alias("_total"))  # a row for each component
+    shares = totals.select("component", (F.col("_total") + F.lit(float(terms * alpha))).alias("_mass"))
+    seen = docs.join(counts.withColumnRenamed("n", "_there"), "term").join(F.broadcast(shares), "component")
+    # What a document's terms gain over the prior's share, where the component has them, and that share for all.
+    gain = seen.groupBy(key, "component").agg(F.sum(F.col("n") * F.log1p(F.col("_there") / F.lit(float(alpha)))).alias("_gain"))
+    whole = docs.withColumn("_f", C.log_gamma(F.col("n") + F.lit(1.0))).groupBy(key).agg(F.sum("n").alias("_n"), F.sum("_f").alias("_f"))
+    base = whole.withColumn("_c", C.log_gamma(F.col("_n") + F.lit(1.0)) - F.col("_f")).crossJoin(F.broadcast(shares))  # components
+    found = base.join(gain, [key, "component"], "left")
+    return found.select(key, "component", (F.col("_c") + F.coalesce("_gain", F.lit(0.0)) + F.col("_n") * (math.log(alpha) - F.log("_mass"))).alias("log_p"))
+
+
+def coordinate_predictives(stats: DataFrame, label: str, kappa: float = 1.0, nu: float = 4.0, scale: float = 4.0) -> DataFrame:
+    """(label, dim, df, centre, spread): the Student-t of one more value of each coordinate, from (label, dim, n, sum, sum_sq).
+
+    The prior has mean 0, `kappa` and `nu` observations' weight and the sum of squares `scale`.
+    """
+    k, df = F.col("n") + kappa, F.col("n") + nu
+    centre = F.col("sum") / k
+    squares = F.lit(scale) + F.col("sum_sq") - k * centre * centre
+    return stats.select(label, "dim", df.alias("df"), centre.alias("centre"), (squares * (k + 1) / (k * df)).alias("spread"))
+
+
+def student_log_density(x: Column, df: Column, centre: Column, spread: Column, constant: Column) -> Column:
+    """Log density of a Student-t; constant: log_gamma((df + 1) / 2) - log_gamma(df / 2), which depends on the component only."""
+    d = x - centre
+    return constant - 0.5 * F.log(df * math.pi * spread) - (df + 1) / 2 * F.log1p(d * d / (df * spread))

@@ -11,7 +11,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 from pyspark.sql.window import Window as W
 
 from ..functions import columns as C
-from ..session import ship
+from ..session import saved, ship
 from ..sources.readers import exists
 from . import scans
 from .frames import frames_in_segments
@@ -309,6 +309,18 @@ def contrast_errors(results: DataFrame, by: list[str], kind: Column) -> DataFram
     return results.withColumn("contrast_type", kind).where("contrast_type is not null").groupBy(*by, "contrast_type").agg(F.avg("error").alias("error"))
 
 
+def errors_by_kind(results: DataFrame, by: list[str], pairs: dict[str, tuple], classes: dict[str, list]) -> DataFrame:
+    """(by, kind, n, error): mean error over contrasts of each kind, whichever of the two phones is A.
+
+    results: (by, on_a, on_b, error) of :func:`rank_scores`. pairs: kinds of one contrast (its two phones); classes: kinds of
+    all contrasts between the phones of a class. A contrast may be of several kinds.
+    """
+    contrast = results.select(*by, F.least("on_a", "on_b").alias("_a"), F.greatest("on_a", "on_b").alias("_b"), "error").groupBy(*by, "_a", "_b").agg(F.avg("error").alias("error"))
+    of = [F.when((F.col("_a") == F.least(F.lit(p), F.lit(q))) & (F.col("_b") == F.greatest(F.lit(p), F.lit(q))), kind) for kind, (p, q) in pairs.items()]
+    of += [F.when(F.col("_a").isin(phones) & F.col("_b").isin(phones), kind) for kind, phones in classes.items()]
+    return contrast.withColumn("kind", F.explode(F.array_compact(F.array(*of)))).groupBy(*by, "kind").agg(F.count(F.lit(1)).alias("n"), F.avg("error").alias("error"))
+
+
 # Units ---------------------------------------------------------------------------------------------------------------
 
 
@@ -344,3 +356,58 @@ def phone_representations(units: DataFrame, phones: DataFrame, half: float = 0.0
     seen = around.groupBy("id", "type").agg(ordered.alias("units"))
     runs = F.filter("units", lambda u, i: (i == 0) | (u != F.get("units", i - 1)))
     return seen.select("type", F.concat_ws(",", F.transform(runs, lambda u: u.cast("string"))).alias("rep")).groupBy("type").agg(F.count(F.lit(1)).alias("n_items"), F.countDistinct("rep").alias("nunique"))
+
+
+def sampled_phones(phones: DataFrame, n: int | None = None, seeds: tuple[int, ...] = (0,), by_spk: bool = True, exclude: DataFrame | None = None, order: Column | None = None) -> DataFrame:
+    """phones (id, type, spk, ...) as drawn for each seed, `n` of each cell: of a type and speaker, or across speakers of a type.
+
+    Across speakers a type's speakers take turns, so that as many as there are have their share. Cells with fewer than n
+    phones are left out; without n it is the size of the least cell. exclude: rows of columns that phones has; phones that
+    one of them fits are not drawn. order: what decides in a cell, from the column `seed` and the phone's own; a seeded hash
+    of its id if None.
+    """
+    if exclude is not None:
+        phones = phones.join(exclude, exclude.columns, "left_anti")
+    cell = ["type", "spk"] if by_spk else ["type"]
+    sizes = phones.groupBy(*cell).agg(F.count(F.lit(1)).alias("_size"))
+    if n is None:
+        n = sizes.agg(F.min("_size")).first()[0] or 0
+    drawn = phones.join(sizes.where(F.col("_size") >= n), cell).drop("_size").withColumn("seed", F.explode(F.array(*[F.lit(s) for s in seeds])))
+    drawn = drawn.withColumn("_at", F.xxhash64("seed", "id") if order is None else order)
+    if not by_spk:
+        drawn = scans.ranked(drawn, ["type", "spk", "seed"], ["_at", "id"], "_turn")
+    ranked = scans.ranked(drawn, [*cell, "seed"], ["_at", "id"] if by_spk else ["_turn", "_at", "id"], "_rank")
+    return ranked.where(F.col("_rank") <= n).select(*phones.columns, "seed")
+
+
+def representation_bounds(units: DataFrame, phones: DataFrame, half: float = 0.046, doubt: float = 0.005) -> DataFrame:
+    """(id, sure, most): the sequence of dominant units (runs as one) around each phone's centre, of the frames that are surely
+    within `half` of it and of those that may be.
+
+    A frame stands for a stretch of time of 2 x doubt around its own, so frames within doubt of the window's edges may be in
+    it or not. units: (item, frame, t, unit) with t in the recording; phones: (id, rec, centre). Phones without a frame are
+    left out.
+    """
+    spans = phones.select("id", "rec", "centre", (F.col("centre") - half - doubt).alias("start"), (F.col("centre") + half + doubt).alias("stop")).distinct()
+    around = frames_in_segments(units.withColumnRenamed("item", "rec").select("rec", "t", "unit"), spans)
+    seen = around.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("t", "unit", (F.abs(F.col("t") - F.col("centre")) <= half - doubt).alias("sure")))).alias("all"))
+
+    def runs(of: Column) -> Column:
+        names = F.transform(of, lambda u: u["unit"].cast("string"))
+        return F.concat_ws(",", F.filter(names, lambda u, i: (i == 0) | (u != F.get(names, i - 1))))
+
+    return seen.select("id", runs(F.filter("all", lambda u: u["sure"])).alias("sure"), runs(F.col("all")).alias("most"))
+
+
+def representation_counts(units: DataFrame, phones: DataFrame, half: float = 0.046, doubt: float = 0.005, by_spk: bool = True, **sampling) -> DataFrame:
+    """(type, spk, seed, count_type, n_items, nunique): how many different representations the drawn phones of each cell have.
+
+    A row for the lower bound and one for the upper, which the sure frames and those that may be in the window give; spk is
+    null across speakers. phones: (id, type, spk, rec, centre); sampling: see :func:`sampled_phones`.
+    """
+    drawn = saved(sampled_phones(phones, by_spk=by_spk, **sampling))
+    found = drawn.select("type", "spk", "seed", "id").join(representation_bounds(units, drawn, half, doubt), "id")
+    spk = F.col("spk") if by_spk else F.lit(None).cast(phones.schema["spk"].dataType)
+    each = found.withColumn("spk", spk).groupBy("type", "spk", "seed").agg(F.count(F.lit(1)).alias("n_items"), F.countDistinct("sure").alias("a"), F.countDistinct("most").alias("b"))
+    counts = each.select("type", "spk", "seed", "n_items", F.least("a", "b").alias("lower bound"), F.greatest("a", "b").alias("upper bound"))
+    return counts.unpivot(["type", "spk", "seed", "n_items"], ["lower bound", "upper bound"], "count_type", "nunique")

@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..mixture import posteriors as mix
 from ..operators import abx, corpus, frames, scans, summaries
+from ..session import shared_dir
+from ..sources import readers
+from ..sources.readers import Corpus
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -666,15 +669,38 @@ SELECT round(sum(l + lgamma(50.0) - lgamma(t + 50.0)) / 1e6, 6) AS value FROM k
 """)
 def dirichlet_marginal(spark, sf):
     """Log marginal of term counts by brand under a symmetric Dirichlet(1) over 50 terms, in millions."""
-    import numpy as np
+    each = mix.count_marginals(multinomial_counts(spark, sf), ["p_brand"], 50)
+    return each.agg(_r(F.sum("value") / 1e6).alias("value"))
+
+
+_COUNTS = "c AS (SELECT p_brand, p_size, CAST(sum(l_quantity) AS BIGINT) AS n FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1, 2)"
+
+
+@query(f"""
+WITH {_COUNTS}, k AS (SELECT p_brand, sum(lgamma(n + 1.0)) + lgamma(50.0) - lgamma(sum(n) + 50.0) AS v FROM c GROUP BY 1),
+p AS (SELECT x.p_brand AS a, y.p_brand AS b, x.v + y.v AS apart FROM k x JOIN k y ON x.p_brand < y.p_brand),
+m AS (SELECT a, b, any_value(apart) AS apart, p_size, sum(n) AS n FROM p JOIN c ON c.p_brand IN (a, b) GROUP BY a, b, p_size)
+SELECT a, b, round(sum(lgamma(n + 1.0)) + lgamma(50.0) - lgamma(sum(n) + 50.0) - any_value(apart), 2) AS gain FROM m GROUP BY a, b
+""")
+def merge_gains(spark, sf):
+    """What the log marginal gains if two brands' part sizes are one component's."""
+    counts = multinomial_counts(spark, sf).withColumnsRenamed({"p_brand": "component", "p_size": "term"})
+    return mix.merge_gains(counts, 50).withColumn("gain", _r("gain", 2))
 
-    from ..mixture.priors import DirichletMultinomial
 
-    prior, cells = DirichletMultinomial(50), {}
-    for r in multinomial_counts(spark, sf).collect():  # brands x sizes
-        cells.setdefault(r.p_brand, np.zeros(52))[r.p_size] = r.n
-    value = sum(prior.log_marginal(np.concatenate([[0.0], s[1:51], [0.0]])) for s in cells.values())
-    return spark.createDataFrame([(round(value / 1e6, 6),)], "value double")
+@query("""
+WITH d AS (SELECT l_suppkey AS pid, p_size AS term, sum(l_quantity) AS n FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1, 2),
+c AS (SELECT l_returnflag AS component, p_size AS term, sum(l_quantity) AS n FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1, 2),
+t AS (SELECT component, sum(n) AS t FROM c GROUP BY 1),
+s AS (SELECT pid, term, d.n, t.component, ln((coalesce(c.n, 0) + 1.0) / (t + 50.0)) AS lp FROM d CROSS JOIN t LEFT JOIN c USING (component, term))
+SELECT pid, component, round(lgamma(sum(n) + 1.0) - sum(lgamma(n + 1.0)) + sum(n * lp), 2) AS log_p FROM s GROUP BY 1, 2
+""")
+def count_densities(spark, sf):
+    """Log probability of each supplier's part sizes under those of each return flag."""
+    sold = _t(spark, sf, "lineitem").join(_t(spark, sf, "part"), F.col("p_partkey") == F.col("l_partkey"))
+    docs = mix.term_counts(sold, "l_suppkey", "p_size", "l_quantity").withColumnsRenamed({"l_suppkey": "pid", "p_size": "term"})
+    counts = mix.term_counts(sold, "l_returnflag", "p_size", "l_quantity").withColumnsRenamed({"l_returnflag": "component", "p_size": "term"})
+    return mix.count_densities(docs, counts, 50).withColumn("log_p", _r("log_p", 2))
 
 
 @query("""
@@ -696,6 +722,35 @@ def joint_loglik(spark, sf):
     return spark.createDataFrame([(k + 1, round(mix.joint_log_likelihood({z: at(s, k) for z, s in stats.items()}, one), 4)) for k in range(_DIM)], "dim int, value double")
 
 
+@query("""
+WITH x AS (SELECT vec_id, label, CAST(g AS INTEGER) AS dim, CAST(embedding[g] AS DOUBLE) AS v FROM embeddings, (SELECT unnest(range(1, 65)) AS g)),
+n AS (SELECT label, dim, 1.0 + count(*) AS kappa, 4.0 + count(*) AS df, sum(v) / (1.0 + count(*)) AS m, sum(v * v) AS q FROM x GROUP BY 1, 2),
+p AS (SELECT label, dim, df, m, (4.0 + q - kappa * m * m) * (kappa + 1) / (kappa * df) AS s FROM n)
+SELECT vec_id, round(sum(lgamma((df + 1) / 2) - lgamma(df / 2) - 0.5 * ln(df * pi() * s) - (df + 1) / 2 * ln(1 + (v - m) * (v - m) / (df * s))), 4) AS log_p FROM x JOIN p USING (label, dim) GROUP BY 1
+""")
+def predictive_density(spark, sf):
+    """Log density of each vector as one more of its class, each coordinate by itself."""
+    x = _t(spark, sf, "embeddings").select("vec_id", "label", F.transform("embedding", lambda v: v.cast("double")).alias("x"))
+    t = mix.coordinate_predictives(mix.diagonal_stats(x, "label"), "label")
+    t = t.withColumn("constant", C.log_gamma((F.col("df") + 1) / 2) - C.log_gamma(F.col("df") / 2))
+    each = x.select("vec_id", "label", F.posexplode("x").alias("dim", "v")).join(t, ["label", "dim"])
+    log_p = mix.student_log_density(F.col("v"), F.col("df"), F.col("centre"), F.col("spread"), F.col("constant"))
+    return each.groupBy("vec_id").agg(_r(F.sum(log_p), 4).alias("log_p"))
+
+
+@query("SELECT CAST(g AS INTEGER) AS i, CAST(h AS INTEGER) AS j, round(avg(CAST(embedding[g] AS DOUBLE)), 5) + 0.0 AS mean, round(covar_samp(CAST(embedding[g] AS DOUBLE), CAST(embedding[h] AS DOUBLE)), 5) + 0.0 AS cov FROM embeddings, (SELECT unnest(range(1, 65)) AS g), (SELECT unnest(range(1, 65)) AS h) GROUP BY 1, 2")
+def global_moments(spark, sf):
+    """Mean and covariance of all vectors: what the prior of a mixture is made of."""
+    mean, cov = mix.global_moments(_points(spark, sf).select("pid", "x"))
+    return spark.createDataFrame([(i + 1, j + 1, float(mean[i]), float(cov[i, j])) for i in range(_DIM) for j in range(_DIM)], "i int, j int, mean double, cov double").withColumns({"mean": _r("mean", 5) + 0.0, "cov": _r("cov", 5) + 0.0})  # no negative zeros
+
+
+@query("SELECT count(*) AS k, max(n) AS largest FROM (SELECT label, count(*) AS n FROM embeddings GROUP BY 1)")
+def largest_component(spark, sf):
+    """How many components there are, and how many points the largest has."""
+    return mix.component_sizes(_points(spark, sf))
+
+
 @query()
 def joint_loglik_full(spark, sf):
     """The same with whole vectors under full covariances."""
@@ -891,3 +946,117 @@ def phone_representations(spark, sf):
     phones = units.groupBy(F.col("item").alias("rec"), F.floor(F.col("frame") / 10).alias("k")).agg((F.min("frame") + 4.0).alias("centre"))
     phones = phones.select(F.concat_ws("-", "rec", "k").alias("id"), (F.col("k") % 3).cast("int").alias("type"), "rec", "centre")
     return abx.phone_representations(units, phones, half=2.0)
+
+
+_DRAWN = """
+WITH u AS (SELECT user_id AS rec, event_type AS unit, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS frame FROM events),
+p AS (SELECT rec, frame // 10 AS k, CAST(frame // 10 % 3 AS INTEGER) AS type, min(frame) AS lo FROM u GROUP BY rec, frame // 10),
+x AS (SELECT *, rec || '-' || k AS id FROM p WHERE NOT (type = 2 AND rec % 5 = 0)),
+s AS (SELECT x.*, seed, (k * 7 + rec * 3 + seed * 13) % 11 AS draw FROM x, (SELECT unnest([0, 1, 2]) AS seed)),
+{cell},
+w AS (SELECT d.id, u.frame, u.unit, abs(u.frame - d.lo - 4) <= 1 AS sure FROM (SELECT DISTINCT id, rec, lo FROM d) d JOIN u ON u.rec = d.rec AND u.frame BETWEEN d.lo + 2 AND d.lo + 6),
+a AS (SELECT *, lag(unit) OVER (PARTITION BY id ORDER BY frame) AS before, lag(unit) OVER (PARTITION BY id, sure ORDER BY frame) AS sure_before FROM w),
+r AS (SELECT id, coalesce(string_agg(CASE WHEN sure AND (sure_before IS NULL OR sure_before <> unit) THEN unit END, ',' ORDER BY frame), '') AS sure, string_agg(CASE WHEN before IS NULL OR before <> unit THEN unit END, ',' ORDER BY frame) AS most FROM a GROUP BY id),
+c AS (SELECT type, {spk} AS spk, seed, count(*) AS n_items, count(DISTINCT sure) AS a, count(DISTINCT most) AS b FROM d JOIN r USING (id) GROUP BY 1, 2, 3)
+SELECT type, spk, CAST(seed AS INTEGER) AS seed, n_items, 'lower bound' AS count_type, least(a, b) AS nunique FROM c UNION ALL SELECT type, spk, CAST(seed AS INTEGER), n_items, 'upper bound', greatest(a, b) FROM c
+"""
+_WITHIN = "n AS (SELECT *, count(*) OVER (PARTITION BY type, rec, seed) AS size, row_number() OVER (PARTITION BY type, rec, seed ORDER BY draw, id) AS rank FROM s), d AS (SELECT * FROM n WHERE size >= 2 AND rank <= 2)"
+_ACROSS = "t AS (SELECT *, row_number() OVER (PARTITION BY type, rec, seed ORDER BY draw, id) AS turn FROM s), n AS (SELECT *, count(*) OVER (PARTITION BY type, seed) AS size, row_number() OVER (PARTITION BY type, seed ORDER BY turn, draw, id) AS rank FROM t), d AS (SELECT * FROM n WHERE rank <= (SELECT min(size) FROM n))"
+
+
+def _counted(spark, sf, **sampling):
+    """Counts of unit sequences around the middles of runs of ten frames, as phones of three types; one type is left out for every fifth speaker."""
+    units = _units(spark, sf).withColumn("t", F.col("frame").cast("double"))
+    phones = units.groupBy(F.col("item").alias("spk"), F.floor(F.col("frame") / 10).alias("k")).agg((F.min("frame") + 4.0).alias("centre"))
+    phones = phones.select(F.concat_ws("-", "spk", "k").alias("id"), (F.col("k") % 3).cast("int").alias("type"), "spk", F.col("spk").alias("rec"), "centre", "k")
+    without = phones.where("spk % 5 = 0").select("spk", F.lit(2).alias("type")).distinct()
+    order = (F.col("k") * 7 + F.col("spk") * 3 + F.col("seed") * 13) % 11
+    return abx.representation_counts(units, phones, half=2.0, doubt=0.5, seeds=(0, 1, 2), exclude=without, order=order, **sampling)
+
+
+@query(_DRAWN.format(cell=_WITHIN, spk="rec"))
+def representations_within_speakers(spark, sf):
+    """Two phones of each type and speaker."""
+    return _counted(spark, sf, n=2)
+
+
+@query(_DRAWN.format(cell=_ACROSS, spk="CAST(NULL AS BIGINT)"))
+def representations_across_speakers(spark, sf):
+    """As many phones of each type as the least has, the speakers in turn."""
+    return _counted(spark, sf, by_spk=False)
+
+
+_KINDS = "(VALUES ('L-R', 0, 1), ('W-Y', 2, 3), ('all_C', NULL, NULL)) k(kind, p, q)"
+
+
+@query(f"""
+WITH {_ITEMS}, {_TASK},
+d AS (SELECT *, round(list_distance(xa.x, xx.x), 6) AS da, round(list_distance(xb.x, xx.x), 6) AS db FROM task t JOIN items xa ON xa.id = t.a JOIN items xb ON xb.id = t.b JOIN items xx ON xx.id = t.x),
+e AS (SELECT speaker, on_a, on_b, avg(CASE WHEN da < db THEN 0.0 WHEN da > db THEN 1.0 ELSE 0.5 END) AS error FROM (SELECT t.speaker, t.on_a, t.on_b, da, db FROM d t) GROUP BY 1, 2, 3),
+m AS (SELECT speaker, least(on_a, on_b) AS a, greatest(on_a, on_b) AS b, avg(error) AS error FROM e GROUP BY 1, 2, 3)
+SELECT speaker, kind, count(*) AS n, round(avg(error), 6) AS error FROM m JOIN {_KINDS} ON CASE WHEN kind = 'all_C' THEN a < 8 AND b < 8 ELSE a = p AND b = q END GROUP BY 1, 2
+""")
+def contrast_kinds(spark, sf):
+    """Errors of each speaker by kind of contrast: two single contrasts, and all between consonants (phones 0 to 7)."""
+    scores = abx.rank_scores(_near(_items(spark, sf), "euc").withColumn("d", _r("d")), ["speaker"])
+    return abx.errors_by_kind(scores, ["speaker"], {"L-R": (0, 1), "W-Y": (2, 3)}, {"all_C": list(range(8))}).withColumn("error", _r("error"))
+
+
+# Files -------------------------------------------------------------------------------------------------------------------
+
+
+def _folder(spark) -> str:
+    """A new folder in the one that driver and executors share."""
+    import uuid
+
+    return f"{shared_dir(spark)}/tessitura-files-{uuid.uuid4().hex}"
+
+
+def _lines(df, path: str, *columns) -> None:
+    df.select(F.concat_ws(" ", *columns).alias("value")).write.text(path)
+
+
+@query("""
+SELECT 'u' || event_id AS utt, 's' || user_id AS spk, event_type AS rec, round(CAST(event_id % 100 AS DOUBLE), 6) AS start, round(value, 6) AS duration, 1 + event_id % 3 AS n_words, CAST(length(event_type) * (1 + event_id % 3) AS BIGINT) AS n_phones FROM events
+""")
+def corpus_from_files(spark, sf):
+    """events as a corpus of text files (segments, speakers, texts, lexicon), loaded and validated again."""
+    at, e = _folder(spark), _t(spark, sf, "events").withColumns({"utt": F.concat(F.lit("u"), "event_id"), "start": (F.col("event_id") % 100).cast("double")})
+    _lines(e, f"{at}/segments.txt", "utt", F.concat("event_type", F.lit(".wav")), F.col("start").cast("string"), (F.col("start") + F.col("value")).cast("string"))
+    _lines(e, f"{at}/utt2spk.txt", "utt", F.concat(F.lit("s"), "user_id"))
+    _lines(e, f"{at}/text.txt", "utt", F.array_join(F.array_repeat("event_type", (F.col("event_id") % 3 + 1).cast("int")), " "))
+    _lines(e.select("event_type").distinct(), f"{at}/lexicon.txt", "event_type", F.array_join(F.split("event_type", "(?<=.)(?=.)"), " "))
+    loaded = Corpus.load(spark, at, "events")
+    phones = loaded.lexicon.select(F.col("word"), F.size("phones").alias("n"))
+    words = loaded.text.select("utt", F.explode("words").alias("word")).join(phones, "word").groupBy("utt").agg(F.count(F.lit(1)).alias("n_words"), F.sum("n").alias("n_phones"))
+    return loaded.durations().join(words, "utt").select("utt", "spk", "rec", _r("start").alias("start"), _r("duration").alias("duration"), "n_words", "n_phones")
+
+
+@query("SELECT 'v' || vec_id AS item, CAST(f - 1 AS INTEGER) AS frame, round(CAST(0.0125 AS DOUBLE) + 0.01 * (f - 1), 6) AS t, CAST(g AS INTEGER) AS dim, round(CAST(embedding[(f - 1) * 8 + g] AS DOUBLE), 5) AS x FROM embeddings, (SELECT unnest(range(1, 9)) AS f), (SELECT unnest(range(1, 9)) AS g)")
+def archive_frames(spark, sf):
+    """embeddings as a text feature archive of eight frames an item, read again."""
+    at = _folder(spark)
+    row = lambda k: F.array_join(F.transform(F.slice("embedding", k * 8 + 1, F.lit(8)), lambda v: v.cast("double").cast("string")), " ")
+    rows = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(7)), row), "\n  ")
+    _t(spark, sf, "embeddings").select(F.concat(F.lit("v"), "vec_id", F.lit("  [\n  "), rows, F.lit(" ]")).alias("value")).write.text(at)
+    found = readers.read_archive(spark, at).select("item", "frame", _r("t").alias("t"), F.posexplode("x").alias("dim", "x"))
+    return found.select("item", "frame", "t", (F.col("dim") + 1).alias("dim"), _r("x", 5).alias("x"))
+
+
+@query("SELECT 'u' || user_id AS utt, event_type AS phone, CASE WHEN event_id % 2 = 0 THEN 'w' || event_id % 7 END AS word, round(value, 6) AS duration, count(*) OVER (PARTITION BY user_id) AS n FROM events")
+def alignment_from_file(spark, sf):
+    """events as an alignment of phones, some with a word, read again; n: phones of the utterance, of those that the file has."""
+    at, e = _folder(spark), _t(spark, sf, "events")
+    _lines(e, at, F.concat(F.lit("u"), "user_id"), F.lit("0.0"), F.col("value").cast("string"), F.lit("1.0"), "event_type", F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("w"), F.col("event_id") % 7)))
+    rows = readers.read_alignment(spark, at)
+    sizes = rows.join(readers.read_utterance_ids(spark, at), "utt", "left_semi").groupBy("utt").agg(F.count(F.lit(1)).alias("n"))
+    return rows.join(sizes, "utt").select("utt", "phone", "word", _r(C.duration()).alias("duration"), "n")
+
+
+@query("SELECT c_mktsegment AS grp, a.c_custkey AS spk, arg_min(b.s_suppkey, (abs(a.c_acctbal - b.s_acctbal), b.s_suppkey)) AS near FROM customer a JOIN supplier b ON a.c_nationkey = b.s_nationkey GROUP BY 1, 2")
+def nearest_supplier(spark, sf):
+    """For each customer the supplier of its nation with the nearest balance, the first if equal."""
+    c = _t(spark, sf, "customer").select(F.col("c_nationkey").alias("on"), F.col("c_custkey").alias("spk"), F.col("c_acctbal").alias("v"))
+    s = _t(spark, sf, "supplier").select(F.col("s_nationkey").alias("on"), F.col("s_suppkey").alias("spk"), F.col("s_acctbal").alias("v"))
+    grp = _t(spark, sf, "customer").select(F.col("c_custkey").alias("spk"), F.col("c_mktsegment").alias("grp"))
+    return corpus.nearest(c, s, "on", "v", "spk").join(grp, "spk").select("grp", "spk", "near")
