@@ -38,14 +38,9 @@ def match_speakers(big: DataFrame, small: DataFrame, gender: str = "gender", spk
     below = scans.running(saved(both), ["gender"], ["amount", "is_big", "spk"], "is_big", "_upto", "shorter").where("is_big = 0")
     state = saved(below.select("gender", "spk", F.col("amount").alias("d"), F.col("shorter").cast("long").alias("lo"), (F.col("shorter") + 1).cast("long").alias("hi"), F.lit(LOOK).alias("look"), F.lit(None).cast("long").alias("match")))
     sizes = places.groupBy("gender").agg(F.max("up").alias("last"))
-    while True:
-        free = state.where("match is null")
-        if free.isEmpty():
-            break
-        old, state = state, saved(_pushed(state))
-        discard(old)
-        free = state.where("match is null")
-        asked = saved(_asking(free, state, places, sizes, threshold))
+    left = small.count()
+    while left:
+        asked = saved(_asking(state.where("match is null"), state, places, sizes, threshold))
         stuck = asked.where("choice is null and done").limit(1).collect()
         if stuck:
             raise ValueError(f"no speaker is long enough for {stuck[0].spk}")
@@ -56,8 +51,12 @@ def match_speakers(big: DataFrame, small: DataFrame, gender: str = "gender", spk
         held = state.where("match is not null").join(won.select("gender", "match"), ["gender", "match"], "left_anti").select(state.columns)
         moved = asked.join(won, ["gender", "spk"], "left").select("gender", "spk", "d", "lo", "hi", "look", "match")
         old, state = state, saved(held.unionByName(lost).unionByName(moved))
+        left = state.where("match is null").count()
         discard(old)
         discard(asked)
+        if left:
+            old, state = state, saved(_pushed(state))
+            discard(old)
     found = state.join(places.select("gender", F.col("up").alias("match"), "big", "amount"), ["gender", "match"])
     return found.select("gender", F.col("big").alias("big_spk"), F.col("amount").alias("big_amount"), F.col("spk").alias("small_spk"), F.col("d").alias("small_amount"))
 
@@ -71,9 +70,9 @@ def _pushed(state: DataFrame) -> DataFrame:
     a place below that is free again.
     """
     upwards = state.where("lo = 0").withColumn("at", F.coalesce("match", "hi"))
-    rising = saved(scans.running_max(saved(upwards), ["gender"], ["-d", "spk"], "at", "most", "before"))
+    rising = scans.running_max(upwards, ["gender"], ["-d", "spk"], "at", "most", "before")
     line = rising.where("before is null or at >= before").select("gender", "spk", "d", "at")
-    line = saved(scans.ranked(line, ["gender"], ["-d", "spk"], "k").withColumn("x", F.col("at") - F.col("k")))
+    line = scans.ranked(line, ["gender"], ["-d", "spk"], "k").withColumn("x", F.col("at") - F.col("k"))
     ends = scans.running_max(line, ["gender"], ["-d", "spk"], "x", "top", "before").select("gender", "spk", (F.col("k") + F.col("top")).alias("least")).where("least > 0")
     both = state.join(ends, ["gender", "spk"], "left")
     on = F.col("least") > F.coalesce("match", "hi")
