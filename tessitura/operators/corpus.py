@@ -99,6 +99,10 @@ def histogram(amounts: DataFrame, groups: list[str], value: str, bins: int = 5)
 # Slices of each speaker's speech --------------------------------------------------------------------------------------
 
 
+#: What rounding adds to a sum of a speaker's durations, as a share of it, at most.
+EDGE = 1e-11
+
+
 def running(utts: DataFrame, spk: str, order: list[str], duration: str = "duration") -> DataFrame:
     """utts with cum, the running sum of each speaker's durations, this row included, and prev, the sum before it."""
     return scans.running(utts, [spk], order, duration)
@@ -108,7 +112,8 @@ def subset_slices(utts: DataFrame, n: int, spk: str = "spk", utt: str = "utt", o
     """(spk, utt, subset_id, start, stop): n slices of equal duration of each speaker's utterances end to end.
 
     Slice j is [j, j + 1) n-ths of the speaker's total. An utterance over a slice's edge is cut there, so it is in two.
-    An utterance is compared with the slices that it meets only: its first and last slice follow from its sums.
+    An utterance is compared with the slices that it meets only: its first and last slice follow from its sums. Sums of
+    doubles are off by their rounding, so ends within EDGE of an edge, as a share of the total, are on it.
     """
     rows = running(utts, spk, list(order), duration)
     rows = rows.join(rows.groupBy(spk).agg(F.max("cum").alias("total")), spk)
@@ -116,7 +121,8 @@ def subset_slices(utts: DataFrame, n: int, spk: str = "spk", utt: str = "utt", o
     at = lambda c: F.floor(F.col(c) / F.col("total") * n)
     near = F.sequence(F.greatest(F.lit(0), at("prev") - 1).cast("int"), F.least(F.lit(n - 1), at("cum") + 1).cast("int"))
     cut = rows.where("total > 0").withColumn("j", F.explode(near)).withColumn("low", F.col("j") * F.col("total") / n).withColumn("high", (F.col("j") + 1) * F.col("total") / n)
-    cut = cut.where((F.col("cum") > F.col("low")) & (F.col("prev") < F.col("high")))
+    edge = F.col("total") * EDGE
+    cut = cut.where((F.col("cum") - F.col("low") > edge) & (F.col("high") - F.col("prev") > edge))
     front = F.col(stop) - (F.col("cum") - F.col("low"))
     back = F.col(stop) - (F.col("cum") - F.col("high"))
     # Sums only grow and a row's prev is the cum before it, so one row of a slice holds its low edge, the first, and one its

@@ -75,6 +75,12 @@ def test_trim_equals_the_procedure(spark):
     assert got == want
 
 
+def test_subset_slices_have_no_pieces_of_rounding(spark):
+    utts = [(f"s{n}", k, n * k / 10, n * (k + 1) / 10, n / 10) for n in (1, 3, 7) for k in range(10)]
+    got = rows(corpus.subset_slices(spark.createDataFrame(utts, "spk string, utt int, start double, stop double, duration double"), 10).select("spk", "utt", "subset_id"))
+    assert got == sorted((f"s{n}", k, k) for n in (1, 3, 7) for k in range(10))
+
+
 def test_match_speakers(spark):
     big = [("f", "b1", 10.0), ("f", "b2", 8.0), ("f", "b3", 20.0), ("m", "b4", 5.0), ("m", "b5", 30.0)]
     small = [("f", "s1", 9.9), ("f", "s2", 9.0), ("m", "s3", 6.0)]
