@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from ..session import saved
 from ..sources.readers import Corpus, checked
 from . import scans
 from .matching import match_speakers
@@ -208,7 +209,33 @@ def most_common(rows: DataFrame, value: str) -> DataFrame:
 
 
 def nearest(left: DataFrame, right: DataFrame, on: str, value: str, key: str) -> DataFrame:
-    """For each (on, key, value) of left the key of right in the same `on` with the nearest value, ties by key."""
-    r = right.select(on, F.col(key).alias("near"), F.col(value).alias("near_value"))
-    pairs = left.select(on, key, value).join(r, on)
-    return pairs.groupBy(on, key).agg(F.min_by("near", F.struct(F.abs(F.col(value) - F.col("near_value")), "near")).alias("near"))
+    """For each (on, key, value) of left the key of right in the same `on` with the nearest value, ties by key.
+
+    Both sides' different values are put in one order, in ranges; a value's nearest ones are the last of right before it and
+    the first after it. Values without a difference (null, nan, infinite), and those that are so far from right's that
+    several are equally far in doubles, meet all of right's values. A null difference is farther than any other, nan next.
+    """
+    v, nv, there = F.col(value), F.col("_v"), lambda c: F.abs(c) < float("inf")
+    asked = left.select(on, F.col(value).cast("double").alias(value)).where(F.col(on).isNotNull()).distinct()
+    right = right.where(F.col(on).isNotNull()).groupBy(on, F.col(value).cast("double").alias("_v")).agg(F.min(key).alias("_k"))
+    asked, right = saved(asked), saved(right)
+    # Each value of right with the one before and the one after it.
+    known = scans.neighbours(right.where(there(nv)), [on], ["_v"], {"_before": "_v"}, {"_after": "_v"})
+    low, high = F.struct("_v", "_k", F.col("_before").alias("_next")), F.struct((-nv).alias("_v"), "_k", F.col("_after").alias("_next"))
+    rows = asked.where(there(v)).select(on, F.col(value).alias("_v"), F.lit(1).alias("_asks"), F.lit(None).cast(known.select(low.alias("_s")).schema["_s"].dataType).alias("_low"))
+    rows = rows.withColumn("_high", F.col("_low"))
+    both = saved(known.select(on, "_v", F.lit(0).alias("_asks"), low.alias("_low"), high.alias("_high")).unionByName(rows))
+    up = scans.running_max(both, [on], ["_v", "_asks"], "_low", "_under", "_p").drop("_p", "_low")
+    found = scans.running_max(saved(up), [on], ["-_v", "_asks"], "_high", "_over", "_p").where("_asks = 1")
+    under, over = F.abs(nv - F.col("_under._v")), F.abs(nv + F.col("_over._v"))
+    least = F.least(under, over)
+    alike = (F.abs(nv - F.col("_under._next")) == least) | (F.abs(nv - F.col("_over._next")) == least)
+    near = F.when(under < over, F.col("_under._k")).when(over < under, F.col("_over._k")).otherwise(F.least("_under._k", "_over._k"))
+    best = F.when(there(least) & ~F.coalesce(alike, F.lit(False)), F.struct(F.lit(False).alias("none"), least.alias("far"), near.alias("near")))
+    found = saved(found.select(on, nv.alias(value), best.alias("_best")))
+    rest = found.where("_best is null").select(on, value).unionByName(asked.where(~F.coalesce(there(v), F.lit(False))))
+    far = F.abs(v - nv)
+    met = rest.join(right, on).groupBy(on, value).agg(F.min(F.struct(far.isNull().alias("none"), far.alias("far"), F.col("_k").alias("near"))).alias("_best"))
+    each = found.where("_best is not null").unionByName(met).withColumnsRenamed({on: "_on", value: "_of"})
+    same = (F.col(on) == F.col("_on")) & F.col(value).cast("double").eqNullSafe(F.col("_of"))
+    return left.select(on, key, value).join(each, same).groupBy(on, key).agg(F.min("_best").getField("near").alias("near"))

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessitura.functions import columns as C
-from tessitura.operators import abx, corpus, frames, summaries
+from tessitura.operators import abx, corpus, frames, scans, summaries
 from tessitura.plans.registry import QUERIES
 from tessitura.sources.readers import Corpus
 
@@ -81,6 +81,25 @@ def test_subset_slices_have_no_pieces_of_rounding(spark):
     assert got == sorted((f"s{n}", k, k) for n in (1, 3, 7) for k in range(10))
 
 
+def test_nearest_equals_comparing_all(spark, monkeypatch):
+    rng = random.Random(5)
+    odd = [None, float("nan"), float("inf"), float("-inf"), 1e300, 0.0, -0.0]
+    some = lambda n: [(rng.choice(["a", "b", "c"]), k, rng.choice([rng.randint(-40, 40) / 4, rng.choice(odd)])) for k in range(n)]
+    for right in (some(60), [("a", 1, None), ("b", 2, float("nan")), ("b", 1, None)]):
+        left, want = [*some(90), ("d", 99, 1.0), (None, 98, 1.0)], set()
+        for on, k, v in left:
+            def far(r):
+                d = None if v is None or r[2] is None else abs(v - r[2])
+                return (2, 0, r[1]) if d is None else (1, 0, r[1]) if math.isnan(d) else (0, d, r[1])
+
+            own = [r for r in right if r[0] == on]
+            want |= {(on, k, min(own, key=far)[1])} if own else set()
+        schema = "g string, k int, v double"
+        for most in (1 << 17, 7):
+            monkeypatch.setattr(scans, "MOST", most)
+            assert set(rows(corpus.nearest(spark.createDataFrame(left, schema), spark.createDataFrame(right, schema), "g", "v", "k"))) == want
+
+
 def test_match_speakers(spark):
     big = [("f", "b1", 10.0), ("f", "b2", 8.0), ("f", "b3", 20.0), ("m", "b4", 5.0), ("m", "b5", 30.0)]
     small = [("f", "s1", 9.9), ("f", "s2", 9.0), ("m", "s3", 6.0)]
