@@ -318,6 +318,34 @@ def test_rank_scores_equal_those_of_all_triplets(spark):
     assert rows(abx.task_pairs(items, "phone", ["speaker"], tile=3)) == rows(abx.needed_pairs(task))
 
 
+@pytest.mark.parametrize("by", [["speaker"], []])
+def test_cell_scores_equal_rank_scores_and_send_no_distances(spark, monkeypatch, by):
+    rng = random.Random(9)
+    data = [(i, rng.choice([1, 1, 1, 2, 3, None]), f"s{i % 2}", None if i % 13 == 0 else [float(rng.randint(1, 3)), float(rng.randint(1, 3))]) for i in range(90)] + [(90, 1, "lone", [1.0, 1.0])]
+    items = spark.createDataFrame(data, "id long, phone int, speaker string, x array<double>")
+    for distance, over in (("cos", by), ("euc", [])):
+        near = abx.cell_distances(items.where("phone is not null"), distance, "phone", by).withColumn("d", F.round("d", 6))
+        want = {tuple(r)[:-3]: tuple(r)[-3:] for r in abx.rank_scores(near.drop(*set(by) - set(over)), over).collect()}
+        for held, block in ((1 << 24, 1 << 20), (200, 7)):
+            monkeypatch.setattr(abx, "BLOCK", block)
+            found = abx.cell_scores(items, distance, "phone", by, over=over, digits=6, held=held)
+            got = {tuple(r)[:-3]: tuple(r)[-3:] for r in found.collect()}
+            assert len(want) >= 6 and got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+            assert "Window" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_an_item_is_sent_to_few_tiles_and_their_pairs_come_in_blocks(spark, monkeypatch):
+    sent = []
+    dealt = abx.tiled
+    monkeypatch.setattr(abx, "tiled", lambda *a: sent.append(dealt(*a)) or sent[-1])
+    items = spark.range(5000).select("id", (F.col("id") % 9).alias("phone"), F.array(F.rand(1), F.rand(2)).alias("x"))
+    found = abx.cell_distances(items, "euc")
+    assert sent[0].count() == 2 * 5000  # 20 times before
+    monkeypatch.setattr(abx, "BLOCK", 1000)
+    few = abx.cell_distances(items.where("id < 100"), "euc").cache()
+    assert few.count() == 100 * 99 // 2 and few.where("i >= j").count() == 0 and found.columns == ["i", "j", "d"]
+
+
 def test_tiles_deal_a_cell_to_many_tasks(spark):
     items = spark.range(600).select("id", (F.col("id") % 7).alias("phone"), F.lit("s").alias("speaker"), F.array(F.rand(1), F.rand(2)).alias("x"))
     dealt = abx.tiled(items, "phone", ["speaker"], tile=50)
