@@ -546,8 +546,7 @@ d AS (SELECT *, round(acos(greatest(-1, least(1, list_dot_product(xa.x, xx.x) /
 SELECT on_a, on_b, round(avg(CASE WHEN da < db THEN 1.0 WHEN da > db THEN -1.0 ELSE 0.0 END), 6) AS score, count(*) AS n, round(avg(CASE WHEN da < db THEN 0.0 WHEN da > db THEN 1.0 ELSE 0.5 END), 6) AS error FROM d GROUP BY 1, 2
 """)
 def abx_scored_cos(spark, sf):
-    distances = _near(_items(spark, sf), "cos").drop("speaker").withColumn("d", _r("d", 9))
-    return abx.rank_scores(distances, []).select("on_a", "on_b", _r("score").alias("score"), "n", _r("error").alias("error"))
+    return abx.cell_scores(_items(spark, sf), "cos", "phone", ["speaker"], over=[], digits=9).select("on_a", "on_b", _r("score").alias("score"), "n", _r("error").alias("error"))
 
 
 _ASKED = "asked AS (SELECT least(a, x) AS i, greatest(a, x) AS j FROM task UNION SELECT least(b, x), greatest(b, x) FROM task)"
