@@ -997,7 +997,7 @@ SELECT speaker, kind, count(*) AS n, round(avg(error), 6) AS error FROM m JOIN {
 """)
 def contrast_kinds(spark, sf):
     """Errors of each speaker by kind of contrast: two single contrasts, and all between consonants (phones 0 to 7)."""
-    scores = abx.rank_scores(_near(_items(spark, sf), "euc").withColumn("d", _r("d")), ["speaker"])
+    scores = abx.cell_scores(_items(spark, sf), "euc", "phone", ["speaker"], digits=6)
     return abx.errors_by_kind(scores, ["speaker"], {"L-R": (0, 1), "W-Y": (2, 3)}, {"all_C": list(range(8))}).withColumn("error", _r("error"))
 
 
