@@ -8,7 +8,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tessitura.operators import corpus, frames, scans
+from tessitura.operators import corpus, frames, matching, scans
 from tessitura.operators.matching import match_speakers
 
 
@@ -116,6 +116,45 @@ def test_matching_by_rounds_equals_one_after_another(spark, monkeypatch, seed, s
     assert sorted(map(tuple, got)) == sorted(want)
 
 
+@pytest.mark.parametrize("limit", [1 << 17, 9, 0])
+def test_matching_by_runs_equals_one_after_another(spark, monkeypatch, limit):
+    monkeypatch.setattr("tessitura.operators.matching.RUN", limit)
+    monkeypatch.setattr("tessitura.operators.matching.PACK", 5)
+    if limit > 9:  # rounds are for long runs only
+        monkeypatch.setattr("tessitura.operators.matching._in_rounds", None)
+    rng, big, small, want = random.Random(7), [], [], []
+    for g in ("f", "m"):
+        while (pairs := one_after_another(*(sides := speakers(rng, 400 if g == "f" else 40, 70, 30)))) is None:
+            pass
+        big += [(g, *b) for b in sides[0]]
+        small += [(g, *s) for s in sides[1]]
+        want += [(g, *p) for p in pairs]
+    schema = "gender string, spk string, amount double"
+    got = match_speakers(spark.createDataFrame(big, schema), spark.createDataFrame(small, schema)).collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_runs_keep_all_that_may_be_matched_and_one_after_another_is_the_rule(spark):
+    rng, big, small = random.Random(11), [], []
+    for k in range(300):
+        sides = speakers(rng, rng.choice([1, 40, 400]), rng.randint(8, 40), rng.randint(1, 8))
+        pairs = one_after_another(*sides)
+        got = matching.matched(*([(a, n) for n, a in side] for side in sides), 0.05)
+        assert sorted(got) == sorted(pairs) if pairs is not None else any(m[0] is None for m in got)
+        if pairs is not None and k < 40:
+            big += [(f"g{k}", *b) for b in sides[0]]
+            small += [(f"g{k}", *s) for s in sides[1]]
+    schema = "gender string, spk string, amount double"
+    runs = matching._runs(spark.createDataFrame(big, schema), spark.createDataFrame(small, schema)).collect()
+    assert sum(not r.is_big for r in runs) == len(small) and len({(r.gender, r.run) for r in runs}) > 60
+    found = []
+    for key in {(r.gender, r.run) for r in runs}:
+        own = [[(r.amount, r.spk) for r in runs if (r.gender, r.run) == key and r.is_big == side] for side in (True, False)]
+        found += [(key[0], *m) for m in matching.matched(*own, 0.05)]
+    want = [(g, *m) for g in {b[0] for b in big} for m in one_after_another(*([r[1:] for r in side if r[0] == g] for side in (big, small)))]
+    assert sorted(found) == sorted(want)
+
+
 def test_matching_refuses_what_can_not_be_matched(spark):
     of = lambda *rows: spark.createDataFrame(list(rows), "gender string, spk string, amount double")
     with pytest.raises(ValueError, match="more small"):
