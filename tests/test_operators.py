@@ -271,6 +271,21 @@ def test_triplets_counts_and_scores(spark):
     assert rows(abx.sequence_distances(abx.needed_pairs(task), seq, "dur").select("d").distinct()) == [(0.0,)]
 
 
+def test_triplets_of_one_cell_are_the_work_of_many_tasks(spark, monkeypatch):
+    data = [(i, "aab"[i % 3], "s") for i in range(45)] + [(3, "a", "s"), (None, "a", "s"), (None, "b", "s"), (50, None, "s"), (51, "a", None), (52, "a", "t"), (53, "b", "t")]
+    items = spark.createDataFrame(data, "id int, phone string, speaker string")
+    same = lambda s, t: s is not None and s == t
+    for by in (["speaker"], []):
+        want = sorted(repr((*([s] if by else []), a, b, x, pa, pb)) for a, pa, s in data for x, px, sx in data if pa and (same(s, sx) or not by) and px == pa and None not in (a, x) and x != a for b, pb, sb in data if (same(s, sb) or not by) and pb and pb != pa)
+        for bundle, listed in ((abx.BUNDLE, abx.LISTED), (5, 500)):
+            monkeypatch.setattr(abx, "LISTED", listed)
+            found = abx.triplets(items, "phone", by, bundle=bundle)
+            assert sorted(repr(tuple(r)) for r in found.collect()) == want and found.columns == [*by, "a", "b", "x", "on_a", "on_b"]
+    parts = [r["count"] for r in found.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(parts) >= 8 and max(parts) < len(want) / 3
+    assert abx.triplets(items.limit(0), "phone", ["speaker"]).count() == 0
+
+
 def test_unit_runs(spark):
     u = spark.createDataFrame([("i", k, k * 0.01, [1.0 if x == c else 0.0 for x in "abc"]) for k, c in enumerate("aabbbac")], "item string, frame int, t double, post array<double>")
     runs = abx.unit_runs(abx.dominant_unit(u))
