@@ -593,7 +593,7 @@ def dtw_distance(spark, sf):
     """Warped angular distance of the task's pairs, each vector cut into eight frames of eight."""
     cut = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: F.slice("x", k * 8 + 1, F.lit(8)))
     items = _items(spark, sf).withColumn("x", cut)
-    return _near(items, "cos", warp=True).select("i", "j", _r("d").alias("d"))
+    return _near(items, "cos", warp=True, digits=6).select("i", "j", "d")
 
 
 @query("SELECT event_id, user_id, event_type AS phone, lag(event_type) OVER w AS prev_phone, lead(event_type) OVER w AS next_phone FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)")

@@ -237,6 +237,25 @@ def test_dtw_distance_query_equals_dynamic_programming(spark, tmp_path):
         assert d == pytest.approx(cost / n, abs=1e-6)
 
 
+def test_sequences_of_two_tiles_are_prepared_once_not_for_each_pair(monkeypatch):
+    rng = np.random.default_rng(3)
+    x, y = ([rng.dirichlet(np.ones(3), k % 4) if k % 7 else None for k in range(n)] for n in (40, 31))
+    r, c = (m.ravel() for m in np.meshgrid(np.arange(40), np.arange(31), indexing="ij"))
+    frames, norm = [], np.linalg.norm
+    monkeypatch.setattr(np.linalg, "norm", lambda v, *a, **b: frames.append(v.size // v.shape[-1]) or norm(v, *a, **b))
+    monkeypatch.setattr(abx, "STEP", 50, raising=False)
+    got = abx.sequence_matrix(x, y, r, c, "cos")
+    assert sum(frames) <= 8 * sum(len(v) for v in (*x, *y) if v is not None)  # each pair's frames before
+    monkeypatch.undo()
+    angle = lambda a, b: math.acos(max(-1, min(1, float(a @ b / np.linalg.norm(a) / np.linalg.norm(b))))) / math.pi
+    for i, j, d in zip(r, c, got, strict=True):
+        if x[i] is None or y[j] is None or not len(x[i]) or not len(y[j]):
+            assert math.isnan(d)
+        else:
+            cost, n = brute_warp(x[i], y[j], angle)
+            assert d == pytest.approx(cost / n, abs=1e-6)
+
+
 def test_distances_that_are_there_are_not_made_again(spark, tmp_path):
     rng = random.Random(5)
     frames_of = lambda: [[rng.random() + 0.1 for _ in range(3)] for _ in range(rng.randint(1, 4))]
