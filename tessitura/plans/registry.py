@@ -887,15 +887,14 @@ def multinomial_fit(spark, sf):
 @query()
 def word_mixture_fit(spark, sf):
     """The finite approximation over the words of all documents, as sparse counts over their whole vocabulary."""
-    from ..mixture.priors import DirichletMultinomial
-    from ..mixture.sampler import fit
+    from ..mixture.terms import TermChain
     from ..session import saved
 
     words = _t(spark, sf, "documents").select("doc_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("\\p{L}+"), F.lit(0))).alias("word"))
     counts = saved(words.groupBy("doc_id", "word").agg(F.count(F.lit(1)).cast("int").alias("n")))
     terms = saved(frames.numbered_rows(counts.select("word").distinct(), ["word"], "term"))
     rows = counts.join(terms, "word").groupBy(F.col("doc_id").alias("pid")).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(F.col("term").cast("int"), "n")))).alias("x"))
-    return fit(rows, DirichletMultinomial(terms.count(), 0.1), steps=WORD_SWEEPS, k=4, kind="finite").trace_table().select("iter", "loglik", "k", "nk")
+    return TermChain(rows, terms.count(), 0.1, k=4).run(WORD_SWEEPS).trace_table().select("iter", "loglik", "k", "nk")
 
 
 @query()

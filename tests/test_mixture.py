@@ -256,3 +256,41 @@ def test_full_posteriors_are_the_same_in_blocks_of_components(spark, monkeypatch
     monkeypatch.setattr(posteriors, "MODEL_BYTES", 70)
     for r in posteriors.posteriors(frames, model).collect():
         assert r.post == pytest.approx(whole[r.frame]) and sum(r.post) == pytest.approx(1)
+
+
+def test_terms_in_blocks_make_the_finite_chain(spark, monkeypatch):
+    from tessitura.mixture import terms
+
+    docs = multinomial_docs(spark, 90, 40, 3, seed=2, most_words=50)
+    whole = Chain(docs, DirichletMultinomial(40, 0.3), k=4, kind="finite", seed=7).run(3)
+    one = terms.TermChain(docs, 40, 0.3, k=4, seed=7).run(3)
+    assert [t[2:] for t in one.trace] == [pytest.approx(t[2:]) for t in whole.trace]
+    assert one._block(0) == pytest.approx(np.stack([s[1:-1] for c in whole.clusters for s in c.stats]))
+    sizes, sent = [], terms.log_gammas
+    monkeypatch.setattr(terms, "log_gammas", lambda shape, rng: sizes.append(len(shape)) or sent(shape, rng))
+    monkeypatch.setattr(terms, "HELD", 8)
+    chain = terms.TermChain(docs, 40, 0.3, k=4, seed=7, block=16)
+    start = chain.log_likelihood()
+    chain.run(4)
+    assert set(sizes) == {16, 8} and chain.n.sum() == 90 and chain.log_likelihood() > start
+    counts = np.concatenate([chain._block(lo) for lo in (0, 16, 32)], axis=1).sum(0)
+    want = np.zeros(40)
+    for r in docs.collect():
+        for t, c in r.x.items():
+            want[t] += c
+    assert counts == pytest.approx(want)
+    stat = [np.concatenate([[chain.n[2 * i : 2 * i + 2].sum()], *[chain._block(lo)[2 * i : 2 * i + 2].sum(0) for lo in (0, 16, 32)], [chain.coefficients[2 * i : 2 * i + 2].sum()]]) for i in range(4)]
+    assert chain.log_likelihood() == pytest.approx(posteriors.joint_log_likelihood(dict(enumerate(stat)), DirichletMultinomial(40, 0.3)))
+
+
+def test_the_vocabulary_of_the_word_mixture_is_not_whole_on_the_driver(spark, monkeypatch, tmp_path):
+    from tessitura.mixture import priors
+    from tessitura.plans import registry
+
+    spark.createDataFrame([(i, " ".join("abcdefgh"[(i * j) % 8] * (1 + j % 5) for j in range(1, 30))) for i in range(30)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    monkeypatch.setattr(registry, "WORD_SWEEPS", 2)
+    made = []
+    init = priors.DirichletMultinomial.__init__
+    monkeypatch.setattr(priors.DirichletMultinomial, "__init__", lambda self, *a, **b: made.append(a) or init(self, *a, **b))
+    trace = registry.QUERIES["word_mixture_fit"](spark, str(tmp_path)).collect()
+    assert [r.iter for r in trace] == [1, 2] and not made  # its statistics hold every term
