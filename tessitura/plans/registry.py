@@ -42,9 +42,9 @@ def _r(c, digits: int = 6):
 
 
 def _utts(spark: SparkSession, sf: str) -> DataFrame:
-    """events as utterances of their users, end to end in order of time."""
+    """events as utterances of their users, end to end in order of time: one starts at the very number at which the last stops."""
     e = _t(spark, sf, "events").select(F.col("user_id").alias("spk"), F.col("event_id").alias("utt"), "ts", F.col("value").alias("duration"), F.col("event_type").alias("rec"))
-    return corpus.running(e, "spk", ["ts", "utt"]).select("spk", "utt", "ts", "rec", "duration", (F.col("cum") - F.col("duration")).alias("start"), F.col("cum").alias("stop"))
+    return corpus.running(e, "spk", ["ts", "utt"]).select("spk", "utt", "ts", "rec", "duration", F.col("prev").alias("start"), F.col("cum").alias("stop"))
 
 
 _UTTS = "utts AS (SELECT user_id AS spk, event_id AS utt, ts, event_type AS rec, value AS duration, sum(value) OVER w - value AS start, sum(value) OVER w AS stop FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING))"

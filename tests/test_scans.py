@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+import itertools
 import random
 
 import pytest
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tessitura.operators import corpus, frames, matching, scans
 from tessitura.operators.matching import match_speakers
+from tessitura.plans.registry import QUERIES
 
 
 def hot(n: int = 700, seed: int = 1):
@@ -196,6 +198,17 @@ def test_frames_meet_the_segments_that_they_lie_in(spark, monkeypatch, inclusive
     assert frames.frames_in_segments(f, s.limit(0)).count() == 0
 
 
+def test_a_frame_on_a_shared_edge_is_in_both_segments_however_sums_are_rounded(spark, tmp_path):
+    values = [3.99, 4.09, 0.3, 0.0, 1.13, 1.0, 1.0, 1.0]  # the sum before 1.13 is less than the sum with it less 1.13
+    sums = list(itertools.accumulate(values))
+    assert sums[4] - values[4] > sums[3]
+    day = datetime.datetime(2020, 1, 1)
+    events = [(k, day + datetime.timedelta(days=k), 1, "r", v, "") for k, v in enumerate(values)]
+    spark.createDataFrame(events, "event_id long, ts timestamp, user_id long, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
+    got = QUERIES["range_join_frames"](spark, str(tmp_path)).collect()
+    assert sorted((r.frame, r.seg) for r in got) == sorted([*((k, k // 4) for k in range(8)), (3, 1)])
+
+
 def test_no_frame_meets_a_segment_that_it_is_not_in(spark):
     f = spark.range(3000).select(F.lit("r").alias("rec"), F.col("id").alias("frame"), (F.col("id") / 100).alias("t"))
     s = spark.range(30).select(F.lit("r").alias("rec"), F.col("id").alias("seg"), F.col("id").cast("double").alias("start"), (F.col("id") + 1.0).alias("stop"))
