@@ -75,6 +75,14 @@ def test_trim_equals_the_procedure(spark):
     assert got == want
 
 
+def test_a_joined_row_makes_few_triplets_at_once(spark, monkeypatch):
+    held = []
+    monkeypatch.setattr(abx, "saved", lambda df: held.append(df) or df)
+    found = abx.triplets(spark.range(600).selectExpr("id", "int(id % 600 > 1) AS phone"), "phone", [])
+    assert held[0].agg(F.max(F.size("_keys"))).first()[0] ** 3 <= 1 << 18
+    assert found.count() == 598 * 597 * 2 + 2 * 598
+
+
 def test_subset_slices_have_no_pieces_of_rounding(spark):
     utts = [(f"s{n}", k, n * k / 10, n * (k + 1) / 10, n / 10) for n in (1, 3, 7) for k in range(10)]
     got = rows(corpus.subset_slices(spark.createDataFrame(utts, "spk string, utt int, start double, stop double, duration double"), 10).select("spk", "utt", "subset_id"))
