@@ -83,6 +83,12 @@ def test_a_joined_row_makes_few_triplets_at_once(spark, monkeypatch):
     assert found.count() == 598 * 597 * 2 + 2 * 598
 
 
+def test_softmax_works_its_array_out_once(spark):
+    drawn = spark.range(20).select(C.softmax(F.array(*[F.rand(k) for k in range(5)])).alias("p")).collect()
+    assert [sum(r.p) for r in drawn] == pytest.approx([1.0] * 20)
+    assert spark.sql("SELECT CAST(NULL AS ARRAY<DOUBLE>) AS v").select(C.softmax(F.col("v"))).first()[0] is None
+
+
 def test_subset_slices_have_no_pieces_of_rounding(spark):
     utts = [(f"s{n}", k, n * k / 10, n * (k + 1) / 10, n / 10) for n in (1, 3, 7) for k in range(10)]
     got = rows(corpus.subset_slices(spark.createDataFrame(utts, "spk string, utt int, start double, stop double, duration double"), 10).select("spk", "utt", "subset_id"))
