@@ -89,6 +89,18 @@ def test_softmax_works_its_array_out_once(spark):
     assert spark.sql("SELECT CAST(NULL AS ARRAY<DOUBLE>) AS v").select(C.softmax(F.col("v"))).first()[0] is None
 
 
+def test_items_of_large_cells_are_sent_as_often_as_those_of_small_ones(spark, monkeypatch):
+    sent, dealt = [], abx.tiled
+    monkeypatch.setattr(abx, "tiled", lambda *args: sent.append(dealt(*args)) or sent[-1])
+    monkeypatch.setattr(abx, "TILE", 5)
+    items = spark.range(400).selectExpr("id", "IF(id % 50 = 7, NULL, array(double(id), double(id * id % 31))) AS x")
+    got = {(r.i, r.j): r.d for r in abx.cell_distances(items, "euc", digits=6).collect()}
+    assert sent[0].count() <= 400 * 16
+    v = {r.id: r.x for r in items.collect()}
+    assert got.keys() == set(itertools.combinations(range(400), 2))
+    assert all((v[i] is None or v[j] is None) if d is None else d == pytest.approx(round(math.dist(v[i], v[j]), 6)) for (i, j), d in got.items())
+
+
 def test_subset_slices_have_no_pieces_of_rounding(spark):
     utts = [(f"s{n}", k, n * k / 10, n * (k + 1) / 10, n / 10) for n in (1, 3, 7) for k in range(10)]
     got = rows(corpus.subset_slices(spark.createDataFrame(utts, "spk string, utt int, start double, stop double, duration double"), 10).select("spk", "utt", "subset_id"))
